@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import packing, pii, quality
+from tidemark.llm import decontaminate, neardup, packing, pii, quality
 from tidemark.llm.queries import BYTE_BPE, PII_KEY
 from tidemark.session import table
 
@@ -13,6 +13,14 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.clean(docs)
 
 
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return neardup.keep_one(docs)
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pii.pseudonymise(docs, PII_KEY).drop("pii_values")
 
@@ -21,7 +29,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, BYTE_BPE)
 
 
-STAGES = [("quality_rules", quality_rules), ("pii", pseudonyms), ("packing", pack)]
+STAGES = [("quality_rules", quality_rules), ("near_dedup", one_of_each), ("decontaminate", without_benchmark), ("pii", pseudonyms), ("packing", pack)]
 #: The stages' hashes, sketches, keyed permutations and token ids are beyond SQL.
 ORACLE_SQL = None
 
