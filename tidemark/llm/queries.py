@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.llm import chat, decontaminate, neardup, packing, pii, quality, tokens, training_order
+from tidemark.llm import chat, decontaminate, langid, licenses, neardup, packing, pii, quality, tokens, training_order
 from tidemark.plans.registry import Registry
 from tidemark.session import table
 
@@ -105,6 +106,23 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), BYTE_BPE)
 
 
+@REGISTRY.add("op8_license_scan")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents carry no paths: each source is made a tree of directories of a hundred ids. By a
+    hash of its id, one document in eight is a licence file, half of them one directory higher."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    mark = F.crc32(F.col("doc_id").cast("string"))
+    name = F.when(mark % 8 == 0, F.lit("LICENSE")).otherwise(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    leaf = F.when(mark % 16 != 0, F.floor(F.col("doc_id") / 100 % 100).cast("string"))
+    path = F.concat_ws("/", "source", F.floor(F.col("doc_id") / 10_000).cast("string"), leaf, name)
+    return licenses.scan(docs.select("doc_id", path.alias("path"), "text"))
+
+
 @REGISTRY.add("op9_token_counts")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents"), BYTE_BPE)
+
+
+@REGISTRY.add("op10_nearest_centroid")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
