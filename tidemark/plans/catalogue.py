@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
+from tidemark.plans import relational, scalar
 from tidemark.plans.registry import Registry
-from tidemark.session import table
 
 REGISTRY = Registry()
+for part in (relational, scalar):
+    for name, query in part.REGISTRY.queries.items():
+        REGISTRY.add(name, part.REGISTRY.sql.get(name))(query)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"))
+    return REGISTRY.queries["g01_two_level"](spark, sf_dir)
