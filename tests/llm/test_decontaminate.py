@@ -1,6 +1,7 @@
 import random
 import re
 
+from tidemark.llm import common
 from tidemark.llm import decontaminate as dc
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -59,7 +60,7 @@ def test_against_brute_force(spark):
 
 def test_join_by_shuffle(spark, monkeypatch):
     docs, items = case()
-    monkeypatch.setattr(dc.small, "__defaults__", (0,))
+    monkeypatch.setattr(common.small, "__defaults__", (0,))
     frames = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items[:60], "item_id long, text string")
     assert {(r["doc_id"], r["item_id"]): r["n_shared"] for r in dc.contained(*frames).collect()} == brute(docs, items[:60])
 

@@ -15,14 +15,12 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Scratch, let, need, shingle_hashes, words
+from tidemark.llm.common import Scratch, let, need, shingle_hashes, small, words
 
 THRESHOLD = 0.8
 #: Probability to miss an item that is contained just to the threshold, for the shortest item.
 MISS = 1e-6
 LARGEST_CLASS = 30
-#: Tables of up to so many rows of a few numbers are broadcast; larger ones are joined by shuffle.
-BROADCAST_ROWS = 1_000_000
 
 
 def shingles(text: Column) -> Column:
@@ -56,11 +54,6 @@ def _right(x: Column, bits: Column) -> Column:
     return F.call_function("shiftright", x, bits)
 
 
-def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """df, to be broadcast if it has few rows; a shuffle join takes it otherwise."""
-    return F.broadcast(df) if df.count() <= limit else df
-
-
 def contained(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, item_id, n_item, n_shared, containment: the items whose distinct shingles a
     document holds to the threshold at least, one row a pair.
