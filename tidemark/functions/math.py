@@ -7,6 +7,7 @@ import math
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Selection thresholds by tier, and by tier for the academic track.
 THRESHOLDS = {"T1": 60, "T1_5": 65, "T2": 76}
@@ -85,7 +86,7 @@ def logistic(x: Column) -> Column:
     return 1 / (1 + F.exp(-x))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def normal_cdf(x: pd.Series) -> pd.Series:
     return x.map(lambda v: None if v is None or v != v else 0.5 * math.erfc(-v / math.sqrt(2)))
 
