@@ -26,6 +26,11 @@ def count_matches(s: Column, pattern: str) -> Column:
     return F.size(F.regexp_extract_all(s, F.lit(pattern), F.lit(0)))
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with value computed once a row even where body reads it once an element."""
+    return F.transform(F.array(value), body)[0]
+
+
 def collapse(s: Column) -> Column:
     """Runs of white space as one space, none at the ends."""
     return F.trim(F.regexp_replace(s, r"\s+", " "))
@@ -169,9 +174,13 @@ def title_bigrams(s: Column) -> Column:
 def word_runs(s: Column, width: int = 3) -> Column:
     """Distinct runs of words, without headings and date lines; a Han character is a word."""
     line = r"(?m)^[^\S\n]*(?:#.*|\.\.\.|[\d\s/:.\-年月日]+)$"
-    w = F.regexp_extract_all(F.lower(F.regexp_replace(s, line, "")), F.lit(r"\p{IsHan}|[\p{L}\p{N}&&[^\p{IsHan}]]+"), F.lit(0))
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - width + 1, F.lit(1))), lambda i: F.array_join(F.slice(w, i, width), " "))
-    return F.array_distinct(F.when(F.size(w) >= width, runs).otherwise(F.array().cast("array<string>")))
+    found = F.regexp_extract_all(F.lower(F.regexp_replace(s, line, "")), F.lit(r"\p{IsHan}|[\p{L}\p{N}&&[^\p{IsHan}]]+"), F.lit(0))
+
+    def of(w: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - width, F.lit(0))), lambda i: F.concat_ws(" ", *[F.get(w, i + k) for k in range(width)]))
+        return F.array_distinct(F.when(F.size(w) >= width, runs).otherwise(F.array().cast("array<string>")))
+
+    return let(found, of)
 
 
 def equal_but_for_loss(a: Column, b: Column) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.math import soft_support
+from tidemark.session import checkpointed
 
 #: Models of one connected part that are ordered exactly, by dynamic programming over subsets.
 EXACT = 15
@@ -191,7 +192,8 @@ def connected(net: DataFrame, scratch_rounds: int = 12) -> DataFrame:
     label = both.select(F.col("a").alias("model")).distinct().withColumn("component", F.col("model"))
     for _ in range(scratch_rounds):
         low = both.join(label, F.col("b") == F.col("model")).groupBy("a").agg(F.min("component").alias("low"))
-        after = label.join(low, F.col("model") == F.col("a")).select("model", F.least("component", "low").alias("component")).checkpoint()
+        after = label.join(low, F.col("model") == F.col("a")).select("model", F.least("component", "low").alias("component"))
+        after = checkpointed(after)
         if after.exceptAll(label).isEmpty():
             break
         label = after

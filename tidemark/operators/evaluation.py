@@ -80,7 +80,7 @@ def role_sample(candidates: DataFrame, roles: list[str], n: int) -> DataFrame:
                         counted[r] += 1
         return pd.DataFrame({"id": added})
 
-    return heads.groupBy(F.lit(1)).applyInPandas(fold, f"id {candidates.schema['id'].dataType.simpleString()}")
+    return heads.withColumn("_one", F.lit(1)).groupBy("_one").applyInPandas(fold, f"id {candidates.schema['id'].dataType.simpleString()}")
 
 
 def bench_compare(results: DataFrame, models: list[str]) -> DataFrame:

@@ -131,7 +131,7 @@ def combined_list(ranked: DataFrame, tracks: list[str], size: int = LIST_SIZE, f
         return pd.DataFrame({"story": [p["story"] for p in picked], "place": range(1, len(picked) + 1)})
 
     kind = ranked.schema["story"].dataType.simpleString()
-    return heads.select("story", "heat", "latest", "source", "single", "tracks").groupBy(F.lit(1)).applyInPandas(fold, f"story {kind}, place long")
+    return heads.select("story", "heat", "latest", "source", "single", "tracks", F.lit(1).alias("_one")).groupBy("_one").applyInPandas(fold, f"story {kind}, place long")
 
 
 def hourly(signals: DataFrame, hours: DataFrame) -> DataFrame:

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.session import checkpointed
+
 
 def distinct_on(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     """The first row of each key in the given order. The rank limit is applied before the shuffle."""
@@ -112,14 +114,16 @@ def append_ledger(entries: DataFrame, order: list[str], last_seq: int, partition
     """entries with seq: gapless numbers after last_seq, in order.
 
     Range partitions are numbered by themselves and start after the rows of those before, so no
-    task holds the ledger; only one count a partition is gathered.
+    task holds the ledger; only one count a partition is gathered. Range bounds are sampled anew
+    each time a plan runs, so the dealt rows are written before both uses.
     """
     n = partitions or int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = entries.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_mid", F.monotonically_increasing_id())
     dealt = dealt.withColumn("_part", F.shiftright("_mid", 33)).withColumn("_row", F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1)))
+    dealt = checkpointed(dealt.drop("_mid"))
     sizes = dealt.groupBy("_part").count()
     starts = sizes.select("_part", F.coalesce(F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
-    return dealt.join(F.broadcast(starts), "_part").withColumn("seq", F.lit(last_seq + 1) + F.col("_start") + F.col("_row")).drop("_mid", "_part", "_row", "_start")
+    return dealt.join(F.broadcast(starts), "_part").withColumn("seq", F.lit(last_seq + 1) + F.col("_start") + F.col("_row")).drop("_part", "_row", "_start")
 
 
 def outbox(due: DataFrame, sent: DataFrame, keys: list[str], attempts: int) -> DataFrame:

@@ -34,7 +34,7 @@ def at():
 
 
 # The publications that documents stand for, in Spark SQL and DuckDB alike.
-PUB = """SELECT doc_id AS id, source, lang AS category, n_chars % 101 AS score, TIMESTAMP '2024-01-01 00:00:00' + doc_id * INTERVAL '1' HOUR AS at, doc_id % 4 <> 1 AS public,
+PUB = """SELECT doc_id AS id, source, lang AS category, n_chars % 101 AS score, TIMESTAMP '2024-01-01 00:00:00' + doc_id * INTERVAL '1' HOUR AS posted, doc_id % 4 <> 1 AS public,
 n_chars % 101 >= 50 AS selected, doc_id % 11 = 0 AS backfill, doc_id % 5 = 0 AS first_party, CASE WHEN doc_id % 3 = 0 THEN CAST(floor(doc_id / 12) AS BIGINT) END AS story,
 CASE WHEN doc_id % 3 < 2 THEN CAST(floor(doc_id / 4) AS BIGINT) END AS fact, substr(text, 1, 60) AS title, text FROM documents"""
 PUB_SPARK = PUB.replace("doc_id * INTERVAL '1' HOUR", "make_dt_interval(0, CAST(doc_id AS INT))").replace("TIMESTAMP '", "TIMESTAMP_NTZ '")
@@ -42,11 +42,11 @@ PUB_SPARK = PUB.replace("doc_id * INTERVAL '1' HOUR", "make_dt_interval(0, CAST(
 
 def publications(spark: SparkSession, d: str) -> DataFrame:
     (docs,) = load(spark, d, "documents")
-    return docs.selectExpr(*[c.strip() for c in _columns(PUB_SPARK)])
+    return docs.selectExpr(*[c.strip() for c in _columns(PUB_SPARK)]).withColumnRenamed("posted", "at")
 
 
 def _columns(sql: str) -> list[str]:
-    """The select list of a plain SELECT, split at commas outside brackets."""
+    """The select list of a plain SELECT, split posted commas outside brackets."""
     out, depth, start = [], 0, 0
     body = sql[len("SELECT ") : sql.index(" FROM documents")]
     for i, c in enumerate(body):
@@ -164,7 +164,7 @@ def c25_sparkline(spark, d):
 
 
 @add("c14_channel_pick", f"""WITH p AS ({PUB}), t AS (SELECT story, count(DISTINCT source) AS n FROM p WHERE story IS NOT NULL GROUP BY 1 HAVING count(DISTINCT source) >= 2 AND bool_or(first_party)),
-sel AS (SELECT DISTINCT story FROM p WHERE selected AND score > 90) SELECT DISTINCT ON (p.story) p.story, p.id, t.n AS participants FROM p JOIN t ON t.story = p.story WHERE p.story NOT IN (SELECT story FROM sel WHERE story IS NOT NULL) AND public AND score % 4 >= 2 ORDER BY p.story, score % 4 DESC, at, p.id""")
+sel AS (SELECT DISTINCT story FROM p WHERE selected AND score > 90) SELECT DISTINCT ON (p.story) p.story, p.id, t.n AS participants FROM p JOIN t ON t.story = p.story WHERE p.story NOT IN (SELECT story FROM sel WHERE story IS NOT NULL) AND public AND score % 4 >= 2 ORDER BY p.story, score % 4 DESC, posted, p.id""")
 def c14(spark, d):
     p = publications(spark, d).where("story is not null")
     enough = p.groupBy("story").agg(F.count_distinct("source").alias("participants"), F.bool_or("first_party").alias("b")).where("participants >= 2 and b")
@@ -202,7 +202,7 @@ def c03_discoveries(spark, d):
     return P.discoveries(listings(spark, d))
 
 
-@add("c04_identity_repair", f"""WITH p AS ({PUB}), k AS (SELECT id, first_value(id) OVER (PARTITION BY md5(lower(title)) ORDER BY selected DESC, length(text) DESC, at, id) AS survivor FROM p)
+@add("c04_identity_repair", f"""WITH p AS ({PUB}), k AS (SELECT id, first_value(id) OVER (PARTITION BY md5(lower(title)) ORDER BY selected DESC, length(text) DESC, posted, id) AS survivor FROM p)
 SELECT survivor AS id, count(DISTINCT f) AS n_facts FROM (SELECT survivor, fact AS f FROM k JOIN p USING (id)) GROUP BY 1""")
 def c04(spark, d):
     p = publications(spark, d)
@@ -210,10 +210,10 @@ def c04(spark, d):
     return P.rekeyed(p.select("id", "fact"), "id", moved).groupBy("id").agg(F.count_distinct("fact").alias("n_facts"))
 
 
-@add("c05_projection", f"""WITH p AS ({PUB}), w AS (SELECT id, source, at, CASE WHEN id % 9 = 0 THEN 'Set by hand' ELSE title END AS title, substr(text, 1, 30) AS summary, CAST(score AS DOUBLE) AS score, coalesce(CASE WHEN id % 13 = 0 THEN true END, id % 29 = 0) AS promotion,
+@add("c05_projection", f"""WITH p AS ({PUB}), w AS (SELECT id, source, posted, CASE WHEN id % 9 = 0 THEN 'Set by hand' ELSE title END AS title, substr(text, 1, 30) AS summary, CAST(score AS DOUBLE) AS score, coalesce(CASE WHEN id % 13 = 0 THEN true END, id % 29 = 0) AS promotion,
 CASE WHEN id % 23 = 0 THEN false ELSE selected END AS judged, fact, id % 6 <> 2 AS pass FROM p), e AS (SELECT *, pass AND source <> 'src3' AND length(title) > 0 AND length(summary) > 0 AND (source <> 'src4' OR score >= 20) AS eligible FROM w),
-s AS (SELECT *, eligible AND judged AND source <> 'src5' AND NOT promotion AS selected FROM e), f AS (SELECT fact, min(at) AS first_at FROM s WHERE eligible AND fact IS NOT NULL GROUP BY 1)
-SELECT id, title, eligible, selected, promotion, CASE WHEN selected THEN CASE WHEN s.fact IS NOT NULL THEN at ELSE at + INTERVAL 180 SECOND END END AS visible_after, CASE WHEN selected THEN least(at, first_at) ELSE at END AS sort_at FROM s LEFT JOIN f ON s.fact = f.fact""")
+s AS (SELECT *, eligible AND judged AND source <> 'src5' AND NOT promotion AS selected FROM e), f AS (SELECT fact, min(posted) AS first_at FROM s WHERE eligible AND fact IS NOT NULL GROUP BY 1)
+SELECT id, title, eligible, selected, promotion, CASE WHEN selected THEN CASE WHEN s.fact IS NOT NULL THEN posted ELSE posted + INTERVAL 180 SECOND END END AS visible_after, CASE WHEN selected THEN least(posted, first_at) ELSE posted END AS sort_at FROM s LEFT JOIN f ON s.fact = f.fact""")
 def c05(spark, d):
     p = publications(spark, d)
     i = F.col("id")
@@ -226,12 +226,12 @@ def c05(spark, d):
     return out.select("id", "title", "eligible", "selected", "promotion", "visible_after", "sort_at")
 
 
-LEDGER = "SELECT row_number() OVER (ORDER BY ts, event_id) AS seq, user_id AS key, CASE WHEN event_type = 'error' THEN 'remove' ELSE 'upsert' END AS op, ts + to_minutes(CAST(value AS BIGINT)) AS visible_at FROM events"
+LEDGER = "SELECT row_number() OVER (ORDER BY ts, event_id) AS seq, user_id AS key, CASE WHEN event_type = 'error' THEN 'remove' ELSE 'upsert' END AS op, ts + to_minutes(CAST(floor(value) AS BIGINT)) AS visible_at FROM events"
 
 
 def ledger(spark, d):
     (e,) = load(spark, d, "events")
-    entries = e.select("ts", "event_id", F.col("user_id").alias("key"), F.when(F.col("event_type") == "error", "remove").otherwise("upsert").alias("op"), (F.col("ts") + F.make_interval(mins=F.round("value").cast("int"))).alias("visible_at"))
+    entries = e.select("ts", "event_id", F.col("user_id").alias("key"), F.when(F.col("event_type") == "error", "remove").otherwise("upsert").alias("op"), (F.col("ts") + F.make_interval(mins=F.floor("value").cast("int"))).alias("visible_at"))
     return R.append_ledger(entries, ["ts", "event_id"], 0)
 
 
@@ -290,7 +290,7 @@ def k11(spark, d):
 # Filters
 
 
-@add("f01_listed_pool", f"""SELECT id, public AND (NOT selected OR at + INTERVAL 180 SECOND <= {AT}) AS listed, public AND (NOT selected OR at + INTERVAL 180 SECOND <= {AT}) AND score >= 20 AND id % 29 <> 0 AS exported, category IN ('en', 'fr') AS in_category, at >= {AT} - INTERVAL 7 DAY AND at <= {AT} AS in_week FROM ({PUB})""")
+@add("f01_listed_pool", f"""SELECT id, public AND (NOT selected OR posted + INTERVAL 180 SECOND <= {AT}) AS listed, public AND (NOT selected OR posted + INTERVAL 180 SECOND <= {AT}) AND score >= 20 AND id % 29 <> 0 AS exported, category IN ('en', 'fr') AS in_category, posted >= {AT} - INTERVAL 7 DAY AND posted <= {AT} AS in_week FROM ({PUB})""")
 def f01(spark, d):
     p = publications(spark, d)
     vis = F.col("at") + F.expr("INTERVAL 180 SECONDS")
@@ -328,14 +328,14 @@ def c23(spark, d):
 GK = "coalesce('s' || story, 'f' || fact, 'a' || id)"
 
 
-@add("c21_timeline_fold", f"""WITH p AS (SELECT *, {GK} AS gk FROM ({PUB}) WHERE selected AND public), g AS (SELECT gk, max(at) AS anchor FROM p GROUP BY 1 HAVING (max(at), gk) < ({AT}, 's9') ORDER BY anchor DESC, gk DESC LIMIT 21)
-SELECT gk, anchor, count(*) AS reports, count(DISTINCT fact) AS facts, count(DISTINCT source) AS sources, arg_min(id, (NOT first_party, -score, at, id)) AS representative FROM p JOIN g USING (gk) GROUP BY 1, 2""")
+@add("c21_timeline_fold", f"""WITH p AS (SELECT *, {GK} AS gk FROM ({PUB}) WHERE selected AND public), g AS (SELECT gk, max(posted) AS anchor FROM p GROUP BY 1 HAVING (max(posted), gk) < ({AT}, 's9') ORDER BY anchor DESC, gk DESC LIMIT 21)
+SELECT gk, anchor, count(*) AS reports, count(DISTINCT fact) AS facts, count(DISTINCT source) AS sources, arg_min(id, (NOT first_party, -score, posted, id)) AS representative FROM p JOIN g USING (gk) GROUP BY 1, 2""")
 def c21(spark, d):
     items = publications(spark, d).where("selected and public").withColumnRenamed("at", "sort_at")
     return S.timeline_fold(items, (datetime.datetime(2024, 1, 20), "s9"), 20)
 
 
-@add("c22_developments", f"""SELECT story, fact, count(*) AS reports, max(at) AS latest, row_number() OVER (PARTITION BY story ORDER BY max(at) DESC, fact) AS place FROM ({PUB}) WHERE story IS NOT NULL AND fact IS NOT NULL GROUP BY 1, 2""")
+@add("c22_developments", f"""SELECT story, fact, count(*) AS reports, max(posted) AS latest, row_number() OVER (PARTITION BY story ORDER BY max(posted) DESC, fact) AS place FROM ({PUB}) WHERE story IS NOT NULL AND fact IS NOT NULL GROUP BY 1, 2""")
 def c22(spark, d):
     from pyspark.sql import Window
 
@@ -343,8 +343,8 @@ def c22(spark, d):
     return p.withColumn("place", F.row_number().over(Window.partitionBy("story").orderBy(F.col("latest").desc(), "fact")).cast("long"))
 
 
-@add("c24_topic_counts", rf"""WITH i AS (SELECT id, at, list_distinct(list_slice(regexp_extract_all(lower(text), '[a-z]+'), 1, 40)) AS tags FROM ({PUB}) WHERE selected), t AS (SELECT * FROM (VALUES ('articles', ['the', 'der', 'la']), ('genitive', ['of', 'de', 'des']), ('none', ['zzz'])) v(slug, tags))
-SELECT slug, count(id) AS total, count(id) FILTER (WHERE at > {AT} - INTERVAL 30 DAY) AS recent, max(at) AS latest, count(id) >= 50 OR count(id) >= 20 AND count(id) FILTER (WHERE at > {AT} - INTERVAL 30 DAY) > 0 AS indexable FROM t LEFT JOIN i ON list_has_any(i.tags, t.tags) GROUP BY slug""")
+@add("c24_topic_counts", rf"""WITH i AS (SELECT id, posted, list_distinct(list_slice(regexp_extract_all(lower(text), '[a-z]+'), 1, 40)) AS tags FROM ({PUB}) WHERE selected), t AS (SELECT * FROM (VALUES ('articles', ['the', 'der', 'la']), ('genitive', ['of', 'de', 'des']), ('none', ['zzz'])) v(slug, tags))
+SELECT slug, count(id) AS total, count(id) FILTER (WHERE posted > {AT} - INTERVAL 30 DAY) AS recent, max(posted) AS latest, count(id) >= 50 OR count(id) >= 20 AND count(id) FILTER (WHERE posted > {AT} - INTERVAL 30 DAY) > 0 AS indexable FROM t LEFT JOIN i ON list_has_any(i.tags, t.tags) GROUP BY slug""")
 def c24(spark, d):
     tags = F.slice(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)), 1, 40)
     items = publications(spark, d).where("selected").select("id", "at", tags.alias("tags"))
@@ -352,7 +352,7 @@ def c24(spark, d):
     return S.topic_counts(items, topics, at())
 
 
-@add("c25_story_page", f"""SELECT story, count(DISTINCT id) AS reports, count(DISTINCT fact) AS developments, count(*) FILTER (WHERE first_party) AS first_party, min(at) AS first_report, max(at) AS latest, CASE WHEN epoch({AT} - max(at)) < 86400 THEN 'active' WHEN epoch({AT} - max(at)) < 259200 THEN 'watching' ELSE 'settled' END AS status FROM ({PUB}) WHERE story IS NOT NULL AND public GROUP BY 1""")
+@add("c25_story_page", f"""SELECT story, count(DISTINCT id) AS reports, count(DISTINCT fact) AS developments, count(*) FILTER (WHERE first_party) AS first_party, min(posted) AS first_report, max(posted) AS latest, CASE WHEN epoch({AT} - max(posted)) < 86400 THEN 'active' WHEN epoch({AT} - max(posted)) < 259200 THEN 'watching' ELSE 'settled' END AS status FROM ({PUB}) WHERE story IS NOT NULL AND public GROUP BY 1""")
 def c25(spark, d):
     from tidemark.functions.dates import story_status
 
@@ -398,18 +398,9 @@ def c19(spark, d):
     (li,) = load(spark, d, "lineitem")
     pairs = li.where("l_quantity = 50 and l_discount > 0.08 and l_suppkey <> l_partkey % 100").select(F.col("l_suppkey").alias("story"), (F.col("l_partkey") % 100).alias("other"))
     ids = pairs.select("story").union(pairs.select("other")).distinct()
-    with_checkpoints(spark)
     return S.merge_into_roots(pairs, ids.select("story", (F.col("story") * 7 % 11).alias("first_at")))
 
 
-def with_checkpoints(spark: SparkSession) -> None:
-    """Give checkpoints a folder of their own where the session names none."""
-    import tempfile
-
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-"))
-
-
 @add("c20_related", """WITH t AS (SELECT l_orderkey AS r, l_suppkey AS a, l_partkey % 100 AS b FROM lineitem WHERE l_quantity > 40 AND l_suppkey <> l_partkey % 100), p AS (SELECT least(a, b) AS a, greatest(a, b) AS b, count(DISTINCT r) AS reports FROM t GROUP BY 1, 2 HAVING count(DISTINCT r) >= 2) SELECT a AS story, b AS other, reports FROM p UNION ALL SELECT b, a, reports FROM p""")
 def c20(spark, d):
     (li,) = load(spark, d, "lineitem")
@@ -417,7 +408,7 @@ def c20(spark, d):
     return S.related(ties)
 
 
-@add("c44_screening", f"""WITH f AS (SELECT story, source AS participant, id, at, score AS rank FROM ({PUB}) WHERE story IS NOT NULL AND at BETWEEN {AT} - INTERVAL 7 DAY AND {AT} + INTERVAL 7 DAY AND NOT regexp_matches(source, '^src1$') AND score / 101 >= 0.3), c AS (SELECT story, source FROM ({PUB}) WHERE first_party AND story IS NOT NULL),
+@add("c44_screening", f"""WITH f AS (SELECT story, source AS participant, id, posted, score AS rank FROM ({PUB}) WHERE story IS NOT NULL AND posted BETWEEN {AT} - INTERVAL 7 DAY AND {AT} + INTERVAL 7 DAY AND NOT regexp_matches(source, '^src1$') AND score / 101 >= 0.3), c AS (SELECT story, source FROM ({PUB}) WHERE first_party AND story IS NOT NULL),
 b AS (SELECT *, row_number() OVER (PARTITION BY story, participant ORDER BY rank) AS n FROM f WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.story = f.story AND c.source = f.participant)) SELECT story, participant, id, row_number() OVER (PARTITION BY story ORDER BY rank) AS place FROM b WHERE n = 1""")
 def c44(spark, d):
     p = publications(spark, d).where("story is not null")
@@ -435,14 +426,14 @@ def t20(spark, d):
 
 # Reports
 
-ITEMS = f"SELECT *, at + to_minutes(CAST(score AS BIGINT)) AS visible_after, category AS track, source AS section FROM ({PUB})"
+ITEMS = f"SELECT *, posted + to_minutes(CAST(score AS BIGINT)) AS visible_after, category AS track, source AS section FROM ({PUB})"
 
 
 def items(spark, d):
     return publications(spark, d).withColumn("visible_after", F.col("at") + F.make_interval(mins=F.col("score").cast("int"))).withColumn("track", F.col("category")).withColumn("section", F.col("source"))
 
 
-MEMBERS = f"SELECT *, coalesce('f:' || fact, 'a:' || id) AS fact_key FROM ({ITEMS}) WHERE public AND selected AND NOT backfill AND greatest(visible_after, at) >= TIMESTAMP '2024-01-02' AND greatest(visible_after, at) < TIMESTAMP '2024-02-20'"
+MEMBERS = f"SELECT *, coalesce('f:' || fact, 'a:' || id) AS fact_key FROM ({ITEMS}) WHERE public AND selected AND NOT backfill AND greatest(visible_after, posted) >= TIMESTAMP '2024-01-02' AND greatest(visible_after, posted) < TIMESTAMP '2024-02-20'"
 
 
 def members(spark, d):
@@ -636,7 +627,6 @@ def c34(spark, d):
 
 @add("c34_components", f"SELECT DISTINCT model, (SELECT min(model) FROM ({UNITS})) AS component FROM ({UNITS})")
 def c34_components(spark, d):
-    with_checkpoints(spark)
     return C.connected(C.net_support(unit_scores(spark, d), soft=False))
 
 
