@@ -22,7 +22,8 @@ def words(text: Column) -> Column:
 
 def let(value: Column, body) -> Column:
     """body(value), with value computed once a row even where body reads it once an element."""
-    return F.transform(F.array(value), body)[0]
+    # One parameter, whatever defaults body has: a second one would be given the index.
+    return F.transform(F.array(value), lambda x: body(x))[0]
 
 
 def shingle_hashes(word_array: Column, width: int = SHINGLE) -> Column:
