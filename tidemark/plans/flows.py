@@ -8,7 +8,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions import names as NM
+from tidemark.functions import pages as PG
 from tidemark.functions.math import cosine
+from tidemark.operators import grouping as G
 from tidemark.plans.registry import Registry
 from tidemark.plans.relational import load, ts
 from tidemark.sources import boards as B
@@ -226,3 +229,146 @@ def j15(spark, d):
     q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("_q"))
     pairs = e.crossJoin(q).where("vec_id <> query").withColumn("s", F.round(cosine(F.col("embedding"), F.col("_q")), 9))
     return pairs.groupBy("query").agg(F.max(F.struct("s", (-F.col("vec_id")).alias("v")))["v"].alias("v")).select("query", (-F.col("v")).alias("nearest"))
+
+
+# Grouping and delivery
+
+
+@add("c17_grouping", """WITH r AS (SELECT o_orderkey AS id, o_orderkey % 31 = 0 AS dup, o_orderkey % 29 = 0 AS man, o_orderkey % 23 = 0 AS his, o_orderkey % 19 = 0 AS sig, o_orderkey % 17 = 0 AS pro, o_orderkey % 13 = 0 AS cur, o_orderkey % 11 = 0 AS rel, o_orderkey % 7 = 0 AS url, CASE o_orderkey % 4 WHEN 0 THEN 'same' WHEN 1 THEN 'development' WHEN 2 THEN 'roundup' END AS a, o_custkey AS f FROM orders),
+x AS (SELECT *, CASE WHEN dup THEN 'skipped' WHEN man THEN 'manual' WHEN his THEN 'archived' WHEN sig THEN 'signal' WHEN pro THEN 'standalone' WHEN cur THEN 'kept' WHEN rel THEN 'not_relevant' WHEN url THEN 'same_url' WHEN a = 'same' THEN 'same_fact' WHEN a IS NOT NULL THEN a ELSE 'new_story' END AS action FROM r)
+SELECT id, action, CASE WHEN action = 'manual' THEN 1 WHEN action = 'kept' THEN 2 WHEN action = 'same_url' THEN 3 WHEN action IN ('same_fact', 'development') THEN f END AS fact FROM x""")
+def c17(spark, d):
+    (o,) = load(spark, d, "orders")
+    k = F.col("o_orderkey")
+    hit = lambda m, v: F.when(k % m == 0, v)
+    reports = o.select(k.alias("id"), hit(31, k).alias("duplicate_of"), hit(29, F.lit(1).cast("long")).alias("manual_fact"), (k % 23 == 0).alias("historical"), (k % 19 == 0).alias("is_signal"), (k % 17 == 0).alias("promotion"), hit(13, F.lit(2).cast("long")).alias("current_fact"), F.when(k % 11 == 0, "block").otherwise("pass").alias("relevance"), hit(7, F.lit(3).cast("long")).alias("url_fact"))
+    action = F.when(k % 4 == 0, "same").when(k % 4 == 1, "development").when(k % 4 == 2, "roundup")
+    return G.grouping(reports, o.where(action.isNotNull()).select(k.alias("query"), action.alias("action"), F.col("o_custkey").alias("fact")))
+
+
+@add("c18_signal_targets", """WITH s AS (SELECT event_id AS post, CASE WHEN event_id % 3 = 0 THEN event_id - 1 END AS ref, ts FROM events WHERE event_type = 'click'), f AS (SELECT event_id AS m, user_id AS fact, ts FROM events WHERE event_type <> 'click'),
+q AS (SELECT post, arg_min(fact, (f.ts, fact)) AS quoted FROM s JOIN f ON ref = m GROUP BY 1), l AS (SELECT post, arg_min(fact, (f.ts, fact)) AS linked FROM s JOIN f ON post % 2 = 0 AND m = post + 1 AND f.ts > s.ts - INTERVAL 120 DAY GROUP BY 1)
+SELECT post, coalesce(quoted, linked, CASE WHEN post % 5 = 0 THEN post END) AS fact, CASE WHEN quoted IS NOT NULL THEN 'quoted' WHEN linked IS NOT NULL THEN 'linked' WHEN post % 10 = 0 THEN 'similar' ELSE 'judge' END AS how FROM s LEFT JOIN q USING (post) LEFT JOIN l USING (post) WHERE quoted IS NOT NULL OR linked IS NOT NULL OR post % 5 = 0""")
+def c18(spark, d):
+    (e,) = load(spark, d, "events")
+    posts = e.where("event_type = 'click'")
+    i = F.col("event_id")
+    signals = posts.select(i.alias("post"), F.when(i % 3 == 0, i - 1).alias("reference"), F.col("ts").alias("at"))
+    facts = e.where("event_type <> 'click'").select(i.alias("member"), F.col("user_id").alias("fact"), F.col("ts").alias("at"))
+    links = posts.where("event_id % 2 = 0").select(i.alias("post"), (i + 1).alias("report"))
+    similar = posts.where("event_id % 5 = 0").select(i.alias("post"), i.alias("fact"), F.when(i % 10 == 0, 0.95).otherwise(0.8).alias("score"))
+    return G.signal_targets(signals, facts, links, similar)
+
+
+@add("e11_story_picks", """SELECT story, heat, reports FROM (SELECT l_suppkey AS story, max(CASE WHEN l_quantity > 25 THEN l_quantity END) AS heat, string_agg(DISTINCT l_linenumber::VARCHAR, ' ' ORDER BY l_linenumber::VARCHAR) AS reports FROM lineitem GROUP BY 1 HAVING bool_or(l_quantity > 25) AND bool_or(l_returnflag = 'R')) ORDER BY heat DESC, story LIMIT 15""")
+def e11(spark, d):
+    (li,) = load(spark, d, "lineitem")
+    rows = li.select(F.col("l_suppkey").alias("story"), F.col("l_linenumber").cast("string").alias("report"), F.col("l_quantity").alias("heat"), (F.col("l_quantity") > 25).alias("fresh"), (F.col("l_returnflag") == "R").alias("official"))
+    return G.story_picks(rows, 15).withColumn("reports", F.array_join("reports", " "))
+
+
+@add("e15_owed", """SELECT DISTINCT e.event_id AS post, c_custkey AS target FROM events e JOIN customer ON e.user_id % 5 = c_nationkey % 5 OR e.user_id % 3 + 5 = c_nationkey % 8 WHERE event_id < 40 AND c_custkey < 60 AND NOT (event_id % 2 = 0 AND c_custkey % 3 = 0)""")
+def e15(spark, d):
+    e, c = load(spark, d, "events", "customer")
+    posts = e.where("event_id < 40").select(F.col("event_id").alias("post"), F.array(F.concat(F.lit("a"), (F.col("user_id") % 5).cast("string")), F.concat(F.lit("b"), (F.col("user_id") % 3 + 5).cast("string"))).alias("kinds"))
+    few = c.where("c_custkey < 60")
+    named = lambda mark, k: few.select(F.col("c_custkey").alias("target"), F.concat(F.lit(mark), k.cast("string")).alias("kind"))
+    targets = named("a", F.col("c_nationkey") % 5).unionByName(named("b", F.col("c_nationkey") % 8))
+    sent = posts.where("post % 2 = 0").select("post").crossJoin(F.broadcast(few.where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("target"))))
+    return G.owed(posts, targets, sent)
+
+
+@add("e17_verified_mark", "SELECT user_id AS source, CASE WHEN count(*) FILTER (WHERE event_type = 'error') = 0 THEN max(event_id) ELSE max(event_id - 100) END AS mark FROM events GROUP BY 1")
+def e17(spark, d):
+    (e,) = load(spark, d, "events")
+    return G.verified_mark(e.select(F.col("user_id").alias("source"), F.col("event_id").alias("mark"), (F.col("event_id") - 100).alias("verified"), (F.col("event_type") == "error").cast("int").alias("pending")))
+
+
+@add("e18_open_events", """WITH o AS (SELECT user_id AS kind, ts, event_type AS text, CASE WHEN event_id % 3 > 0 THEN ts + INTERVAL 30 HOUR END AS through, event_id % 7 = 0 AS gone FROM events) SELECT kind, min(ts) AS first_at, arg_min(text, (ts, text)) AS text FROM o
+WHERE NOT gone AND (through IS NULL AND ts > TIMESTAMP '2024-01-15' - INTERVAL 24 HOUR OR through > TIMESTAMP '2024-01-15') GROUP BY 1 ORDER BY first_at, kind LIMIT 8""")
+def e18(spark, d):
+    (e,) = load(spark, d, "events")
+    rows = e.select(F.col("user_id").alias("kind"), F.col("ts").alias("at"), F.col("event_type").alias("text"), F.when(F.col("event_id") % 3 > 0, F.col("ts") + F.expr("INTERVAL 30 HOURS")).alias("through"), F.when(F.col("event_id") % 7 == 0, "withdrawn").otherwise("announced").alias("status"))
+    return G.open_events(rows, ts("2024-01-15"))
+
+
+# Pages and names
+
+
+@add("c48_bodies")
+def c48(spark, d):
+    (p,) = load(spark, d, "pages")
+    return PG.extract(p).withColumn("page_id", F.col("page_id").cast("long")).select("page_id", "title", "body", "status")
+
+
+@add("s13_detail_fill", r"""SELECT page_id, coalesce(nullif(trim(CASE WHEN page_id % 2 = 0 THEN 'Listed' ELSE '' END), ''), nullif(trim(regexp_replace(regexp_replace(regexp_extract(html, '(?s)<h1[^>]*>(.*?)</h1>', 1), '<[^>]*>', '', 'g'), '\s+', ' ', 'g')), '')) AS title FROM pages WHERE html LIKE '%<h1>%</h1>%'""")
+def s13(spark, d):
+    (p,) = load(spark, d, "pages")
+    rows = p.where("html LIKE '%<h1>%</h1>%'")
+    listed = rows.select("page_id", F.when(F.col("page_id") % 2 == 0, "Listed").otherwise("").alias("title"))
+    return PG.filled(listed, rows.select("page_id", PG.page_title(F.col("html")).alias("title")), "page_id", ["title"])
+
+
+@add("s11_script_records", "SELECT page_id, CAST(len(regexp_extract_all(html, '<script>(.*?)</script>', 1)) AS BIGINT) AS n FROM (SELECT page_id, replace(html, '<script type=\"x\">', '<script>') AS html FROM pages)")
+def s11(spark, d):
+    (p,) = load(spark, d, "pages")
+    typed = F.replace("html", F.lit("<script>"), F.lit('<script type="x">'))
+    return p.select("page_id", F.size(PG.script_records(typed, "x")).cast("long").alias("n"))
+
+
+@add("t33_text_to_html", r"""SELECT doc_id, coalesce(list_aggregate(list_transform(list_filter(list_transform(regexp_split_to_array(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '\n\s*\n'), lambda x: trim(x, ' ')), lambda p: p <> ''), lambda p: '<p>' || replace(p, chr(10), '<br>') || '</p>'), 'string_agg', ''), CASE WHEN text IS NOT NULL THEN '' END) AS html FROM documents""")
+def t33(spark, d):
+    (docs,) = load(spark, d, "documents")
+    return docs.select("doc_id", PG.text_to_html(F.col("text")).alias("html"))
+
+
+@add("t35_shielding", "SELECT page_id, true AS restored, false AS lost FROM pages WHERE html LIKE '%<p>%'")
+def t35(spark, d):
+    """What comes back through the marks is the page; without one of them nothing does."""
+    (p,) = load(spark, d, "pages")
+    cut = p.where("html LIKE '%<p>%'").withColumn("s", PG.shielded(F.col("html")))
+    back = lambda text: PG.unshielded(text, F.col("s.parts"))
+    return cut.select("page_id", (back(F.col("s.text")) == F.col("html")).alias("restored"), back(F.replace("s.text", F.lit("⟦0⟧"), F.lit(""))).isNotNull().alias("lost"))
+
+
+@add("t12_labelled_output", "SELECT doc_id, source AS title, lang AS summary FROM documents WHERE source <> '' AND lang <> ''")
+def t12(spark, d):
+    (docs,) = load(spark, d, "documents")
+    answer = F.concat(F.lit("title_zh: "), F.col("source"), F.lit("\nnote\nsummary_zh: "), F.col("lang"), F.lit("\n"))
+    parts = PG.labelled(answer, ["title_zh", "note", "summary_zh"])
+    return docs.where("source <> '' and lang <> ''").select("doc_id", F.split(parts["title_zh"], "\n")[0].alias("title"), parts["summary_zh"].alias("summary"))
+
+
+@add("t27_quoted", "SELECT doc_id, true AS whole, false AS other FROM documents WHERE length(text) > 100 AND regexp_matches(substr(text, 1, 40), '[a-z]') AND regexp_matches(substr(text, 60, 30), '[a-z]')")
+def t27(spark, d):
+    (docs,) = load(spark, d, "documents")
+    rows = docs.where(r"length(text) > 100 and substr(text, 1, 40) rlike '[a-z]' and substr(text, 60, 30) rlike '[a-z]'")
+    quote = F.concat(F.lit("«"), F.substring("text", 1, 40), F.lit(" ... "), F.substring("text", 60, 30), F.lit("»"))
+    return rows.select("doc_id", PG.quoted_in(quote, F.col("text")).alias("whole"), PG.quoted_in(F.lit("never said 12345"), F.col("text")).alias("other"))
+
+
+@add("t30_configuration", "SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'effort' WHEN 1 THEN 'thinking' ELSE 'plain' END AS tier, CASE event_id % 4 WHEN 0 THEN 'high' END AS effort FROM events")
+def t30(spark, d):
+    (e,) = load(spark, d, "events")
+    k = F.col("event_id") % 4
+    text = F.when(k == 0, "Reasoning (HIGH)").when(k == 1, "extended thinking").when(k == 2, "non-thinking, high")
+    return e.withColumn("c", NM.configuration(text)).select("event_id", "c.tier", "c.effort")
+
+
+@add("t13_unsupported_names", "SELECT doc_id, CASE WHEN regexp_matches(text, '(?i)license') THEN '' ELSE 'licence' END AS missing FROM documents WHERE text IS NOT NULL")
+def t13(spark, d):
+    (docs,) = load(spark, d, "documents")
+    return docs.where("text is not null").select("doc_id", F.array_join(NM.unsupported_names(F.lit("a license"), F.col("text"), {"licence": "(?i)license", "other": "zzzz"}), " ").alias("missing"))
+
+
+@add("t32_phrases")
+def t32(spark, d):
+    (docs,) = load(spark, d, "documents")
+    return docs.select("doc_id", NM.distinctive_phrase(F.col("text")).alias("phrase"))
+
+
+@add("t17_same_title")
+def t17(spark, d):
+    (docs,) = load(spark, d, "documents")
+    title = F.substring("text", 1, 60)
+    return docs.select("doc_id", NM.same_title(title, F.concat(F.upper(title), F.lit("!"))).alias("same"), NM.same_title(title, F.substring("text", 1, 20)).alias("prefix"))
