@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Tags that end a line of text, and the entities that are decoded.
@@ -255,3 +255,11 @@ def mask_email(s: Column) -> Column:
 def csv_cell(s: Column) -> Column:
     """A cell that no spreadsheet takes for a formula."""
     return F.when(s.rlike(r"^[=+@\-\t\r]"), F.concat(F.lit("'"), s)).otherwise(s)
+
+
+def lead_item(rows: DataFrame, report: str, item: str, title: Column, headline: Column, least: float = 0.5) -> DataFrame:
+    """report, lead: the item whose title shares most bigrams with the headline, `least` of the
+    shorter at least; the smaller item where two share as much."""
+    share = containment(bigrams(title), bigrams(headline))
+    scored = rows.select(report, item, share.alias("_s")).where(F.col("_s") >= least)
+    return scored.groupBy(report).agg((-F.max(F.struct("_s", (-F.col(item)).alias("_i")))["_i"]).alias("lead"))

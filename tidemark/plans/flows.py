@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import names as NM
 from tidemark.functions import pages as PG
+from tidemark.functions import text as TX
 from tidemark.functions.math import cosine
 from tidemark.operators import grouping as G
 from tidemark.plans.registry import Registry
@@ -372,3 +373,68 @@ def t17(spark, d):
     (docs,) = load(spark, d, "documents")
     title = F.substring("text", 1, 60)
     return docs.select("doc_id", NM.same_title(title, F.concat(F.upper(title), F.lit("!"))).alias("same"), NM.same_title(title, F.substring("text", 1, 20)).alias("prefix"))
+
+
+# More readers
+
+
+@add("s06_embedded_json", """SELECT event_id, props AS json FROM events""")
+def s06(spark, d):
+    (e,) = load(spark, d, "events")
+    body = F.concat(F.lit('<script>var a = 1; window.STATE = '), F.col("props"), F.lit("; f({})</script>"))
+    return S.embedded_json(e.select(F.col("event_id").alias("source"), body.alias("body")), "STATE").select(F.col("source").cast("long").alias("event_id"), "json")
+
+
+@add("s10_changelog", """SELECT doc_id % 9 AS source, 2 * (dense_rank() OVER (PARTITION BY doc_id % 9 ORDER BY doc_id) - 1) + k AS place, DATE '2024-01-01' + CAST(doc_id % 300 AS INTEGER) AS day FROM documents, (SELECT unnest([0, 1]) AS k)""")
+def s10(spark, d):
+    (docs,) = load(spark, d, "documents")
+    day = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 300).cast("int")).cast("string")
+    part = F.concat(F.lit("# "), day, F.lit("\n## Fixed\ntext\n"))
+    rows = docs.groupBy((F.col("doc_id") % 9).alias("source")).agg(F.array_sort(F.collect_list(F.struct("doc_id", part.alias("x")))).alias("p"))
+    bodies = rows.select("source", F.concat(F.lit("intro\n"), F.array_join(F.transform("p", lambda s: s["x"]), "")).alias("body"))
+    return S.changelog(bodies).select("source", F.col("place").cast("long").alias("place"), "day")
+
+
+@add("s14_unread_posts", "SELECT event_id FROM events WHERE event_type <> 'error' AND (user_id % 3 = 0 OR event_id > 5000 OR event_id > 100 AND event_id <= 200)")
+def s14(spark, d):
+    (e,) = load(spark, d, "events")
+    text = F.col("event_id").cast("string")
+    posts = e.select(F.col("user_id").alias("account"), text.alias("post_id"), (F.col("event_type") == "error").alias("repost"))
+    number = lambda n: F.lit(n).cast("decimal(20,0)")
+    marks = e.where("user_id % 3 > 0").select(F.col("user_id").alias("account"), F.lit("5000").alias("mark"), F.array(F.struct(number(100).alias("from"), number(200).alias("to"))).alias("backlog")).distinct()
+    return S.unread(posts.unionByName(posts.limit(50)), marks).select(F.col("post_id").cast("long").alias("event_id"))
+
+
+@add("s15_account_shards")
+def s15(spark, d):
+    (c,) = load(spark, d, "customer")
+    return S.account_shards(c.select(F.col("c_mktsegment").alias("mode"), F.concat(F.lit("handle_"), F.col("c_custkey").cast("string")).alias("handle")))
+
+
+@add("s16_post_candidates", r"""SELECT 'https://x.com/' || source || '/status/' || doc_id AS url, substr(trim(split_part(text, chr(10), 1), ' '), 1, 200) AS title, source AS author FROM documents WHERE text IS NOT NULL""")
+def s16(spark, d):
+    (docs,) = load(spark, d, "documents")
+    posts = docs.where("text is not null").select(F.col("source").alias("handle"), F.col("doc_id").cast("string").alias("post_id"), "text", ts("2024-01-01").alias("at"), F.lit(None).cast("string").alias("quoted"))
+    return S.post_candidates(posts).select("url", "title", "author")
+
+
+@add("s17_own_posts", "SELECT event_id FROM events WHERE event_type = 'click' AND ts >= TIMESTAMP '2024-01-15'")
+def s17(spark, d):
+    (e,) = load(spark, d, "events")
+    return S.own_posts(e.select(F.col("event_type").alias("account"), F.col("event_id").alias("post_id"), F.col("ts").alias("at")), "click", ts("2024-01-15")).select(F.col("post_id").alias("event_id"))
+
+
+@add("f17_listing_filters", "SELECT p_partkey FROM part WHERE regexp_matches(p_name, 'a') AND NOT regexp_matches(p_brand, '1$') AND p_retailprice > 950 AND p_size >= 10")
+def f17(spark, d):
+    (p,) = load(spark, d, "part")
+    rows = p.withColumn("dear", F.col("p_retailprice") > 950)
+    return S.listing_filter(rows, ("p_name", "a"), ("p_brand", "1$"), "dear", ("p_size", 10)).select("p_partkey")
+
+
+@add("t21_lead_item", r"""WITH t AS (SELECT doc_id, doc_id % 40 AS report, regexp_replace(substr(text, 1, 60), '\s', '', 'g') AS s FROM documents WHERE length(text) > 80), g AS (SELECT doc_id, report, list_distinct(list_transform(range(1, length(s)), lambda i: substr(s, i, 2))) AS b FROM t WHERE length(s) >= 2),
+h AS (SELECT report, arg_min(b, doc_id) AS hb FROM g GROUP BY 1), x AS (SELECT report, doc_id, len(list_intersect(b, hb)) / least(len(b), len(hb)) AS share FROM g JOIN h USING (report)) SELECT report, arg_max(doc_id, (share, -doc_id)) AS lead FROM x WHERE share >= 0.5 GROUP BY 1""")
+def t21(spark, d):
+    (docs,) = load(spark, d, "documents")
+    rows = docs.where("length(text) > 80").select("doc_id", (F.col("doc_id") % 40).alias("report"), F.substring("text", 1, 60).alias("title"))
+    heads = rows.groupBy("report").agg(F.min_by("title", "doc_id").alias("headline"))
+    return TX.lead_item(rows.join(heads, "report"), "report", "doc_id", F.col("title"), F.col("headline"))

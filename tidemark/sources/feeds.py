@@ -256,3 +256,46 @@ def account_shards(accounts: DataFrame, longest: int = 470, most: int = 24) -> D
         return pd.DataFrame({"mode": g["mode"], "handle": sorted(g["handle"]), "shard": out})
 
     return accounts.select("mode", "handle").groupBy("mode").applyInPandas(fold, "mode string, handle string, shard int")
+
+
+def unread(posts: DataFrame, marks: DataFrame) -> DataFrame:
+    """posts not read yet, once each: newer than their account's mark, or in a stretch left behind.
+
+    posts: account, post_id (digits as text, compared as numbers), repost. marks: account, mark,
+    backlog (array of from, to: what lies between pages that were cut off). Reposts are left out.
+    """
+    number = F.col("post_id").cast("decimal(20,0)")
+    known = marks.select(F.col("account").alias("_a"), F.col("mark").cast("decimal(20,0)").alias("_mark"), F.col("backlog").alias("_backlog"))
+    rows = posts.where(~F.coalesce("repost", F.lit(False))).dropDuplicates(["account", "post_id"]).withColumn("_n", number)
+    behind = F.exists(F.coalesce("_backlog", F.array().cast("array<struct<from:decimal(20,0),to:decimal(20,0)>>")), lambda s: (F.col("_n") > s["from"]) & (F.col("_n") <= s["to"]))
+    return rows.join(known, F.col("account") == F.col("_a"), "left").where(F.col("_mark").isNull() | (F.col("_n") > F.col("_mark")) | behind).drop("_a", "_mark", "_backlog", "_n")
+
+
+def new_marks(posts: DataFrame) -> DataFrame:
+    """account, mark: the highest post of each account, for the next run."""
+    return posts.groupBy("account").agg(F.max(F.col("post_id").cast("decimal(20,0)")).cast("string").alias("mark"))
+
+
+def post_candidates(posts: DataFrame) -> DataFrame:
+    """url, title, published, author, excerpt of posts (handle, post_id, text, at, quoted): the title is
+    the first line, a quoted text follows the own one."""
+    first = F.trim(F.split("text", "\n")[0])
+    url = F.concat(F.lit("https://x.com/"), F.col("handle"), F.lit("/status/"), F.col("post_id"))
+    return posts.select(url.alias("url"), F.substring(first, 1, 200).alias("title"), F.col("at").alias("published"), F.col("handle").alias("author"), F.concat_ws("\n> ", "text", "quoted").alias("excerpt"))
+
+
+def own_posts(posts: DataFrame, account: str, since: Column) -> DataFrame:
+    """The account's own posts since a time, latest first."""
+    return posts.where((F.col("account") == account) & (F.col("at") >= since)).orderBy(F.col("at").desc(), F.col("post_id").desc())
+
+
+def listing_filter(rows: DataFrame, include: tuple[str, str] | None = None, exclude: tuple[str, str] | None = None, require: str | None = None, least: tuple[str, float] | None = None) -> DataFrame:
+    """rows whose columns fit: (column, pattern) that must or must not match, a column that must be
+    true, (column, number) that it must reach. A null fits no test but exclude."""
+    if include:
+        rows = rows.where(F.col(include[0]).rlike(include[1]))
+    if exclude:
+        rows = rows.where(~F.coalesce(F.col(exclude[0]).rlike(exclude[1]), F.lit(False)))
+    if require:
+        rows = rows.where(F.col(require))
+    return rows.where(F.col(least[0]) >= least[1]) if least else rows
