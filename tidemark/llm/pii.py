@@ -230,8 +230,10 @@ def pseudonym(m: Column, key: str) -> Column:
     return reduce(lambda out, kind: F.when(whole(kind[0]), kind[1](m, key)).otherwise(out), reversed(kinds), m)
 
 
-def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """docs with its text column pseudonymised and a column pii_values, the values changed.
+def pseudonymise(docs: DataFrame, key: str, text: str = "text", count_as: str | None = "pii_values") -> DataFrame:
+    """docs with its text column pseudonymised and a column count_as, the number of values changed.
+
+    With count_as None there is no such column, and all columns of docs stay whatever their names.
 
     Null texts stay null with 0 values, empty ones empty. All other columns and rows stay. Each
     row is treated by itself: no shuffle, whatever the size or skew.
@@ -243,4 +245,8 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
         F.size(F.filter(F.arrays_zip(ms.alias("a"), new.alias("b")), lambda z: z["a"] != z["b"])).alias("n"),
     )))
     done = F.when(column.rlike(ANY), swapped)
-    return docs.withColumn("_pii", done).withColumn(text, F.coalesce("_pii.text", column)).withColumn("pii_values", F.coalesce("_pii.n", F.lit(0))).drop("_pii")
+    held = "_pii"
+    while held in docs.columns:
+        held += "_"
+    out = docs.withColumn(held, done).withColumn(text, F.coalesce(F.col(held)["text"], column))
+    return (out.withColumn(count_as, F.coalesce(F.col(held)["n"], F.lit(0))) if count_as else out).drop(held)

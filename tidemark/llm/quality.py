@@ -126,10 +126,13 @@ def clean(docs: DataFrame) -> DataFrame:
     fate = rejected.unionByName(gone.select(*key, F.col("gone").alias("_gone")), allowMissingColumns=True)
     fate = fate.groupBy("_id", "_host").agg(F.coalesce(F.max("_rejected"), F.lit(False)).alias("_rejected"), F.flatten(F.collect_list("_gone")).alias("_gone"))
     fate = fate.withColumn("_gone", F.when(F.size("_gone") > 0, F.col("_gone")))
-    joined = docs.join(fate, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_host")), "left").where(~F.coalesce("_rejected", F.lit(False)))
-    stays = F.filter(lines_of(F.col("text")), lambda x: (word_count(x) < MIN_LINE_WORDS) | ~F.array_contains("_gone", line_hash(x)))
-    text = F.when(F.col("_gone").isNull() | F.col("text").isNull(), F.col("text")).otherwise(F.array_join(stays, "\n"))
-    out = joined.withColumn("text", text)
+    # The row goes along as one value, so that no column of docs can be taken for one of these.
+    held = docs.select(F.col("doc_id").alias("_own_id"), F.col("source").alias("_own_host"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"))
+    joined = held.join(fate, F.col("_own_id").eqNullSafe(F.col("_id")) & F.col("_own_host").eqNullSafe(F.col("_host")), "left").where(~F.coalesce("_rejected", F.lit(False)))
+    old = F.col("_doc")["text"]
+    stays = F.filter(lines_of(old), lambda x: (word_count(x) < MIN_LINE_WORDS) | ~F.array_contains("_gone", line_hash(x)))
+    out = joined.withColumn("_text", F.when(F.col("_gone").isNull() | old.isNull(), old).otherwise(F.array_join(stays, "\n")))
+    new = {"text": F.col("_text")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_gone").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return out.drop("_id", "_host", "_rejected", "_gone").select(*[F.col(f"`{c}`") for c in docs.columns])
+        new["n_chars"] = F.when(F.col("_gone").isNull(), F.col("_doc")["n_chars"]).otherwise(F.length("_text")).cast(docs.schema["n_chars"].dataType)
+    return out.select(*[new.get(c, F.col("_doc").getField(c)).alias(c) for c in docs.columns])
