@@ -79,3 +79,11 @@ def verified_mark(states: DataFrame) -> DataFrame:
     states: source, mark, verified, pending."""
     out = states.groupBy("source").agg(F.max("mark").alias("m"), F.max("verified").alias("v"), F.sum("pending").alias("p"))
     return out.select("source", F.when(F.col("p") == 0, F.col("m")).otherwise(F.col("v")).alias("mark"))
+
+
+def most_engaging(posts: DataFrame, n: int) -> DataFrame:
+    """query, post, points: the n posts of each query with the most likes + 2 reposts + replies."""
+    points = (F.col("likes") + 2 * F.col("reposts") + F.col("replies")).cast("long")
+    rows = posts.select("query", "post", points.alias("points"))
+    nth = F.row_number().over(Window.partitionBy("query").orderBy(F.col("points").desc(), "post"))
+    return rows.withColumn("_n", nth).where(F.col("_n") <= n).drop("_n")

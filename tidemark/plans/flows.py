@@ -438,3 +438,27 @@ def t21(spark, d):
     rows = docs.where("length(text) > 80").select("doc_id", (F.col("doc_id") % 40).alias("report"), F.substring("text", 1, 60).alias("title"))
     heads = rows.groupBy("report").agg(F.min_by("title", "doc_id").alias("headline"))
     return TX.lead_item(rows.join(heads, "report"), "report", "doc_id", F.col("title"), F.col("headline"))
+
+
+@add("e13_fragments", "SELECT doc_id, true AS whole, false AS none FROM documents")
+def e13(spark, d):
+    (docs,) = load(spark, d, "documents")
+    text = F.concat(F.lit("中文内容 "), F.coalesce("text", F.lit("")), F.lit(" 模型发布"))
+    return docs.select("doc_id", NM.han_fragments_in(F.lit("模型发布, 中文"), text).alias("whole"), NM.han_fragments_in(F.lit("no han"), text).alias("none"))
+
+
+@add("e19_feedback_list", "SELECT e.event_id, CAST((SELECT count(*) FROM events o WHERE o.user_id = e.user_id) AS BIGINT) AS of_user, EXISTS (SELECT 1 FROM orders WHERE o_custkey = e.user_id) AS answered FROM events e WHERE e.event_type = 'error'")
+def e19(spark, d):
+    """Counts and flags are joined by key once, in place of a subquery for each row."""
+    e, o = load(spark, d, "events", "orders")
+    counts = e.groupBy("user_id").agg(F.count("*").alias("of_user"))
+    known = o.select(F.col("o_custkey").alias("user_id")).distinct().withColumn("_known", F.lit(True))
+    rows = e.where("event_type = 'error'").join(counts, "user_id").join(known, "user_id", "left")
+    return rows.select("event_id", "of_user", F.coalesce("_known", F.lit(False)).alias("answered"))
+
+
+@add("e21_engagement_order", "SELECT query, post, points FROM (SELECT l_suppkey AS query, l_orderkey * 10 + l_linenumber AS post, CAST(l_quantity AS BIGINT) + 2 * l_linenumber + l_partkey % 7 AS points, row_number() OVER (PARTITION BY l_suppkey ORDER BY CAST(l_quantity AS BIGINT) + 2 * l_linenumber + l_partkey % 7 DESC, l_orderkey * 10 + l_linenumber) AS n FROM lineitem) WHERE n <= 5")
+def e21(spark, d):
+    (li,) = load(spark, d, "lineitem")
+    posts = li.select(F.col("l_suppkey").alias("query"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("post"), F.col("l_quantity").cast("long").alias("likes"), F.col("l_linenumber").alias("reposts"), (F.col("l_partkey") % 7).alias("replies"))
+    return G.most_engaging(posts, 5)
