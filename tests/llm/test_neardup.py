@@ -131,3 +131,35 @@ def test_keep_one(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     kept = sorted((r["doc_id"] for r in neardup.keep_one(docs).collect()), key=str)
     assert kept == sorted((r[0] for r in brute(rows) if r[3]), key=str)
+
+
+def between(seed, low, high, n):
+    """n pairs of texts whose shingle sets have a similarity from low to below high, in percent."""
+    rng = random.Random(seed)
+    out = []
+    while len(out) < n:
+        base = " ".join(f"b{rng.randrange(10**6)}" for _ in range(rng.choice([60, 120, 300])))
+        other = edited(rng, base, rng.randrange(1, 9))
+        x, y = grams(base), grams(other)
+        if low <= 100 * len(x & y) / len(x | y) < high:
+            out.append((base, other))
+    return out
+
+
+@pytest.mark.parametrize("small", [48, 2])
+def test_pairs_between_80_and_85(spark, monkeypatch, small):
+    monkeypatch.setattr(neardup, "SMALL", small)
+    rows = list(enumerate(t for seed, low, high in ((1, 80, 85), (2, 75, 80), (3, 85, 95)) for pair in between(seed, low, high, 40) for t in pair))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute(rows, 80)
+    assert sum(not r[3] for r in want) == 80
+    assert sorted(map(tuple, neardup.near_duplicates(docs, 80).collect()), key=str) == want
+    assert sorted(r["doc_id"] for r in neardup.keep_one(docs).collect()) == sorted(r[0] for r in want if r[3])
+
+
+def test_bounds_follow_the_threshold():
+    assert [(round(64 * neardup.agreement(p)), neardup.trees_for(p)) for p in (70, 80, 85)] == [(31, 22), (38, 12), (43, 8)]
+    rng = np.random.default_rng(4)
+    for p in (70, 80, 85):
+        hit = rng.random((20_000, neardup.COORDINATES)) < p / 100
+        assert (hit.mean(1) < neardup.agreement(p)).mean() < 5e-4

@@ -10,6 +10,7 @@ Comparison is by sketches; links are then confirmed on full shingle sets, each t
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,16 +21,15 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import SHINGLE, Scratch, need, small
 
-COORDINATES, TREES, LEVELS = 64, 8, 4
+COORDINATES, LEVELS = 64, 4
 #: Nodes of up to SMALL vertices are compared exhaustively, at any level.
 SMALL = 48
 #: A first-level node of more rows than HOT is dealt out by its deeper path and in blocks.
 HOT = 20_000
 #: Texts of one candidate component that meet in a group.
 BLOCK = 300
-#: A pair is a candidate if so much of the sketch agrees. At 0.85 similarity the agreement has
-#: mean 0.85 and deviation 0.045, so 0.66 is over four deviations below.
-AGREE = 0.66
+#: At the threshold itself, the share of pairs that the sketches, and that the trees, may miss.
+SKETCH_MISS, TREE_MISS = 1e-4, 0.003
 #: Remembered word hashes of one worker.
 REMEMBERED = 500_000
 
@@ -37,6 +37,31 @@ SEEDS = np.random.default_rng(20_240_101).integers(1, 2**63, COORDINATES, dtype=
 STEP, FINAL = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
+def agreement(percent: int) -> float:
+    """The share of the sketch that must agree in a candidate pair.
+
+    The values that agree of a pair at the threshold are binomial; a pair is taken from the
+    largest number on that misses at most SKETCH_MISS of such pairs.
+    """
+    p, missed, k = percent / 100, 0.0, 0
+    while k < COORDINATES:
+        missed += math.comb(COORDINATES, k) * p**k * (1 - p) ** (COORDINATES - k)
+        if missed > SKETCH_MISS:
+            break
+        k += 1
+    return k / COORDINATES
+
+
+def trees_for(percent: int) -> int:
+    """How many trees miss at most TREE_MISS of the pairs at the threshold, if all their nodes
+    were to branch down to the last level."""
+    together = (percent / 100) ** LEVELS
+    return 1 if together >= 1 else math.ceil(math.log(TREE_MISS) / math.log(1 - together))
+
+
+AGREE = agreement(85)
+
+
 class WordHashes(dict):
     """Words to 64-bit hashes, remembered up to a bound."""
 
@@ -78,22 +103,22 @@ def minwise(s: np.ndarray) -> np.ndarray:
     return np.array([((s * a) >> np.uint64(32)).min() for a in SEEDS], np.uint64) if len(s) > 4096 else ((SEEDS[:, None] * s) >> np.uint64(32)).min(1)
 
 
-def paths(values: np.ndarray) -> np.ndarray:
+def paths(values: np.ndarray, trees: int) -> np.ndarray:
     """Node names, one for each vertex, tree and level, from the vertices' minwise values."""
     n = len(values)
-    out = np.empty((n, TREES, LEVELS), np.uint64)
+    out = np.empty((n, trees, LEVELS), np.uint64)
     rows = np.arange(n)
-    for t in range(TREES):
+    for t in range(trees):
         node = np.full(n, t + 1, np.uint64)
         for level in range(LEVELS):
-            pick = np.full(n, t) if level == 0 else (mixed(node * STEP) % np.uint64(COORDINATES)).astype(np.int64)
+            pick = np.full(n, t % COORDINATES) if level == 0 else (mixed(node * STEP) % np.uint64(COORDINATES)).astype(np.int64)
             node = mixed(node * STEP + values[rows, pick] + np.uint64(level))
             out[:, t, level] = node
     return out
 
 
-def features(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, print_a, print_b, sketch, path for each row; path: TREES * LEVELS names."""
+def features(docs: DataFrame, trees: int) -> DataFrame:
+    """doc_id, n_shingles, print_a, print_b, sketch, path for each row; path: trees * LEVELS names."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "n_shingles", "print_a", "print_b", "sketch", "path"]
@@ -110,8 +135,8 @@ def features(docs: DataFrame) -> DataFrame:
                     continue
                 v = np.stack(values)
                 sketch = (v & np.uint64(255)).astype(np.uint8)
-                flat = paths(v).reshape(-1).astype(np.int64)
-                offsets = np.arange(0, n * TREES * LEVELS + 1, TREES * LEVELS, dtype=np.int32)
+                flat = paths(v, trees).reshape(-1).astype(np.int64)
+                offsets = np.arange(0, n * trees * LEVELS + 1, trees * LEVELS, dtype=np.int32)
                 p = np.array(prints, np.uint64).astype(np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [b.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(p[:, 0]), pa.array(p[:, 1]), pa.array([r.tobytes() for r in sketch], pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))],
@@ -166,7 +191,7 @@ def alike(sketches: np.ndarray, i: int) -> np.ndarray:
     return (sketches == sketches[i]).mean(axis=1)
 
 
-def node_links(paths_: np.ndarray, sketches: np.ndarray, level: int, rows: np.ndarray) -> Iterator[tuple[int, int]]:
+def node_links(paths_: np.ndarray, sketches: np.ndarray, level: int, rows: np.ndarray, agree: float = AGREE) -> Iterator[tuple[int, int]]:
     """Candidate links of a node, a spanning forest of those found, as positions."""
     if len(rows) < 2:
         return
@@ -174,31 +199,31 @@ def node_links(paths_: np.ndarray, sketches: np.ndarray, level: int, rows: np.nd
     if len(rows) <= SMALL:
         groups = Groups(len(rows))
         for i in range(len(rows) - 1):
-            for j in np.flatnonzero(alike(own[i:], 0) >= AGREE)[1:] + i:
+            for j in np.flatnonzero(alike(own[i:], 0) >= agree)[1:] + i:
                 if groups.join(i, j):
                     yield rows[i], rows[j]
     elif level < LEVELS:
         order = np.argsort(paths_[rows, level], kind="stable")
         cuts = np.flatnonzero(np.diff(paths_[rows[order], level])) + 1
         for child in np.split(rows[order], cuts):
-            yield from node_links(paths_, sketches, level + 1, child)
+            yield from node_links(paths_, sketches, level + 1, child, agree)
     else:
         groups = Groups(len(rows))
-        near = alike(own, 0) >= AGREE
+        near = alike(own, 0) >= agree
         for j in np.flatnonzero(near)[1:]:
             groups.join(0, j)
             yield rows[0], rows[j]
         for i in np.flatnonzero(~near):
-            for j in np.flatnonzero(alike(own, i) >= AGREE):
+            for j in np.flatnonzero(alike(own, i) >= agree):
                 if groups.join(i, j):
                     yield rows[i], rows[j]
 
 
-def candidates(vertices: DataFrame, scratch: Scratch) -> DataFrame:
+def candidates(vertices: DataFrame, scratch: Scratch, percent: int = 85) -> DataFrame:
     """a, b: candidate links between vertices, from all trees; enough to connect what is alike."""
-    spark = vertices.sparkSession
+    agree, n_trees = agreement(percent), trees_for(percent)
     level = lambda k: F.get(F.col("path"), F.col("tree") * LEVELS + k)
-    trees = vertices.select("doc_id", "sketch", "path", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
+    trees = vertices.select("doc_id", "sketch", "path", F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))).alias("tree"))
     rows = trees.select("doc_id", "sketch", *[level(k).alias(f"p{k}") for k in range(LEVELS)])
     sizes = rows.groupBy("p0").count().where(F.col("count") > 1)
     # Nodes of one vertex have nothing to compare; the others' rows alone are moved.
@@ -210,7 +235,7 @@ def candidates(vertices: DataFrame, scratch: Scratch) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for node in runs(batches, ["deal"]):
             sketches = np.frombuffer(b"".join(node["sketch"]), np.uint8).reshape(-1, COORDINATES)
-            found = list(node_links(node[names].to_numpy(), sketches, 1, np.arange(len(node))))
+            found = list(node_links(node[names].to_numpy(), sketches, 1, np.arange(len(node)), agree))
             docs = node["doc_id"].to_numpy()
             # The first of each dealt block meets the firsts of the other blocks of its last node.
             hot = int(node["count"].iloc[0] > HOT)
@@ -259,6 +284,7 @@ def confirmed(grouped: DataFrame, share: int, of: int) -> DataFrame:
     grouped: deal, doc_id, hub, sketch, text; rows with one deal meet in one task. Where some are
     hubs, only pairs with a hub are looked at, else all.
     """
+    agree = agreement(100 * share // of)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         with np.errstate(over="ignore"):
@@ -275,7 +301,7 @@ def confirmed(grouped: DataFrame, share: int, of: int) -> DataFrame:
 
                 only = np.flatnonzero(hub) if hub.any() else np.arange(len(docs))
                 for i in only:
-                    near = np.flatnonzero(alike(sketches, i) >= AGREE)
+                    near = np.flatnonzero(alike(sketches, i) >= agree)
                     for j in near if hub.any() else near[near > i]:
                         if groups.find(i) == groups.find(j):
                             continue
@@ -295,18 +321,19 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
 
     Documents are linked if 100 * intersection >= percent * union of their shingle sets.
     component_id is the least id that a document reaches by links; kept is doc_id = component_id.
+    Trees and sketch agreement follow from percent, for the misses SKETCH_MISS and TREE_MISS.
     A text without words (or null) has no shingles and is its own component. Rows that repeat an
     id are one document and share its fate; a null id is linked with nothing and kept.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
-    made = scratch.save(features(docs))
+    made = scratch.save(features(docs, trees_for(percent)))
     linked = made.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
     same = ["n_shingles", "print_a", "print_b"]
     classes = linked.groupBy(*same).agg(F.min("doc_id").alias("vertex"))
     members = scratch.save(linked.select("doc_id", *same).join(classes, same).select("doc_id", "vertex").distinct())
     vertices = scratch.save(linked.join(members.where("doc_id = vertex").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id", "print_a"]).select("doc_id", "sketch", "path"))
-    roots = scratch.save(components(candidates(vertices, scratch), scratch))
+    roots = scratch.save(components(candidates(vertices, scratch, percent), scratch))
     links = scratch.save(confirm_components(docs, vertices, roots, scratch, percent))
     final = components(links, scratch)
     out = members.withColumnRenamed("vertex", "v").join(final, F.col("v") == F.col("vertex"), "left")
@@ -316,9 +343,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     return every.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, percent: int = 80) -> DataFrame:
     """docs with one document, that of the least id, of each group of near-duplicates."""
-    fate = Scratch(docs.sparkSession).save(near_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct())
+    fate = Scratch(docs.sparkSession).save(near_duplicates(docs, percent).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct())
     return docs.join(small(fate), docs["doc_id"] == fate["_gone"], "left_anti")
 
 
