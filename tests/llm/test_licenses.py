@@ -1,6 +1,10 @@
 import math
+import random
+import textwrap
 from collections import Counter
 
+import pytest
+
 from tidemark.llm import licenses
 
 SCHEMA = "doc_id long, path string, text string"
@@ -70,3 +74,32 @@ def test_counts_cover_all_rows(spark):
 
 def test_empty(spark):
     assert licenses.scan(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+WRAPPED = [("MIT", 3), ("BSD-3-Clause", 2), ("GPL-3.0", 1), ("GPL-2.0", 1), ("ISC", 2)]
+
+
+@pytest.mark.parametrize("width", [12, 40, 72])
+def test_wrapped_headers(spark, width):
+    """Notices in comments over several lines, between other lines, in files that are no licence files."""
+    rows = [(100, "LICENSE", "Released under the ISC License.")]
+    for k, (name, nth) in enumerate(WRAPPED):
+        lines = textwrap.wrap(licenses.TEMPLATES[name][nth], width)
+        rows.append((k, f"src/{k}.py", "\n".join(["#!/usr/bin/env python", "# tool, made in 2020", "#", *[f"# {x}" for x in lines], "#", "import os", "value = os.getcwd()"])))
+    got = {r["doc_id"]: (r["own_license"], r["inherited_from"]) for r in licenses.scan(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {100: ("ISC", None), **{k: (name, None) for k, (name, _) in enumerate(WRAPPED)}}
+
+
+def test_best_run_against_all_runs():
+    rng = random.Random(6)
+    counts = {"the": 60, "of": 50, "under": 20, "license": 5}
+    matcher = licenses.Matcher(100, counts, 0.6)
+    texts = [x for texts in licenses.TEMPLATES.values() for x in texts]
+    for _ in range(60):
+        lines = [rng.choice(["x = 1", "the end of it", "#", "", "copy of the software"]) for _ in range(rng.randrange(6))]
+        at = rng.randrange(len(lines) + 1)
+        lines[at:at] = textwrap.wrap(rng.choice(texts), rng.choice([10, 30, 60]))
+        split = [x for x in map(licenses.terms, lines) if x]
+        runs = [split[i:j] for i in range(len(split)) for j in range(i + 1, len(split) + 1) if sum(map(len, split[i + 1 : j - 1])) <= licenses.LONGEST]
+        want = max(brute_best(" ".join(t for x in r for t in x), 100, counts, 0.6)[0] for r in runs)
+        assert round(matcher.best_run([licenses.terms(x) for x in lines])[1], 6) == round(want, 6)

@@ -1,6 +1,7 @@
 """License scans: TF-IDF cosine to notice templates, then the nearest ancestor directory's licence.
 
-Every line of a text is a candidate notice, and a licence file's whole text is one more. Terms
+Every line of a text and every run of lines that may hold a wrapped notice are candidates, and a
+licence file's whole text is one more. Terms
 are weighed by how many documents of the whole corpus have them. Directories then inherit from
 their nearest ancestor with a licence file, by joins on paths.
 """
@@ -77,6 +78,11 @@ def terms(text: str) -> list[str]:
     return TERM.findall(text.lower())
 
 
+#: Terms of the longest template. A copy of a template, wrapped at whatever width, has its inner
+#: lines to itself, so a run has no more terms than this beside those of its first and last line.
+LONGEST = max(len(TERM.findall(x.lower())) for texts in TEMPLATES.values() for x in texts)
+
+
 def document_counts(files: DataFrame) -> tuple[int, dict[str, int]]:
     """How many rows there are, and how many have each template term, over all whole texts."""
     vocabulary = sorted({t for texts in TEMPLATES.values() for x in texts for t in terms(x)})
@@ -122,10 +128,47 @@ class Matcher:
         score = min(1.0, score / norm)
         return (self.names[k], score) if score >= self.threshold else (None, 0.0)
 
+    def best_run(self, lines: list[list[str]]) -> tuple[str | None, float]:
+        """The best of all lines and of all runs of lines with at most LONGEST terms between the
+        first and the last one. Lines without a term, as bare comment marks, part no run."""
+        lines = [x for x in lines if x]
+        n = len(lines)
+        # From each line, the next one with a term that a run can't do without.
+        rare_at = [n] * (n + 1)
+        for i in range(n - 1, -1, -1):
+            rare_at[i] = rare_at[i + 1] if self.rare.isdisjoint(lines[i]) else i
+        best, best_name = 0.0, ""
+        for i in range(n):
+            if rare_at[i] == n:
+                break
+            # Without such a first line the rest of the run scores more.
+            if self.postings.keys().isdisjoint(lines[i]):
+                continue
+            vector: dict[str, float] = defaultdict(float)
+            dots: dict[int, float] = defaultdict(float)
+            square, inner = 0.0, 0
+            for j in range(i, n):
+                if inner > LONGEST:
+                    break
+                for t, k in Counter(lines[j]).items():
+                    v, had = k * self.weight(t), vector[t]
+                    vector[t] = had + v
+                    square += v * (v + 2 * had)
+                    for at, w in self.postings.get(t, ()):
+                        dots[at] += v * w
+                if j > i:
+                    inner += len(lines[j])
+                if rare_at[i] <= j and dots:
+                    k, dot = max(dots.items(), key=lambda p: (p[1], self.names[p[0]]))
+                    score = min(1.0, dot / math.sqrt(square))
+                    if (score, self.names[k]) > (best, best_name):
+                        best, best_name = score, self.names[k]
+        return (best_name, best) if best >= self.threshold else (None, 0.0)
+
 
 def declared(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, path, own_license, own_score: the licence that a file's best line, or a licence
-    file's whole text, declares; null and 0 if none reaches the threshold."""
+    """doc_id, path, own_license, own_score: the licence that a file's best line or run of lines,
+    or a licence file's whole text, declares; null and 0 if none reaches the threshold."""
     n, counts = document_counts(files)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -134,9 +177,9 @@ def declared(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
             out = []
             for doc, path, text in zip(b["doc_id"], b["path"], b["text"], strict=True):
                 lines = [terms(x) for x in text.split("\n")]
+                found = matcher.best_run(lines)
                 if name.match(path.rpartition("/")[2]):
-                    lines.append([t for x in lines for t in x])
-                found = max((matcher.best(x) for x in lines), key=lambda p: (p[1], p[0] or ""))
+                    found = max(found, matcher.best([t for x in lines for t in x]), key=lambda p: (p[1], p[0] or ""))
                 out.append((doc, path, *found))
             yield pd.DataFrame(out, columns=["doc_id", "path", "own_license", "own_score"])
 
