@@ -163,3 +163,35 @@ def test_bounds_follow_the_threshold():
     for p in (70, 80, 85):
         hit = rng.random((20_000, neardup.COORDINATES)) < p / 100
         assert (hit.mean(1) < neardup.agreement(p)).mean() < 5e-4
+
+
+def test_small_groups_that_share_a_frequent_passage(spark, monkeypatch):
+    """Nodes of the passage are over HOT, and no two groups are alike beyond it: none is lost."""
+    monkeypatch.setattr(neardup, "HOT", 20)
+    rng = random.Random(11)
+    fresh = lambda n: " ".join(f"f{rng.randrange(10**6)}" for _ in range(n))
+    passage, texts = fresh(195), []
+    for _ in range(300):
+        base = f"{passage} {fresh(55)}"
+        texts += [base, f"{base} {fresh(1)}"]
+    rng.shuffle(texts)
+    rows = list(enumerate(texts))
+    want = brute(rows, 95)
+    assert sum(r[3] for r in want) == 300
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, neardup.near_duplicates(docs, 95).collect()), key=str) == want
+
+
+def test_leaf_links_connect_what_is_alike(spark, monkeypatch):
+    """One leaf in many blocks, with groups that are unlike its pivot."""
+    monkeypatch.setattr(neardup, "HOT", 7)
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 256, (20, neardup.COORDINATES), dtype=np.uint8)
+    sketches = np.concatenate([np.where(rng.random((4, neardup.COORDINATES)) < 0.12, rng.integers(0, 256, (4, neardup.COORDINATES)), b).astype(np.uint8) for b in base])
+    rows = [(i, bytearray(x.tobytes()), 5) for i, x in enumerate(sketches)]
+    found = neardup.leaf_links(spark.createDataFrame(rows, "doc_id long, sketch binary, leaf long"), Scratch(spark)).collect()
+    groups = neardup.Groups(len(rows))
+    for a, b in found:
+        groups.join(a, b)
+        assert neardup.alike(sketches, a)[b] >= neardup.AGREE
+    assert all(groups.find(i) == groups.find(j) for i in range(len(rows)) for j in np.flatnonzero(neardup.alike(sketches, i) >= neardup.AGREE))

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -24,7 +25,7 @@ from tidemark.llm.common import SHINGLE, Scratch, need, small
 COORDINATES, LEVELS = 64, 4
 #: Nodes of up to SMALL vertices are compared exhaustively, at any level.
 SMALL = 48
-#: A first-level node of more rows than HOT is dealt out by its deeper path and in blocks.
+#: A node of more rows than HOT is dealt out by its children, and in blocks at the last level.
 HOT = 20_000
 #: Texts of one candidate component that meet in a group.
 BLOCK = 300
@@ -224,33 +225,72 @@ def candidates(vertices: DataFrame, scratch: Scratch, percent: int = 85) -> Data
     agree, n_trees = agreement(percent), trees_for(percent)
     level = lambda k: F.get(F.col("path"), F.col("tree") * LEVELS + k)
     trees = vertices.select("doc_id", "sketch", "path", F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))).alias("tree"))
-    rows = trees.select("doc_id", "sketch", *[level(k).alias(f"p{k}") for k in range(LEVELS)])
-    sizes = rows.groupBy("p0").count().where(F.col("count") > 1)
-    # Nodes of one vertex have nothing to compare; the others' rows alone are moved.
-    shared = rows.join(sizes, "p0")
-    blocks = F.ceil(F.col("count") / HOT)
-    deal = F.when(F.col("count") > HOT, F.xxhash64(*[f"p{k}" for k in range(LEVELS)], F.pmod(F.xxhash64("doc_id"), blocks))).otherwise(F.col("p0"))
     names = [f"p{k}" for k in range(LEVELS)]
+    rows = trees.select("doc_id", "sketch", *[level(k).alias(name) for k, name in enumerate(names)])
+
+    def links(dealt: DataFrame, below: int) -> DataFrame:
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for node in runs(batches, ["deal"]):
+                sketches = np.frombuffer(b"".join(node["sketch"]), np.uint8).reshape(-1, COORDINATES)
+                found = node_links(node[names].to_numpy(), sketches, below, np.arange(len(node)), agree)
+                docs = node["doc_id"].to_numpy()
+                yield pd.DataFrame([(docs[i], docs[j]) for i, j in found], columns=["a", "b"])
+
+        return dealt.repartition("deal").sortWithinPartitions("deal", "doc_id").mapInPandas(run, "a long, b long")
+
+    found = []
+    for k, name in enumerate(names):
+        # Nodes of one vertex have nothing to compare; the others' rows alone are moved. A node
+        # that is too large for a task branches here as it would there.
+        sizes = scratch.save(rows.groupBy(name).count().where(F.col("count") > 1))
+        hot = sizes.where(F.col("count") > HOT)
+        any_hot, hot = not hot.isEmpty(), small(hot)
+        cool = rows.join(hot, name, "left_anti") if any_hot else rows
+        cool = cool.join(sizes.select(name), name)
+        found.append(scratch.save(links(cool.withColumn("deal", F.col(name)), k + 1)))
+        if not any_hot:
+            break
+        rows = rows.join(hot.select(name), name, "left_semi")
+    else:
+        found.append(leaf_links(rows.select("doc_id", "sketch", F.col(names[-1]).alias("leaf")), scratch, agree))
+    return reduce(DataFrame.unionByName, found).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for node in runs(batches, ["deal"]):
-            sketches = np.frombuffer(b"".join(node["sketch"]), np.uint8).reshape(-1, COORDINATES)
-            found = list(node_links(node[names].to_numpy(), sketches, 1, np.arange(len(node)), agree))
-            docs = node["doc_id"].to_numpy()
-            # The first of each dealt block meets the firsts of the other blocks of its last node.
-            hot = int(node["count"].iloc[0] > HOT)
-            out = [(docs[i], docs[j], False) for i, j in found] + [(docs[0], docs[0], True)] * hot
-            yield pd.DataFrame(out, columns=["a", "b", "first"])
-
-    def links(dealt: DataFrame) -> DataFrame:
-        return dealt.repartition("deal").sortWithinPartitions("deal", "doc_id").mapInPandas(run, "a long, b long, first boolean")
-
-    found = scratch.save(links(shared.withColumn("deal", deal)))
-    firsts = found.where("first").select(F.col("a").alias("doc_id")).distinct()
-    if not firsts.isEmpty():
-        again = rows.join(firsts, "doc_id").withColumn("deal", F.xxhash64(*names)).withColumn("count", F.lit(0))
-        found = found.unionByName(links(again))
-    return found.where(~F.col("first")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
+
+def leaf_links(rows: DataFrame, scratch: Scratch, agree: float = AGREE) -> DataFrame:
+    """a, b: candidate links of last nodes that are too large for a task, enough to connect all
+    that is alike in each.
+
+    rows: doc_id, sketch, leaf. As in node_links every vertex meets its leaf's pivot, and those
+    unlike the pivot meet all: in chunks, each against every block of the leaf.
+    """
+    sizes = rows.groupBy("leaf").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "sketch")).alias("first"))
+    sizes = scratch.save(sizes.select("leaf", "n", F.col("first.doc_id").alias("pivot"), F.col("first.sketch").alias("pivot_sketch")))
+
+    def meet_pivot(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            own, pivot = (np.frombuffer(b"".join(b[c]), np.uint8).reshape(-1, COORDINATES) for c in ("sketch", "pivot_sketch"))
+            yield b.drop(columns="pivot_sketch").assign(near=(own == pivot).mean(axis=1) >= agree)
+
+    def meet_far(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for g in runs(batches, ["deal"]):
+            sketches = np.frombuffer(b"".join(g["sketch"]), np.uint8).reshape(-1, COORDINATES)
+            docs, groups = g["doc_id"].to_numpy(), Groups(len(g))
+            out = [(docs[i], docs[j]) for i in np.flatnonzero(g["far"]) for j in np.flatnonzero(alike(sketches, i) >= agree) if groups.join(i, j)]
+            yield pd.DataFrame(out, columns=["a", "b"])
+
+    met = rows.join(small(sizes), "leaf").select("doc_id", "sketch", "leaf", "n", "pivot", "pivot_sketch")
+    met = scratch.save(met.mapInPandas(meet_pivot, "doc_id long, sketch binary, leaf long, n long, pivot long, near boolean"))
+    near = met.where("near").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b"))
+    n_far = scratch.save(met.where("not near").groupBy("leaf").count().select("leaf", F.ceil(F.col("count") / HOT).cast("int").alias("chunks")))
+    if n_far.isEmpty():
+        return near
+    seats = met.join(small(n_far), "leaf").withColumn("blocks", F.ceil(F.col("n") / HOT).cast("int"))
+    seats = seats.withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("blocks"))).withColumn("chunk", F.pmod(F.xxhash64("doc_id", F.lit(2)), F.col("chunks")))
+    every = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c).cast("long") - 1))
+    sat = seats.withColumn("to", every("chunks")).select("doc_id", "sketch", F.lit(False).alias("far"), F.xxhash64("leaf", "block", "to").alias("deal"))
+    calls = seats.where("not near").withColumn("to", every("blocks")).select("doc_id", "sketch", F.lit(True).alias("far"), F.xxhash64("leaf", "to", "chunk").alias("deal"))
+    dealt = sat.unionByName(calls).repartition("deal").sortWithinPartitions("deal", "doc_id")
+    return near.unionByName(dealt.mapInPandas(meet_far, "a long, b long"))
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
