@@ -111,3 +111,14 @@ def test_the_key_alone_decides(spark):
     text = "4336980084469204 123-45-6789 2024-02-29 25/12/1980 60.167.242.55 +1 (247) 555-0086 ann.lee@mail.example.com DE89370400440532013000"
     first, second = run(spark, [text]), run(spark, ["x", text])[1:]
     assert first == second and first[0][1] == 8
+
+
+def test_each_kind_in_front_of_each(spark):
+    """A value in front of another is found and changed as it is alone, and so is the other."""
+    values = ["4336980084469204", "4336 9800 8446 9204", "123-45-6789", "2024-02-29", "25/12/1980", "31.12.1999", "60.167.242.55", "+1 (247) 555-0086", "+9 (247) 555-0086", "+1 247-555-0086", "+49 30 1234567", "+44 20 7946 0958", "(247) 555-0086", "247-555-0086", "ann.lee@mail.example.com", "42ann@mail.example.com", "DE89370400440532013000"]
+    alone = dict(zip(values, run(spark, values), strict=True))
+    assert all(n == 1 for _, n in alone.values())
+    pairs = [(a, b) for a in values for b in values]
+    got = run(spark, [f"{a} {b}" for a, b in pairs])
+    wrong = [(p, g) for p, g in zip(pairs, got, strict=True) if g != (f"{alone[p[0]][0]} {alone[p[1]][0]}", 2)]
+    assert not wrong

@@ -22,8 +22,17 @@ CARD = r"(?<![0-9.-])(?:[0-9]{13,19}|[0-9]{4}(?: [0-9]{4}){3}|[0-9]{4}(?:-[0-9]{
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 DATE = r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}|[0-9]{4}/[0-9]{1,2}/[0-9]{1,2}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4})(?![0-9/-])(?!\.[0-9])"
 IP = r"(?<![0-9.])[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}(?!\.?[0-9])"
-PHONE = r"\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9](?:[ .-]?[0-9]){5,12}(?![0-9])|(?<![0-9(])\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}(?![0-9])|(?<![0-9.-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![0-9-])"
-ANY = "|".join(f"(?:{p})" for p in (EMAIL, IBAN, CARD, SSN, DATE, IP, PHONE))
+PHONE_PLAIN = r"(?<![0-9(])\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}(?![0-9])|(?<![0-9.-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![0-9-])"
+#: A blank in a number with a + is no part of it if another value follows; from the seventh digit
+#: on, a plain phone number is one too; four groups of a longer run are no card. After +1 and an area code in brackets seven digits follow.
+OTHERS = "|".join((EMAIL, rf"(?:{CARD})(?! [0-9]{{4}}(?![0-9]))", SSN, DATE, IP))
+PHONE_PLUS = (
+    r"\+1[ .-]?\([0-9]{3}\)[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])|\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]"
+    rf"(?:(?:[.-]| (?!{OTHERS}))?[0-9]){{5}}(?:(?:[.-]| (?!{OTHERS}|{PHONE_PLAIN}))?[0-9]){{0,7}}(?![0-9])"
+)
+#: What a found phone looks like by itself, where nothing follows that could bound it.
+PHONE = rf"\+[0-9]{{1,3}}[ .-]?(?:\([0-9]{{1,4}}\)[ .-]?)?[0-9](?:[ .-]?[0-9]){{5,12}}(?![0-9])|{PHONE_PLAIN}"
+ANY = "|".join(f"(?:{p})" for p in (EMAIL, IBAN, CARD, SSN, DATE, IP, f"{PHONE_PLUS}|{PHONE_PLAIN}"))
 
 LOWER, UPPER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 ROUNDS = 6
