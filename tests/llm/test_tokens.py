@@ -14,18 +14,23 @@ def library(text):
     return tokens.load(PATH).encode(text, add_special_tokens=False).ids
 
 
+@pytest.fixture(scope="module")
+def encoding(spark):
+    return tokens.Encoding(spark, PATH)
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.text(alphabet=st.one_of(st.characters(exclude_categories=["Cs"]), st.sampled_from(" \n\t'sdl09ét 　|<>")), max_size=60))
-def test_count_and_ids_are_the_librarys(text):
+def test_count_and_ids_are_the_librarys(encoding, text):
     ids = library(text)
-    assert tokens.count(PATH, text) == len(ids)
-    assert tokens.encode(PATH, text) == b"".join(i.to_bytes(4, "little") for i in ids)
+    assert encoding.count(text) == len(ids)
+    assert encoding.encode(text) == b"".join(i.to_bytes(4, "little") for i in ids)
 
 
 @pytest.mark.parametrize("text", ["", " ", "\n\n\n", "a" * 3000, " " * 3000, "x<|endoftext|>y <|endoftext|>", "<|endoftext|>", "don't  we'll 'll"])
-def test_odd_texts(text):
-    assert tokens.count(PATH, text) == len(library(text))
-    assert tokens.encode(PATH, text) == b"".join(i.to_bytes(4, "little") for i in library(text))
+def test_odd_texts(encoding, text):
+    assert encoding.count(text) == len(library(text))
+    assert encoding.encode(text) == b"".join(i.to_bytes(4, "little") for i in library(text))
 
 
 def test_whole_tokens_are_proved():
@@ -36,9 +41,17 @@ def test_whole_tokens_are_proved():
     assert "<|endoftext|>" not in whole
 
 
+def test_both_encoders_are_proved(spark, encoding):
+    assert tokens.ranks_proved(PATH) and encoding.quick
+    slow = tokens.Encoding(spark, PATH)
+    slow.quick = False
+    for text in ("Some plain words, and 12 more", "été <|endoftext|> x", "a" * 500):
+        assert slow.encode(text) == encoding.encode(text)
+
+
 def test_bound_on_what_is_remembered(monkeypatch):
     monkeypatch.setattr(tokens, "REMEMBERED", 5)
-    own = tokens.Shortcut(PATH, len)
+    own = tokens.Shortcut(PATH, tokens.whole_tokens(PATH), len)
     for k in range(40):
         text = f"zqxj{k} vwkq{k * 7}"
         assert sum(own.values(text)) == len(library(text))

@@ -1,9 +1,10 @@
 """Whole-token shortcut: token ids and counts without merging most pre-tokens.
 
 A byte-level vocabulary holds many strings that, standing alone as a pre-token, encode as
-exactly one token. `whole_tokens` proves that once for every vocabulary string by encoding it.
-Tasks then split texts into pre-tokens, look the proved ones up, and run the merges of the
-library's model for the rest only; merged pre-tokens are remembered up to a bound.
+exactly one token. `whole_tokens` proves that on the driver, once, for every vocabulary string by
+encoding it; the table goes to the tasks. They split texts into pre-tokens, look the proved ones
+up, and run the merges of the library's model for the rest only; merged pre-tokens are remembered
+up to a bound.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import need
@@ -65,13 +66,13 @@ def whole_tokens(path: str) -> dict[str, int]:
 class Shortcut:
     """Pre-tokens to values, for one worker: value(ids) is what a pre-token stands for."""
 
-    def __init__(self, path: str, value):
+    def __init__(self, path: str, whole: dict[str, int], value):
         import regex
 
         tok = load(path)
-        self.value, self.model, self.vocab = value, tok.model, tok.get_vocab()
+        self.value, self.model = value, tok.model
         self.alphabet = byte_alphabet()
-        self.whole = {s: value([i]) for s, i in whole_tokens(path).items()}
+        self.whole = {s: value([i]) for s, i in whole.items()}
         self.known = dict(self.whole)
         added = {t.content: i for i, t in tok.get_added_tokens_decoder().items()}
         self.added = {s: value([i]) for s, i in added.items()}
@@ -104,33 +105,33 @@ class Shortcut:
             return [known[p] for p in pieces]
 
 
-@lru_cache(maxsize=4)
-def _counter(path: str) -> Shortcut:
-    return Shortcut(path, len)
-
+#: One worker's shortcuts by vocabulary and what they give.
+MADE: dict[tuple[str, str], Shortcut] = {}
 
-@lru_cache(maxsize=4)
-def _encoder(path: str) -> Shortcut:
-    return Shortcut(path, lambda ids: b"".join(i.to_bytes(4, "little") for i in ids))
 
-
-def count(path: str, text: str) -> int:
-    return sum(_counter(path).values(text))
+def packed(ids: list[int]) -> bytes:
+    return b"".join(i.to_bytes(4, "little") for i in ids)
 
 
 @lru_cache(maxsize=4)
-def _ranked(path: str):
-    """An encoder by ranks, the same vocabulary: None unless ids rise in the order of the merges."""
+def ranked(path: str):
+    """An encoder by ranks with the same vocabulary, which makes no objects of single tokens.
+
+    None unless ids rise in the order of the merges, and unless it gives every vocabulary string
+    the ids that the library of the file gives it.
+    """
     import json
 
     import public_tokenizers
     import tiktoken
 
+    if not is_byte_level(path):
+        return None
     with open(path) as f:
         model = json.load(f)["model"]
     vocab = model["vocab"]
     merged = [vocab["".join(m.split(" ") if isinstance(m, str) else m)] for m in model["merges"]]
-    if not is_byte_level(path) or merged != sorted(merged):
+    if merged != sorted(merged):
         return None
     byte_of = {c: b for b, c in byte_alphabet().items()}
     added = {t.content: i for i, t in load(path).get_added_tokens_decoder().items()}
@@ -138,19 +139,47 @@ def _ranked(path: str):
     return tiktoken.Encoding("ranked", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
 
 
-def encode(path: str, text: str) -> bytes:
-    """A text's token ids, four little-endian bytes each; added strings inside it are one token."""
-    ranked = _ranked(path)
-    # Its splitter may give up on very long runs of one kind, which the shortcut takes.
-    if ranked is None or len(text) > LONG and LONG_RUN.search(text):
-        return b"".join(_encoder(path).values(text))
-    return array("I", ranked.encode(text, allowed_special="all")).tobytes()
+@lru_cache(maxsize=4)
+def ranks_proved(path: str) -> bool:
+    """Whether the encoder by ranks gives every vocabulary string the library's ids."""
+    quick, tok = ranked(path), load(path)
+    if quick is None:
+        return False
+    texts = [tok.decode([i], skip_special_tokens=False) for i in range(tok.get_vocab_size())]
+    return all(e.ids == quick.encode(t, allowed_special="all") for t, e in zip(texts, tok.encode_batch(texts, add_special_tokens=False), strict=True))
+
+
+class Encoding:
+    """What tasks need to encode with a vocabulary, proved on the driver and shipped once.
+
+    encode gives a text's ids, four little-endian bytes each, count their number; added strings
+    inside a text are one token. Vocabularies that are not byte-level go to their library.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.path, self.quick = path, is_byte_level(path) and ranks_proved(path)
+        self.whole = spark.sparkContext.broadcast(whole_tokens(path)) if is_byte_level(path) else None
+
+    def _shortcut(self, name: str, value) -> Shortcut:
+        if (self.path, name) not in MADE:
+            MADE[self.path, name] = Shortcut(self.path, self.whole.value, value)
+        return MADE[self.path, name]
+
+    def count(self, text: str) -> int:
+        return _library_count(self.path)(text) if self.whole is None else sum(self._shortcut("count", len).values(text))
+
+    def encode(self, text: str) -> bytes:
+        # The splitter of the encoder by ranks may give up on very long runs of one kind.
+        if self.quick and not (len(text) > LONG and LONG_RUN.search(text)):
+            return array("I", ranked(self.path).encode(text, allowed_special="all")).tobytes()
+        return b"".join(self._shortcut("encode", packed).values(text))
 
 
 def crc32(ids: bytes) -> int:
     return zlib.crc32(ids)
 
 
+@lru_cache(maxsize=4)
 def _library_count(path: str):
     """Counts by the library itself, for the kinds of vocabulary without the shortcut."""
     if path.endswith(".model"):
@@ -180,12 +209,11 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 512) -> DataFrame:
     others the library's own encoder. A null text counts as empty: 0 bytes, 0 tokens. Null and
     repeated ids keep their rows; no row moves between partitions.
     """
-    shortcut = is_byte_level(path)
+    encoding = Encoding(docs.sparkSession, path)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        of = (lambda text: count(path, text)) if shortcut else _library_count(path)
         for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "n_bytes": [len(t.encode()) for t in b["text"]], "n_tokens": [of(t) for t in b["text"]]})
+            yield pd.DataFrame({"doc_id": b["doc_id"], "n_bytes": [len(t.encode()) for t in b["text"]], "n_tokens": [encoding.count(t) for t in b["text"]]})
 
     slim = need(docs, "doc_id", "text").select(F.col("doc_id").cast("string"), F.coalesce("text", F.lit("")).alias("text"))
     counted = slim.mapInPandas(run, "doc_id string, n_bytes long, n_tokens long")
