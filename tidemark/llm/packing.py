@@ -18,6 +18,9 @@ from tidemark.llm.common import Scratch, need
 
 #: Ranks within one length are counted in this many shares, so that a common length is dealt out.
 SHARES = 64
+#: Of a search: fillings of one item at most, fillings looked at for one total, nodes, how often
+#: the unavoidable waste is worked out, and how much waste over the even part is taken early.
+WIDTH, LOOKED, NODES, PRUNE_EVERY, ORDERS = 24, 40, 3_000, 4, (4.0, 3.0, 2.0)
 
 
 def cut(docs: DataFrame, path: str, capacity: int = 1024, end_id: int = 2) -> DataFrame:
@@ -26,13 +29,13 @@ def cut(docs: DataFrame, path: str, capacity: int = 1024, end_id: int = 2) -> Da
     A document is the ids of its text (null: empty) and end_id. Only longer ones than capacity
     are cut; their first piece takes what is over, all others are full.
     """
-    end = end_id.to_bytes(4, "little")
+    end, encoding = end_id.to_bytes(4, "little"), tokens.Encoding(docs.sparkSession, path)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
             for doc, text in zip(b["doc_id"], b["text"], strict=True):
-                ids = tokens.encode(path, text) + end
+                ids = encoding.encode(text) + end
                 n, at, piece = len(ids) // 4, 0, 0
                 while at < n:
                     length = (n - at) % capacity or capacity
@@ -41,41 +44,83 @@ def cut(docs: DataFrame, path: str, capacity: int = 1024, end_id: int = 2) -> Da
             yield pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     slim = need(docs, "doc_id", "text").select(F.col("doc_id").cast("string"), F.coalesce("text", F.lit("")).alias("text"))
-    return slim.mapInPandas(run, "doc_id string, piece int, start long, length long, ids_crc32 long").withColumn("doc_id", F.col("doc_id").cast("long"))
+    return slim.mapInPandas(run, "doc_id string, piece int, start long, length long, ids_crc32 long").withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))
 
 
-def completions(sizes: list[int], left: dict[int, int], room: int, most: int, budget: int) -> list[tuple[int, ...]]:
-    """Undominated fillings of `room` from the sizes in stock, the fullest first.
+def reachable(sizes: list[int], left: dict[int, int], room: int) -> list[int]:
+    """For each place k, as the bits of a number: the sums up to room of items from sizes[k:]."""
+    mask, sums = (1 << (room + 1)) - 1, [1] * (len(sizes) + 1)
+    for k in range(len(sizes) - 1, -1, -1):
+        s, now = sizes[k], sums[k + 1]
+        for _ in range(min(left[s], room // s)):
+            more = (now | now << s) & mask
+            if more == now:
+                break
+            now = more
+        sums[k] = now
+    return sums
 
-    sizes: falling. A filling is dominated if a size in it could be changed for a larger one in
-    stock that still fits, or if one more item fits; only maximal fillings are kept. Search is
-    depth-first, largest first, pruned when what remains can't beat the worst of the `most` kept,
-    and ends after `budget` nodes.
+
+def dominated(filling: tuple[int, ...], waste: int, left: dict[int, int], stock: int) -> bool:
+    """Whether another filling could always take the place of this one.
+
+    It could if an item left out, put in for some of the items (or none), still fits and holds as
+    much as they do: what they leave goes wherever the larger item would have gone. stock: the
+    sizes in left, as bits.
     """
-    kept: list[tuple[int, tuple[int, ...]]] = []
-    nodes = 0
+    several, some = 0, 1
+    for s in filling:
+        several |= several << s | (some & ~1) << s
+        some |= some << s
+        if left[s] <= filling.count(s):
+            stock &= ~(1 << s)
+    if several & stock:
+        return True
+    # The sizes over a sum by 1 to waste, in doubling steps.
+    over, done = some << 1, 1
+    while done < waste:
+        step = min(done, waste - done)
+        over |= over << step
+        done += step
+    return waste > 0 and bool(over & stock)
+
+
+def completions(sizes: list[int], left: dict[int, int], room: int, waste: int, most: int, looked: int = LOOKED) -> tuple[list[tuple[int, ...]], bool]:
+    """Undominated fillings of room that waste no more than waste, the fullest first, and whether
+    these are all.
+
+    sizes: falling. For each total from room down, items are chosen largest first, only where the
+    rest of the total can still be reached, so no branch is in vain. Up to most are returned, of
+    up to looked for each total and four times as many together.
+    """
+    sums, stock = reachable(sizes, left, room), sum(1 << s for s in sizes if left[s])
 
-    def grow(k: int, room: int, chosen: tuple[int, ...]) -> None:
-        nonlocal nodes
-        nodes += 1
-        if nodes > budget or len(kept) >= most and kept[-1][0] == 0:
+    def exact(k: int, total: int, chosen: list[int]) -> Iterator[tuple[int, ...]]:
+        if not total:
+            yield tuple(chosen)
             return
-        deeper = False
-        while k < len(sizes):
+        while k < len(sizes) and sums[k] >> total & 1:
             s = sizes[k]
-            if s <= room and left[s] > (chosen.count(s) if chosen and chosen[-1] == s else 0):
-                deeper = True
-                grow(k, room - s, (*chosen, s))
-                if nodes > budget or len(kept) >= most and kept[-1][0] == 0:
-                    return
+            for m in range(min(left[s], total // s), 0, -1):
+                if sums[k + 1] >> (total - m * s) & 1:
+                    yield from exact(k + 1, total - m * s, chosen + [s] * m)
             k += 1
-        if not deeper and (len(kept) < most or room < kept[-1][0]):
-            kept.append((room, chosen))
-            kept.sort(key=lambda x: (x[0], [-c for c in x[1]]))
-            del kept[most:]
 
-    grow(0, room, ())
-    return [c for _, c in kept]
+    found: list[tuple[int, ...]] = []
+    whole, seen = True, 0
+    for unused in range(min(waste, room) + 1):
+        if not sums[0] >> (room - unused) & 1:
+            continue
+        if len(found) >= most or seen >= 4 * looked:
+            return found, False
+        for n, filling in enumerate(exact(0, room - unused, [])):
+            if n == looked or len(found) == most:
+                whole = False
+                break
+            seen += 1
+            if not dominated(filling, unused, left, stock):
+                found.append(filling)
+    return found, whole
 
 
 def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
@@ -102,52 +147,103 @@ def bins(plan: list[tuple[tuple[int, ...], int]]) -> int:
     return sum(n for _, n in plan)
 
 
-def fill(counts: dict[int, int], capacity: int, width: int = 3, descents: int = 6) -> list[tuple[tuple[int, ...], int]]:
-    """Patterns and how often each is used, together holding every piece once.
+def least_waste(left: dict[int, int], capacity: int) -> int:
+    """Waste that no packing avoids: of each item over half the capacity, what its bin leaves
+    even if it has all smaller items to choose from; beside it, that of the bound by sums."""
+    small = sorted((s for s in left if 2 * s <= capacity), reverse=True)
+    sums = reachable(small, left, capacity)[0]
+    lost = 0
+    for s, n in left.items():
+        if 2 * s > capacity:
+            room = capacity - s
+            lost += n * (room + 1 - (sums & (1 << (room + 1)) - 1).bit_length())
+    return lost
+
+
+def bound_of(counts: dict[int, int], capacity: int) -> int:
+    """Bins that every packing needs at least."""
+    left = {s: n for s, n in counts.items() if n}
+    return -(-(sum(s * n for s, n in left.items()) + least_waste(left, capacity)) // capacity)
 
-    Branch and bound: the largest piece left is completed by each of its `width` fullest
-    undominated fillings in turn, each repeated while the stock allows. A branch is cut when its
-    bins and the bound for what is left, ceil(total / capacity), reach the incumbent's. The first
-    incumbent is the best fit of the whole. Search ends at the bound or after as many branches
-    as `descents` ways down would take.
+
+def search(counts: dict[int, int], capacity: int, target: int, loose: float, nodes: int) -> tuple[list[tuple[tuple[int, ...], int]] | None, bool]:
+    """A packing into target bins at most, or None, and whether the search saw every case.
+
+    Depth-first: the largest item left is completed by each of its undominated fillings in turn.
+    First come those that waste up to loose times a bin's even part of the waste that is left and
+    use the fewest items, which keeps small items for later, then the others, the fullest first.
+    A filling is taken as often as stock and waste allow, then fewer times. A branch is cut when
+    its waste and the waste that its rest can't avoid pass what target bins may waste.
     """
     left = {s: n for s, n in counts.items() if n}
-    rest, used, seen = sum(s * n for s, n in left.items()), 0, 0
-    bound, most = -(-rest // capacity), descents * len(left)
-    best = best_fit(left, capacity)
+    spare = target * capacity - sum(s * n for s, n in left.items())
+    used, seen, whole = 0, 0, True
 
-    def options() -> list[tuple[int, ...]]:
-        if not left or used + -(-rest // capacity) >= bins(best):
+    def options() -> list[tuple[tuple[int, ...], int, int]]:
+        nonlocal whole
+        if spare < 0 or seen % PRUNE_EVERY == 0 and least_waste(left, capacity) > spare:
             return []
         top = max(left)
-        left[top] -= 1
-        small = [s for s in sorted(left, reverse=True) if s <= capacity - top and left[s]]
-        found = completions(small, left, capacity - top, width, 300)
-        left[top] += 1
-        return [(top, *c) for c in found]
-
-    path: list[tuple[tuple[int, ...], int]] = []
-    frames = [options()]
-    while frames and bins(best) > bound and seen < most:
-        if not frames[-1]:
+        room = capacity - top
+        stock = {s: n - (s == top) for s, n in left.items()}
+        sizes = sorted((s for s, n in stock.items() if n and s <= room), reverse=True)
+        found, all_seen = completions(sizes, stock, room, spare, WIDTH)
+        whole &= all_seen
+        even = loose * spare / max(1, target - used) + 1
+        ranked = sorted(found, key=lambda f: (room - sum(f) > even, len(f) if room - sum(f) <= even else 0, room - sum(f), [-x for x in f]))
+        out = []
+        for f in ranked:
+            pattern, waste = (top, *f), room - sum(f)
+            times = min(left[s] // pattern.count(s) for s in set(pattern))
+            times = min(times, spare // waste) if waste else times
+            out += [(pattern, waste, t) for t in sorted({times, times // 2, 1} - {0}, reverse=True)]
+            # Between a half and all, and one, other numbers are left out.
+            whole &= times <= 3
+        # Every filling as often as it goes, then fewer times.
+        return sorted(out, key=lambda o: o[2] < max(p[2] for p in out if p[0] == o[0]))
+
+    path: list[tuple[tuple[int, ...], int, int]] = []
+    frames = [options()] if left else []
+    while frames:
+        if not frames[-1] or seen >= nodes:
+            if seen >= nodes:
+                return None, False
             frames.pop()
             if path:
-                pattern, times = path.pop()
-                used, rest = used - times, rest + sum(pattern) * times
+                pattern, waste, times = path.pop()
+                used, spare = used - times, spare + waste * times
                 for s in pattern:
                     left[s] = left.get(s, 0) + times
             continue
-        pattern = frames[-1].pop(0)
-        times = min(left[s] // pattern.count(s) for s in set(pattern))
+        pattern, waste, times = frames[-1].pop(0)
         for s in pattern:
             left[s] -= times
             if not left[s]:
                 del left[s]
-        path.append((pattern, times))
-        used, rest, seen = used + times, rest - sum(pattern) * times, seen + 1
-        if not left and used < bins(best):
-            best = list(path)
+        path.append((pattern, waste, times))
+        used, spare, seen = used + times, spare - waste * times, seen + 1
+        if not left:
+            return [(p, t) for p, _, t in path], whole
         frames.append(options())
+    return None, whole
+
+
+def fill(counts: dict[int, int], capacity: int, nodes: int = NODES) -> list[tuple[tuple[int, ...], int]]:
+    """Patterns and how often each is used, together holding every piece once.
+
+    The first incumbent is the best fit of the whole. Branch-and-bound searches, in several
+    orders, then look for one bin fewer, until the bound is met, a search has seen every case, or
+    each order has taken its nodes; so the work does not grow with the documents.
+    """
+    left = {s: n for s, n in counts.items() if n}
+    best, bound = best_fit(left, capacity), bound_of(left, capacity)
+    for loose in ORDERS:
+        while bins(best) > bound:
+            found, whole = search(left, capacity, bins(best) - 1, loose, nodes)
+            if found is None:
+                bound = bins(best) if whole else bound
+                break
+            best = found
     return best
 
 
