@@ -1,8 +1,9 @@
 """Training-order materialisation: every sequence gets a global slot, shards hold slots in order.
 
-Texts become fixed-length token sequences in one pass. A sequence's number is its place in its
-task plus the sequences of the tasks before; a keyed Feistel permutation with cycle-walking turns
-the number into a slot. Range partitions then hold whole shards of fixed-stride records.
+Texts become fixed-length token sequences in one pass. A sequence's number is its rank by document,
+piece and content among all of them, counted in shares, so it depends on the rows alone and not on
+files, splits or cluster. A keyed Feistel permutation with cycle-walking turns the number into a
+slot. Range partitions then hold whole shards of fixed-stride records. Records travel compressed.
 """
 
 from __future__ import annotations
@@ -17,34 +18,51 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm import tokens
-from tidemark.llm.common import Scratch, need
+from tidemark.llm.common import Scratch, met, need
 
+#: Sequences that are ranked in one share, and shards that one task holds where there are many.
+SHARE_ROWS, TASK_SHARDS = 20_000, 16
 ROUNDS = 6
 
 
 def sequences(docs: DataFrame, path: str, length: int, end_id: int) -> DataFrame:
-    """part_no, row_no, doc_id, piece, n_tokens, ids (two bytes an id, little-endian).
+    """doc_id, piece, n_tokens, ids_crc32, ids (two bytes an id, little-endian, compressed).
 
     A document is the ids of its text (null: empty) and end_id, cut every `length` ids.
     """
     if tokens.load(path).get_vocab_size() > 65_536:
         raise ValueError("two bytes hold no id of this vocabulary")
-    end = end_id.to_bytes(4, "little")
+    end, encoding = end_id.to_bytes(4, "little"), tokens.Encoding(docs.sparkSession, path)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        part, row = TaskContext.get().partitionId(), 0
+        import zstandard
+
+        press = zstandard.ZstdCompressor(level=1)
         for b in batches:
             out = []
             for doc, text in zip(b["doc_id"], b["text"], strict=True):
-                ids = np.frombuffer(tokens.encode(path, text) + end, "<u4").astype("<u2")
+                ids = np.frombuffer(encoding.encode(text) + end, "<u4").astype("<u2")
                 for k in range(0, len(ids), length):
-                    own = ids[k : k + length]
-                    out.append((part, row, doc, k // length, len(own), own.tobytes()))
-                    row += 1
-            yield pd.DataFrame(out, columns=["part_no", "row_no", "doc_id", "piece", "n_tokens", "ids"])
+                    own = ids[k : k + length].tobytes()
+                    out.append((doc, k // length, len(own) // 2, tokens.crc32(own), press.compress(own)))
+            yield pd.DataFrame(out, columns=["doc_id", "piece", "n_tokens", "ids_crc32", "ids"])
 
     slim = need(docs, "doc_id", "text").select(F.col("doc_id").cast("string"), F.coalesce("text", F.lit("")).alias("text"))
-    return slim.mapInPandas(run, "part_no long, row_no long, doc_id string, piece int, n_tokens int, ids binary").withColumn("doc_id", F.col("doc_id").cast("long"))
+    made = slim.mapInPandas(run, "doc_id string, piece int, n_tokens int, ids_crc32 long, ids binary")
+    return made.withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))
+
+
+def records(length: int, end_id: int):
+    """Compressed ids to a record of length ids, filled up with end_id."""
+    fill = end_id.to_bytes(2, "little")
+
+    def opened(ids: pd.Series) -> pd.Series:
+        import zstandard
+
+        tool = zstandard.ZstdDecompressor()
+        return pd.Series([(raw := tool.decompress(x)) + fill * (length - len(raw) // 2) for x in ids], dtype=object)
+
+    return F.pandas_udf(opened, "binary")
 
 
 def mix(x: np.ndarray, key: np.uint64) -> np.ndarray:
@@ -87,25 +105,27 @@ def training_order(docs: DataFrame, path: str, key: str, length: int = 1024, end
     bytes, filled up with end_id, so slot k begins at byte_offset in its shard and a reader can go
     on from any slot. Each partition holds whole shards in slot order. Null text is a sequence of
     end_id alone; repeated rows each have their own sequences; no documents give no rows.
-    Numbers follow the input's files and splits; they are written before use, so a lost executor
-    can't change them.
+    The same rows get the same slots in whatever files and partitions they come.
     """
-    scratch = Scratch(docs.sparkSession)
-    made = scratch.save(sequences(docs, path, length, end_id))
-    per_part = made.groupBy("part_no").agg(F.count("*").alias("rows"))
-    starts = per_part.withColumn("part_start", F.coalesce(F.sum("rows").over(Window.orderBy("part_no").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    spark = docs.sparkSession
+    made = Scratch(spark).save(sequences(docs, path, length, end_id))
     n = made.count()
+    order = ["doc_id", "piece", "ids_crc32"]
+    shares = max(1, -(-n // SHARE_ROWS))
+    dealt = made.withColumn("share_no", F.pmod(F.xxhash64(*order), F.lit(shares)).cast("int"))
+    # One row for each SHARE_ROWS sequences, a few bytes each.
+    sums = dealt.groupBy("share_no").agg(F.count("*").alias("rows"))
+    starts = sums.select("share_no", F.coalesce(F.sum("rows").over(Window.orderBy("share_no").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("share_start"))
+    ranked = dealt.withColumn("in_share", F.row_number().over(Window.partitionBy("share_no").orderBy(*order)) - 1)
     slot = F.pandas_udf(lambda i: pd.Series(permute(i.to_numpy(), n, key)), "long")
-    # One row for each task of the scan, a few bytes each.
-    numbered = made.join(F.broadcast(starts.select("part_no", "part_start")), "part_no").withColumn("slot", slot(F.col("part_start") + F.col("row_no")))
-    placed = numbered.withColumn("shard", F.floor(F.col("slot") / shard_size).cast("long"))
+    placed = met(ranked, starts, ["share_no"], F.col("ids_crc32")).withColumn("slot", slot(F.col("share_start") + F.col("in_share")))
+    placed = placed.select("slot", F.floor(F.col("slot") / shard_size).cast("long").alias("shard"), "doc_id", "piece", "n_tokens", "ids")
     shards = max(1, -(-n // shard_size))
-    tasks = min(shards, max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    full, fill = F.lit(2 * length), F.lit(bytearray(end_id.to_bytes(2, "little")))
+    tasks = min(shards, max(int(spark.conf.get("spark.sql.shuffle.partitions")), shards // TASK_SHARDS))
     return (
         placed.repartitionByRange(tasks, "shard")
         .sortWithinPartitions("slot")
-        .select("slot", "shard", ((F.col("slot") % shard_size) * 2 * length).alias("byte_offset"), "doc_id", "piece", "n_tokens", F.rpad("ids", full, fill).alias("record"))
+        .select("slot", "shard", ((F.col("slot") % shard_size) * 2 * length).alias("byte_offset"), "doc_id", "piece", "n_tokens", records(length, end_id)("ids").alias("record"))
     )
 
 
