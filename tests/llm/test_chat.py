@@ -66,6 +66,25 @@ def test_round_trip(spark):
             assert spans == [m[1] for m in chat.TURN.findall(w["text"])[w["n_repeated"] :] if m[0] == "assistant" and m[1]]
 
 
+def test_history_gives_way_to_the_budget():
+    """Turns of 80, 10, 10 and 90 tokens, a budget of 100: the last one stands alone, within it."""
+    state = chat.Windows("c", 100, 2)
+    rows = [w for role, size in (("user", 80), ("assistant", 10), ("user", 10), ("assistant", 90)) for w in state.feed(role, str(size), size)] + [state.close()]
+    assert [(w[4], w[5], w[6], w[7]) for w in rows] == [(0, 3, 100, False), (1, 1, 100, False)]
+    state = chat.Windows("c", 100, 2)
+    rows = [w for role, size in (("user", 80), ("assistant", 10), ("user", 10), ("assistant", 95)) for w in state.feed(role, str(size), size)] + [state.close()]
+    assert [(w[4], w[5], w[6], w[7]) for w in rows] == [(0, 3, 100, False), (0, 1, 95, False)]
+    state = chat.Windows("c", 100, 2)
+    rows = [w for role, size in (("system", 20), ("user", 60), ("assistant", 10), ("user", 90)) for w in state.feed(role, str(size), size)] + [state.close()]
+    assert [(w[4], w[5], w[6], w[7]) for w in rows] == [(0, 3, 90, False), (1, 1, 110, True)]
+
+
+def test_string_ids(spark):
+    rows = [("a", 1, "user", "x"), ("b", 1, "assistant", "y"), (None, 1, "user", "z")]
+    out = chat.read_back(chat.format_windows(spark.createDataFrame(rows, "conv_id string, turn long, role string, text string"), PATH))
+    assert sorted((r["conv_id"] or "", r["n_turns"]) for r in out.collect()) == [("", 1), ("a", 1), ("b", 1)]
+
+
 def test_one_long_conversation_in_small_batches(spark):
     rows = [(1, k, ("user", "assistant")[k % 2], f"turn {k} " * 5) for k in range(3000)]
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")

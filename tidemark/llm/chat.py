@@ -1,8 +1,8 @@
 """Chat formatting in budgeted windows: turn-aligned spans, kept system turn, masked repeats.
 
-Conversations are dealt by id and sorted by turn, then read as a stream: prefix sums of turn
-tokens close a window where the next turn would pass the budget. Memory holds one window and its
-history, however long a conversation is.
+Turns are counted where they lie. Conversations are then dealt by id and sorted by turn, and read
+as a stream: prefix sums of turn tokens close a window where the next turn would pass the budget.
+Memory holds one window and its history, however long a conversation is.
 """
 
 from __future__ import annotations
@@ -41,34 +41,35 @@ class Windows:
     def __init__(self, conv, budget: int, history: int):
         self.conv, self.budget, self.most = conv, budget, history
         self.system, self.past, self.number = None, [], 0
+        self.lead: list[tuple] = []
         self.turns: list[tuple[str, str]] = []
         self.sums = [0]
 
     def feed(self, role: str, text: str, size: int) -> Iterator[tuple]:
         if self.system is None and not self.turns and not self.number and role == "system":
             self.system = (role, text, size)
-        if self.turns and self.kept_before() + self.sums[-1] + size > self.budget:
+        if self.turns and sum(t[2] for t in self.lead) + self.sums[-1] + size > self.budget:
             yield self.close()
+        if not self.turns:
+            self.lead = self.repeated(size)
         self.turns.append((role, text))
         self.sums.append(self.sums[-1] + size)
 
-    def kept_before(self) -> int:
-        """Tokens of the system turn and the history that open a later window."""
-        return sum(t[2] for t in self.lead())
-
-    def lead(self) -> list[tuple]:
+    def repeated(self, size: int) -> list[tuple]:
+        """The system turn and the history that open a later window before a turn of this size."""
         if not self.number:
             return []
-        # The latest turns, by prefix sums from the end, that fit in a quarter of the budget.
-        sums, room = [0], self.budget // 4
+        # The latest turns, by prefix sums from the end, that fit in a quarter of the budget and
+        # leave room for the turn.
+        sums, room = [0], min(self.budget // 4, self.budget - size - (self.system[2] if self.system else 0))
         for t in self.past[::-1]:
             sums.append(sums[-1] + t[2])
-        n = min(self.most, bisect.bisect_right(sums, room) - 1)
+        n = max(0, min(self.most, bisect.bisect_right(sums, room) - 1))
         own = self.past[len(self.past) - n :]
         return ([self.system] if self.system and self.system not in own else []) + own
 
     def close(self) -> tuple:
-        lead = self.lead()
+        lead = self.lead
         parts, spans, at = [], [], 0
         for k, (role, text) in enumerate([*(t[:2] for t in lead), *self.turns]):
             head = f"{BEGIN}{escape(role)}{MIDDLE}"
@@ -91,31 +92,37 @@ def format_windows(conversations: DataFrame, path: str, budget: int = 2048, hist
     Turns are ordered by turn (null first), then role and text; a null role or text is empty.
     Every turn is new in exactly one window. A later window first repeats the system turn, if the
     conversation opens with one, and up to `history` latest turns that fit in a quarter of the
-    budget; these are outside the loss. loss: code-point spans of the new assistant texts in the
-    escaped window text. A turn that passes the budget alone is a window of its own, marked
-    over_budget: nothing is cut. Repeated rows are turns of their own; a null conv_id is one
-    conversation.
+    budget and leave room for the next turn; these are outside the loss. loss: code-point spans of
+    the new assistant texts in the escaped window text. A turn that passes the budget alone or
+    with the system turn is the only new one of its window, marked over_budget: nothing is cut.
+    Repeated rows are turns of their own; a null conv_id is one conversation.
     """
+    encoding = tokens.Encoding(conversations.sparkSession, path)
+    schema = conversations.schema
+
+    def sized(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield b.assign(size=[encoding.count(f"{BEGIN}{escape(role)}{MIDDLE}{escape(text)}{END}") for role, text in zip(b["role"], b["text"], strict=True)])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [f.split()[0] for f in WINDOWS.split(", ")]
         state = None
         for b in batches:
             out = []
-            for conv, role, text in zip(b["conv_id"], b["role"], b["text"], strict=True):
+            for conv, role, text, size in zip(b["conv_id"], b["role"], b["text"], b["size"], strict=True):
                 if state is None or conv != state.conv:
                     if state is not None:
                         out.append(state.close())
                     state = Windows(conv, budget, history)
-                size = tokens.count(path, f"{BEGIN}{escape(role)}{MIDDLE}{escape(text)}{END}")
                 out.extend(state.feed(role, text, size))
             yield pd.DataFrame(out, columns=names)
         if state is not None:
             yield pd.DataFrame([state.close()], columns=names)
 
-    rows = need(conversations, "conv_id", "turn", "role", "text").select(F.col("conv_id").cast("string"), "turn", *[F.coalesce(c, F.lit("")).alias(c) for c in ("role", "text")])
-    sorted_rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return sorted_rows.mapInPandas(run, WINDOWS)
+    rows = need(conversations, "conv_id", "turn", "role", "text").select(F.col("conv_id").cast("string"), F.col("turn").cast("string"), *[F.coalesce(c, F.lit("")).alias(c) for c in ("role", "text")])
+    counted = rows.mapInPandas(sized, "conv_id string, turn string, role string, text string, size long").withColumn("turn", F.col("turn").cast(schema["turn"].dataType))
+    sorted_rows = counted.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+    return sorted_rows.mapInPandas(run, WINDOWS).withColumn("conv_id", F.col("conv_id").cast(schema["conv_id"].dataType))
 
 
 def read_back(windows: DataFrame) -> DataFrame:
@@ -154,4 +161,5 @@ def read_back(windows: DataFrame) -> DataFrame:
         if digest is not None:
             yield pd.DataFrame([ended()], columns=names)
 
-    return windows.mapInPandas(run, schema).withColumn("conv_id", F.col("conv_id").cast("long"))
+    read = windows.withColumn("conv_id", F.col("conv_id").cast("string")).mapInPandas(run, schema)
+    return read.withColumn("conv_id", F.col("conv_id").cast(windows.schema["conv_id"].dataType))
