@@ -61,5 +61,14 @@ def test_nothing_to_learn(spark, rows):
 
 def test_sample_is_bounded(spark):
     rows = corpus(300)
-    model = langid.fit(spark.createDataFrame(rows, SCHEMA), per_language=5)
-    assert set(model.languages) <= set(WORDS)
+    # One id three thousand times with one text, one with a thousand texts: neither is more than its share.
+    rows += [(5, "one text of one id", "en")] * 3000 + [(7, f"the text {k} of one id", "en") for k in range(1000)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    assert sorted(r["count"] for r in langid.sample(docs, 5).groupBy("lang").count().collect()) == [5, 5, 5]
+    assert set(langid.fit(docs, per_language=5).languages) <= set(WORDS)
+
+
+def test_characters_that_are_no_letters(spark):
+    docs = spark.createDataFrame(corpus(100) + [(900, "½ ² Ⅷ 9", None), (901, "½ ² é", None)], SCHEMA)
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.identify(docs).collect()}
+    assert got[900] == "und" and got[901] != "und"

@@ -7,25 +7,25 @@ the largest cosine, and is marked rejected where even that one is too far.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import need
 
 BUCKETS = 1 << 13
-#: Labelled documents a language that the classifier is fitted on at most: those of the least
-#: hashed ids. Everything else reads all rows and whole texts.
+#: Labelled texts a language that the classifier is fitted on at most: those of the least hashed
+#: ids, each text of an id once. Everything else reads all rows and whole texts.
 SAMPLE = 250
 CENTROIDS, ROUNDS = 3, 12
 #: A text is rejected below this part of the cosine that 99 in 100 of a centroid's own texts reach.
 REJECT = 0.6
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 #: ASCII that is no letter counts as a space.
 FOLD = np.array([b if b >= 128 or chr(b).isalpha() else 32 for b in range(256)], np.uint8)
 
@@ -71,20 +71,28 @@ def clustered(rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return centres, rows @ centres.T
 
 
+def sample(docs: DataFrame, per_language: int) -> DataFrame:
+    """doc_id, lang, text of the labelled rows that are learned from: at most per_language for
+    each value of lang, whatever repeats, those of the least hashed ids."""
+    labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).withColumn("h", F.xxhash64("text"))
+    # Rows that are equal in all of these have one rank, and are one once they are distinct.
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "h")
+    chosen = labelled.select("doc_id", "lang", "h").withColumn("nth", F.dense_rank().over(order)).where(F.col("nth") <= per_language).select("doc_id", "lang", "h").distinct()
+    return labelled.join(F.broadcast(chosen), ["doc_id", "lang", "h"]).dropDuplicates(["doc_id", "lang", "h"]).select("doc_id", "lang", "text")
+
+
 def fit(docs: DataFrame, per_language: int = SAMPLE) -> Model | None:
-    """The model of the labelled rows with an id that are not held out; None if there are none."""
-    labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    # At most per_language ids a language.
-    chosen = labelled.select("doc_id", "lang").withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= per_language).select("doc_id", "lang")
-    sample = labelled.join(F.broadcast(chosen), ["doc_id", "lang"])
+    """The model of the labelled rows with an id that are not held out; None if there are none.
+
+    The driver gets at most per_language texts' n-grams for each value of lang, whatever repeats.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             found = [counts(t) for t in b["text"]]
             yield pd.DataFrame({"lang": b["lang"], "at": [np.flatnonzero(c).astype(np.int32) for c in found], "n": [c[c > 0] for c in found]})
 
-    rows = sample.select("doc_id", "lang", "text").orderBy("doc_id").select("lang", "text").mapInPandas(run, "lang string, at array<int>, n array<float>").toPandas()
+    rows = sample(docs, per_language).orderBy("doc_id", "lang", "text").select("lang", "text").mapInPandas(run, "lang string, at array<int>, n array<float>").toPandas()
     rows = rows[[len(a) > 0 for a in rows["at"]]]
     if rows.empty:
         return None
