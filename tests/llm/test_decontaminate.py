@@ -1,6 +1,8 @@
 import random
 import re
 
+import numpy as np
+
 from tidemark.llm import common
 from tidemark.llm import decontaminate as dc
 
@@ -60,19 +62,43 @@ def test_against_brute_force(spark):
 
 def test_join_by_shuffle(spark, monkeypatch):
     docs, items = case()
-    monkeypatch.setattr(common.small, "__defaults__", (0,))
+    monkeypatch.setattr(common.fits, "__defaults__", (-1,))
+    monkeypatch.setattr(common.small, "__defaults__", (-1,))
     frames = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items[:60], "item_id long, text string")
     assert {(r["doc_id"], r["item_id"]): r["n_shared"] for r in dc.contained(*frames).collect()} == brute(docs, items[:60])
 
 
 def test_sketch_recall_without_verification():
-    # The bound that extra_bits is built on.
-    import math
-
-    for n in (1, 5, 9, 30, 200):
-        density = 2.0 ** -dc.extra_bits(n)
-        p = (1 - math.exp(-density)) / density
-        assert (1 - p) ** max(1.0, 0.8 * n) <= 1.01 * dc.MISS
+    """Of random sets, how often no least hash of a contained part meets, and how much is kept."""
+    rng = np.random.default_rng(5)
+
+    def least(hashes, bits):
+        hashes = np.sort(hashes)
+        return set(hashes[np.r_[True, np.diff(hashes >> np.uint64(64 - bits)) > 0]].tolist())
+
+    kept = {}
+    for n_item in (1, 9, 17, 40, 120, 500):
+        for k in (6, 9, 12):
+            if 2**k < n_item:
+                continue
+            bits, missed, shares = dc.bits_for(k, n_item), 0, []
+            for _ in range(200):
+                item = rng.integers(0, 2**63, n_item, dtype=np.uint64) * np.uint64(2)
+                doc = np.concatenate([item[: -(-4 * n_item // 5)], rng.integers(0, 2**63, 2**k - -(-4 * n_item // 5), dtype=np.uint64)])
+                mine = least(doc, bits)
+                missed += not mine & least(item, bits)
+                shares.append(len(mine) / len(doc))
+            kept[n_item, k] = np.mean(shares)
+            assert missed <= 1
+    # Longer items need less of a long document: a fifteenth of it for 120 shingles.
+    assert kept[17, 12] < 0.7 and kept[40, 12] < 0.35 and kept[120, 12] < 0.12 and kept[500, 12] < 0.04
+
+
+def test_null_ids_are_not_one_document(spark):
+    """A clean row without an id stays though another one without an id holds an item."""
+    docs = spark.createDataFrame([(None, "a b c d e f g"), (None, "nothing of the kind in here at all"), (1, None)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string")
+    assert sorted((r["text"] or "") for r in dc.decontaminate(docs, items).collect()) == ["", "nothing of the kind in here at all"]
 
 
 def test_empty(spark):

@@ -1,11 +1,13 @@
 """Benchmark decontamination: size-partitioned MinHash containment search, verified exactly.
 
-Documents are partitioned by size. In the partition of up to 2^k shingles, hashes are dealt by
-their top bits into 2^(k + extra) bins, and a set's sketch is the least hash in each bin:
-one-permutation MinHash with as many values as the partition needs, since a short item inside a
-set of u shingles has a Jaccard similarity of only about 1 / u. An item is sketched once for each
-partition that is large enough to contain it. A shared bin minimum makes a candidate; candidates
-are verified by exact shingle containment. DataFrame functions only.
+Documents and items are partitioned by size, a class k holding up to 2^k shingles. For a pair of
+classes, hashes are dealt by their top bits into 2^bits bins, and a set's sketch is the least hash
+in each bin: one-permutation MinHash. A short item inside a set of u shingles has a Jaccard
+similarity of only about 1 / u, so bits follow from both classes: as few as miss an item of the
+least size in its class, contained just to the threshold, with probability MISS. Least hashes of
+wide bins are least in narrow bins too, so a document gives its finest sketch once, each hash
+with its predecessor, and whether it is least for an item's class too shows when they meet.
+Candidates are verified by exact shingle containment. DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -15,11 +17,11 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Scratch, let, need, shingle_hashes, small, words
+from tidemark.llm.common import Scratch, let, met, need, shingle_hashes, small, words
 
 THRESHOLD = 0.8
-#: Probability to miss an item that is contained just to the threshold, for the shortest item.
-MISS = 1e-6
+#: Probability to miss an item that is contained just to the threshold.
+MISS = 1e-4
 LARGEST_CLASS = 30
 
 
@@ -33,21 +35,30 @@ def size_class(n: Column) -> Column:
     return F.least(F.ceil(F.log2(F.greatest(n, F.lit(1)).cast("double"))), F.lit(LARGEST_CLASS)).cast("int")
 
 
-def extra_bits(shortest: int) -> int:
-    """How many more bits than the class the bins need.
+def bits_for(k: int, shortest: int, threshold: float = THRESHOLD) -> int:
+    """The bits of the bins in which sets of class k meet items of shortest shingles and more.
 
     With x hashes in a bin on average, a hash is the least of its bin with probability
-    (1 - exp(-x)) / x, which is over 1 - x / 2; the shortest item has THRESHOLD * shortest chances.
+    (1 - exp(-x)) / x; an item has threshold * shortest chances at least.
     """
-    density = 2 * MISS ** (1 / max(1.0, THRESHOLD * shortest))
-    return max(0, math.ceil(-math.log2(density)))
+    chances = max(1.0, threshold * shortest)
+    for bits in range(1, 63):
+        x = 2.0 ** (k - bits)
+        if (1 - -math.expm1(-x) / x) ** chances <= MISS:
+            return bits
+    return 63
 
 
-def sketch(hashes: Column, k: Column, extra: int) -> Column:
-    """The least hash of each bin. Bins are ranges of the top bits, so that in sorted hashes the
-    first one of a bin is its least."""
-    shift = F.lit(64) - F.greatest(F.lit(1), F.least(k + extra, F.lit(63)))
-    return let(shift, lambda s: let(F.sort_array(hashes), lambda h: F.filter(h, lambda x, i: (i == 0) | (_right(x, s) != _right(F.get(h, i - 1), s)))))
+def least_of_bins(hashes: Column, bits: Column) -> Column:
+    """h and before, the hash below it or null, for the least hash of each bin. Bins are ranges of
+    the top bits, so that in sorted hashes the first one of a bin is its least."""
+    pairs = lambda h: F.transform(h, lambda x, i: F.struct(x.alias("h"), F.get(h, i - 1).alias("before")))
+    return let(F.sort_array(hashes), lambda h: F.filter(pairs(h), lambda p: is_least(p["h"], p["before"], bits)))
+
+
+def is_least(h: Column, before: Column, bits: Column) -> Column:
+    """Whether h is the least of its bin of the top bits, before being the next hash below it."""
+    return before.isNull() | (_right(h, 64 - bits) != _right(before, 64 - bits))
 
 
 def _right(x: Column, bits: Column) -> Column:
@@ -60,31 +71,42 @@ def contained(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -
 
     docs: doc_id, text; items: item_id, text. Null texts and texts of fewer than five words have
     no shingles and match nothing. Rows that repeat an id add their pairs once, with the most
-    shared. An item that a large part of the documents hold is no hot key: documents stay where
-    they are, only items move.
+    shared. Runs jobs on items and candidates when called.
     """
     scratch = Scratch(docs.sparkSession)
     wanted = need(items, "item_id", "text").select("item_id", F.array_distinct(shingles(F.col("text"))).alias("item")).where(F.size("item") > 0)
-    wanted = scratch.save(wanted.withColumn("n_item", F.size("item")))
-    shortest = wanted.agg(F.min("n_item")).first()[0]
+    wanted = scratch.save(wanted.withColumn("n_item", F.size("item")).withColumn("j", size_class(F.col("n_item"))))
     own = need(docs, "doc_id", "text")
-    if shortest is None:
+    # One row for each class of items, at most LARGEST_CLASS + 1.
+    shortest = {r["j"]: r["n"] for r in wanted.groupBy("j").agg(F.min("n_item").alias("n")).collect()}
+    if not shortest:
         return own.select("doc_id").crossJoin(wanted.select("item_id")).where(F.lit(False)).select("doc_id", "item_id", *[F.lit(None).cast(t).alias(c) for c, t in (("n_item", "int"), ("n_shared", "int"), ("containment", "double"))])
-    extra = extra_bits(shortest)
+    bits = {(j, k): bits_for(k, n, threshold) for j, n in shortest.items() for k in range(LARGEST_CLASS + 1)}
+    finest = F.create_map(*[F.lit(x) for k in range(LARGEST_CLASS + 1) for x in (k, max(b for (_, at), b in bits.items() if at == k))])
+    of_pair = F.create_map(*[F.lit(x) for (j, k), b in bits.items() for x in (j * 100 + k, b)])
     least_class = size_class(F.ceil(threshold * F.col("n_item")))
-    partitions = wanted.select("item_id", "item", F.explode(F.sequence(least_class, F.lit(LARGEST_CLASS))).alias("k"))
-    index = scratch.save(partitions.select("item_id", "k", F.explode(sketch(F.col("item"), F.col("k"), extra)).alias("h")))
+    partitions = wanted.select("item_id", "item", "j", F.explode(F.sequence(least_class, F.lit(LARGEST_CLASS))).alias("k")).withColumn("bits", of_pair[F.col("j") * 100 + F.col("k")])
+    index = partitions.select("item_id", "k", "bits", F.explode(least_of_bins(F.col("item"), F.col("bits"))).alias("m"))
+    index = scratch.save(index.select("item_id", "k", "bits", "m.h"))
     hashed = own.select("doc_id", shingles(F.col("text")).alias("all")).where(F.size("all") > 0).withColumn("k", size_class(F.size("all")))
-    minima = hashed.select("doc_id", "k", F.explode(sketch(F.col("all"), F.col("k"), extra)).alias("h"))
-    pairs = scratch.save(minima.join(small(index), ["k", "h"]).select("doc_id", "item_id").distinct())
+    sketched = hashed.select("doc_id", "k", F.explode(least_of_bins(F.col("all"), finest[F.col("k")])).alias("m")).select("doc_id", "k", "m.h", "m.before")
+    # A shingle that very many documents share is dealt into shares of documents.
+    pairs = met(sketched, index, ["k", "h"], F.col("doc_id")).where(is_least(F.col("h"), F.col("before"), F.col("bits")))
+    pairs = scratch.save(pairs.select("doc_id", "item_id").distinct())
     by_doc = pairs.groupBy("doc_id").agg(F.collect_set("item_id").alias("items")).withColumnRenamed("doc_id", "_id")
     found = own.join(small(by_doc), F.col("doc_id").eqNullSafe(F.col("_id"))).select("doc_id", F.array_distinct(shingles(F.col("text"))).alias("all"), F.explode("items").alias("item_id"))
-    shared = found.join(small(wanted, 10_000), "item_id").select("doc_id", "item_id", "n_item", F.size(F.array_intersect("all", "item")).alias("n_shared"))
+    shared = met(found, wanted.drop("j"), ["item_id"], F.col("doc_id")).select("doc_id", "item_id", "n_item", F.size(F.array_intersect("all", "item")).alias("n_shared"))
     verified = shared.where(F.col("n_shared") >= threshold * F.col("n_item")).groupBy("doc_id", "item_id", "n_item").agg(F.max("n_shared").alias("n_shared"))
     return verified.withColumn("containment", F.col("n_shared") / F.col("n_item"))
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """docs without the documents that hold an item; all others as they are."""
-    hit = Scratch(docs.sparkSession).save(contained(docs, items, threshold).select("doc_id").distinct().withColumnRenamed("doc_id", "_hit"))
-    return docs.join(small(hit), docs["doc_id"].eqNullSafe(hit["_hit"]), "left_anti")
+    """docs without the documents that hold an item; all others as they are.
+
+    A text decides its own fate, so rows are told apart by its digest and not by ids, which may
+    be null or repeated.
+    """
+    own = F.md5(F.col("`text`").cast("binary"))
+    hit = contained(docs.select(own.alias("doc_id"), F.col("`text`").alias("text")), items, threshold)
+    hit = Scratch(docs.sparkSession).save(hit.select(F.col("doc_id").alias("_hit")).distinct())
+    return docs.join(small(hit), F.md5(docs["`text`"].cast("binary")) == hit["_hit"], "left_anti")
