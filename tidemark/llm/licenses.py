@@ -1,9 +1,10 @@
-"""License scans: TF-IDF cosine to notice templates, then the nearest ancestor directory's licence.
+"""License scans: TF-IDF cosine to templates, then the nearest ancestor directory's licence.
 
-Every line of a text and every run of lines that may hold a wrapped notice are candidates, and a
-licence file's whole text is one more. Terms
-are weighed by how many documents of the whole corpus have them. Directories then inherit from
-their nearest ancestor with a licence file, by joins on paths.
+A file's whole text is compared with whole licence texts, which tell versions apart by all their
+terms. Where it is none of these, every line of it and every run of lines that may hold a wrapped
+notice are compared with short notices. Terms are weighed by how many documents of the whole corpus
+have them. Directories then inherit from their nearest ancestor with a licence file, by joins on
+paths.
 """
 
 from __future__ import annotations
@@ -12,6 +13,8 @@ import math
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from importlib.resources import files as resources
+from importlib.resources.abc import Traversable
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -20,7 +23,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import Scratch
 
 # Short forms in which these licences are declared, and what their texts grant.
-TEMPLATES = {
+NOTICES = {
     "MIT": [
         "Released under the MIT License.",
         "Licensed under the MIT license. See the LICENSE file for details.",
@@ -71,7 +74,10 @@ TEMPLATES = {
 #: Names of files whose licence holds for their directory and those below.
 LICENSE_FILE = r"(?i)^(licen[sc]e|copying|notice|unlicense)([.-].*)?$"
 TERM = re.compile(r"[a-z0-9]+(?:[.+-][a-z0-9]+)*")
-THRESHOLD = 0.6
+#: The least cosine to a notice, and to a whole licence text.
+THRESHOLD, WHOLE = 0.6, 0.9
+#: A folder of licence texts, each named by its licence.
+TEXTS = resources("tidemark.llm") / "license_texts"
 
 
 def terms(text: str) -> list[str]:
@@ -80,27 +86,31 @@ def terms(text: str) -> list[str]:
 
 #: Terms of the longest template. A copy of a template, wrapped at whatever width, has its inner
 #: lines to itself, so a run has no more terms than this beside those of its first and last line.
-LONGEST = max(len(TERM.findall(x.lower())) for texts in TEMPLATES.values() for x in texts)
+LONGEST = max(len(TERM.findall(x.lower())) for texts in NOTICES.values() for x in texts)
 
 
-def document_counts(files: DataFrame) -> tuple[int, dict[str, int]]:
-    """How many rows there are, and how many have each template term, over all whole texts."""
-    vocabulary = sorted({t for texts in TEMPLATES.values() for x in texts for t in terms(x)})
-    found = F.array_intersect(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(TERM.pattern), F.lit(0)), F.lit(vocabulary))
-    rows = files.select(F.explode_outer(F.concat(found, F.array(F.lit("")))).alias("term")).groupBy("term").count().collect()
-    counts = {r["term"]: r["count"] for r in rows}
-    return counts.pop("", 0), counts
+def whole_texts(folder: Traversable) -> dict[str, list[str]]:
+    return {p.name.removesuffix(".txt"): [p.read_text()] for p in sorted(folder.iterdir(), key=lambda p: p.name) if p.name.endswith(".txt")}
+
+
+def document_counts(files: DataFrame, vocabulary: set[str]) -> tuple[int, dict[str, int]]:
+    """How many rows there are, and how many have each term of the vocabulary, over whole texts."""
+    found = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(TERM.pattern), F.lit(0)))
+    # The vocabulary is that of the templates, whatever the corpus.
+    wanted = files.sparkSession.createDataFrame([(t,) for t in sorted(vocabulary)], "term string")
+    rows = files.select(F.explode(found).alias("term")).join(F.broadcast(wanted), "term").groupBy("term").count().collect()
+    return files.count(), {r["term"]: r["count"] for r in rows}
 
 
 class Matcher:
     """Cosine of a token list to every template, with the corpus weights."""
 
-    def __init__(self, n: int, counts: dict[str, int], threshold: float):
-        self.weight = lambda t: math.log((1 + n) / (1 + counts.get(t, 0))) + 1
+    def __init__(self, n: int, counts: dict[str, int], threshold: float, templates: dict[str, list[str]] | None = None):
+        self.n, self.counts = n, counts
         self.threshold = threshold
         self.postings: dict[str, list[tuple[int, float]]] = defaultdict(list)
         self.names, self.rare = [], set()
-        for name, texts in TEMPLATES.items():
+        for name, texts in (NOTICES if templates is None else templates).items():
             for x in texts:
                 vector = {t: k * self.weight(t) for t, k in Counter(terms(x)).items()}
                 norm = math.sqrt(sum(v * v for v in vector.values()))
@@ -115,6 +125,9 @@ class Matcher:
                         self.rare.add(t)
                 self.names.append(name)
 
+    def weight(self, term: str) -> float:
+        return math.log((1 + self.n) / (1 + self.counts.get(term, 0))) + 1
+
     def best(self, found: list[str]) -> tuple[str | None, float]:
         if self.rare.isdisjoint(found):
             return None, 0.0
@@ -166,26 +179,28 @@ class Matcher:
         return (best_name, best) if best >= self.threshold else (None, 0.0)
 
 
-def declared(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, path, own_license, own_score: the licence that a file's best line or run of lines,
-    or a licence file's whole text, declares; null and 0 if none reaches the threshold."""
-    n, counts = document_counts(files)
+def declared(files: DataFrame, threshold: float = THRESHOLD, texts: Traversable = TEXTS) -> DataFrame:
+    """doc_id, path, own_license, own_score: the licence that a file's whole text is, or else the
+    one that its best line or run of lines declares; null and 0 if none reaches its threshold."""
+    whole = whole_texts(texts)
+    n, counts = document_counts(files, {t for of in (NOTICES, whole) for xs in of.values() for x in xs for t in terms(x)})
+    shipped = files.sparkSession.sparkContext.broadcast((Matcher(n, counts, threshold), Matcher(n, counts, WHOLE, whole)))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        matcher, name = Matcher(n, counts, threshold), re.compile(LICENSE_FILE)
+        notices, licences = shipped.value
         for b in batches:
             out = []
             for doc, path, text in zip(b["doc_id"], b["path"], b["text"], strict=True):
                 lines = [terms(x) for x in text.split("\n")]
-                found = matcher.best_run(lines)
-                if name.match(path.rpartition("/")[2]):
-                    found = max(found, matcher.best([t for x in lines for t in x]), key=lambda p: (p[1], p[0] or ""))
+                found = licences.best([t for x in lines for t in x])
+                if found[0] is None:
+                    found = notices.best_run(lines)
                 out.append((doc, path, *found))
             yield pd.DataFrame(out, columns=["doc_id", "path", "own_license", "own_score"])
 
     slim = files.select(F.col("doc_id").cast("string"), F.coalesce("path", F.lit("")).alias("path"), F.coalesce("text", F.lit("")).alias("text"))
     found = slim.mapInPandas(run, "doc_id string, path string, own_license string, own_score double")
-    return found.withColumn("doc_id", F.col("doc_id").cast("long"))
+    return found.withColumn("doc_id", F.col("doc_id").cast(files.schema["doc_id"].dataType))
 
 
 def directory(path):
