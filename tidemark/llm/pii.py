@@ -7,6 +7,8 @@ two values never share one, and equal values stay linked across documents. Nothi
 
 from __future__ import annotations
 
+import hashlib
+import hmac
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -15,13 +17,19 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import let
 
 #: What each kind looks like; checks follow. Order matters: the first that matches takes the text.
-EMAIL = r"(?<![\w.%+-])[\w.%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*(?<=\.[A-Za-z]{2,24})"
+EMAIL = r"(?<![\w.%+\p{L}-])[\w.%+\p{L}\p{N}-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*(?<=\.[A-Za-z]{2,24})"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])"
 #: Cards in one run, in fours or as 4-6-5, so that a number next to one is no part of it.
 CARD = r"(?<![0-9.-])(?:[0-9]{13,19}|[0-9]{4}(?: [0-9]{4}){3}|[0-9]{4}(?:-[0-9]{4}){3}|[0-9]{4} [0-9]{6} [0-9]{5}|[0-9]{4}-[0-9]{6}-[0-9]{5})(?![0-9])"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 DATE = r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}|[0-9]{4}/[0-9]{1,2}/[0-9]{1,2}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4})(?![0-9/-])(?!\.[0-9])"
 IP = r"(?<![0-9.])[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}(?!\.?[0-9])"
+#: Global, local and link-local addresses, in full or with one run of zeros left out.
+IPV6 = r"(?<![\w:.])(?:[23][0-9A-Fa-f]{3}|[fF][c-eC-E][0-9A-Fa-f]{2})(?:(?::[0-9A-Fa-f]{1,4}){7}|(?::[0-9A-Fa-f]{1,4}){0,5}::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,4})?)(?![\w:])"
+# The months.
+MONTHS = "January February March April May June July August September October November December".split()
+MONTH = r"(?:Jan(?:uary)?|Feb(?:ruary)?|Mar(?:ch)?|Apr(?:il)?|May|June?|July?|Aug(?:ust)?|Sept?(?:ember)?|Oct(?:ober)?|Nov(?:ember)?|Dec(?:ember)?)"
+DATE_WORDS = rf"(?<![\w.])[0-9]{{1,2}}(?:st|nd|rd|th)? (?:of )?{MONTH}\.?,? [0-9]{{4}}(?![0-9])|(?<!\w){MONTH}\.? [0-9]{{1,2}}(?:st|nd|rd|th)?,? [0-9]{{4}}(?![0-9])"
 PHONE_PLAIN = r"(?<![0-9(])\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}(?![0-9])|(?<![0-9.-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![0-9-])"
 #: A blank in a number with a + is no part of it if another value follows; from the seventh digit
 #: on, a plain phone number is one too; four groups of a longer run are no card. After +1 and an area code in brackets seven digits follow.
@@ -32,15 +40,26 @@ PHONE_PLUS = (
 )
 #: What a found phone looks like by itself, where nothing follows that could bound it.
 PHONE = rf"\+[0-9]{{1,3}}[ .-]?(?:\([0-9]{{1,4}}\)[ .-]?)?[0-9](?:[ .-]?[0-9]){{5,12}}(?![0-9])|{PHONE_PLAIN}"
-ANY = "|".join(f"(?:{p})" for p in (EMAIL, IBAN, CARD, SSN, DATE, IP, f"{PHONE_PLUS}|{PHONE_PLAIN}"))
+ANY = "|".join(f"(?:{p})" for p in (EMAIL, IBAN, CARD, SSN, DATE, DATE_WORDS, IP, IPV6, f"{PHONE_PLUS}|{PHONE_PLAIN}"))
 
 LOWER, UPPER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+#: Letters beyond ASCII move within their alphabet's range too; those of other scripts stay.
+RANGES = ((0xE0, 0xF6), (0xC0, 0xD6), (0x3B1, 0x3C9), (0x391, 0x3A1), (0x430, 0x44F), (0x410, 0x42F))
+ALPHABETS = (LOWER, UPPER, DIGITS, *("".join(map(chr, range(a, z + 1))) for a, z in RANGES))
 ROUNDS = 6
 
 
-def keyed(key: str, label: str, value: Column) -> Column:
+def round_key(key: str | Column, label: str) -> Column:
+    """The key of one round. Of a text key, plans and event logs show only what is derived here,
+    which stands for the rounds' keys and not for the key itself; of a column nothing is shown."""
+    if isinstance(key, Column):
+        return F.concat(key, F.lit(f"|{label}|"))
+    return F.lit(hmac.new(key.encode(), label.encode(), hashlib.sha256).hexdigest())
+
+
+def keyed(key: str | Column, label: str, value: Column) -> Column:
     """A keyed number below 2^60 for a value."""
-    return F.conv(F.substring(F.sha2(F.concat(F.lit(f"{key}|{label}|"), value.cast("string")), 256), 1, 15), 16, 10).cast("long")
+    return F.conv(F.substring(F.sha2(F.concat(round_key(key, label), value.cast("string")), 256), 1, 15), 16, 10).cast("long")
 
 
 def feistel(x: Column, a: Column | int, b: Column | int, key: str, label: str) -> Column:
@@ -109,21 +128,21 @@ def mod97(s: Column) -> Column:
     )
 
 
-def shift_string(s: Column, key: str, label: str) -> Column:
-    """A string permuted among those with letters, capitals and digits in the same places.
+def shift_string(s: Column, key: str | Column, label: str, alphabets: tuple[str, ...] = (LOWER, UPPER, DIGITS)) -> Column:
+    """A string permuted among those with characters of the same alphabets in the same places.
 
     The halves take turns: each character of one moves within its class by a keyed amount that
     depends on the other half.
     """
 
     def moved(part: Column, other: Column, r: int) -> Column:
-        stream = F.sha2(F.concat(F.lit(f"{key}|{label}{r}|"), other), 512)
+        stream = F.sha2(F.concat(round_key(key, f"{label}{r}"), other), 512)
 
         def one(hex_: Column, i: Column) -> Column:
             c = F.substr(part, i, F.lit(1))
             by = F.conv(F.substr(hex_, 2 * F.pmod(i - 1, F.lit(63)) + 1, F.lit(3)), 16, 10).cast("int")
             out = c
-            for alphabet in (LOWER, UPPER, DIGITS):
+            for alphabet in alphabets:
                 at = F.instr(F.lit(alphabet), c)
                 out = F.when((c != "") & (at > 0), F.substr(F.lit(alphabet), F.pmod(at - 1 + by, F.lit(len(alphabet))) + 1, F.lit(1))).otherwise(out)
             return out
@@ -202,6 +221,37 @@ def date(m: Column, key: str) -> Column:
     return F.coalesce(out, m)
 
 
+def date_words(m: Column, key: str) -> Column:
+    """A day, a month by name and a year, permuted as a date; a short month's name stays short."""
+    month = F.regexp_extract(m, f"({MONTH})", 1)
+    nth = F.floor(F.instr(F.lit("".join(n[:3] for n in MONTHS)), F.substr(month, F.lit(1), F.lit(3))) / 3).cast("int") + 1
+    day = F.regexp_extract(m, "(?<![0-9])([0-9]{1,2})(?![0-9])", 1)
+    full = F.array(*[F.lit(n) for n in MONTHS])
+    d = F.try_to_date(F.concat_ws("-", F.regexp_extract(m, "([0-9]{4})$", 1), padded(nth, 2), F.lpad(day, 2, "0")), "yyyy-MM-dd")
+
+    def shown(x: Column) -> Column:
+        n = F.dayofmonth(x)
+        ending = F.when(n.isin(1, 21, 31), "st").when(n.isin(2, 22), "nd").when(n.isin(3, 23), "rd").otherwise("th")
+        digits = F.when(F.startswith(day, F.lit("0")), padded(n, 2)).otherwise(n.cast("string"))
+        name = F.get(full, F.month(x) - 1)
+        name = F.when(month == F.get(full, nth - 1), name).otherwise(F.substr(name, F.lit(1), F.lit(3)))
+        out = F.regexp_replace(m, F.lit("[0-9]{4}$"), padded(F.year(x), 4))
+        out = F.regexp_replace(out, F.lit("(?<![0-9])[0-9]{1,2}(?:st|nd|rd|th)?(?![0-9])"), F.concat(digits, F.when(m.rlike("[0-9](?:st|nd|rd|th)"), ending).otherwise("")))
+        return F.regexp_replace(out, F.lit(MONTH), name)
+
+    moved = let(d, lambda x: F.when(x.isNotNull() & (F.year(x) > 0), let(move_date(x, key), shown)))
+    return F.coalesce(moved, m)
+
+
+def ipv6(m: Column, key: str) -> Column:
+    """The first group stays; the digits of the others are permuted in their places. Two ways to
+    write an address are two values."""
+    first = F.regexp_extract(m, "^([^:]+)", 1)
+    rest = F.substr(m, F.length(first) + 1, F.length(m))
+    low, high = (shift_string(rest, key, "ipv6", (DIGITS + letters,)) for letters in ("abcdef", "ABCDEF"))
+    return F.concat(first, F.when(rest.rlike("[A-F]") & ~rest.rlike("[a-f]"), high).when(~rest.rlike("[A-F]"), low).otherwise(shift_string(rest, key, "ipv6", (DIGITS, "abcdef", "ABCDEF"))))
+
+
 def ip(m: Column, key: str) -> Column:
     """Addresses from 1.0.0.0 to 223.255.255.255, permuted among themselves."""
     o = [F.split(m, r"\.")[i].cast("long") for i in range(4)]
@@ -229,19 +279,20 @@ def phone(m: Column, key: str) -> Column:
 def email(m: Column, key: str) -> Column:
     """The part before the @ is permuted; the domain stays."""
     at = F.instr(m, "@")
-    return F.concat(shift_string(F.substr(m, F.lit(1), at - 1), key, "email"), F.substr(m, at, F.length(m)))
+    return F.concat(shift_string(F.substr(m, F.lit(1), at - 1), key, "email", ALPHABETS), F.substr(m, at, F.length(m)))
 
 
 def pseudonym(m: Column, key: str) -> Column:
     """What stands for a found value; the value itself if its check fails."""
     whole = lambda p: m.rlike(f"^(?:{p})$")
-    kinds = ((EMAIL, email), (IBAN, iban), (CARD, card), (SSN, ssn), (DATE, date), (IP, ip), (PHONE, phone))
+    kinds = ((EMAIL, email), (IBAN, iban), (CARD, card), (SSN, ssn), (DATE, date), (DATE_WORDS, date_words), (IP, ip), (IPV6, ipv6), (PHONE, phone))
     return reduce(lambda out, kind: F.when(whole(kind[0]), kind[1](m, key)).otherwise(out), reversed(kinds), m)
 
 
 def pseudonymise(docs: DataFrame, key: str, text: str = "text", count_as: str | None = "pii_values") -> DataFrame:
     """docs with its text column pseudonymised and a column count_as, the number of values changed.
 
+    key is a secret text, or a column that holds it, as from a one-row table that is broadcast.
     With count_as None there is no such column, and all columns of docs stay whatever their names.
 
     Null texts stay null with 0 values, empty ones empty. All other columns and rows stay. Each
