@@ -24,12 +24,17 @@ def brute(rows):
     norm = lambda x: re.sub(r"\s+", " ", x).strip(" ").lower()
     docs = defaultdict(set)
     hosts = defaultdict(set)
-    judged = lambda t: [x for x in (t or "").split("\n") if len(WORD.findall(x)) >= 5]
+    judged = lambda t: [x for x in (t or "").split("\n") if WORD.search(x)]
     for i, s, t, _ in rows:
         hosts[s].add(i)
         for x in judged(t):
             docs[(s, norm(x))].add(i)
-    over = {k: min(v) for k, v in docs.items() if len(v) >= 5 and (len(v) > 20 or len(v) > 0.1 * len(hosts[k[0]]))}
+    def common(host, line, n):
+        if len(WORD.findall(line)) >= 5:
+            return n >= 5 and (n > 20 or n > 0.1 * len(hosts[host]))
+        return n >= 10 and n > 0.3 * len(hosts[host])
+
+    over = {k: min(v) for k, v in docs.items() if common(*k, len(v))}
     out = []
     for i, s, t, _ in rows:
         base = brute_base(t)
@@ -52,6 +57,8 @@ def corpus():
         text = own(k)
         if k % 2:
             text = "Please  accept all of our cookies\n" + text
+        if k % 4:
+            text = f"main  menu\n{text}\n" + ("more of it" if k % 8 == 1 else "next")
         if k % 10 == 3:
             text = "subscribe to our daily news letter\nshare this page with all your friends\nread the terms of this site today\n" + f"short own {k}"
         rows.append((k, f"h{k % 2}" if k % 3 else "hot", text, len(text)))

@@ -13,8 +13,11 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import SHINGLE, WORD, Scratch, let, need, shingle_hashes, words
 
 #: A line is boilerplate if more than MAX_DOCS documents of its host have it, or more than
-#: MAX_SHARE of them and MIN_DOCS at least. Lines of fewer than MIN_LINE_WORDS words are not judged.
-MAX_DOCS, MAX_SHARE, MIN_DOCS, MIN_LINE_WORDS = 20, 0.1, 5, 5
+#: MAX_SHARE of them and MIN_DOCS at least.
+MAX_DOCS, MAX_SHARE, MIN_DOCS = 20, 0.1, 5
+#: A line of fewer than LINE_WORDS words may well be a heading of many texts: it is boilerplate
+#: only if more than SHORT_SHARE of the host's documents have it, and SHORT_DOCS at least.
+LINE_WORDS, SHORT_SHARE, SHORT_DOCS = 5, 0.3, 10
 #: A document is depleted if less than this part of its words is left.
 MIN_LEFT = 0.5
 #: Common lines are joined in so many shares. MIN_DOCS documents share each line that is copied
@@ -53,14 +56,14 @@ def repeated_words(hashes: Column) -> Column:
 
 def statistics(docs: DataFrame) -> DataFrame:
     """doc_id, source, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and lines,
-    an array of the hash and the words of each line that is judged.
+    an array of the hash and the number of words of each line with a word.
 
     A null text has no words and no lines.
     """
     text = F.coalesce("text", F.lit(""))
     with_words = need(docs, "doc_id", "source", "text").select("doc_id", "source", text.alias("text"), words(F.col("text")).alias("w"))
     worded = F.filter(lines_of(F.col("text")), lambda x: x.rlike(WORD))
-    judged = let(worded, lambda ls: F.filter(F.transform(ls, lambda x: F.struct(line_hash(x).alias("h"), word_count(x).alias("n"))), lambda x: x["n"] >= MIN_LINE_WORDS))
+    judged = let(worded, lambda ls: F.transform(ls, lambda x: F.struct(line_hash(x).alias("h"), word_count(x).alias("n"))))
     return with_words.select(
         "doc_id", "source",
         F.size("w").cast("long").alias("n_words"),
@@ -76,16 +79,23 @@ def base_failed() -> Column:
     return (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
 
 
+def documents() -> Column:
+    """How many documents; those without an id are one."""
+    return F.count_distinct("doc_id") + F.max(F.col("doc_id").isNull().cast("int"))
+
+
 def common_lines(stats: DataFrame) -> DataFrame:
     """doc_id, source, gone: for each document that loses lines, their hashes.
 
     Distinct documents are counted per host and line, and per host. The first document (by id)
     with a line keeps it, so no content is lost from all. A null source is a host of its own.
     """
-    lines = stats.select("doc_id", "source", F.explode(F.array_distinct(F.transform("lines", lambda x: x["h"]))).alias("h"))
-    hosts = stats.groupBy("source").agg(F.count_distinct(F.coalesce("doc_id", F.lit(-1))).alias("host_docs")).select(F.col("source").alias("host"), "host_docs")
-    counts = lines.groupBy("source", "h").agg(F.count_distinct(F.coalesce("doc_id", F.lit(-1))).alias("n_docs"), F.min("doc_id").alias("first_id")).where(F.col("n_docs") >= MIN_DOCS)
-    over = counts.join(hosts, F.col("source").eqNullSafe(F.col("host"))).where((F.col("n_docs") > MAX_DOCS) | (F.col("n_docs") > MAX_SHARE * F.col("host_docs")))
+    lines = stats.select("doc_id", "source", F.explode(F.array_distinct("lines")).alias("line")).select("doc_id", "source", "line.h", "line.n")
+    hosts = stats.groupBy("source").agg(documents().alias("host_docs")).select(F.col("source").alias("host"), "host_docs")
+    counts = lines.groupBy("source", "h").agg(documents().alias("n_docs"), F.min("doc_id").alias("first_id"), F.max("n").alias("n")).where(F.col("n_docs") >= MIN_DOCS)
+    long = (F.col("n") >= LINE_WORDS) & ((F.col("n_docs") > MAX_DOCS) | (F.col("n_docs") > MAX_SHARE * F.col("host_docs")))
+    short = (F.col("n") < LINE_WORDS) & (F.col("n_docs") >= SHORT_DOCS) & (F.col("n_docs") > SHORT_SHARE * F.col("host_docs"))
+    over = counts.join(hosts, F.col("source").eqNullSafe(F.col("host"))).where(long | short)
     over = over.select(F.col("source").alias("host"), F.col("h").alias("line"), "first_id", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("share"))
     salted = lines.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
     found = salted.join(over, (F.col("h") == F.col("line")) & (F.col("salt") == F.col("share")) & F.col("source").eqNullSafe(F.col("host")))
@@ -130,7 +140,7 @@ def clean(docs: DataFrame) -> DataFrame:
     held = docs.select(F.col("doc_id").alias("_own_id"), F.col("source").alias("_own_host"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"))
     joined = held.join(fate, F.col("_own_id").eqNullSafe(F.col("_id")) & F.col("_own_host").eqNullSafe(F.col("_host")), "left").where(~F.coalesce("_rejected", F.lit(False)))
     old = F.col("_doc")["text"]
-    stays = F.filter(lines_of(old), lambda x: (word_count(x) < MIN_LINE_WORDS) | ~F.array_contains("_gone", line_hash(x)))
+    stays = F.filter(lines_of(old), lambda x: ~F.array_contains("_gone", line_hash(x)))
     out = joined.withColumn("_text", F.when(F.col("_gone").isNull() | old.isNull(), old).otherwise(F.array_join(stays, "\n")))
     new = {"text": F.col("_text")}
     if "n_chars" in docs.columns:

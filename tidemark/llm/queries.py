@@ -31,11 +31,11 @@ rep AS (SELECT doc_id, sum(s) AS n FROM (SELECT doc_id, least(5, coalesce(lead(i
 l AS (SELECT doc_id, source, unnest(string_split(t, chr(10))) AS line FROM docs),
 lw AS (SELECT doc_id, source, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
 dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM lw GROUP BY doc_id),
-norm AS (SELECT doc_id, source, n, lower(trim(regexp_replace(line, '\s+', ' ', 'g'))) AS k FROM lw WHERE n >= 5),
+norm AS (SELECT doc_id, source, n, lower(trim(regexp_replace(line, '\s+', ' ', 'g'))) AS k FROM lw),
 hosts AS (SELECT source, count(DISTINCT doc_id) AS host_docs FROM docs GROUP BY source),
-freq AS (SELECT source, k, count(DISTINCT doc_id) AS n_docs, min(doc_id) AS first_id FROM norm GROUP BY source, k),
+freq AS (SELECT source, k, count(DISTINCT doc_id) AS n_docs, min(doc_id) AS first_id, max(n) AS n FROM norm GROUP BY source, k),
 over_limit AS (SELECT f.source, f.k, f.first_id FROM freq f JOIN hosts h ON f.source IS NOT DISTINCT FROM h.source
-         WHERE f.n_docs >= 5 AND (f.n_docs > 20 OR f.n_docs > 0.1 * h.host_docs)),
+         WHERE CASE WHEN f.n >= 5 THEN f.n_docs >= 5 AND (f.n_docs > 20 OR f.n_docs > 0.1 * h.host_docs) ELSE f.n_docs >= 10 AND f.n_docs > 0.3 * h.host_docs END),
 gone AS (SELECT n.doc_id, sum(n.n) AS n FROM norm n JOIN over_limit o ON n.source IS NOT DISTINCT FROM o.source AND n.k = o.k AND n.doc_id <> o.first_id GROUP BY n.doc_id),
 s AS (SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, CAST(length(array_to_string(w.w, '')) AS BIGINT) AS word_chars,
        CAST(length(regexp_replace(w.t, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols,
