@@ -119,6 +119,40 @@ def test_shingle_sets():
     assert (neardup.shingle_set("A B c D e f") == neardup.shingle_set("a b\nc d  e F")).all()
 
 
+def test_an_id_with_several_texts(spark):
+    """Id 1 comes with two texts, of which 2 and 3 have a copy each, 4 a near copy of the second."""
+    rng = random.Random(8)
+    a, b = (" ".join(f"t{rng.randrange(10**6)}" for _ in range(90)) for _ in range(2))
+    rows = [(1, a), (1, b), (2, a), (3, b), (4, f"{b} more"), (5, "not like these at all")]
+    assert run(spark, rows) == brute(rows)
+
+
+def test_ids_that_are_strings(spark):
+    rows = [(f"k{d}" if d is not None else None, t) for d, t in corpus(6, groups=6)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    assert sorted(map(tuple, neardup.near_duplicates(docs).collect()), key=str) == brute(rows)
+
+
+def test_a_large_candidate_component_that_does_not_hold(spark, monkeypatch):
+    """Texts of one form, mostly just under the threshold: sketches link nearly all of them, full
+    sets only some, and those not along the first links. Every one of these is found."""
+    monkeypatch.setattr(neardup, "BLOCK", 20)
+    rng = random.Random(9)
+    form = [f"form{k}" for k in range(200)]
+    texts = []
+    for _ in range(150):
+        w = list(form)
+        for at in rng.sample(range(0, 200, 10), rng.choice([1, 2, 3])):
+            w[at] = f"v{rng.randrange(10**6)}"
+        texts.append(" ".join(w))
+    rows = list(enumerate(texts))
+    want = brute(rows, 88)
+    assert 10 < sum(r[3] for r in want) < 120
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(map(tuple, neardup.near_duplicates(docs, 88).collect()), key=str)
+    assert sum(g == w for g, w in zip(got, want)) >= 0.98 * len(want)
+
+
 def test_empty_and_long(spark):
     assert run(spark, []) == []
     long = " ".join(f"w{k}" for k in range(30_000))
@@ -189,7 +223,7 @@ def test_leaf_links_connect_what_is_alike(spark, monkeypatch):
     base = rng.integers(0, 256, (20, neardup.COORDINATES), dtype=np.uint8)
     sketches = np.concatenate([np.where(rng.random((4, neardup.COORDINATES)) < 0.12, rng.integers(0, 256, (4, neardup.COORDINATES)), b).astype(np.uint8) for b in base])
     rows = [(i, bytearray(x.tobytes()), 5) for i, x in enumerate(sketches)]
-    found = neardup.leaf_links(spark.createDataFrame(rows, "doc_id long, sketch binary, leaf long"), Scratch(spark)).collect()
+    found = neardup.leaf_links(spark.createDataFrame(rows, "vertex long, sketch binary, leaf long"), Scratch(spark)).collect()
     groups = neardup.Groups(len(rows))
     for a, b in found:
         groups.join(a, b)

@@ -5,7 +5,9 @@ several independent trees a vertex walks a path: at every node a coordinate that
 selects, and the vertex's minwise value there is its branch. Rows sorted by path are the tree; a
 node of few vertices is compared exhaustively, a larger one branches on, and one that is still
 large at the last level is compared with a pivot and, for those unlike the pivot, with all.
-Comparison is by sketches; links are then confirmed on full shingle sets, each text moved once.
+Comparison is by sketches. Links are then confirmed on full shingle sets: all pairs of a small
+candidate component at one place, the links of a large one edge by edge, and of what that leaves
+unconnected every pair that is alike.
 """
 
 from __future__ import annotations
@@ -13,22 +15,30 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from functools import reduce
+from itertools import islice
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tidemark.llm.common import SHINGLE, Scratch, need, small
+from tidemark.llm.common import SHINGLE, Scratch, met, need, small
 
 COORDINATES, LEVELS = 64, 4
 #: Nodes of up to SMALL vertices are compared exhaustively, at any level.
 SMALL = 48
 #: A node of more rows than HOT is dealt out by its children, and in blocks at the last level.
-HOT = 20_000
-#: Texts of one candidate component that meet in a group.
+HOT = 512
+#: Vertices of a candidate component whose texts meet at one place, and of a hub's links.
 BLOCK = 300
+#: Rows of nodes that one task compares, about.
+TASK_ROWS = 8_192
+#: Sketches to compare in a component, up to which its leftover vertices meet all others.
+PAIRS = 10**11
+#: Links that a task holds before it passes them on.
+HELD = 100_000
 #: At the threshold itself, the share of pairs that the sketches, and that the trees, may miss.
 SKETCH_MISS, TREE_MISS = 1e-4, 0.003
 #: Remembered word hashes of one worker.
@@ -118,11 +128,16 @@ def paths(values: np.ndarray, trees: int) -> np.ndarray:
     return out
 
 
+def text_key():
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
 def features(docs: DataFrame, trees: int) -> DataFrame:
-    """doc_id, n_shingles, print_a, print_b, sketch, path for each row; path: trees * LEVELS names."""
+    """doc_id, text_key, n_shingles, print_a, print_b, sketch, path for each row; path: trees *
+    LEVELS names; text_key: which of an id's texts it is."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "n_shingles", "print_a", "print_b", "sketch", "path"]
+        names = ["doc_id", "text_key", "n_shingles", "print_a", "print_b", "sketch", "path"]
         with np.errstate(over="ignore"):
             for b in batches:
                 sizes, prints, values = [], [], []
@@ -140,12 +155,12 @@ def features(docs: DataFrame, trees: int) -> DataFrame:
                 offsets = np.arange(0, n * trees * LEVELS + 1, trees * LEVELS, dtype=np.int32)
                 p = np.array(prints, np.uint64).astype(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(p[:, 0]), pa.array(p[:, 1]), pa.array([r.tobytes() for r in sketch], pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))],
+                    [b.column("doc_id"), b.column("text_key"), pa.array(sizes, pa.int64()), pa.array(p[:, 0]), pa.array(p[:, 1]), pa.array([r.tobytes() for r in sketch], pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))],
                     names,
                 )
 
-    slim = need(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text")
-    return slim.mapInArrow(run, "doc_id long, n_shingles long, print_a long, print_b long, sketch binary, path array<long>")
+    slim = need(docs, "doc_id", "text").select("doc_id", text_key().alias("text_key"), "text")
+    return slim.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_key long, n_shingles long, print_a long, print_b long, sketch binary, path array<long>")
 
 
 def runs(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
@@ -192,22 +207,23 @@ def alike(sketches: np.ndarray, i: int) -> np.ndarray:
     return (sketches == sketches[i]).mean(axis=1)
 
 
-def node_links(paths_: np.ndarray, sketches: np.ndarray, level: int, rows: np.ndarray, agree: float = AGREE) -> Iterator[tuple[int, int]]:
-    """Candidate links of a node, a spanning forest of those found, as positions."""
+def node_links(paths_: np.ndarray, sketches: np.ndarray, level: int, rows: np.ndarray, agree: float = AGREE, part: np.ndarray | None = None) -> Iterator[tuple[int, int]]:
+    """Candidate links of a node as positions: a spanning forest of those found or, where part
+    says which rows are connected already, all between rows of different parts."""
     if len(rows) < 2:
         return
     own = sketches[rows]
-    if len(rows) <= SMALL:
+    if len(rows) <= SMALL or level >= LEVELS and part is not None:
         groups = Groups(len(rows))
         for i in range(len(rows) - 1):
             for j in np.flatnonzero(alike(own[i:], 0) >= agree)[1:] + i:
-                if groups.join(i, j):
+                if groups.join(i, j) if part is None else part[rows[i]] != part[rows[j]]:
                     yield rows[i], rows[j]
     elif level < LEVELS:
         order = np.argsort(paths_[rows, level], kind="stable")
         cuts = np.flatnonzero(np.diff(paths_[rows[order], level])) + 1
         for child in np.split(rows[order], cuts):
-            yield from node_links(paths_, sketches, level + 1, child, agree)
+            yield from node_links(paths_, sketches, level + 1, child, agree, part)
     else:
         groups = Groups(len(rows))
         near = alike(own, 0) >= agree
@@ -220,77 +236,104 @@ def node_links(paths_: np.ndarray, sketches: np.ndarray, level: int, rows: np.nd
                     yield rows[i], rows[j]
 
 
+def frames(pairs: Iterator[tuple]) -> Iterator[pd.DataFrame]:
+    """Links as frames of bounded size."""
+    while held := list(islice(pairs, HELD)):
+        yield pd.DataFrame(held, columns=["a", "b"])
+
+
+def tasks_for(rows: int, spark) -> int:
+    return max(1, min(-(-rows // TASK_ROWS), 1 << 16), min(int(spark.conf.get("spark.sql.shuffle.partitions")), rows // 1024))
+
+
 def candidates(vertices: DataFrame, scratch: Scratch, percent: int = 85) -> DataFrame:
-    """a, b: candidate links between vertices, from all trees; enough to connect what is alike."""
+    """a, b: candidate links between vertices, from all trees; enough to connect what is alike.
+
+    vertices: vertex, sketch, path and, where links inside known parts aren't wanted, part; then
+    every link between different parts is given.
+    """
     agree, n_trees = agreement(percent), trees_for(percent)
+    parted = ["part"] if "part" in vertices.columns else []
     level = lambda k: F.get(F.col("path"), F.col("tree") * LEVELS + k)
-    trees = vertices.select("doc_id", "sketch", "path", F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))).alias("tree"))
+    trees = vertices.select("vertex", "sketch", "path", *parted, F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))).alias("tree"))
     names = [f"p{k}" for k in range(LEVELS)]
-    rows = trees.select("doc_id", "sketch", *[level(k).alias(name) for k, name in enumerate(names)])
+    rows = trees.select("vertex", "sketch", *parted, *[level(k).alias(name) for k, name in enumerate(names)])
 
-    def links(dealt: DataFrame, below: int) -> DataFrame:
+    def links(dealt: DataFrame, below: int, n: int) -> DataFrame:
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for node in runs(batches, ["deal"]):
                 sketches = np.frombuffer(b"".join(node["sketch"]), np.uint8).reshape(-1, COORDINATES)
-                found = node_links(node[names].to_numpy(), sketches, below, np.arange(len(node)), agree)
-                docs = node["doc_id"].to_numpy()
-                yield pd.DataFrame([(docs[i], docs[j]) for i, j in found], columns=["a", "b"])
+                found = node_links(node[names].to_numpy(), sketches, below, np.arange(len(node)), agree, node["part"].to_numpy() if parted else None)
+                docs = node["vertex"].to_numpy()
+                yield from frames((docs[i], docs[j]) for i, j in found)
 
-        return dealt.repartition("deal").sortWithinPartitions("deal", "doc_id").mapInPandas(run, "a long, b long")
+        return dealt.repartition(tasks_for(n, scratch.spark), "deal").sortWithinPartitions("deal", "vertex").mapInPandas(run, "a long, b long")
 
     found = []
     for k, name in enumerate(names):
         # Nodes of one vertex have nothing to compare; the others' rows alone are moved. A node
         # that is too large for a task branches here as it would there.
         sizes = scratch.save(rows.groupBy(name).count().where(F.col("count") > 1))
-        hot = sizes.where(F.col("count") > HOT)
-        any_hot, hot = not hot.isEmpty(), small(hot)
-        cool = rows.join(hot, name, "left_anti") if any_hot else rows
-        cool = cool.join(sizes.select(name), name)
-        found.append(scratch.save(links(cool.withColumn("deal", F.col(name)), k + 1)))
+        hot = scratch.save(sizes.where(F.col("count") > HOT).select(name))
+        any_hot = not hot.isEmpty()
+        cold = sizes.where(F.col("count") <= HOT)
+        n = cold.agg(F.sum("count")).first()[0] or 0
+        found.append(scratch.save(links(rows.join(cold.select(name), name).withColumn("deal", F.col(name)), k + 1, n)))
+        scratch.drop(sizes)
         if not any_hot:
             break
-        rows = rows.join(hot.select(name), name, "left_semi")
+        rows = scratch.save(met(rows, hot, [name], F.col("vertex")))
     else:
-        found.append(leaf_links(rows.select("doc_id", "sketch", F.col(names[-1]).alias("leaf")), scratch, agree))
+        found.append(leaf_links(rows.select("vertex", "sketch", *parted, F.col(names[-1]).alias("leaf")), scratch, agree))
     return reduce(DataFrame.unionByName, found).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
 
 
 def leaf_links(rows: DataFrame, scratch: Scratch, agree: float = AGREE) -> DataFrame:
     """a, b: candidate links of last nodes that are too large for a task, enough to connect all
-    that is alike in each.
+    that is alike in each or, with column part, all links between different parts.
 
-    rows: doc_id, sketch, leaf. As in node_links every vertex meets its leaf's pivot, and those
-    unlike the pivot meet all: in chunks, each against every block of the leaf.
+    rows: vertex, sketch, leaf. As in node_links every vertex meets its leaf's pivot, and those
+    unlike the pivot meet all. With part, all vertices meet all.
     """
-    sizes = rows.groupBy("leaf").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "sketch")).alias("first"))
-    sizes = scratch.save(sizes.select("leaf", "n", F.col("first.doc_id").alias("pivot"), F.col("first.sketch").alias("pivot_sketch")))
+    if "part" in rows.columns:
+        return block_links(scratch.save(rows.withColumn("near", F.lit(False))), scratch, agree, HOT)
+    pivots = scratch.save(rows.groupBy("leaf").agg(F.min(F.struct("vertex", "sketch")).alias("first")).select("leaf", F.col("first.vertex").alias("pivot"), F.col("first.sketch").alias("pivot_sketch")))
 
     def meet_pivot(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             own, pivot = (np.frombuffer(b"".join(b[c]), np.uint8).reshape(-1, COORDINATES) for c in ("sketch", "pivot_sketch"))
             yield b.drop(columns="pivot_sketch").assign(near=(own == pivot).mean(axis=1) >= agree)
 
-    def meet_far(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    seen = met(rows, pivots, ["leaf"], F.col("vertex")).select("vertex", "sketch", "leaf", "pivot", "pivot_sketch")
+    seen = scratch.save(seen.mapInPandas(meet_pivot, "vertex long, sketch binary, leaf long, pivot long, near boolean"))
+    near = seen.where("near").select(F.col("pivot").alias("a"), F.col("vertex").alias("b"))
+    return near.unionByName(block_links(seen.drop("pivot"), scratch, agree, HOT))
+
+
+def block_links(rows: DataFrame, scratch: Scratch, agree: float, block: int) -> DataFrame:
+    """a, b: links that are alike between rows of a leaf that are not near and all its rows: in
+    chunks, each against every block of the leaf. A spanning forest of each meeting or, with
+    column part, all links between different parts.
+
+    rows: vertex, sketch, leaf, near.
+    """
+    parted = ["part"] if "part" in rows.columns else []
+
+    def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for g in runs(batches, ["deal"]):
             sketches = np.frombuffer(b"".join(g["sketch"]), np.uint8).reshape(-1, COORDINATES)
-            docs, groups = g["doc_id"].to_numpy(), Groups(len(g))
-            out = [(docs[i], docs[j]) for i in np.flatnonzero(g["far"]) for j in np.flatnonzero(alike(sketches, i) >= agree) if groups.join(i, j)]
-            yield pd.DataFrame(out, columns=["a", "b"])
-
-    met = rows.join(small(sizes), "leaf").select("doc_id", "sketch", "leaf", "n", "pivot", "pivot_sketch")
-    met = scratch.save(met.mapInPandas(meet_pivot, "doc_id long, sketch binary, leaf long, n long, pivot long, near boolean"))
-    near = met.where("near").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b"))
-    n_far = scratch.save(met.where("not near").groupBy("leaf").count().select("leaf", F.ceil(F.col("count") / HOT).cast("int").alias("chunks")))
-    if n_far.isEmpty():
-        return near
-    seats = met.join(small(n_far), "leaf").withColumn("blocks", F.ceil(F.col("n") / HOT).cast("int"))
-    seats = seats.withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("blocks"))).withColumn("chunk", F.pmod(F.xxhash64("doc_id", F.lit(2)), F.col("chunks")))
+            docs, groups = g["vertex"].to_numpy(), Groups(len(g))
+            part = g["part"].to_numpy() if parted else None
+            hits = ((i, j) for i in np.flatnonzero(g["far"]) for j in np.flatnonzero(alike(sketches, i) >= agree))
+            yield from frames((docs[i], docs[j]) for i, j in hits if (groups.join(i, j) if part is None else part[i] != part[j]))
+
+    deals = rows.groupBy("leaf").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"), F.ceil(F.count_if(~F.col("near")) / block).cast("int").alias("chunks"))
+    seats = met(rows, scratch.save(deals.where("chunks > 0")), ["leaf"], F.col("vertex"))
+    seats = seats.withColumn("block", F.pmod(F.xxhash64("vertex", F.lit(1)), F.col("blocks"))).withColumn("chunk", F.pmod(F.xxhash64("vertex", F.lit(2)), F.col("chunks")))
     every = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c).cast("long") - 1))
-    sat = seats.withColumn("to", every("chunks")).select("doc_id", "sketch", F.lit(False).alias("far"), F.xxhash64("leaf", "block", "to").alias("deal"))
-    calls = seats.where("not near").withColumn("to", every("blocks")).select("doc_id", "sketch", F.lit(True).alias("far"), F.xxhash64("leaf", "to", "chunk").alias("deal"))
-    dealt = sat.unionByName(calls).repartition("deal").sortWithinPartitions("deal", "doc_id")
-    return near.unionByName(dealt.mapInPandas(meet_far, "a long, b long"))
+    sat = seats.withColumn("to", every("chunks")).select("vertex", "sketch", *parted, F.lit(False).alias("far"), F.xxhash64("leaf", "block", "to").alias("deal"))
+    calls = seats.where("not near").withColumn("to", every("blocks")).select("vertex", "sketch", *parted, F.lit(True).alias("far"), F.xxhash64("leaf", "to", "chunk").alias("deal"))
+    return sat.unionByName(calls).repartition("deal").sortWithinPartitions("deal", "vertex").mapInPandas(meet, "a long, b long")
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
@@ -318,44 +361,68 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     return pairs.unionByName(pairs.select(F.col("root").alias("vertex"), "root")).groupBy("vertex").agg(F.min("root").alias("root"))
 
 
-def confirmed(grouped: DataFrame, share: int, of: int) -> DataFrame:
-    """a, b: links with share * union <= of * intersection of full sets, a spanning forest of them.
+def confirmed(grouped: DataFrame, percent: int) -> DataFrame:
+    """a, b: links with percent * union <= 100 * intersection of full sets.
 
-    grouped: deal, doc_id, hub, sketch, text; rows with one deal meet in one task. Where some are
-    hubs, only pairs with a hub are looked at, else all.
+    grouped: deal, vertex, hub, sketch, text; rows with one deal meet in one task. With a hub its
+    links to all others of the deal are looked at; without one all pairs, and a spanning forest
+    of their links is given.
     """
-    agree = agreement(100 * share // of)
+    agree = agreement(percent)
+
+    def linked(g: pd.DataFrame) -> Iterator[tuple]:
+        docs, hubs, texts, sets = g["vertex"].to_numpy(), np.flatnonzero(g["hub"]), g["text"].to_numpy(), {}
+        groups = Groups(len(docs))
+
+        def of_doc(i):
+            if i not in sets:
+                sets[i] = shingle_set(texts[i])
+            return sets[i]
+
+        def enough(i, j):
+            x, y = of_doc(i), of_doc(j)
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            return 100 * both >= percent * (len(x) + len(y) - both)
+
+        if len(hubs):
+            for j in np.flatnonzero(~g["hub"].to_numpy()):
+                if enough(hubs[0], j):
+                    yield docs[hubs[0]], docs[j]
+                sets.pop(j, None)
+            return
+        sketches = np.frombuffer(b"".join(g["sketch"]), np.uint8).reshape(-1, COORDINATES)
+        for i in range(len(docs)):
+            for j in np.flatnonzero(alike(sketches[i:], 0) >= agree)[1:] + i:
+                if groups.find(i) != groups.find(j) and enough(i, j):
+                    groups.join(i, j)
+                    yield docs[i], docs[j]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         with np.errstate(over="ignore"):
             for g in runs(batches, ["deal"]):
-                docs, hub = g["doc_id"].to_numpy(), g["hub"].to_numpy()
-                sketches = np.frombuffer(b"".join(g["sketch"]), np.uint8).reshape(-1, COORDINATES)
-                texts, sets = g["text"].to_numpy(), {}
-                groups, out = Groups(len(docs)), []
-
-                def of_doc(i):
-                    if i not in sets:
-                        sets[i] = shingle_set(texts[i])
-                    return sets[i]
-
-                only = np.flatnonzero(hub) if hub.any() else np.arange(len(docs))
-                for i in only:
-                    near = np.flatnonzero(alike(sketches, i) >= agree)
-                    for j in near if hub.any() else near[near > i]:
-                        if groups.find(i) == groups.find(j):
-                            continue
-                        x, y = of_doc(i), of_doc(j)
-                        both = len(np.intersect1d(x, y, assume_unique=True))
-                        if of * both >= share * (len(x) + len(y) - both):
-                            groups.join(i, j)
-                            out.append((docs[i], docs[j]))
-                yield pd.DataFrame(out, columns=["a", "b"])
-
-    dealt = grouped.repartition("deal").sortWithinPartitions("deal", "doc_id")
+                yield from frames(linked(g))
+
+    dealt = grouped.repartition("deal").sortWithinPartitions("deal", "vertex")
     return dealt.mapInPandas(run, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b")
 
 
+def confirmed_edges(edges: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """a, b: the edges that hold on full sets, looked at one by one.
+
+    texts: vertex, sketch, text. The vertex with more links is the edge's hub; its text meets
+    those of its other ends in groups of about BLOCK, so it moves once a group.
+    """
+    ends = edges.select(F.explode(F.array("a", "b")).alias("v")).groupBy("v").count()
+    degrees = ends.select("v", F.col("count").alias("d"))
+    both = edges.join(degrees.select(F.col("v").alias("a"), F.col("d").alias("da")), "a").join(degrees.select(F.col("v").alias("b"), F.col("d").alias("db")), "b")
+    at_a = F.col("da") >= F.col("db")
+    hung = both.select(F.when(at_a, F.col("a")).otherwise(F.col("b")).alias("h"), F.when(at_a, F.col("b")).otherwise(F.col("a")).alias("vertex"), F.greatest("da", "db").alias("d"))
+    hung = hung.withColumn("deal", F.xxhash64("h", F.pmod(F.xxhash64("vertex"), F.ceil(F.col("d") / BLOCK))))
+    hubs = hung.select("deal", F.col("h").alias("vertex")).distinct().withColumn("hub", F.lit(True))
+    seats = hung.select("deal", "vertex").withColumn("hub", F.lit(False)).unionByName(hubs)
+    return confirmed(seats.join(texts, "vertex"), percent)
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row for each row of docs.
 
@@ -363,23 +430,32 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     component_id is the least id that a document reaches by links; kept is doc_id = component_id.
     Trees and sketch agreement follow from percent, for the misses SKETCH_MISS and TREE_MISS.
     A text without words (or null) has no shingles and is its own component. Rows that repeat an
-    id are one document and share its fate; a null id is linked with nothing and kept.
+    id are one document with the links of all its texts and share its fate; a null id is linked
+    with nothing and kept. Ids may be of any type that can be ordered. Runs jobs when called.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark)
+    scratch = Scratch(docs.sparkSession)
     made = scratch.save(features(docs, trees_for(percent)))
     linked = made.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
     same = ["n_shingles", "print_a", "print_b"]
-    classes = linked.groupBy(*same).agg(F.min("doc_id").alias("vertex"))
+    classes = linked.groupBy(*same).agg(F.min("doc_id").alias("first"))
+    # A class is named by its least id, or by a hash where several share that, as the texts of one
+    # id do, or where ids are no numbers.
+    alone = F.count("*").over(Window.partitionBy("first")) == 1
+    hashed = F.xxhash64("first", *same)
+    number = isinstance(docs.schema["doc_id"].dataType, T.IntegralType)
+    classes = scratch.save(classes.withColumn("vertex", F.when(alone, F.col("first").cast("long")).otherwise(hashed) if number else hashed))
     members = scratch.save(linked.select("doc_id", *same).join(classes, same).select("doc_id", "vertex").distinct())
-    vertices = scratch.save(linked.join(members.where("doc_id = vertex").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id", "print_a"]).select("doc_id", "sketch", "path"))
-    roots = scratch.save(components(candidates(vertices, scratch, percent), scratch))
-    links = scratch.save(confirm_components(docs, vertices, roots, scratch, percent))
-    final = components(links, scratch)
-    out = members.withColumnRenamed("vertex", "v").join(final, F.col("v") == F.col("vertex"), "left")
-    # An id with two texts has two vertices: its component is the least of both.
-    ids = out.groupBy("doc_id").agg(F.min(F.coalesce("root", "v")).alias("component_id"))
-    every = made.select("doc_id", "n_shingles").join(ids.withColumnRenamed("doc_id", "_id"), F.col("doc_id") == F.col("_id"), "left")
+    vertices = linked.join(classes, same).where("doc_id = first").dropDuplicates(["vertex"])
+    vertices = scratch.save(vertices.select("vertex", "first", "text_key", "sketch", "path"))
+    edges = scratch.save(candidates(vertices.select("vertex", "sketch", "path"), scratch, percent))
+    links = confirm(docs, vertices, edges, scratch, percent)
+    # An id with several texts joins their classes.
+    several = members.groupBy("doc_id").agg(F.min("vertex").alias("a"), F.max("vertex").alias("z")).where("a <> z").select("doc_id", "a")
+    final = components(links.unionByName(members.join(several, "doc_id").where("vertex <> a").select("a", F.col("vertex").alias("b"))), scratch)
+    out = members.withColumnRenamed("vertex", "v").join(final, F.col("v") == F.col("vertex"), "left").select("doc_id", F.coalesce("root", "v").alias("root"))
+    least = out.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    ids = out.distinct().join(least, "root").select(F.col("doc_id").alias("_id"), "component_id")
+    every = made.select("doc_id", "n_shingles").join(ids, F.col("doc_id") == F.col("_id"), "left")
     return every.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
@@ -389,41 +465,42 @@ def keep_one(docs: DataFrame, percent: int = 80) -> DataFrame:
     return docs.join(small(fate), docs["doc_id"] == fate["_gone"], "left_anti")
 
 
-def confirm_components(docs: DataFrame, vertices: DataFrame, roots: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
+def confirm(docs: DataFrame, vertices: DataFrame, edges: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
     """a, b: confirmed links that connect all that any confirmed candidate would.
 
-    Vertices of one candidate component meet in a group. A larger component than BLOCK is dealt
-    into blocks, each with three hubs of the component. Vertices that this leaves outside their
-    component's largest part are then hubs themselves, in chunks, against every block.
+    The vertices of a candidate component of up to BLOCK meet in one group, each text moved once.
+    Of a larger one the edges are looked at. Edges are only a forest of what is alike, so where
+    they don't hold the component together, what is outside its largest part meets all of it by
+    sketches, and every pair that is alike between what is still apart is looked at. Where these
+    would be more than PAIRS sketches to compare, only those meet that share a node in a tree.
     """
-    sizes = roots.groupBy("root").count().where(F.col("count") > 1)
-    seated = roots.join(sizes, "root").withColumn("blocks", F.ceil(F.col("count") / BLOCK).cast("int")).withColumnRenamed("vertex", "doc_id")
-    seated = scratch.save(seated)
+    roots = scratch.save(components(edges, scratch))
+    sizes = roots.groupBy("root").count()
+    seated = scratch.save(roots.join(sizes, "root").select("vertex", "root", (F.col("count") > BLOCK).alias("large")))
     # Texts of vertices with a candidate alone are moved; the rest stay unread beyond their id.
-    texts = need(docs, "doc_id", "text").join(small(seated), "doc_id").join(vertices.select("doc_id", "sketch"), "doc_id")
-    texts = scratch.save(texts.dropDuplicates(["doc_id"]).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")))
-    plain = texts.withColumn("hub", F.lit(False)).withColumn("deal", F.xxhash64("root", "block"))
-    picked = texts.where("blocks > 1").groupBy("root", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(3)).alias("third")).agg(F.min(F.struct(F.xxhash64("doc_id", F.lit(2)), "doc_id"))["doc_id"].alias("doc_id"))
-    hubs = texts.join(picked.select("doc_id"), "doc_id", "left_semi").withColumn("to", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    hubs = hubs.where("to <> block").withColumn("hub", F.lit(False)).withColumn("deal", F.xxhash64("root", "to"))
-    columns = ["deal", "doc_id", "hub", "sketch", "text"]
-    first = scratch.save(confirmed(plain.select(*columns).unionByName(hubs.select(*columns)), percent, 100))
-    large = texts.where("blocks > 1").select("doc_id", "root", "block", "blocks")
+    wanted = scratch.save(vertices.join(seated, "vertex").select("vertex", F.col("first").alias("_id"), F.col("text_key").alias("_key"), "root", "large", "sketch"))
+    own = need(docs, "doc_id", "text").withColumn("_own", text_key())
+    texts = own.join(small(wanted), (F.col("doc_id") == F.col("_id")) & (F.col("_own") == F.col("_key"))).select("vertex", "root", "large", "sketch", "text")
+    texts = scratch.save(texts.dropDuplicates(["vertex"]))
+    few = texts.where(~F.col("large")).select(F.col("root").alias("deal"), "vertex", F.lit(False).alias("hub"), "sketch", "text")
+    first = scratch.save(confirmed(few, percent))
+    large = seated.where("large")
     if large.isEmpty():
         return first
-    part = components(first, scratch)
-    parts = scratch.save(large.join(part, F.col("doc_id") == F.col("vertex"), "left").select("doc_id", large["root"], "blocks", F.coalesce(part["root"], F.col("doc_id")).alias("part")))
-    most = parts.groupBy("root", "part").count().groupBy("root").agg(F.max(F.struct("count", "part"))["part"].alias("main"))
-    rest = parts.join(most, "root").where("part <> main")
-    n_rest = rest.groupBy("root").agg(F.count("*").alias("n_rest"))
-    left = rest.join(n_rest, "root").withColumn("chunk", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.ceil(F.col("n_rest") / 100)).cast("int"))
-    left = scratch.save(left.select("doc_id", "root", "blocks", "chunk"))
-    if left.isEmpty():
-        return first
-    chunks = left.select("root", "chunk").distinct()
-    bodies = texts.where("blocks > 1").select("doc_id", "root", "block", "sketch", "text")
-    seats = bodies.join(chunks, "root").select(F.xxhash64("root", "block", "chunk").alias("deal"), "doc_id", F.lit(False).alias("hub"), "sketch", "text")
-    calls = left.select("doc_id", "chunk", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("to"))
-    callers = bodies.join(calls, "doc_id").select(F.xxhash64("root", "to", "chunk").alias("deal"), "doc_id", F.lit(True).alias("hub"), "sketch", "text")
-    second = confirmed(seats.unionByName(callers), percent, 100)
-    return first.unionByName(second)
+    bodies = texts.where("large").select("vertex", "sketch", "text")
+    held = scratch.save(confirmed_edges(edges.join(large.select(F.col("vertex").alias("a")), "a", "left_semi"), bodies, percent))
+    part = components(held, scratch)
+    parts = scratch.save(large.join(part.select("vertex", F.col("root").alias("to")), "vertex", "left").select("vertex", "root", F.coalesce("to", "vertex").alias("part")))
+    shares = parts.groupBy("root", "part").count().groupBy("root").agg(F.max(F.struct("count", "part")).alias("most"), F.sum("count").alias("n"))
+    shares = shares.select("root", F.col("most.part").alias("main"), (F.col("n") * (F.col("n") - F.col("most.count"))).alias("pairs")).where("pairs > 0")
+    apart = met(parts, scratch.save(shares), ["root"], F.col("vertex")).join(vertices.select("vertex", "sketch", "path"), "vertex")
+    apart = scratch.save(apart.select("vertex", "sketch", "path", "part", F.col("root").alias("leaf"), (F.col("part") == F.col("main")).alias("near"), (F.col("pairs") > PAIRS).alias("huge")))
+    if apart.isEmpty():
+        return first.unionByName(held)
+    again = block_links(apart.where(~F.col("huge")).drop("path", "huge"), scratch, agreement(percent), 8 * HOT)
+    huge = apart.where("huge").select("vertex", "sketch", "path", "part")
+    if not huge.isEmpty():
+        again = again.unionByName(candidates(huge, scratch, percent))
+    again = scratch.save(again.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    second = scratch.save(confirmed_edges(again.join(edges, ["a", "b"], "left_anti"), bodies, percent))
+    return first.unionByName(held).unionByName(second)
