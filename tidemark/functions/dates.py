@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tidemark.functions.text import let
+
 HOURS_AHEAD = "INTERVAL 8 HOURS"
 # Hours of the provider's peak price on working days.
 PEAK_HOURS = [9, 10, 11, 14, 15, 16, 17]
@@ -80,41 +82,73 @@ def loose_date(s: Column, offset_hours: int = 8) -> Column:
     Reads 2026-09-26, 2026/9/26, 2026年9月26日, with or without a time, ISO times with a zone, and
     English forms such as Sep 26, 2026 or 26 September 2026.
     """
-    v = F.trim(s)
+    return let(F.trim(s), lambda v: _loose(v, offset_hours))
+
+
+def _loose(v: Column, offset_hours: int) -> Column:
     zoned = F.when(v.rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:?\d{2})$"), F.try_to_timestamp(v).cast("timestamp_ntz"))
     day_only = F.when(v.rlike(r"^\d{4}-\d{2}-\d{2}$"), _fields(F.substring(v, 1, 4), F.substring(v, 6, 2), F.substring(v, 9, 2), F.lit("0"), F.lit("0"), F.lit("0")))
-    numeric = r"(\d{4})[-/.年](\d{1,2})[-/.月](\d{1,2})日?(?:(?:T|\s*)(\d{1,2}):(\d{2})(?::(\d{2}))?)?"
-    at = [F.regexp_extract(v, numeric, k) for k in range(1, 7)]
-    name = "(" + "|".join(MONTHS) + r")[a-z]*\.?"
-    first, second = rf"(?i)\b{name}\s+(\d{{1,2}})(?:st|nd|rd|th)?,?\s+(\d{{4}})\b", rf"(?i)\b(\d{{1,2}})(?:st|nd|rd|th)?\s+{name},?\s+(\d{{4}})\b"
-    month = lambda m: F.array_position(F.array(*[F.lit(x) for x in MONTHS]), F.lower(m)).cast("string")
-    a = [F.regexp_extract(v, first, k) for k in (1, 2, 3)]
-    b = [F.regexp_extract(v, second, k) for k in (1, 2, 3)]
-    none = F.lit("")
-    english = F.when(a[0] != "", _fields(a[2], month(a[0]), a[1], none, none, none)).when(b[0] != "", _fields(b[2], month(b[1]), b[0], none, none, none))
-    local = F.coalesce(F.when(at[0] != "", _fields(*at)), english)
+    # A run of numbers that begins with a year: its month, day, hour, minute and second by place.
+    run = F.regexp_extract(v, r"[0-9]{4}(?:[-/.年] ?[0-9]{1,2}){1}(?:[-/.月] ?[0-9]{1,2})日?(?:[T ]*[0-9]{1,2}:[0-9]{2}(?::[0-9]{2})?)?", 0)
+    part = lambda ns, k: F.coalesce(F.get(ns, F.lit(k)), F.lit(""))
+    numeric = let(F.regexp_extract_all(run, F.lit("[0-9]+"), F.lit(0)), lambda ns: F.when(F.size(ns) > 0, _fields(*[part(ns, k) for k in range(6)])))
+    # English: the word of a month between or before two numbers, of which the one of four digits is the year.
+    words = F.filter(F.split(F.lower(v), "[\\s,.]+"), lambda w: w != "")
+    bare = F.transform(words, lambda w: F.regexp_replace(w, "^([0-9]+)(?:st|nd|rd|th)$", "$1"))
+    local = F.coalesce(numeric, let(bare, _english))
     return F.coalesce(zoned, day_only, local - F.expr(f"INTERVAL {offset_hours} HOURS"))
 
 
+def _english(words: Column) -> Column:
+    month = lambda w: F.array_position(F.array(*[F.lit(x) for x in MONTHS]), F.substring(w, 1, 3))
+    named = F.filter(F.transform(words, lambda w, i: F.struct(i.alias("i"), month(w).alias("m"), w.alias("w"))), lambda x: (x["m"] > 0) & x["w"].rlike("^[a-z]+$"))
+    is_day, is_year = (lambda w, p=p: F.coalesce(w.rlike(p), F.lit(False)) for p in ("^[0-9]{1,2}$", "^[0-9]{4}$"))
+    none = F.lit("")
+
+    def of(at: Column) -> Column:
+        word = lambda step: F.get(words, at["i"] + step)
+        dated = lambda y, d: _fields(y, at["m"].cast("string"), d, none, none, none)
+        return F.when(is_day(word(1)) & is_year(word(2)), dated(word(2), word(1))).when(is_day(word(-1)) & is_year(word(1)), dated(word(1), word(-1)))
+
+    return let(F.get(named, F.lit(0)), of)
+
+
 def relative_date(s: Column, now: Column, offset_hours: int = 8) -> Column:
     """An age in text counted back from now, in UTC. Days give the midnight there, smaller units the time."""
-    v = F.regexp_replace(F.trim(F.regexp_replace(s, r"\s+", " ")), r"^[^·]+·\s*", "")
+    return let(F.regexp_replace(F.trim(F.regexp_replace(s, r"\s+", " ")), r"^[^·]+·\s*", ""), lambda v: _relative(v, now, offset_hours))
+
+
+def _relative(v: Column, now: Column, offset_hours: int) -> Column:
     # The words for units and days.
     units = {"秒": 1, "分钟": 60, "分": 60, "小时": 3600, "天": 86400, "second": 1, "minute": 60, "min": 60, "m": 60, "hour": 3600, "hr": 3600, "h": 3600, "day": 86400, "d": 86400}
     back = {"今天": 0, "昨天": 1, "前天": 2, "yesterday": 1}
     table = lambda m: F.create_map(*[F.lit(x) for p in m.items() for x in p])
     midnight = lambda t: F.date_trunc("day", t + F.expr(f"INTERVAL {offset_hours} HOURS")).cast("timestamp_ntz") - F.expr(f"INTERVAL {offset_hours} HOURS")
-    zh, en = r"^(\d{1,3})\s*(秒|分钟|分|小时|天)前$", r"(?i)^(\d{1,3})\s*(?:(second|minute|min|hour|hr|day)s?|(m|h|d))\s+ago$"
-    n = F.coalesce(F.nullif(F.regexp_extract(v, zh, 1), F.lit("")), F.nullif(F.regexp_extract(v, en, 1), F.lit(""))).cast("int")
-    name = F.lower(F.coalesce(*[F.nullif(F.regexp_extract(v, p, k), F.lit("")) for p, k in ((zh, 2), (en, 2), (en, 3))]))
-    seconds = table(units)[name]
-    counted = now - F.make_interval(secs=(n * seconds).cast("decimal(18,6)"))
-    day, hh, mm = (F.regexp_extract(v, r"^(今天|昨天|前天)\s*(\d{1,2}):(\d{2})$", k) for k in (1, 2, 3))
-    clock = F.when((day != "") & (hh.try_cast("int") < 24) & (mm.try_cast("int") < 60), midnight(now - F.make_interval(days=table(back)[day])) + F.make_interval(hours=hh.try_cast("int"), mins=mm.try_cast("int")))
+    # An age is a number and a unit with a mark behind; the unit is looked up, in the singular.
+    compact = F.lower(F.regexp_replace(v, r"\s+", ""))
+    body = F.when(F.endswith(compact, F.lit("前")), F.regexp_replace(compact, "前$", "")).when(F.endswith(F.lower(v), F.lit(" ago")), F.regexp_replace(compact, "ago$", ""))
+    def age(b: Column) -> Column:
+        digits = F.regexp_extract(b, "^[0-9]{1,3}(?![0-9])", 0)
+        said = F.substr(b, F.length(digits) + 1, F.length(b))
+        # Han units go with the Han mark, others with the English one.
+        fits = (digits != "") & (F.endswith(v, F.lit("前")) == said.rlike("^[^a-z]+$"))
+        unit = F.coalesce(table(units)[said], F.when(F.length(said) > 2, table(units)[F.regexp_replace(said, "s$", "")]))
+        return F.when(fits & unit.isNotNull(), F.struct(digits.try_cast("int").alias("n"), unit.alias("seconds")))
+
+    def back_from_now(x: Column) -> Column:
+        counted = now - F.make_interval(secs=(x["n"] * x["seconds"]).cast("decimal(18,6)"))
+        return F.when(x["seconds"] >= 86400, midnight(counted)).otherwise(counted)
+
+    ago = let(let(body, age), back_from_now)
+    day = F.substring(v, 1, 2)
+    clock_text = F.split(F.trim(F.substr(v, F.lit(3), F.length(v))), ":")
+    hh, mm = F.get(clock_text, F.lit(0)), F.get(clock_text, F.lit(1))
+    told = day.isin("今天", "昨天", "前天") & (F.size(clock_text) == 2) & F.length(hh).between(1, 2) & (F.length(mm) == 2)
+    clock = F.when(told & (hh.try_cast("int") < 24) & (mm.try_cast("int") < 60), midnight(now - F.make_interval(days=table(back)[day])) + F.make_interval(hours=hh.try_cast("int"), mins=mm.try_cast("int")))
     word = F.lower(F.regexp_extract(v, "(?i)^(昨天|前天|yesterday)$", 1))
     named = F.when(word != "", midnight(now - F.make_interval(days=table(back)[word])))
     just = F.when(v.rlike("(?i)^(刚刚|just now)$"), now)
-    return F.coalesce(clock, just, named, F.when(seconds >= 86400, midnight(counted)).otherwise(counted))
+    return F.coalesce(clock, just, named, ago)
 
 
 def crossref_date(parts: Column) -> Column:

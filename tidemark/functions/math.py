@@ -28,6 +28,12 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
+def unit(v: Column) -> Column:
+    """A vector of length 1 in the same direction; null and zero vectors stay as they are."""
+    # One element, so that the length is worked out once a row.
+    return F.transform(F.array(F.sqrt(dot(v, v))), lambda n: F.transform(v, lambda x: F.when(n > 0, x / n).otherwise(x.cast("double"))))[0]
+
+
 def cosine(a: Column, b: Column) -> Column:
     """0 where either vector is all 0."""
     norms = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))

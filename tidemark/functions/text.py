@@ -152,9 +152,12 @@ def from_inverted_index(index: Column) -> Column:
 
 def bigrams(s: Column, drop: str = r"\s+") -> Column:
     """The distinct pairs of neighbouring characters once `drop` is gone."""
-    t = F.regexp_replace(s, drop, "")
-    pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - 1, F.lit(1))), lambda i: F.substr(t, i, F.lit(2)))
-    return F.array_distinct(F.filter(pairs, lambda p: F.length(p) == 2))
+
+    def of(chars: Column) -> Column:
+        # Characters side by side; looking a pair up in the text would count from its start each time.
+        return F.array_distinct(F.zip_with(F.slice(chars, 1, F.greatest(F.size(chars) - 1, F.lit(0))), F.slice(chars, 2, F.size(chars)), lambda x, y: F.concat(x, y)))
+
+    return let(F.filter(F.split(F.regexp_replace(s, drop, ""), ""), lambda c: c != ""), of)
 
 
 def containment(a: Column, b: Column) -> Column:
@@ -214,10 +217,18 @@ def reading_minutes(chars: Column) -> Column:
 
 
 def redact(s: Column) -> Column:
-    """Error text without user info in links, values of secret parameters, bearer values and keys."""
-    return replaced(
-        s, (r"(?i)(https?://)[^\s/@]+@", "$1"), (rf"""(?i)(^|[?&;,\s{{"'])({SECRET_NAMES})(=|"?\s*:\s*")[^&#\s"')]+""", "$1$2$3[redacted]"),
-        (r"(?i)\b(Bearer|Basic)\s+[\w.~+/=-]+", "$1 [redacted]"), (r"\bsk-[\w-]{16,}", "sk-[redacted]"))
+    """Error text without user info in links, values of secret parameters, bearer values and keys.
+
+    Text is read as words between blanks. A word loses what it says before an @ in a link, is a
+    key as a whole, or follows a scheme's name; within it, a value ends at the next sign that
+    parts parameters, and is hidden where the name before it is that of a secret.
+    """
+    secret = lambda part: F.lower(F.regexp_extract(part, r"([A-Za-z_-]+)[\"']?\s*[=:]", 1)).rlike(f"^(?:{SECRET_NAMES})$")
+    hidden = lambda part: F.regexp_replace(part, r"([=:]\s*[\"']?)[^\"']+", "$1[redacted]")
+    # Each element is one parameter with the sign that ends it.
+    parts = F.regexp_extract_all(s, F.lit(r"(?:[^?&;,#\s(){}]|(?<=:)\s+(?=[\"']))*[?&;,#\s(){}]?"), F.lit(0))
+    out = F.array_join(F.transform(parts, lambda p: F.when(secret(p), let(F.regexp_extract(p, r"[?&;,#\s(){}]$", 0), lambda end: F.concat(hidden(F.regexp_replace(p, r"[?&;,#\s(){}]$", "")), end))).otherwise(p)), "")
+    return replaced(out, ("(?i)(?<=://)[^/@\\s]*@", ""), ("(?i)\\b(bearer|basic)(?:\\s+)[-\\w+=./~]+", "$1 [redacted]"), ("\\bsk-(?:[\\w-]){16,}", "sk-[redacted]"))
 
 
 def model_slug(name: Column) -> Column:

@@ -184,17 +184,16 @@ def consensus(net: DataFrame, board_column: str, anchors: list[str]) -> DataFram
     return net.groupBy(board_column).applyInPandas(one, f"model string, place long, value double, score double, optimal boolean, {board_column} {kind}")
 
 
-def connected(net: DataFrame, scratch_rounds: int = 12) -> DataFrame:
+def connected(net: DataFrame) -> DataFrame:
     """model, component: the least model that a chain of shared units reaches, by label passing
-    with shortcuts; models are few."""
+    until no label moves; models are few."""
     edges = net.where("weight > 0").select("a", "b")
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     label = both.select(F.col("a").alias("model")).distinct().withColumn("component", F.col("model"))
-    for _ in range(scratch_rounds):
+    while True:
         low = both.join(label, F.col("b") == F.col("model")).groupBy("a").agg(F.min("component").alias("low"))
         after = label.join(low, F.col("model") == F.col("a")).select("model", F.least("component", "low").alias("component"))
         after = checkpointed(after)
         if after.exceptAll(label).isEmpty():
-            break
+            return label
         label = after
-    return label

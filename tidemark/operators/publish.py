@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.session import few
+
 # Fixed values of the timeline rule and the release gate.
 STALE_HOURS, FUTURE_HOURS, GATE_SECONDS = 48, 1, 180
 
@@ -88,7 +90,7 @@ def project(articles: DataFrame, analyses: DataFrame, overrides: DataFrame, sour
     """
     last = F.max(F.struct("revision", "analysis", "title", "summary", "score", "relevance", "selected", "promotion")).alias("a")
     latest = analyses.groupBy("id").agg(last).select("id", "a.*").withColumnsRenamed({"title": "judged_title", "selected": "judged"}).drop("revision", "analysis").withColumnRenamed("promotion", "judged_promotion")
-    wide = articles.where("duplicate_of is null").join(latest, "id", "left").join(overrides, "id", "left").join(F.broadcast(sources), "source").join(members, "id", "left")
+    wide = articles.where("duplicate_of is null").join(latest, "id", "left").join(overrides, "id", "left").join(few(sources), "source").join(members, "id", "left")
     title = overridden(F.col("title_set"), F.coalesce("judged_title", "title"))
     promotion = is_promotion(F.col("promotion_set"), F.col("judged_promotion"))
     rows = wide.withColumn("title", title).withColumn("promotion", promotion)

@@ -180,6 +180,14 @@ def quota_top(df: DataFrame, track: str, order: list[Column], n: int, share: int
 
 
 def interleave(df: DataFrame, group: str, order: list[Column]) -> DataFrame:
-    """place: rows in turns, the first of each group, then the second of each."""
+    """nth in its group and place: rows in turns, the first of each group, then the second of each.
+
+    Groups are few, as tracks are. Before a row stand, of each group, the rows of earlier turns and
+    that of this turn if the group comes first; so sizes of groups give its place, and no task
+    numbers all rows.
+    """
     nth = F.row_number().over(Window.partitionBy(group).orderBy(*order))
-    return df.withColumn("nth", nth.cast("long")).withColumn("place", F.row_number().over(Window.orderBy("nth", group)).cast("long"))
+    sizes = df.groupBy(group).count().agg(F.collect_list(F.struct(F.col(group).alias("g"), F.col("count").alias("n"))).alias("_sizes"))
+    turn = df.withColumn("nth", nth.cast("long")).crossJoin(F.broadcast(sizes))
+    before = F.aggregate("_sizes", F.lit(0).cast("long"), lambda a, s: a + F.least(s["n"], F.col("nth") - 1) + ((s["g"] <= F.col(group)) & (s["n"] >= F.col("nth"))).cast("long"))
+    return turn.withColumn("place", before).drop("_sizes")

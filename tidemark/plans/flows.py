@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,10 +10,12 @@ from pyspark.sql import functions as F
 from tidemark.functions import names as NM
 from tidemark.functions import pages as PG
 from tidemark.functions import text as TX
-from tidemark.functions.math import cosine
+from tidemark.functions.math import dot, unit
 from tidemark.operators import grouping as G
 from tidemark.plans.registry import Registry
 from tidemark.plans.relational import load, ts
+from tidemark.session import few
+from tidemark.session import shared_folder as folder
 from tidemark.sources import boards as B
 from tidemark.sources import feeds as S
 from tidemark.sources import sinks as K
@@ -26,8 +27,7 @@ add = REGISTRY.add
 
 def shared_folder(spark: SparkSession) -> str:
     """A new folder below the one that the cluster names for checkpoints."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='tidemark-')}"
-    return f"{base.rstrip('/')}/flow-{uuid.uuid4().hex}"
+    return f"{folder(spark).rstrip('/')}/flow-{uuid.uuid4().hex}"
 
 
 def plain(df: DataFrame, *names: str) -> DataFrame:
@@ -100,12 +100,12 @@ def r14(spark, d):
 # Readers
 
 
-@add("s01_feed_entries", """SELECT source, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS place, 'Report ' || doc_id AS title, 'https://example.org/' || doc_id AS url, '2024-01-15T10:00:00Z' AS published FROM documents WHERE doc_id % 5 = 0""")
+@add("s01_feed_entries", """SELECT source, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS place, 'Report ' || doc_id AS title, 'https://example.org/' || doc_id AS url, '2024-01-15T10:00:00Z' AS published FROM documents""")
 def s01(spark, d):
     (docs,) = load(spark, d, "documents")
     k = F.col("doc_id").cast("string")
     item = F.concat(F.lit("<item><title>Report "), k, F.lit("</title><link>https://example.org/"), k, F.lit("</link><pubDate>Mon, 15 Jan 2024 10:00:00 GMT</pubDate></item>"))
-    rows = docs.where("doc_id % 5 = 0").groupBy("source").agg(F.array_sort(F.collect_list(F.struct("doc_id", item.alias("x")))).alias("i"))
+    rows = docs.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("doc_id", item.alias("x")))).alias("i"))
     body = F.concat(F.lit("<rss><channel>"), F.array_join(F.transform("i", lambda s: s["x"]), ""), F.lit("</channel></rss>"))
     return S.parse_feeds(rows.select("source", body.alias("body"))).select("source", F.col("place").cast("long").alias("place"), "title", "url", "published")
 
@@ -118,11 +118,11 @@ def s02(spark, d):
     return S.changed(listings, state).select(F.col("source").alias("page_id"))
 
 
-@add("s03_json_list", """SELECT user_id AS source, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS place, json_extract_string(props, '$.k') AS k, 'https://example.org/' || json_extract_string(props, '$.k') || '/x' AS url FROM events WHERE user_id < 50""")
+@add("s03_json_list", """SELECT user_id AS source, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS place, json_extract_string(props, '$.k') AS k, 'https://example.org/' || json_extract_string(props, '$.k') || '/x' AS url FROM events""")
 def s03(spark, d):
     (e,) = load(spark, d, "events")
     listed = F.transform(F.array_sort(F.collect_list(F.struct("event_id", "props"))), lambda s: s["props"])
-    bodies = e.where("user_id < 50").groupBy(F.col("user_id").alias("source")).agg(F.concat(F.lit('{"data": ['), F.array_join(listed, ","), F.lit("]}")).alias("body"))
+    bodies = e.groupBy(F.col("user_id").alias("source")).agg(F.concat(F.lit('{"data": ['), F.array_join(listed, ","), F.lit("]}")).alias("body"))
     out = S.json_items(bodies, "$.data", {"k": "$.k", "url": "https://example.org/{k}/x"})
     return out.withColumn("place", F.col("place").cast("long"))
 
@@ -228,7 +228,9 @@ def j15(spark, d):
     """Each stated query against all rows: queries are dealt in blocks, a max is kept per task."""
     (e,) = load(spark, d, "embeddings")
     q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("_q"))
-    pairs = e.crossJoin(q).where("vec_id <> query").withColumn("s", F.round(cosine(F.col("embedding"), F.col("_q")), 9))
+    blocks = q.withColumn("_q", unit(F.col("_q"))).groupBy(F.pmod(F.xxhash64("query"), F.lit(16)).alias("_b")).agg(F.collect_list(F.struct("query", "_q")).alias("_qs"))
+    own = e.select("vec_id", unit(F.col("embedding")).alias("_v"))
+    pairs = own.crossJoin(few(blocks.select("_qs"))).select("vec_id", "_v", F.inline("_qs")).where("vec_id <> query").withColumn("s", F.round(dot(F.col("_v"), F.col("_q")), 9))
     return pairs.groupBy("query").agg(F.max(F.struct("s", (-F.col("vec_id")).alias("v")))["v"].alias("v")).select("query", (-F.col("v")).alias("nearest"))
 
 
@@ -268,14 +270,14 @@ def e11(spark, d):
     return G.story_picks(rows, 15).withColumn("reports", F.array_join("reports", " "))
 
 
-@add("e15_owed", """SELECT DISTINCT e.event_id AS post, c_custkey AS target FROM events e JOIN customer ON e.user_id % 5 = c_nationkey % 5 OR e.user_id % 3 + 5 = c_nationkey % 8 WHERE event_id < 40 AND c_custkey < 60 AND NOT (event_id % 2 = 0 AND c_custkey % 3 = 0)""")
+@add("e15_owed", """SELECT e.event_id AS post, c_custkey AS target FROM events e JOIN customer ON c_custkey = e.user_id UNION SELECT e.event_id, c_custkey FROM events e JOIN customer ON c_custkey = e.user_id % 700 + 100
+EXCEPT SELECT event_id, user_id FROM events WHERE event_id % 2 = 0""")
 def e15(spark, d):
     e, c = load(spark, d, "events", "customer")
-    posts = e.where("event_id < 40").select(F.col("event_id").alias("post"), F.array(F.concat(F.lit("a"), (F.col("user_id") % 5).cast("string")), F.concat(F.lit("b"), (F.col("user_id") % 3 + 5).cast("string"))).alias("kinds"))
-    few = c.where("c_custkey < 60")
-    named = lambda mark, k: few.select(F.col("c_custkey").alias("target"), F.concat(F.lit(mark), k.cast("string")).alias("kind"))
-    targets = named("a", F.col("c_nationkey") % 5).unionByName(named("b", F.col("c_nationkey") % 8))
-    sent = posts.where("post % 2 = 0").select("post").crossJoin(F.broadcast(few.where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("target"))))
+    posts = e.select(F.col("event_id").alias("post"), F.array(F.concat(F.lit("a"), F.col("user_id").cast("string")), F.concat(F.lit("b"), (F.col("user_id") % 700).cast("string"))).alias("kinds"))
+    named = lambda mark, k: c.select(F.col("c_custkey").alias("target"), F.concat(F.lit(mark), k.cast("string")).alias("kind"))
+    targets = named("a", F.col("c_custkey")).unionByName(named("b", F.col("c_custkey") - 100))
+    sent = e.where("event_id % 2 = 0").select(F.col("event_id").alias("post"), F.col("user_id").alias("target"))
     return G.owed(posts, targets, sent)
 
 

@@ -40,14 +40,14 @@ def t04(spark, d):
 
 
 @add("t05_language_guess", r"""SELECT doc_id, CASE WHEN l = 0 THEN 0.0 ELSE round(c / l, 9) END AS cjk, CASE WHEN l > 0 AND c / l > 0.3 THEN 'zh' WHEN regexp_matches(text, '(?i)[a-z]') THEN 'en' ELSE 'other' END AS guess FROM
-(SELECT doc_id, text, length(regexp_replace(text, '[^\p{L}]+', '', 'g')) AS l, length(regexp_replace(text, '[^\x{3400}-\x{9fff}\x{f900}-\x{faff}]+', '', 'g')) AS c FROM (SELECT doc_id, left(text, 300) || CASE WHEN doc_id % 3 = 0 THEN repeat('语言', 200) ELSE '' END AS text FROM documents))""")
+(SELECT doc_id, text, length(regexp_replace(text, '[^\p{L}]+', '', 'g')) AS l, length(regexp_replace(text, '[^\x{3400}-\x{9fff}\x{f900}-\x{faff}]+', '', 'g')) AS c FROM (SELECT doc_id, text || CASE WHEN doc_id % 3 = 0 THEN repeat('语言', 200) ELSE '' END AS text FROM documents))""")
 def t05(spark, d):
     (docs,) = load(spark, d, "documents")
-    s = F.concat(F.substring("text", 1, 300), F.when(F.col("doc_id") % 3 == 0, F.repeat(F.lit("语言"), 200)).otherwise(""))
+    s = F.concat("text", F.when(F.col("doc_id") % 3 == 0, F.repeat(F.lit("语言"), 200)).otherwise(""))
     return docs.select("doc_id", s.alias("s")).select("doc_id", F.round(T.cjk_ratio(F.col("s")), 9).alias("cjk"), T.guess_language(F.col("s")).alias("guess"))
 
 
-MIXED = "CASE doc_id % 4 WHEN 0 THEN '模型 发布 了' || left(text, 40) WHEN 1 THEN '研究者说这是一个新的结果' WHEN 2 THEN 'テスト新' ELSE left(text, 600) END"
+MIXED = "CASE doc_id % 4 WHEN 0 THEN '模型 发布 了' || text WHEN 1 THEN '研究者说这是一个新的结果' WHEN 2 THEN 'テスト新' ELSE text END"
 
 
 @add("t06_short_posts", rf"""SELECT doc_id, regexp_matches(s, '[\x{{4e00}}-\x{{9fff}}]') AND NOT regexp_matches(s, '[\x{{3040}}-\x{{30ff}}]') AND NOT regexp_matches(s, '[\x{{ac00}}-\x{{d7af}}]') AS zh,
@@ -78,41 +78,41 @@ def t08(spark, d):
 @add("t09_compact_summary")
 def t09(spark, d):
     (docs,) = load(spark, d, "documents")
-    s = F.replace(F.substring("text", 1, 500), F.lit("."), F.lit("。"))
+    s = F.replace("text", F.lit("."), F.lit("。"))
     return docs.select("doc_id", T.compact_summary(s).alias("summary"), T.summary_length_ok(T.compact_summary(s), F.col("text")).alias("length_ok"))
 
 
 @add("t11_thin_teaser", r"""SELECT doc_id, length(trim(regexp_replace(coalesce(text, ''), '#[A-Za-z]+', '', 'g'))) < 80 AS thin, length(trim(s)) < 1200 AND regexp_matches(trim(s), '(?i)\bread more\b|…\s*$|(?i)\bcontinue reading\b') AS teaser FROM
-(SELECT *, left(text, 1500) || CASE doc_id % 3 WHEN 0 THEN ' Read more' WHEN 1 THEN '…' ELSE '' END AS s FROM documents)""")
+(SELECT *, text || CASE doc_id % 3 WHEN 0 THEN ' Read more' WHEN 1 THEN '…' ELSE '' END AS s FROM documents)""")
 def t11(spark, d):
     (docs,) = load(spark, d, "documents")
     tail = F.when(F.col("doc_id") % 3 == 0, " Read more").when(F.col("doc_id") % 3 == 1, "…").otherwise("")
-    return docs.select("doc_id", T.is_thin(F.col("text"), "#[A-Za-z]+").alias("thin"), T.is_teaser(F.concat(F.substring("text", 1, 1500), tail)).alias("teaser"))
+    return docs.select("doc_id", T.is_thin(F.col("text"), "#[A-Za-z]+").alias("thin"), T.is_teaser(F.concat("text", tail)).alias("teaser"))
 
 
 @add("t15_abstract_quality", r"""SELECT doc_id, CASE WHEN length(t) < 200 THEN 'fragment' WHEN length(t) > 6000 THEN 'oversized' WHEN regexp_matches(t, '(?i)^(Article title\s*:|Publication date\s*:|Author\(s\)\s*:)') THEN 'not_abstract' WHEN length(trim(text)) = 2000 THEN 'legacy_truncation' END AS issue FROM
-(SELECT doc_id, text, regexp_replace(trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')), '(?i)^(?:abstract|摘要)\s*[:：.]?\s*', '') AS t FROM (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'Author(s): ' || text WHEN doc_id % 5 = 0 THEN left(text, 2000) ELSE text END AS text FROM documents))""")
+(SELECT doc_id, text, regexp_replace(trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')), '(?i)^(?:abstract|摘要)\s*[:：.]?\s*', '') AS t FROM (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'Author(s): ' || text WHEN doc_id % 5 = 0 THEN rpad('Long abstract ', 2000, 'words ') ELSE text END AS text FROM documents))""")
 def t15(spark, d):
     (docs,) = load(spark, d, "documents")
-    s = F.when(F.col("doc_id") % 7 == 0, F.concat(F.lit("Author(s): "), "text")).when(F.col("doc_id") % 5 == 0, F.substring("text", 1, 2000)).otherwise(F.col("text"))
+    s = F.when(F.col("doc_id") % 7 == 0, F.concat(F.lit("Author(s): "), "text")).when(F.col("doc_id") % 5 == 0, F.rpad(F.lit("Long abstract "), 2000, "words ")).otherwise(F.col("text"))
     return docs.select("doc_id", T.abstract_issue(s).alias("issue"))
 
 
-@add("t16_inverted_index", r"""SELECT doc_id, array_to_string(string_split(left(replace(text, chr(10), ' '), 400), ' ')[1:40], ' ') AS head FROM documents""")
+@add("t16_inverted_index", r"""SELECT doc_id, md5(replace(text, chr(10), ' ')) AS text_md5 FROM documents WHERE text IS NOT NULL""")
 def t16(spark, d):
     (docs,) = load(spark, d, "documents")
-    w = docs.select("doc_id", F.posexplode(F.slice(F.split(F.substring(F.replace("text", F.lit("\n"), F.lit(" ")), 1, 400), " "), 1, 40)).alias("at", "w"))
+    w = docs.select("doc_id", F.posexplode(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " ", -1)).alias("at", "w"))
     index = w.groupBy("doc_id", "w").agg(F.collect_list("at").alias("at")).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("w", "at"))).alias("index"))
-    return index.select("doc_id", T.from_inverted_index(F.col("index")).alias("head"))
+    return index.select("doc_id", F.md5(T.from_inverted_index(F.col("index"))).alias("text_md5"))
 
 
-@add("t18_bigram_containment", r"""WITH h AS (SELECT doc_id, regexp_replace(left(text, 120), '\s+', '', 'g') AS s FROM documents),
+@add("t18_bigram_containment", r"""WITH h AS (SELECT doc_id, regexp_replace(text, '\s+', '', 'g') AS s FROM documents),
 g AS (SELECT DISTINCT doc_id, s[i:i+1] AS p FROM (SELECT doc_id, s, unnest(range(1, length(s))) AS i FROM h)), n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY 1)
 SELECT a.doc_id AS a, a.doc_id + 1 AS b, round(coalesce(s.n, 0) / least(a.n, b.n), 9) AS share FROM n a JOIN n b ON b.doc_id = a.doc_id + 1
 LEFT JOIN (SELECT x.doc_id, count(*) AS n FROM g x JOIN g y ON y.doc_id = x.doc_id + 1 AND x.p = y.p GROUP BY 1) s ON s.doc_id = a.doc_id""")
 def t18(spark, d):
     (docs,) = load(spark, d, "documents")
-    g = docs.select("doc_id", T.bigrams(F.substring("text", 1, 120)).alias("g")).where(F.size("g") > 0)
+    g = docs.select("doc_id", T.bigrams(F.col("text")).alias("g")).where(F.size("g") > 0)
     nxt = g.select((F.col("doc_id") - 1).alias("doc_id"), F.col("g").alias("h"))
     return g.join(nxt, "doc_id").select(F.col("doc_id").alias("a"), (F.col("doc_id") + 1).alias("b"), F.round(T.containment(F.col("g"), F.col("h")), 9).alias("share"))
 
@@ -135,21 +135,21 @@ def t20(spark, d):
     return docs.select("doc_id", F.size(T.word_runs(F.col("text"))).cast("long").alias("n_runs"))
 
 
-@add("t22_loss_tolerant", r"""SELECT doc_id, length(c) > 0 AS same, false AS other FROM (SELECT doc_id, trim(regexp_replace(left(text, 200), '\s+', ' ', 'g')) AS c FROM documents) WHERE length(c) > 12""")
+@add("t22_loss_tolerant", r"""SELECT doc_id, length(c) > 0 AS same, false AS other FROM (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS c FROM documents) WHERE length(c) > 12""")
 def t22(spark, d):
     (docs,) = load(spark, d, "documents")
-    s = T.collapse(F.substring("text", 1, 200))
-    lossy = F.concat(F.substring(s, 1, 4), F.lit("��"), F.substring(s, 6, 300))
-    wrong = F.concat(F.substring(s, 1, 9), F.lit("☃"), F.substring(s, 11, 300))
+    s = T.collapse(F.col("text"))
+    lossy = F.concat(F.substring(s, 1, 4), F.lit("��"), F.substr(s, F.lit(6), F.length(s)))
+    wrong = F.concat(F.substring(s, 1, 9), F.lit("☃"), F.substr(s, F.lit(11), F.length(s)))
     return docs.where(F.length(s) > 12).select("doc_id", T.equal_but_for_loss(s, lossy).alias("same"), T.equal_but_for_loss(s, wrong).alias("other"))
 
 
-@add("t23_tags", r"""WITH w AS (SELECT doc_id, lang, list_slice(regexp_extract_all(text, '[^\s]+'), 1, 30) AS w FROM documents),
+@add("t23_tags", r"""WITH w AS (SELECT doc_id, lang, regexp_extract_all(text, '[^\s]+') AS w FROM documents),
 m AS (SELECT doc_id, lang, list_distinct(list_filter(list_transform(w, lambda t: CASE lower(t) WHEN 'the' THEN 'topic:article' WHEN 'of' THEN 'topic:genitive' WHEN 'de' THEN 'topic:genitive' WHEN 'and' THEN 'topic:and' ELSE t END), lambda t: t IN ('topic:article', 'topic:genitive', 'topic:and', 'cat:en', 'cat:fr'))) AS t FROM w)
 SELECT doc_id, CAST(1 + len(t) AS BIGINT) AS n_tags, 'cat:fr' AS first_tag FROM m""")
 def t23(spark, d):
     (docs,) = load(spark, d, "documents")
-    raw = F.slice(F.regexp_extract_all("text", F.lit(r"[^\s]+"), F.lit(0)), 1, 30)
+    raw = F.regexp_extract_all("text", F.lit(r"[^\s]+"), F.lit(0))
     tags = T.normal_tags(raw, TAGS, ALLOWED, ["cat:en", "cat:fr"], "cat:fr")
     return docs.select("doc_id", F.size(tags).cast("long").alias("n_tags"), tags[0].alias("first_tag"))
 

@@ -3,8 +3,14 @@
 from __future__ import annotations
 
 import tempfile
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+#: Tables of up to so many bytes are broadcast; larger ones are joined by shuffle.
+BROADCAST_BYTES = 32 << 20
 
 
 def build(cores: int | str = "*", **conf: str) -> SparkSession:
@@ -29,12 +35,38 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df, written to the folder that the cluster names for checkpoints and cut off from its lineage.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the session's `spark.checkpoint.dir`, or the
+    one set on its context. On one machine alone, where neither is set, a new temporary folder."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"file://{tempfile.mkdtemp(prefix='tidemark-')}"
 
-    Only where the session names none, as in tests on one machine, it is a new temporary folder.
-    """
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df, written to the shared folder and cut off from its lineage."""
     spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-"))
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint()
+
+
+def width(field: T.StructField) -> Column:
+    """About how many bytes a column's value takes."""
+    c = F.col(f"`{field.name}`")
+    if isinstance(field.dataType, (T.StringType, T.BinaryType)):
+        size = F.octet_length(c) + 16
+    elif isinstance(field.dataType, (T.ArrayType, T.StructType, T.MapType)):
+        size = F.octet_length(F.to_json(F.struct(c))) + 16
+    else:
+        size = F.lit(16)
+    return F.coalesce(size, F.lit(16)).cast("long")
+
+
+def few(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """df, to be broadcast if it takes few bytes, which one pass measures; else as it is."""
+    size = reduce(lambda x, y: x + y, [width(f) for f in df.schema.fields])
+    return F.broadcast(df) if (df.agg(F.sum(size)).first()[0] or 0) <= limit else df

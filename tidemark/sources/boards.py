@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.session import few
+
 
 def zipped_csv(archives: DataFrame) -> DataFrame:
     """path, member, record (column to text): the lines of the CSV files in zip archives.
@@ -53,7 +55,7 @@ def category_means(scores: DataFrame, categories: DataFrame) -> DataFrame:
     tasks = categories.select("task", "category").distinct()
     per = tasks.groupBy("category").agg(F.count("*").alias("_tasks"))
     n = per.agg(F.count("*").alias("_categories"))
-    means = scores.where("score is not null").join(F.broadcast(tasks), "task").groupBy("model", "category").agg(F.avg("score").alias("_m"), F.count_distinct("task").alias("_have"))
+    means = scores.where("score is not null").join(few(tasks), "task").groupBy("model", "category").agg(F.avg("score").alias("_m"), F.count_distinct("task").alias("_have"))
     full = means.join(F.broadcast(per), "category").where("_have = _tasks")
     out = full.groupBy("model").agg(F.avg("_m").alias("score"), F.count("*").alias("_have")).crossJoin(F.broadcast(n))
     return out.where("_have = _categories").select("model", "score")
