@@ -35,8 +35,6 @@ HOT = 512
 BLOCK = 300
 #: Rows of nodes that one task compares, about.
 TASK_ROWS = 8_192
-#: Sketches to compare in a component, up to which its leftover vertices meet all others.
-PAIRS = 10**11
 #: Links that a task holds before it passes them on.
 HELD = 100_000
 #: At the threshold itself, the share of pairs that the sketches, and that the trees, may miss.
@@ -207,23 +205,22 @@ def alike(sketches: np.ndarray, i: int) -> np.ndarray:
     return (sketches == sketches[i]).mean(axis=1)
 
 
-def node_links(paths_: np.ndarray, sketches: np.ndarray, level: int, rows: np.ndarray, agree: float = AGREE, part: np.ndarray | None = None) -> Iterator[tuple[int, int]]:
-    """Candidate links of a node as positions: a spanning forest of those found or, where part
-    says which rows are connected already, all between rows of different parts."""
+def node_links(paths_: np.ndarray, sketches: np.ndarray, level: int, rows: np.ndarray, agree: float = AGREE) -> Iterator[tuple[int, int]]:
+    """Candidate links of a node, a spanning forest of those found, as positions."""
     if len(rows) < 2:
         return
     own = sketches[rows]
-    if len(rows) <= SMALL or level >= LEVELS and part is not None:
+    if len(rows) <= SMALL:
         groups = Groups(len(rows))
         for i in range(len(rows) - 1):
             for j in np.flatnonzero(alike(own[i:], 0) >= agree)[1:] + i:
-                if groups.join(i, j) if part is None else part[rows[i]] != part[rows[j]]:
+                if groups.join(i, j):
                     yield rows[i], rows[j]
     elif level < LEVELS:
         order = np.argsort(paths_[rows, level], kind="stable")
         cuts = np.flatnonzero(np.diff(paths_[rows[order], level])) + 1
         for child in np.split(rows[order], cuts):
-            yield from node_links(paths_, sketches, level + 1, child, agree, part)
+            yield from node_links(paths_, sketches, level + 1, child, agree)
     else:
         groups = Groups(len(rows))
         near = alike(own, 0) >= agree
@@ -249,21 +246,19 @@ def tasks_for(rows: int, spark) -> int:
 def candidates(vertices: DataFrame, scratch: Scratch, percent: int = 85) -> DataFrame:
     """a, b: candidate links between vertices, from all trees; enough to connect what is alike.
 
-    vertices: vertex, sketch, path and, where links inside known parts aren't wanted, part; then
-    every link between different parts is given.
+    vertices: vertex, sketch, path.
     """
     agree, n_trees = agreement(percent), trees_for(percent)
-    parted = ["part"] if "part" in vertices.columns else []
     level = lambda k: F.get(F.col("path"), F.col("tree") * LEVELS + k)
-    trees = vertices.select("vertex", "sketch", "path", *parted, F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))).alias("tree"))
+    trees = vertices.select("vertex", "sketch", "path", F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))).alias("tree"))
     names = [f"p{k}" for k in range(LEVELS)]
-    rows = trees.select("vertex", "sketch", *parted, *[level(k).alias(name) for k, name in enumerate(names)])
+    rows = trees.select("vertex", "sketch", *[level(k).alias(name) for k, name in enumerate(names)])
 
     def links(dealt: DataFrame, below: int, n: int) -> DataFrame:
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for node in runs(batches, ["deal"]):
                 sketches = np.frombuffer(b"".join(node["sketch"]), np.uint8).reshape(-1, COORDINATES)
-                found = node_links(node[names].to_numpy(), sketches, below, np.arange(len(node)), agree, node["part"].to_numpy() if parted else None)
+                found = node_links(node[names].to_numpy(), sketches, below, np.arange(len(node)), agree)
                 docs = node["vertex"].to_numpy()
                 yield from frames((docs[i], docs[j]) for i, j in found)
 
@@ -284,19 +279,17 @@ def candidates(vertices: DataFrame, scratch: Scratch, percent: int = 85) -> Data
             break
         rows = scratch.save(met(rows, hot, [name], F.col("vertex")))
     else:
-        found.append(leaf_links(rows.select("vertex", "sketch", *parted, F.col(names[-1]).alias("leaf")), scratch, agree))
+        found.append(leaf_links(rows.select("vertex", "sketch", F.col(names[-1]).alias("leaf")), scratch, agree))
     return reduce(DataFrame.unionByName, found).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
 
 
 def leaf_links(rows: DataFrame, scratch: Scratch, agree: float = AGREE) -> DataFrame:
     """a, b: candidate links of last nodes that are too large for a task, enough to connect all
-    that is alike in each or, with column part, all links between different parts.
+    that is alike in each.
 
     rows: vertex, sketch, leaf. As in node_links every vertex meets its leaf's pivot, and those
-    unlike the pivot meet all. With part, all vertices meet all.
+    unlike the pivot meet all: in chunks, each against every block of the leaf.
     """
-    if "part" in rows.columns:
-        return block_links(scratch.save(rows.withColumn("near", F.lit(False))), scratch, agree, HOT)
     pivots = scratch.save(rows.groupBy("leaf").agg(F.min(F.struct("vertex", "sketch")).alias("first")).select("leaf", F.col("first.vertex").alias("pivot"), F.col("first.sketch").alias("pivot_sketch")))
 
     def meet_pivot(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -304,36 +297,31 @@ def leaf_links(rows: DataFrame, scratch: Scratch, agree: float = AGREE) -> DataF
             own, pivot = (np.frombuffer(b"".join(b[c]), np.uint8).reshape(-1, COORDINATES) for c in ("sketch", "pivot_sketch"))
             yield b.drop(columns="pivot_sketch").assign(near=(own == pivot).mean(axis=1) >= agree)
 
-    seen = met(rows, pivots, ["leaf"], F.col("vertex")).select("vertex", "sketch", "leaf", "pivot", "pivot_sketch")
-    seen = scratch.save(seen.mapInPandas(meet_pivot, "vertex long, sketch binary, leaf long, pivot long, near boolean"))
-    near = seen.where("near").select(F.col("pivot").alias("a"), F.col("vertex").alias("b"))
-    return near.unionByName(block_links(seen.drop("pivot"), scratch, agree, HOT))
-
-
-def block_links(rows: DataFrame, scratch: Scratch, agree: float, block: int) -> DataFrame:
-    """a, b: links that are alike between rows of a leaf that are not near and all its rows: in
-    chunks, each against every block of the leaf. A spanning forest of each meeting or, with
-    column part, all links between different parts.
-
-    rows: vertex, sketch, leaf, near.
-    """
-    parted = ["part"] if "part" in rows.columns else []
-
     def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for g in runs(batches, ["deal"]):
             sketches = np.frombuffer(b"".join(g["sketch"]), np.uint8).reshape(-1, COORDINATES)
             docs, groups = g["vertex"].to_numpy(), Groups(len(g))
-            part = g["part"].to_numpy() if parted else None
             hits = ((i, j) for i in np.flatnonzero(g["far"]) for j in np.flatnonzero(alike(sketches, i) >= agree))
-            yield from frames((docs[i], docs[j]) for i, j in hits if (groups.join(i, j) if part is None else part[i] != part[j]))
+            yield from frames((docs[i], docs[j]) for i, j in hits if groups.join(i, j))
 
-    deals = rows.groupBy("leaf").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"), F.ceil(F.count_if(~F.col("near")) / block).cast("int").alias("chunks"))
+    seen = met(rows, pivots, ["leaf"], F.col("vertex")).select("vertex", "sketch", "leaf", "pivot", "pivot_sketch")
+    seen = scratch.save(seen.mapInPandas(meet_pivot, "vertex long, sketch binary, leaf long, pivot long, near boolean"))
+    near = seen.where("near").select(F.col("pivot").alias("a"), F.col("vertex").alias("b"))
+    return near.unionByName(dealt(seen.drop("pivot"), scratch, HOT, HOT).mapInPandas(meet, "a long, b long"))
+
+
+def dealt(rows: DataFrame, scratch: Scratch, block: int, chunk: int) -> DataFrame:
+    """rows: vertex, sketch, leaf, near and further columns, dealt so that those of a leaf that are
+    not near meet all of it: in chunks, as far, each against every block. One deal is one place,
+    in order."""
+    deals = rows.groupBy("leaf").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"), F.ceil(F.count_if(~F.col("near")) / chunk).cast("int").alias("chunks"))
     seats = met(rows, scratch.save(deals.where("chunks > 0")), ["leaf"], F.col("vertex"))
     seats = seats.withColumn("block", F.pmod(F.xxhash64("vertex", F.lit(1)), F.col("blocks"))).withColumn("chunk", F.pmod(F.xxhash64("vertex", F.lit(2)), F.col("chunks")))
     every = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c).cast("long") - 1))
-    sat = seats.withColumn("to", every("chunks")).select("vertex", "sketch", *parted, F.lit(False).alias("far"), F.xxhash64("leaf", "block", "to").alias("deal"))
-    calls = seats.where("not near").withColumn("to", every("blocks")).select("vertex", "sketch", *parted, F.lit(True).alias("far"), F.xxhash64("leaf", "to", "chunk").alias("deal"))
-    return sat.unionByName(calls).repartition("deal").sortWithinPartitions("deal", "vertex").mapInPandas(meet, "a long, b long")
+    own = [c for c in rows.columns if c not in ("leaf", "near")]
+    sat = seats.withColumn("to", every("chunks")).select(*own, F.lit(False).alias("far"), F.xxhash64("leaf", "block", "to").alias("deal"))
+    calls = seats.where("not near").withColumn("to", every("blocks")).select(*own, F.lit(True).alias("far"), F.xxhash64("leaf", "to", "chunk").alias("deal"))
+    return sat.unionByName(calls).repartition("deal").sortWithinPartitions("deal", "vertex", "far")
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
@@ -402,8 +390,60 @@ def confirmed(grouped: DataFrame, percent: int) -> DataFrame:
             for g in runs(batches, ["deal"]):
                 yield from frames(linked(g))
 
-    dealt = grouped.repartition("deal").sortWithinPartitions("deal", "vertex")
-    return dealt.mapInPandas(run, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b")
+    placed = grouped.repartition("deal").sortWithinPartitions("deal", "vertex")
+    return ordered(placed.mapInPandas(run, "a long, b long"))
+
+
+def ordered(links: DataFrame) -> DataFrame:
+    return links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b")
+
+
+def confirmed_between(apart: DataFrame, texts: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
+    """a, b: links that connect parts of a component wherever any pair that is alike would.
+
+    apart: vertex, sketch, leaf (the component), part, near (in its largest part). texts: vertex,
+    text. Vertices outside the largest part meet all others by sketches first; only those of a
+    deal that are alike to one of another part send their texts there, once each, however many
+    they are alike to. A pair is looked at unless links of the same deal connect it already.
+    """
+    agree = agreement(percent)
+
+    def wanted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for g in runs(batches, ["deal"]):
+            sketches, part = np.frombuffer(b"".join(g["sketch"]), np.uint8).reshape(-1, COORDINATES), g["part"].to_numpy()
+            used = np.zeros(len(g), bool)
+            for i in np.flatnonzero(g["far"]):
+                hits = (alike(sketches, i) >= agree) & (part != part[i])
+                used |= hits
+                used[i] |= hits.any()
+            yield g[used][["deal", "vertex", "sketch", "part", "far"]]
+
+    def linked(g: pd.DataFrame) -> Iterator[tuple]:
+        docs, part, texts_, far, sets = g["vertex"].to_numpy(), g["part"].to_numpy(), g["text"].to_numpy(), g["far"].to_numpy(), {}
+        sketches = np.frombuffer(b"".join(g["sketch"]), np.uint8).reshape(-1, COORDINATES)
+        groups, first = Groups(len(g)), {}
+        for i, p in enumerate(part):
+            groups.join(i, first.setdefault(p, i))
+        for i in np.flatnonzero(far):
+            own = shingle_set(texts_[i])
+            for j in np.flatnonzero(alike(sketches, i) >= agree):
+                if groups.find(i) == groups.find(j):
+                    continue
+                if j not in sets:
+                    sets[j] = shingle_set(texts_[j])
+                both = len(np.intersect1d(own, sets[j], assume_unique=True))
+                if 100 * both >= percent * (len(own) + len(sets[j]) - both):
+                    groups.join(i, j)
+                    yield docs[i], docs[j]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        with np.errstate(over="ignore"):
+            for g in runs(batches, ["deal"]):
+                yield from frames(linked(g))
+
+    meeting = scratch.save(dealt(apart, scratch, 4 * HOT, HOT).mapInPandas(wanted, "deal long, vertex long, sketch binary, part long, far boolean"))
+    seats = meeting.join(texts, "vertex").repartition("deal").sortWithinPartitions("deal", "vertex", "far")
+    return ordered(seats.mapInPandas(run, "a long, b long"))
 
 
 def confirmed_edges(edges: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
@@ -470,9 +510,7 @@ def confirm(docs: DataFrame, vertices: DataFrame, edges: DataFrame, scratch: Scr
 
     The vertices of a candidate component of up to BLOCK meet in one group, each text moved once.
     Of a larger one the edges are looked at. Edges are only a forest of what is alike, so where
-    they don't hold the component together, what is outside its largest part meets all of it by
-    sketches, and every pair that is alike between what is still apart is looked at. Where these
-    would be more than PAIRS sketches to compare, only those meet that share a node in a tree.
+    they don't hold the component together, what is outside its largest part meets all of it.
     """
     roots = scratch.save(components(edges, scratch))
     sizes = roots.groupBy("root").count()
@@ -491,16 +529,10 @@ def confirm(docs: DataFrame, vertices: DataFrame, edges: DataFrame, scratch: Scr
     held = scratch.save(confirmed_edges(edges.join(large.select(F.col("vertex").alias("a")), "a", "left_semi"), bodies, percent))
     part = components(held, scratch)
     parts = scratch.save(large.join(part.select("vertex", F.col("root").alias("to")), "vertex", "left").select("vertex", "root", F.coalesce("to", "vertex").alias("part")))
-    shares = parts.groupBy("root", "part").count().groupBy("root").agg(F.max(F.struct("count", "part")).alias("most"), F.sum("count").alias("n"))
-    shares = shares.select("root", F.col("most.part").alias("main"), (F.col("n") * (F.col("n") - F.col("most.count"))).alias("pairs")).where("pairs > 0")
-    apart = met(parts, scratch.save(shares), ["root"], F.col("vertex")).join(vertices.select("vertex", "sketch", "path"), "vertex")
-    apart = scratch.save(apart.select("vertex", "sketch", "path", "part", F.col("root").alias("leaf"), (F.col("part") == F.col("main")).alias("near"), (F.col("pairs") > PAIRS).alias("huge")))
+    mains = parts.groupBy("root", "part").count().groupBy("root").agg(F.max(F.struct("count", "part"))["part"].alias("main"), F.count("*").alias("n_parts")).where("n_parts > 1")
+    apart = met(parts, scratch.save(mains), ["root"], F.col("vertex")).join(vertices.select("vertex", "sketch"), "vertex")
+    apart = scratch.save(apart.select("vertex", "sketch", F.col("root").alias("leaf"), "part", (F.col("part") == F.col("main")).alias("near")))
     if apart.isEmpty():
         return first.unionByName(held)
-    again = block_links(apart.where(~F.col("huge")).drop("path", "huge"), scratch, agreement(percent), 8 * HOT)
-    huge = apart.where("huge").select("vertex", "sketch", "path", "part")
-    if not huge.isEmpty():
-        again = again.unionByName(candidates(huge, scratch, percent))
-    again = scratch.save(again.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    second = scratch.save(confirmed_edges(again.join(edges, ["a", "b"], "left_anti"), bodies, percent))
+    second = scratch.save(confirmed_between(apart, bodies.select("vertex", "text"), scratch, percent))
     return first.unionByName(held).unionByName(second)
