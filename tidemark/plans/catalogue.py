@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.plans import domain, flows, relational, scalar
+from tidemark.plans import domain, flows, reading, relational, scalar
 from tidemark.plans.registry import Registry
 
 REGISTRY = Registry()
-for part in (relational, scalar, domain, flows):
+for part in (relational, scalar, domain, flows, reading):
     for name, query in part.REGISTRY.queries.items():
         REGISTRY.add(name, part.REGISTRY.sql.get(name))(query)
 

@@ -65,3 +65,76 @@ def carried_share(rows: DataFrame, wanted: Column, least: float = 0.5) -> DataFr
     """The rows that are wanted, by board; none of a board where under `least` of them are."""
     share = F.avg(F.coalesce(wanted, F.lit(False)).cast("double")).over(Window.partitionBy("board"))
     return rows.withColumn("_share", share).where((F.col("_share") >= least) & wanted).drop("_share")
+
+
+def template_csv(scripts: DataFrame, name: str, score: str) -> DataFrame:
+    """source, model, score: rows of the CSV inside the first template literal of a script that
+    begins with the column name. Columns are picked by their header; an asterisk before a name
+    and rows without a number are dropped. scripts: source, body."""
+    block = F.regexp_extract("body", rf"(?s)`\s*({name},[^`]+)`", 1)
+    lines = scripts.select("source", F.split(F.trim(block), r"\r?\n").alias("lines")).where(F.size("lines") > 1)
+    rows = lines.select("source", F.split(F.col("lines")[0], ",").alias("head"), F.explode(F.slice("lines", 2, F.size("lines"))).alias("line"))
+    cell = lambda c: F.get(F.split("line", ","), (F.array_position("head", c) - 1).cast("int"))
+    out = rows.where(F.array_contains("head", score)).select("source", F.trim(F.regexp_replace(cell(name), r"^\*", "")).alias("model"), cell(score).try_cast("double").alias("score"))
+    return out.where((F.col("model") != "") & F.col("score").isNotNull())
+
+
+def newest_edition(pointers: DataFrame, editions: DataFrame) -> DataFrame:
+    """model, score, low, high, eligible: the rows of the edition that a pointer file names.
+
+    pointers: body, as {"latest": id}. editions: id, body, as {"main_board": [rows]}. Models whose
+    name ends in -contributor before the @ are no candidates.
+    """
+    wanted = pointers.select(F.get_json_object("body", "$.latest").alias("id"))
+    board = F.from_json(F.get_json_object("body", "$.main_board"), "array<struct<model string, l2 struct<rate double, ci95 array<double>>>>")
+    rows = editions.join(wanted, "id", "left_semi").select(F.inline(board))
+    base = F.substring_index("model", "@", 1)
+    return rows.select("model", F.col("l2.rate").alias("score"), F.get("l2.ci95", F.lit(0)).alias("low"), F.get("l2.ci95", F.lit(1)).alias("high"), (~base.rlike("(?i)-contributor$")).alias("eligible"))
+
+
+def submissions(files: DataFrame) -> DataFrame:
+    """model, score, low, high, eligible: one JSON file a submission, percent as fractions, bounds
+    from half the width of the interval; all are for reference only. files: path, body."""
+    of = lambda p: F.get_json_object("body", p)
+    score, half = (of(p).try_cast("double") for p in ("$.metrics.accuracy", "$.metrics.accuracy_ci95_half_width"))
+    out = files.select(F.substring_index(of("$.source_filter.model_name"), "/", -1).alias("model"), score.alias("s"), half.alias("h")).where("s is not null")
+    return out.select("model", (F.col("s") / 100).alias("score"), ((F.col("s") - F.col("h")) / 100).alias("low"), ((F.col("s") + F.col("h")) / 100).alias("high"), F.lit(False).alias("eligible"))
+
+
+def island_results(pages: DataFrame, component: str, view: str) -> DataFrame:
+    """source, model, score: the overall results in the properties of a page's island component.
+
+    Properties are JSON in an attribute, each value a pair of a kind and itself: 0 a plain value or
+    an object, 1 an array, 11 an infinity. pages: source, html.
+    """
+    import html as entities
+    import json
+    import re
+
+    def plain(value):
+        if not (isinstance(value, list) and len(value) == 2 and isinstance(value[0], int)):
+            return value
+        kind, inner = value
+        if kind == 1:
+            return [plain(x) for x in inner]
+        if kind == 11:
+            return float("inf") * (1 if inner == 1 else -1)
+        return {k: plain(x) for k, x in inner.items()} if isinstance(inner, dict) else inner
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for source, page in zip(b["source"], b["html"], strict=True):
+                for tag in re.findall(r"<astro-island\b[^>]*>", page or ""):
+                    props = re.search(r'\sprops="([^"]*)"', tag)
+                    if props and re.search(rf'component-url="[^"]*{re.escape(component)}[^"]*"', tag):
+                        overall = plain(json.loads(entities.unescape(props[1]))[view])["tasks"]["overall"]
+                        out += [(source, model, r.get("accuracy")) for model, r in sorted(overall.items())]
+                        break
+            yield pd.DataFrame(out, columns=["source", "model", "score"])
+
+    return pages.select("source", "html").mapInPandas(run, "source string, model string, score double")
+
+
+#: Readers of boards by the form of their source: each takes tables of bodies and gives rows.
+READERS = {"zip_csv": zipped_csv, "template_csv": template_csv, "edition": newest_edition, "submissions": submissions, "island": island_results}

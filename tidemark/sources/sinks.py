@@ -58,3 +58,13 @@ def latest_by_source(entries: DataFrame, n: int = 10) -> DataFrame:
     nth = F.row_number().over(Window.partitionBy("source").orderBy(F.col("at").desc(), "url"))
     top = entries.withColumn("_n", nth).where(F.col("_n") <= n)
     return top.groupBy("source").agg(F.transform(F.sort_array(F.collect_list(F.struct("_n", "url"))), lambda s: s["url"]).alias("urls"))
+
+
+def agent_lines(rows: DataFrame, order: list, most: int) -> DataFrame:
+    """id, nth, lines: the first rows as a numbered Markdown list for an assistant that reads it:
+    linked title, then source, Beijing time and category. rows: id, title, source, at, category."""
+    top = rows.orderBy(*order).limit(most).withColumn("nth", F.row_number().over(Window.orderBy(*order)))
+    title = F.regexp_replace("title", r"([\[\]])", r"\\$1")
+    stamp = F.date_format(F.col("at") + F.expr("INTERVAL 8 HOURS"), "MM-dd HH:mm")
+    head = F.concat(F.col("nth").cast("string"), F.lit(". ["), title, F.lit("](/items/"), F.col("id").cast("string"), F.lit(")"))
+    return top.select("id", "nth", F.concat(head, F.lit("\n   "), F.concat_ws(" · ", "source", stamp, "category")).alias("lines"))
