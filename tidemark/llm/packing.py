@@ -20,7 +20,7 @@ from tidemark.llm.common import Scratch, need
 SHARES = 64
 #: Of a search: fillings of one item at most, fillings looked at for one total, nodes, how often
 #: the unavoidable waste is worked out, and how much waste over the even part is taken early.
-WIDTH, LOOKED, NODES, PRUNE_EVERY, ORDERS = 24, 40, 3_000, 4, (4.0, 3.0, 2.0)
+WIDTH, LOOKED, NODES, PRUNE_EVERY, ORDERS = 24, 40, 5_000, 4, (4.0, 3.0, 2.0)
 
 
 def cut(docs: DataFrame, path: str, capacity: int = 1024, end_id: int = 2) -> DataFrame:
@@ -166,8 +166,8 @@ def bound_of(counts: dict[int, int], capacity: int) -> int:
     return -(-(sum(s * n for s, n in left.items()) + least_waste(left, capacity)) // capacity)
 
 
-def search(counts: dict[int, int], capacity: int, target: int, loose: float, nodes: int) -> tuple[list[tuple[tuple[int, ...], int]] | None, bool]:
-    """A packing into target bins at most, or None, and whether the search saw every case.
+def search(counts: dict[int, int], capacity: int, target: int, loose: float, nodes: int) -> tuple[list[tuple[tuple[int, ...], int]] | None, bool, int]:
+    """A packing into target bins at most, or None, whether the search saw every case, and its nodes.
 
     Depth-first: the largest item left is completed by each of its undominated fillings in turn.
     First come those that waste up to loose times a bin's even part of the waste that is left and
@@ -207,7 +207,7 @@ def search(counts: dict[int, int], capacity: int, target: int, loose: float, nod
     while frames:
         if not frames[-1] or seen >= nodes:
             if seen >= nodes:
-                return None, False
+                return None, False, seen
             frames.pop()
             if path:
                 pattern, waste, times = path.pop()
@@ -223,9 +223,9 @@ def search(counts: dict[int, int], capacity: int, target: int, loose: float, nod
         path.append((pattern, waste, times))
         used, spare, seen = used + times, spare - waste * times, seen + 1
         if not left:
-            return [(p, t) for p, _, t in path], whole
+            return [(p, t) for p, _, t in path], whole, seen
         frames.append(options())
-    return None, whole
+    return None, whole, seen
 
 
 def fill(counts: dict[int, int], capacity: int, nodes: int = NODES) -> list[tuple[tuple[int, ...], int]]:
@@ -233,13 +233,15 @@ def fill(counts: dict[int, int], capacity: int, nodes: int = NODES) -> list[tupl
 
     The first incumbent is the best fit of the whole. Branch-and-bound searches, in several
     orders, then look for one bin fewer, until the bound is met, a search has seen every case, or
-    each order has taken its nodes; so the work does not grow with the documents.
+    nodes are used up, half of what is left for each search; so the work does not grow with the
+    documents.
     """
     left = {s: n for s, n in counts.items() if n}
     best, bound = best_fit(left, capacity), bound_of(left, capacity)
     for loose in ORDERS:
         while bins(best) > bound:
-            found, whole = search(left, capacity, bins(best) - 1, loose, nodes)
+            found, whole, seen = search(left, capacity, bins(best) - 1, loose, -(-nodes // 2))
+            nodes -= seen
             if found is None:
                 bound = bins(best) if whole else bound
                 break
