@@ -6,10 +6,15 @@ import re
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.functions.text import dice, let, title_bigrams
+
+# Words that say nothing of a story's subject.
+GENERIC = "心理健康|精神健康|心理学|心理|健康|科学|最新|新研究|研究|发现|新闻|论文|结果|表明|表示|相关|关于|我们|可以|一个|一种|这个|什么|如何|为什么|影响"
+
 
 @F.pandas_udf(T.StringType())
 def folded(s: pd.Series) -> pd.Series:
@@ -37,6 +42,41 @@ def han_fragments_in(phrase: Column, text: Column) -> Column:
     return (F.size(runs) > 0) & F.forall(runs, lambda r: F.contains(text, r))
 
 
+@F.pandas_udf(T.StringType())
+def compatible(s: pd.Series) -> pd.Series:
+    """Compatibility composition."""
+    return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
+
+
+def two_fragments_in(phrase: Column, text: Column) -> Column:
+    """Whether two different Han bigrams of the phrase, apart in it, are also apart in the text.
+
+    Whole generic words are taken out of the phrase first, so they leave no fragment. Two bigrams
+    are apart in the text if one, at its first place, ends before the other's last place.
+    """
+    runs = F.regexp_extract_all(F.regexp_replace(phrase, GENERIC, " "), F.lit(r"(\p{IsHan}{2,})"), F.lit(1))
+    # run: which run of the phrase a bigram is in; place: where in it; first and last: in the text.
+    last = lambda v: F.length(text) - F.position(F.reverse(v), F.reverse(text))
+    seen = lambda r, k, i: let(F.substr(r, i, F.lit(2)), lambda v: F.struct(k.alias("run"), i.alias("place"), v.alias("value"), F.position(v, text).alias("first"), last(v).alias("last")))
+    pairs = F.flatten(F.transform(runs, lambda r, k: F.transform(F.sequence(F.lit(1), F.length(r) - 1), lambda i: seen(r, k, i))))
+    split = lambda a, b: (a["run"] != b["run"]) | (F.abs(a["place"] - b["place"]) >= 2)
+    meets = lambda a, b: (a["value"] != b["value"]) & split(a, b) & (a["first"] + 2 <= b["last"])
+    return let(F.filter(pairs, lambda p: p["first"] > 0), lambda found: F.exists(found, lambda a: F.exists(found, lambda b: meets(a, b))))
+
+
+def rule_match(posts: DataFrame, least: float = 0.3) -> DataFrame:
+    """posts with matched: whether a post may be about a story. Its title is like one of the reports'
+    by the Dice measure of bigrams, or two fragments of the story's phrase are in its text.
+
+    posts: phrase, reports (array of titles), title, body. Nulls match nothing.
+    """
+    alike = F.exists("reports", lambda r: dice(title_bigrams(F.col("title")), title_bigrams(r)) >= least)
+    # Columns of their own, since a lambda can't hold the Python function.
+    rows = posts.withColumn("_phrase", compatible(F.col("phrase"))).withColumn("_text", compatible(F.concat_ws("\n", "title", "body")))
+    found = F.coalesce(alike, F.lit(False)) | F.coalesce(two_fragments_in(F.col("_phrase"), F.col("_text")), F.lit(False))
+    return rows.withColumn("matched", found).drop("_phrase", "_text")
+
+
 def distinctive_phrase(text: Column, least: int = 6, most: int = 8, chars: int = 40) -> Column:
     """The first run of `least` to `most` words of a sentence with `chars` characters or more; null if none."""
     word = r"[A-Za-z][\w'’-]*"

@@ -146,9 +146,9 @@ def _by_insertion(w: np.ndarray) -> list[int]:
     while moved:
         moved = False
         for i in range(len(order)):
-            rest = order[:i] + order[i + 1 :]
+            model, rest = order[i], order[:i] + order[i + 1 :]
             for k in range(len(order)):
-                trial = rest[:k] + [order[i]] + rest[k:]
+                trial = rest[:k] + [model] + rest[k:]
                 if (cost := total(trial)) < best - 1e-12:
                     order, best, moved = trial, cost, True
     return order

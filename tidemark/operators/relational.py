@@ -25,22 +25,25 @@ def latest(df: DataFrame, keys: list[str], by: list[str], keep: list[str]) -> Da
 def as_of(left: DataFrame, right: DataFrame, key: str, at: str, bucket_seconds: int = 86_400) -> DataFrame:
     """left with the columns of right's latest row at or before left's time, by key.
 
-    right: key, `seen` (its time) and further columns, at most one row a key and time. Rows are
-    dealt by key and time bucket; a bucket that has no row of its own looks at the last one before
-    it, which is carried there first, so a key with a long history is spread over its buckets.
+    right: key, `seen` (its time) and further columns; of rows of one key and time the greatest
+    counts. Rows are dealt by key and time bucket; a bucket starts from the last row before it,
+    which is carried there first, so a key with a long history is spread over its buckets. Both
+    sides then lie in one order of time, and a running last value fills left's rows: no row meets
+    all others of its bucket. A left row without a key or a time has no row of right.
     """
     bucket = lambda c: F.floor(F.unix_timestamp(c.cast("timestamp")) / bucket_seconds)
     values = [c for c in right.columns if c != key]
-    kept = right.select(key, F.struct("seen", *[c for c in values if c != "seen"]).alias("_v")).withColumn("_b", bucket(F.col("_v.seen")))
+    kept = right.where(F.col(key).isNotNull() & F.col("seen").isNotNull()).select(key, F.struct("seen", *[c for c in values if c != "seen"]).alias("_v")).withColumn("_b", bucket(F.col("_v.seen")))
     last = kept.groupBy(key, "_b").agg(F.max("_v").alias("_last"))
-    wanted = left.withColumn("_b", bucket(F.col(at)))
+    wanted = left.select(key, F.struct(*left.columns).alias("_l"), F.col(at).alias("_at")).withColumn("_b", bucket(F.col("_at")))
     buckets = wanted.select(key, "_b").distinct().unionByName(last, allowMissingColumns=True).groupBy(key, "_b").agg(F.max("_last").alias("_last"))
     before = Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     carried = buckets.select(key, "_b", F.last("_last", ignorenulls=True).over(before).alias("_v")).where("_v is not null")
-    every = kept.unionByName(carried).withColumnRenamed(key, "_k").withColumnRenamed("_b", "_rb")
-    joined = wanted.withColumn("_row", F.monotonically_increasing_id()).join(every, (F.col(key) == F.col("_k")) & (F.col("_b") == F.col("_rb")) & (F.col("_v.seen") <= F.col(at)), "left")
-    best = joined.groupBy("_row").agg(F.first(F.struct(*left.columns)).alias("_l"), F.max("_v").alias("_v"))
-    return best.select("_l.*", *[F.col(f"_v.{c}").alias(c) for c in values])
+    every = kept.unionByName(carried).withColumn("_at", F.col("_v.seen")).unionByName(wanted, allowMissingColumns=True)
+    # At one time the rows of right come first, the greatest of them last.
+    so_far = Window.partitionBy(key, "_b").orderBy("_at", F.col("_l").isNotNull(), "_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    filled = every.withColumn("_v", F.last("_v", ignorenulls=True).over(so_far)).where("_l is not null")
+    return filled.select("_l.*", *[F.col(f"_v.{c}").alias(c) for c in values])
 
 
 def carry_forward(newest: DataFrame, older: DataFrame, keys: list[str], seen: str, at: Column, days: int) -> DataFrame:
@@ -132,6 +135,15 @@ def outbox(due: DataFrame, sent: DataFrame, keys: list[str], attempts: int) -> D
     return due.join(settled.select(*keys).distinct(), keys, "left_anti")
 
 
+def due_deliveries(subscribers: DataFrame, deliveries: DataFrame, key: str, attempts: int) -> DataFrame:
+    """The active subscribers that an issue has not reached: no delivery of it, or failed ones of
+    fewer than `attempts` tries. One that is still being sent is in doubt and is not sent again.
+
+    subscribers: id, status. deliveries: id, issue, status, attempts.
+    """
+    return outbox(subscribers.where("status = 'active'"), deliveries.where(F.col("issue") == key), ["id"], attempts)
+
+
 def any_key(left: DataFrame, right: DataFrame, pairs: list[tuple[str, str]], left_id: str, right_id: str) -> DataFrame:
     """left_id, right_id pairs that agree in any pair of columns: one equi join for each, in place
     of a nested loop over an OR."""

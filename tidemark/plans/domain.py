@@ -287,6 +287,19 @@ def k11(spark, d):
     return R.outbox(e.select("user_id", "event_type").distinct(), sent, ["user_id", "event_type"], 5)
 
 
+DELIVERIES = "SELECT o_custkey AS id, year(o_orderdate) AS issue, CASE WHEN max(o_orderstatus) = 'F' THEN 'failed' ELSE 'sent' END AS status, count(*) AS attempts FROM orders GROUP BY 1, 2"
+
+
+@add("e14_due_deliveries", f"""SELECT s.id FROM (SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 0 THEN 'active' ELSE 'pending' END AS status FROM customer) s
+LEFT JOIN ({DELIVERIES}) d ON d.id = s.id AND d.issue = 1994 WHERE s.status = 'active' AND (d.id IS NULL OR (d.status = 'failed' AND d.attempts < 3))""")
+def e14(spark, d):
+    c, o = load(spark, d, "customer", "orders")
+    subscribers = c.select(F.col("c_custkey").alias("id"), F.when(F.col("c_custkey") % 3 == 0, "active").otherwise("pending").alias("status"))
+    status = F.when(F.max("o_orderstatus") == "F", "failed").otherwise("sent")
+    deliveries = o.groupBy(F.col("o_custkey").alias("id"), F.year("o_orderdate").alias("issue")).agg(status.alias("status"), F.count("*").alias("attempts"))
+    return R.due_deliveries(subscribers, deliveries, 1994, 3).select("id")
+
+
 # Filters
 
 

@@ -377,6 +377,29 @@ def t17(spark, d):
     return docs.select("doc_id", NM.same_title(title, F.concat(F.upper(title), F.lit("!"))).alias("same"), NM.same_title(title, F.substring("text", 1, 20)).alias("prefix"))
 
 
+HAN_DIGITS = "零一二三四五六七八九"
+
+
+def _han(number: str) -> str:
+    return f"translate(CAST({number} AS STRING), '0123456789', '{HAN_DIGITS}')"
+
+
+E12_COLUMNS = ["doc_id", f"{_han('(doc_id + 11) * 7919')} AS phrase", "substr(text, 1, 40) AS report", "substr(text, CAST(1 + 6 * (doc_id % 8) AS INT), 40) AS title", f"concat({_han('(doc_id + 3) * 15485863')}, ' x ', {_han('(doc_id + 5) * 49979687')}) AS body"]
+E12_GRAMS = r"(SELECT DISTINCT doc_id, s[i:i+1] AS v FROM (SELECT doc_id, s, unnest(range(1, length(s))) AS i FROM (SELECT doc_id, regexp_replace(lower({c}), '[\p{{P}}\p{{S}}\s_]+', '', 'g') AS s FROM p)))"
+
+
+@add("e12_rule_match", f"""WITH p AS (SELECT {", ".join(E12_COLUMNS)} FROM documents WHERE text IS NOT NULL),
+t AS {E12_GRAMS.format(c="title")}, r AS {E12_GRAMS.format(c="report")},
+d AS (SELECT doc_id, coalesce(2.0 * n / (nt + nr), 0) >= 0.3 AS alike FROM p LEFT JOIN (SELECT doc_id, count(*) AS n FROM t JOIN r USING (doc_id, v) GROUP BY 1) USING (doc_id) LEFT JOIN (SELECT doc_id, count(*) AS nt FROM t GROUP BY 1) USING (doc_id) LEFT JOIN (SELECT doc_id, count(*) AS nr FROM r GROUP BY 1) USING (doc_id)),
+w AS (SELECT doc_id, title || chr(10) || body AS s, phrase[i:i+1] AS v, i FROM (SELECT *, unnest(range(1, length(phrase))) AS i FROM p)),
+f AS (SELECT doc_id, v, i, instr(s, v) AS a, length(s) - instr(reverse(s), reverse(v)) AS z FROM w WHERE contains(s, v))
+SELECT doc_id, alike OR doc_id IN (SELECT x.doc_id FROM f x JOIN f y ON x.doc_id = y.doc_id AND x.v <> y.v AND abs(x.i - y.i) >= 2 AND x.a + 2 <= y.z) AS matched FROM d""")
+def e12(spark, d):
+    (docs,) = load(spark, d, "documents")
+    posts = docs.where("text is not null").selectExpr(*E12_COLUMNS).withColumn("reports", F.array("report"))
+    return NM.rule_match(posts).select("doc_id", "matched")
+
+
 # More readers
 
 
