@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, decontaminate, langid, licenses, neardup, packing, pii, quality, tokens, training_order
+from tidemark.llm import chat, decontaminate, langid, licenses, neardup, packing, pii, quality, secret_scan, tokens, training_order
 from tidemark.plans.registry import Registry
 from tidemark.session import table
 
@@ -126,3 +126,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @REGISTRY.add("op10_nearest_centroid")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
+
+
+@REGISTRY.add("op13_secret_scan")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.report(table(spark, sf_dir, "documents"))
