@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidemark.llm import chat, decontaminate, langid, licenses, neardup, packing, pii, quality, tokens, training_order
+from tidemark.llm import chat, decontaminate, langid, licenses, neardup, packing, pii, quality, secret_scan, tokens, training_order
 
 BPE = public_tokenizers.path("byte_bpe_50k.json")
 CLASH = "w h lines gone _gone _id _host _rejected salt share root vertex v tree deal path item items item_id k all _hit _pii pii_values count n part_no row_no slot shard length piece n_tokens held_out near above dir threshold kept n_shingles component_id".split()
@@ -23,10 +23,11 @@ OPERATORS = {
     "training_order": lambda d: training_order.training_order(d, BPE, "k"),
     "identify": langid.identify,
     "scan": lambda d: licenses.scan(d.withColumn("path", F.concat_ws("/", "source", F.col("doc_id").cast("string")))),
+    "secret_report": secret_scan.report,
     "format_windows": lambda d: chat.format_windows(d.select(F.col("doc_id").alias("conv_id"), F.lit(None).cast("long").alias("turn"), F.col("source").alias("role"), "text"), BPE),
 }
 #: How many rows come out: as many as went in, unless stated.
-WANT = {"judge": 10, "keep_one": 10, "near_duplicates": 10, "pseudonymise": 10, "count_tokens": 10, "identify": 10, "scan": 10, "decontaminate": 9}
+WANT = {"judge": 10, "keep_one": 10, "near_duplicates": 10, "pseudonymise": 10, "count_tokens": 10, "identify": 10, "scan": 10, "secret_report": 10, "decontaminate": 9}
 
 
 def odd(spark, rows, clash):

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, decontaminate, divergence, langid, licenses, neardup, packing, pii, quality, secret_scan, tokens, training_order
+from tidemark.llm import chat, decontaminate, divergence, langid, licenses, neardup, packing, pii, quality, secret_scan, tokens, training_order, whitening
 from tidemark.plans.registry import Registry
 from tidemark.session import table
 
@@ -153,6 +153,11 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 
 
+@REGISTRY.add("op12_whitening")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 @REGISTRY.add("op13_secret_scan")
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.report(table(spark, sf_dir, "documents"))
