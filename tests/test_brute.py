@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import names as NM
 from tidemark.functions import pages as PG
 from tidemark.functions import text as T
-from tidemark.operators import consensus, evaluation, heat, monitor, relational, stories
+from tidemark.operators import evaluation, heat, monitor, relational, stories
 from tidemark.plans import catalogue, domain
 from tidemark.session import table
 
@@ -206,38 +206,6 @@ def test_c39_role_sample(spark):
     assert sorted(r["id"] for r in rows(evaluation.role_sample(df, roles, n))) == sorted(added)
 
 
-def test_c33_order_is_the_best_of_all(spark):
-    rng = np.random.default_rng(3)
-    for n in (1, 2, 4, 6):
-        for _ in range(6):
-            net = np.triu(rng.integers(-3, 4, (n, n)), 1).astype(float)
-            net -= net.T
-            cost = np.maximum(-net, 0)
-            price = lambda o: sum(cost[a, b] for a, b in itertools.combinations(o, 2))  # noqa: E731, B023
-            order, proved = consensus.best_order(cost, np.arange(n))
-            assert proved and sorted(order) == list(range(n))
-            least = min(map(price, itertools.permutations(range(n))))
-            assert price(order) == pytest.approx(least)
-            # Of equal orders, one with the fewest pairs against the preferred order.
-            against = lambda o: sum(a > b for a, b in itertools.combinations(o, 2))
-            assert against(order) == min(against(o) for o in itertools.permutations(range(n)) if price(o) <= least + 1e-9)
-
-
-def test_c33_query_places_every_model_once(spark):
-    got = sorted(rows(Q["c33_consensus_order"](spark, SF)), key=lambda r: r["place"])
-    net = {(r["a"], r["b"]): r["net"] for r in rows(consensus.net_support(domain.unit_scores(spark, SF), soft=False))}
-    ahead = lambda a, b: net.get((a, b), -net.get((b, a), 0.0))
-    assert [r["place"] for r in got] == list(range(1, len(got) + 1)) and {r["model"] for r in got} == {m for p in net for m in p}
-    # No move of one model makes the order cheaper, and values are the running sums of the gaps.
-    order = [r["model"] for r in got]
-    price = lambda o: sum(max(-ahead(a, b), 0) for a, b in itertools.combinations(o, 2))
-    for i, k in itertools.product(range(len(order)), repeat=2):
-        rest = order[:i] + order[i + 1 :]
-        assert price(rest[:k] + [order[i]] + rest[k:]) >= price(order) - 1e-9
-    for r, s in zip(got, got[1:]):
-        assert r["value"] - s["value"] == pytest.approx(max(0.0, ahead(r["model"], s["model"])))
-
-
 def at(hours):
     return pd.Timestamp("2024-01-01") + pd.Timedelta(hours=hours)
 

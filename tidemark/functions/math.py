@@ -99,7 +99,8 @@ def normal_cdf(x: pd.Series) -> pd.Series:
 
 def soft_support(delta: Column, error: Column) -> Column:
     """2 Phi(delta / error) - 1, or the sign of delta where the error is unknown or 0."""
-    return F.when(error > 0, 2 * normal_cdf(delta / error) - 1).otherwise(F.signum(delta))
+    # The divisor is null, not 0, where the branch is not taken: parts of it may be computed first.
+    return F.when(error > 0, 2 * normal_cdf(delta / F.when(error > 0, error)) - 1).otherwise(F.signum(delta))
 
 
 def token_cost(prompt: Column, cached: Column, output: Column, price_in: Column, price_cached: Column, price_out: Column) -> Column:

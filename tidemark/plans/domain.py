@@ -23,6 +23,7 @@ from tidemark.operators import stories as S
 from tidemark.operators import usage as U
 from tidemark.plans.registry import Registry
 from tidemark.plans.relational import load, ts, unit_scores
+from tidemark.session import checkpointed
 
 REGISTRY = Registry()
 add = REGISTRY.add
@@ -614,10 +615,43 @@ def c32(spark, d):
     return C.qualified(rows, [("unit", 2), ("family", 2)], F.col("score") > 30000)
 
 
+BOARDS = "SELECT l_linenumber AS board, p_brand AS model, l_suppkey % 8 AS unit, l_suppkey % 8 % 3 AS operator, 1.0 + l_suppkey % 8 % 2 AS weight, avg(l_extendedprice) AS score FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2, 3, 4, 5"
+
+
+def board_scores(spark, d):
+    """A board for each line number: brands as models, groups of suppliers as units, each with
+    an operator and a weight, and mean prices with their errors as scores."""
+    li, p = load(spark, d, "lineitem", "part")
+    unit = F.col("l_suppkey") % 8
+    rows = li.join(p, F.col("l_partkey") == F.col("p_partkey")).groupBy(F.col("l_linenumber").alias("board"), F.col("p_brand").alias("model"), unit.alias("unit"))
+    error = F.coalesce(F.stddev("l_extendedprice") / F.sqrt(F.count("*")), F.lit(0.0))
+    return rows.agg(F.avg("l_extendedprice").alias("score"), error.alias("error")).withColumn("operator", F.col("unit") % 3).withColumn("weight", 1.0 + F.col("unit") % 2)
+
+
 @add("c33_consensus_order")
 def c33(spark, d):
-    net = C.net_support(unit_scores(spark, d), soft=False).withColumn("board", F.lit("price"))
-    return C.consensus(net, "board", ["Brand#11", "Brand#33"])
+    return C.consensus(C.net_support(board_scores(spark, d), by=["board"]), "board", ["Brand#11", "Brand#33"])
+
+
+VARIANTS = f"""WITH u AS ({BOARDS}), v AS (SELECT DISTINCT board, 'without operator ' || operator AS variant, unit, -1.0 AS factor FROM u UNION ALL SELECT DISTINCT board, 'without unit ' || unit, unit, -1.0 FROM u UNION ALL SELECT DISTINCT board, 'less ' || unit, unit, -0.2 FROM u UNION ALL SELECT DISTINCT board, 'more ' || unit, unit, 0.2 FROM u),
+p AS (SELECT x.board, x.unit, x.model AS a, y.model AS b, sign(x.score - y.score) * x.weight AS s FROM u x JOIN u y ON x.board = y.board AND x.unit = y.unit AND x.model < y.model)
+SELECT p.board, n.variant, a, b, CASE WHEN count(*) > count(*) FILTER (v.factor = -1) THEN CAST(sum(s * (1 + coalesce(v.factor, 0))) AS DOUBLE) ELSE 0 END AS net, count(*) - count(*) FILTER (v.factor = -1) AS shared FROM p JOIN (SELECT DISTINCT board, variant FROM v) n ON n.board = p.board LEFT JOIN v ON v.board = p.board AND v.variant = n.variant AND v.unit = p.unit GROUP BY p.board, n.variant, a, b
+UNION ALL SELECT board, 'ordinal', a, b, CAST(sum(s) AS DOUBLE), count(*) FROM p GROUP BY board, a, b"""
+
+
+@add("c33_variant_support", f"SELECT board, variant, a, b, round(net, 6) AS net, shared FROM ({VARIANTS})")
+def c33_variants(spark, d):
+    rows = board_scores(spark, d)
+    return C.variant_support(C.unit_support(rows, ["board"], soft=False), C.variants(rows, ["board"]), ["board"]).withColumn("net", F.round("net", 6))
+
+
+@add("c33_stability")
+def c33_stability(spark, d):
+    rows = checkpointed(board_scores(spark, d))
+    parts, design = checkpointed(C.unit_support(rows, ["board"])), C.variants(rows, ["board"])
+    net = parts.groupBy("board", "a", "b").agg(F.sum("part").alias("net"))
+    places = checkpointed(C.consensus(net, "board", []).select("board", "model", "place"))
+    return C.stability(C.variant_support(parts, design, ["board"]), C.still_qualified(rows, design, ["board"], 6), places, ["board"])
 
 
 @add("c33_coverage", f"SELECT model, round(sum(weight) / (SELECT sum(weight) FROM (SELECT DISTINCT unit, weight FROM ({UNITS}))), 6) AS covered FROM ({UNITS}) WHERE score > 30000 OR unit < 3 GROUP BY 1")
