@@ -7,35 +7,58 @@ of single terms go back to the terms. All numbers are whole.
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import Scratch, met, need, small
 
 #: A term is a longest run of letters of any script, and of whatever else lies beyond ASCII.
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+TERM, CAPITALS = re.compile(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"), re.compile("[A-Z]+")
 #: Documents of a language that a term must be in; what is added to each count; the scale of shares.
 LEAST, PRIOR, SCALE = 30, 5, 1_000_000_000
 TOP = 50
-#: Sources compared with all others of their language in one task, and shares held at a time.
-BLOCK, HELD = 256, 1 << 20
+#: Sources compared with all others of their language in one task; terms or shares held at a time.
+BLOCK, HELD = 256, 1 << 19
 
 
-def term_counts(text: Column) -> Column:
-    """Each distinct term of a text with its count; only A to Z are lower-cased.
+def term_counts(rows: DataFrame) -> DataFrame:
+    """lang, source, term, n, docs of rows (lang, source, text): partial counts, to be added up.
 
-    Sorted terms are cut where they change, so that a row gives as many entries as it has terms.
+    A task adds up what it reads and gives it on whenever it holds HELD terms.
     """
-    lower = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    terms = F.sort_array(F.regexp_extract_all(lower, F.lit(TERM), F.lit(0)))
-    # One parameter each: optional ones would be taken for the index.
-    ends = F.transform(F.array(terms), lambda t: F.struct(t.alias("t"), F.filter(F.sequence(F.lit(1), F.size(t)), lambda i: (i > 0) & ~F.get(t, i).eqNullSafe(F.get(t, i - 1))).alias("e")))[0]
-    counted = F.transform(F.array(ends), lambda x: F.transform(x["e"], lambda end, k: F.struct(F.get(x["t"], end - 1).alias("term"), (end - F.coalesce(F.get(x["e"], k - 1), F.lit(0))).cast("long").alias("n"))))[0]
-    return F.when(F.size(terms) > 0, counted)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple[str, str], tuple[Counter, Counter]] = {}
+        for batch in batches:
+            for lang, source, text in zip(*(batch.column(c) for c in ("lang", "source", "text"))):
+                text = text.as_py() or ""
+                # Only A to Z are lower-cased, so nothing else may be.
+                words = TERM.findall(text.lower() if text.isascii() else CAPITALS.sub(lambda m: m[0].lower(), text))
+                if words:
+                    n, docs = sums.setdefault((lang.as_py(), source.as_py()), (Counter(), Counter()))
+                    n.update(words)
+                    docs.update(set(words))
+            if sum(len(n) for n, _ in sums.values()) > HELD:
+                yield from given(sums)
+                sums = {}
+        yield from given(sums)
+
+    def given(sums: dict) -> Iterator[pa.RecordBatch]:
+        for (lang, source), (n, docs) in sums.items():
+            terms = list(n)
+            for at in range(0, len(terms), 1 << 16):
+                part = terms[at : at + (1 << 16)]
+                columns = {"lang": [lang] * len(part), "source": [source] * len(part), "term": part, "n": [n[t] for t in part], "docs": [docs[t] for t in part]}
+                yield pa.RecordBatch.from_pydict(columns)
+
+    return rows.mapInArrow(count, "lang string, source string, term string, n long, docs long")
 
 
 def share(n: Column, total: Column, terms: Column) -> Column:
@@ -54,8 +77,7 @@ def counted(docs: DataFrame, scratch: Scratch, least: int = LEAST) -> tuple[Data
     entry a source. A frequent term is counted in the tasks before it is shuffled.
     """
     rows = docs.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("lang", "source")], "text")
-    found = rows.select("lang", "source", F.explode(term_counts(F.col("text"))).alias("t")).select("lang", "source", "t.term", "t.n")
-    sums = found.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.count("*").alias("docs"))
+    sums = term_counts(rows).groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
     column = F.sort_array(F.collect_list(F.struct("source", "n"))).alias("column")
     terms = scratch.save(sums.groupBy("lang", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("_docs"), column).where(F.col("_docs") >= least).drop("_docs"))
     used = terms.select("lang", F.explode("column").alias("c")).groupBy("lang", "c.source").agg(F.sum("c.n").alias("n"))
@@ -117,7 +139,7 @@ def audit(docs: DataFrame, least: int = LEAST, top: int = TOP, block: int = BLOC
     `pair`: every other source, farthest first. Part `term`: the `top` terms that the source has
     and uses more than its language does. Ties go by the bytes of the item. Sources without kept
     terms have pairs and no terms; a language of one source has no pairs; without documents there
-    are no rows. A repeated row counts again. A very long text is one sorted array of its terms.
+    are no rows. A repeated row counts again. A very long text is one list of its terms.
     """
     scratch = Scratch(docs.sparkSession)
     terms, groups, langs = counted(need(docs, "text", "lang", "source"), scratch, least)
