@@ -10,7 +10,7 @@ from tidemark.functions.text import let
 HOURS_AHEAD = "INTERVAL 8 HOURS"
 # Hours of the provider's peak price on working days.
 PEAK_HOURS = [9, 10, 11, 14, 15, 16, 17]
-MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
+MONTH_NAMES = ["january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december"]
 
 
 def beijing(at: Column) -> Column:
@@ -70,47 +70,84 @@ def slot(at: Column, start: Column, hours: int = 1) -> Column:
     return F.floor(F.timestamp_diff("SECOND", start, at) / (3600 * hours))
 
 
-def _fields(y: Column, mo: Column, d: Column, h: Column, mi: Column, s: Column) -> Column:
-    two = lambda x: F.lpad(F.coalesce(F.nullif(x, F.lit("")), F.lit("0")), 2, "0")
-    text = F.concat(y, F.lit("-"), two(mo), F.lit("-"), two(d), F.lit(" "), two(h), F.lit(":"), two(mi), F.lit(":"), two(s))
-    return F.try_to_timestamp(text, F.lit("yyyy-MM-dd HH:mm:ss")).cast("timestamp_ntz")
-
-
 def loose_date(s: Column, offset_hours: int = 8) -> Column:
     """A date in text, in UTC; a clock without a zone is at the offset. Without a year there is none.
 
-    Reads 2026-09-26, 2026/9/26, 2026年9月26日, with or without a time, ISO times with a zone, and
-    English forms such as Sep 26, 2026 or 26 September 2026.
+    Text is read as numbers, words and signs, each of which has a letter in a shape: Y and n numbers
+    of four and of one or two digits, N others, M a month's name, A am or pm, Z a zone's name, w
+    other words. Where a date and a clock stand in the shape, the numbers are taken from there.
+    Reads year, month, day with signs between (then a clock only right behind), month, day, year
+    with strokes, and months by name with the day on either side, or none for the first; a year of
+    two digits behind day and month. An ISO date alone is midnight in UTC.
     """
-    return let(F.trim(s), lambda v: _loose(v, offset_hours))
-
-
-def _loose(v: Column, offset_hours: int) -> Column:
-    zoned = F.when(v.rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:?\d{2})$"), F.try_to_timestamp(v).cast("timestamp_ntz"))
-    day_only = F.when(v.rlike(r"^\d{4}-\d{2}-\d{2}$"), _fields(F.substring(v, 1, 4), F.substring(v, 6, 2), F.substring(v, 9, 2), F.lit("0"), F.lit("0"), F.lit("0")))
-    # A run of numbers that begins with a year: its month, day, hour, minute and second by place.
-    run = F.regexp_extract(v, r"[0-9]{4}(?:[-/.年] ?[0-9]{1,2}){1}(?:[-/.月] ?[0-9]{1,2})日?(?:[T ]*[0-9]{1,2}:[0-9]{2}(?::[0-9]{2})?)?", 0)
-    part = lambda ns, k: F.coalesce(F.get(ns, F.lit(k)), F.lit(""))
-    numeric = let(F.regexp_extract_all(run, F.lit("[0-9]+"), F.lit(0)), lambda ns: F.when(F.size(ns) > 0, _fields(*[part(ns, k) for k in range(6)])))
-    # English: the word of a month between or before two numbers, of which the one of four digits is the year.
-    words = F.filter(F.split(F.lower(v), "[\\s,.]+"), lambda w: w != "")
-    bare = F.transform(words, lambda w: F.regexp_replace(w, "^([0-9]+)(?:st|nd|rd|th)$", "$1"))
-    local = F.coalesce(numeric, let(bare, _english))
-    return F.coalesce(zoned, day_only, local - F.expr(f"INTERVAL {offset_hours} HOURS"))
-
-
-def _english(words: Column) -> Column:
-    month = lambda w: F.array_position(F.array(*[F.lit(x) for x in MONTHS]), F.substring(w, 1, 3))
-    named = F.filter(F.transform(words, lambda w, i: F.struct(i.alias("i"), month(w).alias("m"), w.alias("w"))), lambda x: (x["m"] > 0) & x["w"].rlike("^[a-z]+$"))
-    is_day, is_year = (lambda w, p=p: F.coalesce(w.rlike(p), F.lit(False)) for p in ("^[0-9]{1,2}$", "^[0-9]{4}$"))
-    none = F.lit("")
-
-    def of(at: Column) -> Column:
-        word = lambda step: F.get(words, at["i"] + step)
-        dated = lambda y, d: _fields(y, at["m"].cast("string"), d, none, none, none)
-        return F.when(is_day(word(1)) & is_year(word(2)), dated(word(2), word(1))).when(is_day(word(-1)) & is_year(word(1)), dated(word(1), word(-1)))
-
-    return let(F.get(named, F.lit(0)), of)
+    lower = F.regexp_extract_all(F.lower(F.trim(s)), F.lit("[0-9]+|[a-z]+|\\S"), F.lit(0))
+    return let(F.filter(lower, lambda t: ~t.isin("st", "nd", "rd", "th")), lambda tokens: let(F.array_join(F.transform(tokens, _role), ""), lambda shape: _dated(tokens, shape, offset_hours)))
+
+
+def _month(word: Column) -> Column:
+    """The number of a month by its name or its first three letters or more; 0 for other words."""
+    whole = F.array(*[F.lit(m) for m in MONTH_NAMES])
+    return F.when(F.length(word) >= 3, F.array_position(F.transform(whole, lambda m: F.startswith(m, word)), F.lit(True))).otherwise(0)
+
+
+def _role(t: Column) -> Column:
+    digits = F.when(F.length(t) == 4, "Y").when(F.length(t) < 3, "n").otherwise("N")
+    letters = F.when(_month(t) > 0, "M").when(t.isin("am", "pm"), "A").when(t.isin("z", "gmt", "utc"), "Z").otherwise("w")
+    return F.when(t.between("0", "9~"), digits).when(t.between("a", "z~"), letters).when(t.isin(*"-/.:+,年月日"), t).otherwise("s")
+
+
+#: A clock in a shape, with its zone: hour, minute, then perhaps second and its fraction.
+ZONE = "(?:Z(?:[+-](?:Y|n:n))?|[+-](?:Y|n:n))"
+CLOCK = f"n:n(?::n(?:[.][nNY])?)?A?{ZONE}?"
+
+
+def _dated(tokens: Column, shape: Column, offset_hours: int) -> Column:
+    number = lambda at: F.get(tokens, at - 1).try_cast("int")
+    clock_at = F.regexp_instr(shape, F.lit(CLOCK))
+    clock = F.regexp_extract(shape, CLOCK, 0)
+    # Its place stays, so that places in the rest are those of the tokens.
+    rest = F.when(clock_at > 0, F.concat(F.substr(shape, F.lit(1), clock_at - 1), F.repeat(F.lit("_"), F.length(clock)), F.substr(shape, clock_at + F.length(clock)))).otherwise(shape)
+    at = {k: F.regexp_instr(rest, F.lit(p)) for k, p in {"ymd": "Y[-/.年]n[-/.月]n", "mdy": "n([-/])n\\1Y", "month": "M", "year": "Y"}.items()}
+    behind = F.length(F.regexp_extract(F.substr(rest, at["ymd"] + 5), "^日?w?", 0))
+    m = at["month"]
+    after = F.length(F.regexp_extract(F.substr(rest, m + 1), "^[.,]*n", 0))
+    before = F.length(F.regexp_extract(F.substr(rest, F.lit(1), m - 1), "n[.,]*w?$", 0))
+    day_after, day_before = F.when(after > 0, number(m + after)), F.when(before > 0, number(m - before))
+    short = (at["year"] == 0) & (after > 0) & (before > 0) & (F.length(F.get(tokens, m + after - 1)) == 2)
+    century = lambda y: y + F.when(y < 50, 2000).otherwise(1900)
+    none = F.struct(*[F.lit(None).cast("int").alias(c) for c in ("y", "m", "d")])
+    part = lambda y, mo, d: F.struct(y.cast("int").alias("y"), mo.cast("int").alias("m"), d.cast("int").alias("d"))
+    found = (
+        F.when(at["ymd"] > 0, part(number(at["ymd"]), number(at["ymd"] + 2), number(at["ymd"] + 4)))
+        .when(at["mdy"] > 0, part(number(at["mdy"] + 4), number(at["mdy"]), number(at["mdy"] + 2)))
+        .when((m > 0) & short, part(century(number(m + after)), _month(F.get(tokens, m - 1)), day_before))
+        .when((m > 0) & (at["year"] > 0), part(number(at["year"]), _month(F.get(tokens, m - 1)), F.coalesce(day_after, day_before, F.lit(1))))
+        .otherwise(none)
+    )
+    told = (clock_at > 0) & ((at["ymd"] == 0) | (clock_at == at["ymd"] + 5 + behind))
+    return let(found, lambda d: _in_utc(tokens, shape, clock, clock_at, told, d, offset_hours))
+
+
+def _in_utc(tokens: Column, shape: Column, clock: Column, clock_at: Column, told: Column, d: Column, offset_hours: int) -> Column:
+    token = lambda k: F.get(tokens, clock_at + k - 2)
+    number = lambda k: token(k).try_cast("int")
+    has = lambda p: clock.rlike(p)
+    half = F.instr(clock, "A")
+    hour = F.when(half == 0, number(1)).otherwise(number(1) % 12 + F.when(token(half) == "pm", 12).otherwise(0))
+    second = F.when(has("^n:n:n"), number(5)).otherwise(0)
+    fraction = F.when(has("^n:n:n[.]"), F.concat(F.lit("0."), token(7)).try_cast("double")).otherwise(0.0)
+    sure = told & number(1).between(0, 23) & number(3).between(0, 59) & second.between(0, 59)
+    wall = F.when(sure, hour * 3600 + number(3) * 60 + second + fraction).when(~told, 0.0)
+    # The zone's sign stands before its last one or three tokens.
+    four, two = has("[+-]Y$"), has("[+-]n:n$")
+    last = F.length(clock)
+    size = F.when(four, F.substr(token(last), F.lit(1), F.lit(2)).try_cast("int") * 60 + F.substr(token(last), F.lit(3), F.lit(2)).try_cast("int")).when(two, number(last - 2) * 60 + number(last)).otherwise(0)
+    sign = F.when(token(F.when(four, last - 1).otherwise(last - 3)) == "-", -1).otherwise(1)
+    zone = F.when(told & has(f"{ZONE}$"), 60 * F.when(four | two, sign * size).otherwise(0))
+    alone = (shape == "Y-n-n") & (F.length(F.array_join(tokens, "")) == 10)
+    day = F.try_to_timestamp(F.concat_ws("-", F.lpad(d["y"].cast("string"), 4, "0"), F.lpad(d["m"].cast("string"), 2, "0"), F.lpad(d["d"].cast("string"), 2, "0")), F.lit("yyyy-MM-dd")).cast("timestamp_ntz")
+    seconds = wall - F.coalesce(zone, F.when(alone, 0).otherwise(offset_hours * 3600))
+    return F.when(d["y"].isNotNull() & d["m"].isNotNull() & d["d"].isNotNull(), day + F.make_interval(secs=seconds.cast("decimal(18,6)")))
 
 
 def relative_date(s: Column, now: Column, offset_hours: int = 8) -> Column:
