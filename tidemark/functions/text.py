@@ -86,44 +86,102 @@ def is_short_post(s: Column) -> Column:
     return (F.length(s) > 0) & (F.length(s) < F.when(count_matches(s, HAN) > 0.3 * F.length(s), 100).otherwise(500))
 
 
+#: The signs that names and words of other scripts are written with here.
+NAME = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_"
+INNER = "0123456789+.#/-"
+
+
+def led_by(s: Column, chars: str) -> Column:
+    """How many characters s begins with that are all among chars."""
+    return F.length(s) - F.length(F.ltrim(s, F.lit(chars)))
+
+
+def plain_words(s: Column) -> Column:
+    """The words between blanks, cut before a link, with names behind @ and # taken out."""
+    upto = lambda w, mark: F.when(F.instr(w, mark) > 0, F.substring_index(w, mark, 1)).otherwise(w)
+    bare = F.transform(F.split(s, r"\s+"), lambda w: upto(upto(w, "https://"), "http://"))
+    for mark in "@#":
+
+        def unnamed(w: Column) -> Column:
+            parts = F.split(w, mark)  # noqa: B023
+            return F.array_join(F.transform(parts, lambda p, i: F.when(i == 0, p).when(led_by(p, NAME) > 0, F.concat(F.lit(" "), F.ltrim(p, F.lit(NAME)))).otherwise(F.concat(F.lit(mark), p))), "")  # noqa: B023
+
+        bare = F.transform(bare, unnamed)
+    return bare
+
+
+def longest_foreign_run(s: Column) -> Column:
+    """The most letters and signs that two or more Latin words one after another have together."""
+    tokens = F.regexp_extract_all(s, F.lit(r"[A-Za-z0-9+.#/-]+|\s+|[^A-Za-z0-9+.#/\s-]+"), F.lit(0))
+    none = F.struct(F.lit(0).alias("words"), F.lit(0).alias("size"), F.lit(False).alias("apart"), F.lit(0).alias("best"))
+
+    def step(run: Column, t: Column) -> Column:
+        # A word that does not begin with a letter begins a run where its letters do.
+        word = F.ltrim(t, F.lit(INNER))
+        latin, blank = word.between("A", "z~") & t.rlike("^[ -~]+$"), F.trim(F.regexp_replace(t, r"\s", "")) == ""
+        joins = run["apart"] & (run["words"] > 0) & (word == t)
+        words, size = F.when(joins, run["words"] + 1).otherwise(1), F.when(joins, run["size"]).otherwise(0) + F.length(word)
+        grown = F.struct(words.alias("words"), size.alias("size"), F.lit(False).alias("apart"), F.greatest(run["best"], F.when(words > 1, size).otherwise(0)).alias("best"))
+        waiting = F.struct(run["words"].alias("words"), run["size"].alias("size"), F.lit(True).alias("apart"), run["best"].alias("best"))
+        ended = F.struct(F.lit(0).alias("words"), F.lit(0).alias("size"), F.lit(False).alias("apart"), run["best"].alias("best"))
+        return F.when(blank, waiting).when(latin, grown).otherwise(ended)
+
+    return F.aggregate(tokens, none, step, lambda run: run["best"])
+
+
 def needs_translation(s: Column) -> Column:
-    """Not Han text, or too mixed, or with a run of two or more foreign words of ten letters together."""
-    bare = replaced(s, (r"https?://\S+", " "), ("@[A-Za-z0-9_]+", " "), ("#[A-Za-z0-9_]+", " "))
-    runs = F.regexp_extract_all(bare, F.lit(r"[A-Za-z][A-Za-z0-9+.#/-]*(?:\s+[A-Za-z][A-Za-z0-9+.#/-]*)+"), F.lit(0))
-    return ~looks_zh(bare) | (han_density(bare) < 0.65) | F.exists(runs, lambda r: F.length(F.regexp_replace(r, r"\s+", "")) >= 10)
+    """Not Han text, or under 65 % Han, or with ten or more letters of foreign words in a row."""
+    return let(F.array_join(plain_words(s), " "), lambda bare: ~looks_zh(bare) | (han_density(bare) < 0.65) | (longest_foreign_run(bare) >= 10))
 
 
 def clean_article(s: Column) -> Column:
-    """Article text without HTML, links and entities; at most one empty line in a row."""
-    bare = replaced(s, (r"(?is)<(script|style)[^>]*>.*?</\1>", " "), (r"<[^>]+>", " "), (r"(?i)https?://\S+", " "))
-    for name, value in (("&nbsp;", " "), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'")):
-        bare = F.regexp_replace(bare, f"(?i){name}", value)
-    tidy = replaced(bare, (r"[ \t]+", " "), (r"[ \t]*\n[ \t]*", "\n"), (r"\n{3,}", "\n\n"))
-    return F.regexp_replace(tidy, r"^\s+|\s+$", "")
+    """Article text without HTML, links and entities; at most one empty line in a row.
+
+    Text is cut at tags; what stands in scripts and styles goes with them. Then each line is
+    tidied by itself, and a line is dropped where it and the one before it are empty.
+    """
+    quiet = F.regexp_replace(s, r"(?is)<(?=(script|style))\1\b.*?</\1\s*>", " ")
+    text = F.array_join(F.split(quiet, "<[^>]+>"), " ")
+    words = F.array_join(F.transform(F.split(text, "(?i)(?=https?://)"), lambda part: F.when(F.lower(part).rlike("^https?://\\S"), F.concat(F.lit(" "), F.substr(part, F.length(F.regexp_extract(part, r"^\S+", 0)) + 1, F.length(part)))).otherwise(part)), "")
+    decoded = reduce(lambda out, e: F.regexp_replace(out, f"(?i){e[0]}", e[1]), [e for e in ENTITIES.items() if e[0] != "&apos;"], words)
+    lines = F.transform(F.split(decoded, "\n"), lambda line: F.trim(F.translate(F.regexp_replace(line, "[ \\t]+", " "), "\t", " ")))
+    kept = lambda rows: F.filter(rows, lambda line, i: (line != "") | (F.get(rows, i - 1) != ""))
+    return F.regexp_replace(F.array_join(let(lines, kept), "\n"), r"^\s+|\s+$", "")
+
+
+def pieces(text: Column, ends: str) -> Column:
+    """text cut behind each of the signs in ends; signs without text before them are left out."""
+    return F.filter(F.split(text, f"(?<=[{ends}])"), lambda p: ~p.isin("", *ends))
+
+
+def first_pieces(parts: Column, room: int, enough: int) -> Column:
+    """Pieces from the first on, as many as fit into room, until they have `enough` characters."""
+    # No piece is empty, so no more than these can fit.
+    parts = F.slice(parts, 1, room + 1)
+    sums = F.transform(parts, lambda _, i: F.aggregate(F.slice(parts, 1, i + 1), F.lit(0), lambda n, p: n + F.length(p)))
+    # The first piece that is one too many, or else all of them.
+    over = F.array_position(F.transform(sums, lambda n: n > room), F.lit(True))
+    reached = F.array_position(F.transform(sums, lambda n: n >= enough), F.lit(True))
+    last = F.least(F.when(over > 0, over - 1).otherwise(F.size(parts)), F.when(reached > 0, reached).otherwise(F.size(parts)))
+    return F.array_join(F.slice(parts, F.lit(1), F.greatest(last.cast("int"), F.lit(0))), "")
 
 
 def compact_summary(s: Column, most: int = 190) -> Column:
     """Whole sentences up to `most` characters, ending at 80 or more; else whole clauses; else all."""
-    text = F.regexp_replace(F.trim(s), r"\s*\n+\s*", " ")
 
-    def taken(parts: Column, room: int) -> Column:
-        start = F.struct(F.lit("").alias("t"), F.lit(False).alias("done"))
-        full = lambda a, p: a["done"] | (F.length(a["t"]) + F.length(p) > room)
-        grow = lambda a, p: F.when(full(a, p), F.struct(a["t"].alias("t"), F.lit(True).alias("done"))).otherwise(F.struct(F.concat(a["t"], p).alias("t"), (F.length(a["t"]) + F.length(p) >= 80).alias("done")))
-        return F.aggregate(parts, start, grow, lambda a: a["t"])
+    def of(text: Column) -> Column:
+        sentences, clauses = let(pieces(text, "。！？!?"), lambda p: first_pieces(p, most, 80)), let(pieces(text, "，；：、,;:"), lambda p: first_pieces(p, most - 1, 80))
+        ended = F.concat(F.regexp_replace(clauses, "[，；：、,;:]$", ""), F.lit("。"))
+        return F.when(F.length(text) <= most, text).when(F.length(sentences) >= 50, F.trim(sentences)).when(F.length(clauses) >= 50, ended).otherwise(text)
 
-    by_sentence = taken(F.regexp_extract_all(text, F.lit("[^。！？!?]+[。！？!?]?"), F.lit(0)), most)
-    by_clause = taken(F.regexp_extract_all(text, F.lit("[^，；：、,;:]+[，；：、,;:]?"), F.lit(0)), most - 1)
-    clause = F.when(F.length(by_clause) >= 50, F.concat(F.regexp_replace(by_clause, "[，；：、,;:]$", ""), F.lit("。"))).otherwise(text)
-    return F.when(F.length(text) <= most, text).when(F.length(by_sentence) >= 50, F.trim(by_sentence)).otherwise(clause)
+    return let(F.array_join(F.split(F.trim(s), r"\s*\n\s*"), " "), of)
 
 
 def summary_length_ok(summary: Column, source: Column) -> Column:
     """50 to 200 characters in up to three sentences; 80 and two at least for a long source."""
-    rich = F.length(F.trim(source)) >= 500
-    n = F.size(F.filter(F.split(F.trim(summary), "[。！？!?]+"), lambda p: F.trim(p) != ""))
-    length = F.length(F.trim(summary))
-    return (length <= 200) & (length >= F.when(rich, 80).otherwise(50)) & (n <= 3) & (~rich | (n >= 2))
+    n = F.size(F.filter(pieces(F.trim(summary), "。！？!?"), lambda p: F.trim(F.translate(p, "。！？!?", "")) != ""))
+    least = F.when(F.length(F.trim(source)) < 500, F.struct(F.lit(50).alias("chars"), F.lit(0).alias("sentences"))).otherwise(F.struct(F.lit(80).alias("chars"), F.lit(2).alias("sentences")))
+    return F.length(F.trim(summary)).between(least["chars"], F.lit(200)) & n.between(least["sentences"], F.lit(3))
 
 
 def is_thin(excerpt: Column, metadata: str, least: int = 80) -> Column:
@@ -136,12 +194,20 @@ def is_teaser(s: Column, below: int = 1200) -> Column:
     return (F.length(t) < below) & reduce(lambda a, b: a | b, [t.rlike(m) for m in TEASER_MARKS])
 
 
+#: What a text begins with that is a publication's record or box and no abstract.
+NO_ABSTRACT = ["strengths and limitations of this study", "article title:", "publication date:", "author(s):"]
+
+
 def abstract_issue(raw: Column, identified: bool = False) -> Column:
     """Why a text is no abstract: fragment, oversized, not_abstract, legacy_truncation, or null."""
-    text = F.regexp_replace(collapse(F.coalesce(raw, F.lit(""))), r"(?i)^(?:abstract|摘要)\s*[:：.]?\s*", "")
-    legacy = F.when(~F.lit(identified) & (F.length(F.trim(raw)) == 2000), "legacy_truncation")
-    other = r"(?i)^(?:STRENGTHS AND LIMITATIONS OF THIS STUDY|Article title\s*:|Publication date\s*:|Author\(s\)\s*:)"
-    return F.when(F.length(text) < 200, "fragment").when(F.length(text) > 6000, "oversized").when(text.rlike(other), "not_abstract").otherwise(legacy)
+    text = collapse(F.coalesce(raw, F.lit("")))
+    headed = reduce(lambda out, word: F.when(F.startswith(F.lower(text), F.lit(word)), len(word)).otherwise(out), ["abstract", "摘要"], F.lit(0))
+    tail = F.ltrim(F.substr(text, headed + 1, F.length(text)))
+    body = F.when(headed == 0, text).when(F.substring(tail, 1, 1).isin(*":：."), F.ltrim(F.substr(tail, F.lit(2), F.length(tail)))).otherwise(tail)
+    record = reduce(lambda a, b: a | b, [F.startswith(F.replace(F.lower(body), F.lit(" :"), F.lit(":")), F.lit(p)) for p in NO_ABSTRACT])
+    size = F.length(body)
+    checks = [(size < 200, "fragment"), (size > 6000, "oversized"), (record, "not_abstract"), (F.lit(not identified) & (F.length(F.trim(raw)) == 2000), "legacy_truncation")]
+    return F.get(F.filter(F.array(*[F.when(F.coalesce(c, F.lit(False)), name) for c, name in checks]), lambda x: x.isNotNull()), F.lit(0))
 
 
 def from_inverted_index(index: Column) -> Column:
@@ -228,7 +294,32 @@ def redact(s: Column) -> Column:
     # Each element is one parameter with the sign that ends it.
     parts = F.regexp_extract_all(s, F.lit(r"(?:[^?&;,#\s(){}]|(?<=:)\s+(?=[\"']))*[?&;,#\s(){}]?"), F.lit(0))
     out = F.array_join(F.transform(parts, lambda p: F.when(secret(p), let(F.regexp_extract(p, r"[?&;,#\s(){}]$", 0), lambda end: F.concat(hidden(F.regexp_replace(p, r"[?&;,#\s(){}]$", "")), end))).otherwise(p)), "")
-    return replaced(out, ("(?i)(?<=://)[^/@\\s]*@", ""), ("(?i)\\b(bearer|basic)(?:\\s+)[-\\w+=./~]+", "$1 [redacted]"), ("\\bsk-(?:[\\w-]){16,}", "sk-[redacted]"))
+    without = F.regexp_replace(out, "(?i)(?<=://)[^/@\\s]*@", "")
+    words = F.regexp_extract_all(without, F.lit(r"\s+|\S+"), F.lit(0))
+    return F.array_join(let(words, lambda w: F.transform(w, lambda t, i: _without_key(_without_value(t, F.get(w, i - 2))))), "")
+
+
+#: The characters of a value behind a scheme's name, and of a key.
+VALUE, KEY = NAME + "-+=./~", NAME + "-"
+
+
+def _without_value(word: Column, before: Column) -> Column:
+    """word, its value hidden if the word before it ends with the name of a scheme."""
+    scheme = F.lower(F.regexp_extract(F.coalesce(before, F.lit("")), "[A-Za-z0-9_]+$", 0)).isin("bearer", "basic")
+    rest = F.ltrim(word, F.lit(VALUE))
+    return F.when(scheme & (F.length(rest) < F.length(word)), F.concat(F.lit("[redacted]"), rest)).otherwise(word)
+
+
+def _without_key(word: Column) -> Column:
+    """word, with sk- and sixteen characters of a key or more behind it hidden."""
+    joined = lambda before: F.coalesce(led_by(F.reverse(before), NAME) > 0, F.lit(False))
+    parts = F.split(word, "sk-")
+
+    def part(p: Column, i: Column) -> Column:
+        key = (led_by(p, KEY) >= 16) & ~joined(F.get(parts, i - 1))
+        return F.when(i == 0, p).when(key, F.concat(F.lit("sk-[redacted]"), F.ltrim(p, F.lit(KEY)))).otherwise(F.concat(F.lit("sk-"), p))
+
+    return F.when(F.contains(word, F.lit("sk-")), F.array_join(F.transform(parts, part), "")).otherwise(word)
 
 
 def model_slug(name: Column) -> Column:
@@ -238,14 +329,22 @@ def model_slug(name: Column) -> Column:
 
 def focused_query(title: Column) -> Column:
     """A short Han query: without a leading label, column name or what follows a colon; 40 characters."""
-    bare = F.regexp_replace(F.trim(title), r"^(?:【[^】]*】|\[[^\]]*\])\s*", "")
-    column = F.regexp_extract(bare, r"^([^｜|]*)[｜|]", 1)
-    short = bare.rlike("[｜|]") & (F.length(F.regexp_replace(column, r"\s", "")) <= 12)
-    bare = F.when(short, F.trim(F.regexp_replace(bare, r"^[^｜|]*[｜|]", ""))).otherwise(bare)
-    head = F.regexp_extract(bare, "^([^：:]*)[：:]", 1)
-    bare = F.when(bare.rlike("[：:]") & (F.length(F.trim(head)) >= 6), head).otherwise(bare)
-    query = F.substring(F.trim(bare), 1, 40)
-    return F.when(~title.rlike(r"\p{IsHan}") | (F.length(query) < 4), title).otherwise(query)
+
+    def unlabelled(t: Column) -> Column:
+        closing = F.when(F.startswith(t, F.lit("【")), F.instr(t, "】")).when(F.startswith(t, F.lit("[")), F.instr(t, "]")).otherwise(0)
+        return F.ltrim(F.substr(t, closing + 1, F.length(t)))
+
+    def behind_column(t: Column) -> Column:
+        parts = F.split(F.translate(t, "｜", "|"), "[|]", 2)
+        narrow = (F.size(parts) == 2) & (F.length(F.regexp_replace(parts[0], r"\s", "")) <= 12)
+        return F.when(narrow, F.trim(F.get(parts, F.lit(1)))).otherwise(t)
+
+    def before_colon(t: Column) -> Column:
+        head = F.trim(F.substring_index(F.translate(t, "：", ":"), ":", 1))
+        return F.when((F.length(head) >= 6) & (F.length(head) < F.length(F.trim(t))), head).otherwise(F.trim(t))
+
+    query = let(let(let(F.trim(title), unlabelled), behind_column), lambda t: F.substring(before_colon(t), 1, 40))
+    return let(query, lambda q: F.when(~title.rlike(r"\p{IsHan}") | (F.length(q) < 4), title).otherwise(q))
 
 
 def outline(html: Column) -> Column:
