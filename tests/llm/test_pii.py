@@ -122,3 +122,119 @@ def test_each_kind_in_front_of_each(spark):
     got = run(spark, [f"{a} {b}" for a, b in pairs])
     wrong = [(p, g) for p, g in zip(pairs, got, strict=True) if g != (f"{alone[p[0]][0]} {alone[p[1]][0]}", 2)]
     assert not wrong
+
+
+def test_printed_accounts_and_other_orders_of_dates(spark):
+    texts = ["IBAN DE89 3704 0044 0532 0130 00 and GB82 WEST 1234 5698 7654 32 here", "DE89370400440532013000", "am 2021.03.04, 04-03-2021", "3 März 2021, 3. mars 2021, 3 de marzo de 2021", "v1.2.3 and 2025550143 stay, so does DE88 3704 0044 0532 0130 00", "1er Août 1999"]
+    (a, na), (b, nb), (c, nc), (d, nd), (e, ne), (f, nf) = run(spark, texts)
+    assert (na, nb, nc, nd, ne, nf) == (2, 1, 2, 3, 0, 1) and e == texts[4]
+    de, gb = re.fullmatch(r"IBAN (DE\d\d(?: \d{4}){4} \d\d) and (GB\d\d [A-Z]{4}(?: \d{4}){3} \d\d) here", a).groups()
+    for iban in (de, gb):
+        plain = iban.replace(" ", "")
+        assert mod97(plain[4:] + plain[:4]) == 1
+    # The same account is linked however it is printed.
+    assert de.replace(" ", "") == b
+    assert re.fullmatch(r"am 20\d\d\.\d\d\.\d\d, \d\d-\d\d-20\d\d", c)
+    days = re.fullmatch(r"(\d+) (\w+) (20\d\d), (\d+)\. (\w+) (20\d\d), (\d+) de (\w+) de (20\d\d)", d).groups()
+    moved = {(int(days[k]), pii.OTHER_MONTHS[lang].index(days[k + 1]), days[k + 2]) for k, lang in ((0, "de"), (3, "fr"), (6, "es"))}
+    assert len(moved) == 1
+    assert re.fullmatch(r"\d+er [A-ZÉ]\w+ 19\d\d", f)
+
+
+class Plain:
+    """The pseudonyms of some kinds, and their search, once more without Spark."""
+
+    def __init__(self, key):
+        self.key = key
+
+    def number(self, label, value):
+        import hashlib
+        import hmac
+
+        return int(hashlib.sha256((hmac.new(self.key.encode(), label.encode(), hashlib.sha256).hexdigest() + str(value)).encode()).hexdigest()[:15], 16)
+
+    def permuted(self, x, a, b, label):
+        left, right = divmod(x, b)
+        for r in range(6):
+            if r % 2:
+                right = (right + self.number(f"{label}{r}", left) % b) % b
+            else:
+                left = (left + self.number(f"{label}{r}", right) % a) % a
+        return left * b + right
+
+    def shifted(self, s, label):
+        import hashlib
+        import hmac
+        import string
+
+        parts = [s[: len(s) // 2], s[len(s) // 2 :]]
+        for r in range(4):
+            own, other = parts[r % 2], parts[1 - r % 2]
+            stream = hashlib.sha512((hmac.new(self.key.encode(), f"{label}{r}".encode(), hashlib.sha256).hexdigest() + other).encode()).hexdigest()
+            out = ""
+            for i, c in enumerate(own):
+                by = int(stream[2 * (i % 63) :][:3], 16)
+                alphabet = next((x for x in (string.ascii_lowercase, string.ascii_uppercase, string.digits) if c in x), None)
+                out += alphabet[(alphabet.index(c) + by) % len(alphabet)] if alphabet else c
+            parts[r % 2] = out
+        return "".join(parts)
+
+    def card(self, m):
+        d = re.sub(r"\D", "", m)
+        if not luhn(d):
+            return m
+        half = (len(d) - 2) // 2
+        body = d[0] + str(self.permuted(int(d[1:-1]), 10**half, 10 ** (len(d) - 2 - half), "card")).zfill(len(d) - 2)
+        digits = iter(with_check(body))
+        return re.sub(r"\d", lambda _: next(digits), m)
+
+    def ssn(self, m):
+        a, g, s = map(int, m.split("-"))
+        if not (0 < a < 900 and a != 666 and g and s):
+            return m
+        x = self.permuted((a - 1 - (a > 666)) * 99 * 9999 + (g - 1) * 9999 + s - 1, 898 * 99, 9999, "ssn")
+        a = x // (99 * 9999)
+        return f"{a + 1 + (a >= 665):03d}-{x // 9999 % 99 + 1:02d}-{x % 9999 + 1:04d}"
+
+    def ip(self, m):
+        o = list(map(int, m.split(".")))
+        if not (0 < o[0] < 224 and max(o) < 256):
+            return m
+        x = self.permuted(((o[0] - 1) << 24) + (o[1] << 16) + (o[2] << 8) + o[3], 223 * 256, 65536, "ip")
+        return ".".join(map(str, ((x >> 24) + 1, x >> 16 & 255, x >> 8 & 255, x & 255)))
+
+    def day(self, m):
+        try:
+            d = datetime.date(*map(int, m.split("-")))
+        except ValueError:
+            return m
+        start = datetime.date(d.year // 100 * 100, 1, 1)
+        sides = (75, 487) if d.year // 100 % 4 == 0 else (92, 397)
+        return (start + datetime.timedelta(self.permuted((d - start).days, *sides, "date"))).isoformat()
+
+    def iban(self, m):
+        if mod97(m[4:] + m[:4]) != 1:
+            return m
+        body = self.shifted(m[4:], "iban")
+        return f"{m[:2]}{98 - mod97(body + m[:2] + '00'):02d}{body}"
+
+    def text(self, t):
+        kinds = [(r"[\w.]+@[\w.-]+\.[a-z]+", lambda m: self.shifted(m.split("@")[0], "email") + "@" + m.split("@")[1]), (r"\b[A-Z]{2}\d{2}[A-Z0-9]{11,30}\b", self.iban), (r"\b(?:\d{13,19}|\d{4}(?: \d{4}){3})\b", self.card), (r"\b\d{3}-\d{2}-\d{4}\b", self.ssn), (r"\b\d{4}-\d\d-\d\d\b", self.day), (r"\b\d+\.\d+\.\d+\.\d+\b", self.ip)]
+        n, out, at = 0, "", 0
+        every = re.compile("|".join(f"({p})" for p, _ in kinds), re.A)
+        for m in every.finditer(t):
+            new = kinds[m.lastindex - 1][1](m[0])
+            n, out, at = n + (new != m[0]), out + t[at : m.start()] + new, m.end()
+        return out + t[at:], n
+
+
+def test_as_by_a_second_search_and_replacement(spark):
+    rng = random.Random(4)
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    kinds = [
+        lambda: with_check("5" + digits(14)), lambda: "4" + digits(15), lambda: re.sub(r"(....)(?=.)", r"\1 ", with_check("4" + digits(14))), lambda: f"{digits(3)}-{digits(2)}-{digits(4)}",
+        lambda: f"19{digits(2)}-{rng.randint(1, 14):02d}-{rng.randint(1, 31):02d}", lambda: f"20{digits(2)}-{rng.randint(1, 12):02d}-{rng.randint(1, 28):02d}", lambda: ".".join(str(rng.randint(0, 300)) for _ in range(4)),
+        lambda: f"ab{digits(2)}.cd{digits(3)}@mail{digits(1)}.example.org", lambda: (lambda b: f"GB{98 - mod97(b + 'GB00'):02d}{b}")("WEST" + digits(14)), lambda: "DE" + digits(20), lambda: rng.choice(["word", "noté", "x1", "№", "—"]),
+    ]
+    texts = [" ; ".join(rng.choice(kinds)() for _ in range(rng.randint(0, 25))) for _ in range(120)]
+    assert run(spark, texts, "another key") == [Plain("another key").text(t) for t in texts]

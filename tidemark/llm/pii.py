@@ -18,11 +18,15 @@ from tidemark.llm.common import let
 
 #: What each kind looks like; checks follow. Order matters: the first that matches takes the text.
 EMAIL = r"(?<![\w.%+\p{L}-])[\w.%+\p{L}\p{N}-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*(?<=\.[A-Za-z]{2,24})"
-IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])"
+# How long each country's account numbers are, with country and check digits.
+IBAN_LENGTHS = {15: "NO", 16: "BE", 18: "DK FI FO GL NL", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH HR LI LV", 22: "BG BH DE GB GE IE ME RS VA", 23: "AE GI IL IQ TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC", 33: "RU"}
+#: In groups of four, as printed; a country's length says which groups belong to it.
+GROUPED = "|".join(rf"(?:{c.replace(' ', '|')})[0-9]{{2}}(?: [A-Z0-9]{{4}}){{{n // 4 - 1}}}{f' [A-Z0-9]{{{n % 4}}}' if n % 4 else ''}" for n, c in IBAN_LENGTHS.items())
+IBAN = rf"(?<![A-Za-z0-9])(?:[A-Z]{{2}}[0-9]{{2}}[A-Z0-9]{{11,30}}|{GROUPED})(?![A-Za-z0-9])"
 #: Cards in one run, in fours or as 4-6-5, so that a number next to one is no part of it.
 CARD = r"(?<![0-9.-])(?:[0-9]{13,19}|[0-9]{4}(?: [0-9]{4}){3}|[0-9]{4}(?:-[0-9]{4}){3}|[0-9]{4} [0-9]{6} [0-9]{5}|[0-9]{4}-[0-9]{6}-[0-9]{5})(?![0-9])"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
-DATE = r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}|[0-9]{4}/[0-9]{1,2}/[0-9]{1,2}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4})(?![0-9/-])(?!\.[0-9])"
+DATE = r"(?<![0-9./-])(?:[0-9]{4}(?:-[0-9]{1,2}-|/[0-9]{1,2}/|\.[0-9]{1,2}\.)[0-9]{1,2}|[0-9]{1,2}(?:-[0-9]{1,2}-|/[0-9]{1,2}/|\.[0-9]{1,2}\.)[0-9]{4})(?![0-9/-])(?!\.[0-9])"
 IP = r"(?<![0-9.])[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}(?!\.?[0-9])"
 #: Global, local and link-local addresses, in full or with one run of zeros left out.
 IPV6 = r"(?<![\w:.])(?:[23][0-9A-Fa-f]{3}|[fF][c-eC-E][0-9A-Fa-f]{2})(?:(?::[0-9A-Fa-f]{1,4}){7}|(?::[0-9A-Fa-f]{1,4}){0,5}::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,4})?)(?![\w:])"
@@ -30,6 +34,14 @@ IPV6 = r"(?<![\w:.])(?:[23][0-9A-Fa-f]{3}|[fF][c-eC-E][0-9A-Fa-f]{2})(?:(?::[0-9
 MONTHS = "January February March April May June July August September October November December".split()
 MONTH = r"(?:Jan(?:uary)?|Feb(?:ruary)?|Mar(?:ch)?|Apr(?:il)?|May|June?|July?|Aug(?:ust)?|Sept?(?:ember)?|Oct(?:ober)?|Nov(?:ember)?|Dec(?:ember)?)"
 DATE_WORDS = rf"(?<![\w.])[0-9]{{1,2}}(?:st|nd|rd|th)? (?:of )?{MONTH}\.?,? [0-9]{{4}}(?![0-9])|(?<!\w){MONTH}\.? [0-9]{{1,2}}(?:st|nd|rd|th)?,? [0-9]{{4}}(?![0-9])"
+# The months in the other languages of the corpus.
+OTHER_MONTHS = {
+    "de": "Januar Februar März April Mai Juni Juli August September Oktober November Dezember".split(),
+    "fr": "janvier février mars avril mai juin juillet août septembre octobre novembre décembre".split(),
+    "es": "enero febrero marzo abril mayo junio julio agosto septiembre octubre noviembre diciembre".split(),
+}
+OTHER_MONTH = "(?i:" + "|".join(sorted({m for ms in OTHER_MONTHS.values() for m in ms}, key=lambda m: (-len(m), m))) + ")"
+DATE_OTHER = rf"(?<![\w.])[0-9]{{1,2}}(?:er|\.)? (?:de )?{OTHER_MONTH} (?:de )?[0-9]{{4}}(?![0-9])"
 PHONE_PLAIN = r"(?<![0-9(])\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}(?![0-9])|(?<![0-9.-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![0-9-])"
 #: A blank in a number with a + is no part of it if another value follows; from the seventh digit
 #: on, a plain phone number is one too; four groups of a longer run are no card. After +1 and an area code in brackets seven digits follow.
@@ -40,7 +52,7 @@ PHONE_PLUS = (
 )
 #: What a found phone looks like by itself, where nothing follows that could bound it.
 PHONE = rf"\+[0-9]{{1,3}}[ .-]?(?:\([0-9]{{1,4}}\)[ .-]?)?[0-9](?:[ .-]?[0-9]){{5,12}}(?![0-9])|{PHONE_PLAIN}"
-ANY = "|".join(f"(?:{p})" for p in (EMAIL, IBAN, CARD, SSN, DATE, DATE_WORDS, IP, IPV6, f"{PHONE_PLUS}|{PHONE_PLAIN}"))
+ANY = "|".join(f"(?:{p})" for p in (EMAIL, IBAN, CARD, SSN, DATE, DATE_WORDS, DATE_OTHER, IP, IPV6, f"{PHONE_PLUS}|{PHONE_PLAIN}"))
 
 LOWER, UPPER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 #: Letters beyond ASCII move within their alphabet's range too; those of other scripts stay.
@@ -161,9 +173,18 @@ def shift_string(s: Column, key: str | Column, label: str, alphabets: tuple[str,
 
 
 def iban(m: Column, key: str) -> Column:
-    country, body = F.substr(m, F.lit(1), F.lit(2)), F.substr(m, F.lit(5), F.length(m))
-    new = let(shift_string(body, key, "iban"), lambda b: F.concat(country, padded(98 - mod97(F.concat(b, country, F.lit("00"))), 2), b))
-    return F.when(mod97(F.concat(body, F.substr(m, F.lit(1), F.lit(4)))) == 1, new).otherwise(m)
+    """The country stays, check digits follow, and so do the blanks of a printed number."""
+
+    def of(d: Column) -> Column:
+        country, body = F.substr(d, F.lit(1), F.lit(2)), F.substr(d, F.lit(5), F.length(d))
+        new = let(shift_string(body, key, "iban"), lambda b: F.concat(country, padded(98 - mod97(F.concat(b, country, F.lit("00"))), 2), b))
+        return F.when(mod97(F.concat(body, F.substr(d, F.lit(1), F.lit(4)))) == 1, new).otherwise(d)
+
+    def grouped(d: Column) -> Column:
+        return F.array_join(F.transform(F.sequence(F.lit(1), F.length(d), F.lit(4)), lambda i: F.substr(d, i, F.lit(4))), " ")
+
+    new = let(F.replace(m, F.lit(" "), F.lit("")), of)
+    return F.when(F.contains(m, F.lit(" ")), let(new, grouped)).otherwise(new)
 
 
 def ssn(m: Column, key: str) -> Column:
@@ -190,8 +211,8 @@ def move_date(d: Column, key: str) -> Column:
 
 
 def date(m: Column, key: str) -> Column:
-    """Year first: year, month, day. With points: day, month, year. With strokes: month, day, year,
-    or, where that is no date, day, month, year; such days stay over 12 by cycle-walking."""
+    """Year first: year, month, day. With points: day, month, year. With strokes or hyphens: month,
+    day, year, or, where that is no date, day, month, year; such days stay over 12 by cycle-walking."""
     mark = F.regexp_extract(m, "([-./])", 1)
     part = F.split(m, "[-./]")
 
@@ -243,6 +264,25 @@ def date_words(m: Column, key: str) -> Column:
     return F.coalesce(moved, m)
 
 
+def date_other(m: Column, key: str) -> Column:
+    """A day, a month's name in one of OTHER_MONTHS and a year, permuted as a date. The name is of
+    the first language that has the old one, and as large or small as that began."""
+    names = F.array(*[F.lit(n) for ms in OTHER_MONTHS.values() for n in ms])
+    word = F.regexp_extract(m, f"({OTHER_MONTH})", 1)
+    place = F.array_position(F.transform(names, F.lower), F.lower(word)) - 1
+    d = F.try_to_date(F.concat_ws("-", F.regexp_extract(m, "([0-9]{4})$", 1), padded(F.pmod(place, F.lit(12)) + 1, 2), F.lpad(F.regexp_extract(m, "^([0-9]{1,2})", 1), 2, "0")), "yyyy-MM-dd")
+
+    def shown(x: Column) -> Column:
+        name = F.get(names, (place - F.pmod(place, F.lit(12)) + F.month(x) - 1).cast("int"))
+        cased = F.when(F.substring(word, 1, 1) == F.lower(F.substring(word, 1, 1)), F.lower(name)).otherwise(F.initcap(name))
+        day = F.when(F.startswith(m, F.lit("0")), padded(F.dayofmonth(x), 2)).otherwise(F.dayofmonth(x).cast("string"))
+        out = F.regexp_replace(m, F.lit("[0-9]{4}$"), padded(F.year(x), 4))
+        return F.regexp_replace(F.regexp_replace(out, F.lit("^[0-9]{1,2}"), day), F.lit(OTHER_MONTH), cased)
+
+    moved = let(d, lambda x: F.when(x.isNotNull() & (F.year(x) > 0), let(move_date(x, key), shown)))
+    return F.coalesce(moved, m)
+
+
 def ipv6(m: Column, key: str) -> Column:
     """The first group stays; the digits of the others are permuted in their places. Two ways to
     write an address are two values."""
@@ -285,7 +325,7 @@ def email(m: Column, key: str) -> Column:
 def pseudonym(m: Column, key: str) -> Column:
     """What stands for a found value; the value itself if its check fails."""
     whole = lambda p: m.rlike(f"^(?:{p})$")
-    kinds = ((EMAIL, email), (IBAN, iban), (CARD, card), (SSN, ssn), (DATE, date), (DATE_WORDS, date_words), (IP, ip), (IPV6, ipv6), (PHONE, phone))
+    kinds = ((EMAIL, email), (IBAN, iban), (CARD, card), (SSN, ssn), (DATE, date), (DATE_WORDS, date_words), (DATE_OTHER, date_other), (IP, ip), (IPV6, ipv6), (PHONE, phone))
     return reduce(lambda out, kind: F.when(whole(kind[0]), kind[1](m, key)).otherwise(out), reversed(kinds), m)
 
 
@@ -295,16 +335,17 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text", count_as: str |
     key is a secret text, or a column that holds it, as from a one-row table that is broadcast.
     With count_as None there is no such column, and all columns of docs stay whatever their names.
 
-    Null texts stay null with 0 values, empty ones empty. All other columns and rows stay. Each
-    row is treated by itself: no shuffle, whatever the size or skew.
+    Null texts stay null with 0 values, empty ones empty. All other columns and rows stay, but for
+    one named count_as, which is replaced. Each row is treated by itself: no shuffle, whatever the
+    size or skew; repeated rows come out the same, and very long texts are read whole.
     """
     column = F.col(f"`{text}`")
-    found = F.regexp_extract_all(column, F.lit(ANY), F.lit(0))
-    swapped = let(found, lambda ms: let(F.transform(ms, lambda m: pseudonym(m, key)), lambda new: F.struct(
+    swapped = let(F.regexp_extract_all(column, F.lit(ANY), F.lit(0)), lambda ms: F.when(F.size(ms) > 0, let(F.transform(ms, lambda m: pseudonym(m, key)), lambda new: F.struct(
         F.array_join(F.transform(F.split(column, ANY, -1), lambda piece, i: F.concat(piece, F.coalesce(F.get(new, i), F.lit("")))), "").alias("text"),
         F.size(F.filter(F.arrays_zip(ms.alias("a"), new.alias("b")), lambda z: z["a"] != z["b"])).alias("n"),
-    )))
-    done = F.when(column.rlike(ANY), swapped)
+    ))))
+    # No value is without a digit or an @, so texts without either are not searched.
+    done = F.when(column.rlike("[0-9@]"), swapped)
     held = "_pii"
     while held in docs.columns:
         held += "_"
