@@ -52,19 +52,29 @@ def carry_forward(newest: DataFrame, older: DataFrame, keys: list[str], seen: st
     return newest.unionByName(distinct_on(missing, keys, F.col(seen).desc()))
 
 
-def survivors(links: DataFrame, source: str, target: str, hops: int = 20) -> DataFrame:
+def survivors(links: DataFrame, source: str, target: str, most: int | None = None) -> DataFrame:
     """source, survivor, hops: where each chain source -> target -> ... ends, by pointer jumping.
 
-    Each round doubles the distance, so `hops` steps take log2(hops) joins. A cycle or a longer
-    chain ends where the rounds end.
+    Each round doubles the distance and ends when no chain goes on, so rounds grow with the
+    logarithm of the longest. A chain that runs into a cycle has no end: survivor and hops are
+    null; so they are for chains of more than `most` hops. Targets that are null end nothing and
+    are left out; a source has one target.
     """
-    now = links.select(F.col(source).alias("s"), F.col(target).alias("t"), F.lit(1).alias("n"))
-    done = 1
-    while done < hops:
-        ahead = now.select(F.col("s").alias("a"), F.col("t").alias("b"), F.col("n").alias("m"))
-        now = now.join(ahead, F.col("t") == F.col("a"), "left").select("s", F.coalesce("b", "t").alias("t"), (F.col("n") + F.coalesce("m", F.lit(0))).alias("n"))
-        done *= 2
-    return now.select(F.col("s").alias(source), F.col("t").alias("survivor"), F.col("n").alias("hops"))
+    now = checkpointed(links.where(F.col(source).isNotNull() & F.col(target).isNotNull()).select(F.col(source).alias("s"), F.col(target).alias("t"), F.lit(1).cast("long").alias("n"), F.lit(False).alias("done")))
+    distance, size = 1, now.count()
+    while True:
+        # Of a chain that has ended only its own row is read; the others look up where they stand.
+        ahead = now.select(F.col("s").alias("a"), F.col("t").alias("b"), F.col("n").alias("m"), F.col("done").alias("end"))
+        step = now.where("not done").join(ahead, F.col("t") == F.col("a"), "left")
+        moved = step.select("s", F.coalesce("b", "t").alias("t"), (F.col("n") + F.coalesce("m", F.lit(0))).alias("n"), F.coalesce("end", F.lit(True)).alias("done"))
+        now = checkpointed(now.where("done").unionByName(moved))
+        open_ = now.where("not done").count()
+        distance *= 2
+        # Beyond as many hops as there are links, what is still open goes round.
+        if not open_ or distance > size:
+            break
+    found = F.col("done") if most is None else F.col("done") & (F.col("n") <= most)
+    return now.select(F.col("s").alias(source), F.when(found, F.col("t")).alias("survivor"), F.when(found, F.col("n")).alias("hops"))
 
 
 def keyset_page(df: DataFrame, order: list[str], after: tuple | None, n: int) -> DataFrame:

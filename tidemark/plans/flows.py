@@ -142,12 +142,15 @@ def s09(spark, d):
     return S.markdown_links(bodies).select("source", "title", "url")
 
 
-@add("s18_push_batch", "SELECT page_id, CASE WHEN row_number() OVER (PARTITION BY host ORDER BY page_id) = 1 THEN 'accepted' ELSE 'repeated' END AS status FROM (SELECT page_id, regexp_extract(url, '^https?://([^/]+)', 1) AS host FROM pages WHERE page_id < 50)")
+@add("s18_push_batch", """SELECT page_id, CASE WHEN bool_or(host = '') OVER (PARTITION BY batch) OR count(*) OVER (PARTITION BY batch) > 50 THEN 'invalid' WHEN row_number() OVER (PARTITION BY batch, host ORDER BY page_id) = 1 THEN 'accepted' ELSE 'repeated' END AS status
+FROM (SELECT page_id, CASE WHEN page_id % 300 < 60 THEN page_id // 300 * 300 ELSE page_id // 40 END AS batch, CASE WHEN page_id % 97 <> 5 THEN coalesce(regexp_extract(url, '^https?://([^/]+)', 1), '') ELSE '' END AS host FROM pages)""")
 def s18(spark, d):
+    """All pages, in batches of 40 and, every 300 pages, one of 60, which is too large."""
     (p,) = load(spark, d, "pages")
-    host = F.regexp_extract("url", "^https?://([^/]+)", 1)
-    batch = p.where("page_id < 50").select(F.col("page_id").alias("place"), F.concat(F.lit("https://"), host).alias("url"), F.lit("t").alias("title"))
-    return S.pushed(batch).select(F.col("place").alias("page_id"), "status")
+    host = F.when(F.col("page_id") % 97 != 5, F.coalesce(F.regexp_extract("url", "^https?://([^/]+)", 1), F.lit(""))).otherwise("")
+    batch = F.when(F.col("page_id") % 300 < 60, F.floor(F.col("page_id") / 300) * 300).otherwise(F.floor(F.col("page_id") / 40))
+    rows = p.select(batch.alias("batch"), F.col("page_id").alias("place"), F.concat(F.lit("https://"), host).alias("url"), F.lit("t").alias("title"))
+    return S.pushed(rows).select(F.col("place").alias("page_id"), "status")
 
 
 @add("s21_gold_lines", "SELECT doc_id AS id, quality FROM labels WHERE quality IS NOT NULL")
@@ -212,11 +215,11 @@ def k05(spark, d):
     return xml.select(F.size(F.regexp_extract_all("xml", F.lit("<item>"), F.lit(0))).cast("long").alias("n"), F.regexp_extract("xml", r'isPermaLink="false">(\d+)<', 1).cast("long").alias("newest"))
 
 
-@add("k08_markdown", "SELECT doc_id AS id, '# ' || trim(source) || chr(10) || chr(10) || '- Source: ' || trim(source) || chr(10) || '- Date: 2024-01-02' AS markdown FROM documents WHERE source IS NOT NULL AND trim(source) <> ''")
+@add("k08_markdown", "SELECT doc_id AS id, '# ' || trim(source) || chr(10) || chr(10) || '- Source: ' || trim(source) || chr(10) || '- Date: 2024-01-02' AS markdown FROM documents WHERE trim(coalesce(source, '')) <> '' UNION ALL SELECT doc_id, '- Date: 2024-01-02' FROM documents WHERE trim(coalesce(source, '')) = ''")
 def k08(spark, d):
     (docs,) = load(spark, d, "documents")
     none = F.lit(None).cast("string")
-    rows = docs.where("source is not null and trim(source) <> ''").select(F.col("doc_id").alias("id"), F.col("source").alias("title"), none.alias("url"), "source", ts("2024-01-02").alias("at"), none.alias("summary"), none.alias("body"))
+    rows = docs.select(F.col("doc_id").alias("id"), F.col("source").alias("title"), none.alias("url"), "source", ts("2024-01-02").alias("at"), none.alias("summary"), none.alias("body"))
     return K.markdown(rows)
 
 
@@ -304,10 +307,10 @@ def c48(spark, d):
     return PG.extract(p).withColumn("page_id", F.col("page_id").cast("long")).select("page_id", "title", "body", "status")
 
 
-@add("s13_detail_fill", r"""SELECT page_id, coalesce(nullif(trim(CASE WHEN page_id % 2 = 0 THEN 'Listed' ELSE '' END), ''), nullif(trim(regexp_replace(regexp_replace(regexp_extract(html, '(?s)<h1[^>]*>(.*?)</h1>', 1), '<[^>]*>', '', 'g'), '\s+', ' ', 'g')), '')) AS title FROM pages WHERE html LIKE '%<h1>%</h1>%'""")
+@add("s13_detail_fill", r"""SELECT page_id, coalesce(nullif(trim(CASE WHEN page_id % 2 = 0 THEN 'Listed' ELSE '' END), ''), nullif(trim(regexp_replace(regexp_replace(coalesce(nullif(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1), ''), regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)), '<[^>]*>', '', 'g'), '\s+', ' ', 'g')), '')) AS title FROM pages""")
 def s13(spark, d):
     (p,) = load(spark, d, "pages")
-    rows = p.where("html LIKE '%<h1>%</h1>%'")
+    rows = p
     listed = rows.select("page_id", F.when(F.col("page_id") % 2 == 0, "Listed").otherwise("").alias("title"))
     return PG.filled(listed, rows.select("page_id", PG.page_title(F.col("html")).alias("title")), "page_id", ["title"])
 
@@ -325,29 +328,34 @@ def t33(spark, d):
     return docs.select("doc_id", PG.text_to_html(F.col("text")).alias("html"))
 
 
-@add("t35_shielding", "SELECT page_id, true AS restored, false AS lost FROM pages WHERE html LIKE '%<p>%'")
+@add("t35_shielding", r"""SELECT page_id, html IS NOT NULL AS restored, CAST(len(regexp_extract_all(coalesce(html, ''), '(?s)<(?:code|pre)>.*?</(?:code|pre)>|<[^>]+>')) AS BIGINT) AS parts, NOT regexp_matches(coalesce(html, '<p>'), '(?s)<(?:code|pre)>.*?</(?:code|pre)>|<[^>]+>') AS whole FROM pages""")
 def t35(spark, d):
-    """What comes back through the marks is the page; without one of them nothing does."""
+    """What comes back through the marks is the page; without the first of them nothing does."""
     (p,) = load(spark, d, "pages")
-    cut = p.where("html LIKE '%<p>%'").withColumn("s", PG.shielded(F.col("html")))
+    cut = p.withColumn("s", PG.shielded(F.col("html")))
     back = lambda text: PG.unshielded(text, F.col("s.parts"))
-    return cut.select("page_id", (back(F.col("s.text")) == F.col("html")).alias("restored"), back(F.replace("s.text", F.lit("⟦0⟧"), F.lit(""))).isNotNull().alias("lost"))
+    return cut.select("page_id", F.coalesce(back(F.col("s.text")) == F.col("html"), F.lit(False)).alias("restored"), F.coalesce(F.size("s.parts"), F.lit(0)).cast("long").alias("parts"), back(F.replace("s.text", F.lit("⟦0⟧"), F.lit(""))).isNotNull().alias("whole"))
 
 
-@add("t12_labelled_output", "SELECT doc_id, source AS title, lang AS summary FROM documents WHERE source <> '' AND lang <> ''")
+@add("t12_labelled_output", "SELECT doc_id, nullif(trim(coalesce(source, '')), '') AS title, nullif(trim(coalesce(lang, '')), '') AS summary FROM documents")
 def t12(spark, d):
     (docs,) = load(spark, d, "documents")
-    answer = F.concat(F.lit("title_zh: "), F.col("source"), F.lit("\nnote\nsummary_zh: "), F.col("lang"), F.lit("\n"))
+    said = lambda c: F.coalesce(c, F.lit(""))
+    answer = F.concat(F.lit("title_zh: "), said("source"), F.lit("\nnote: none\nsummary_zh: "), said("lang"), F.lit("\n"))
     parts = PG.labelled(answer, ["title_zh", "note", "summary_zh"])
-    return docs.where("source <> '' and lang <> ''").select("doc_id", F.split(parts["title_zh"], "\n")[0].alias("title"), parts["summary_zh"].alias("summary"))
+    return docs.select("doc_id", parts["title_zh"].alias("title"), parts["summary_zh"].alias("summary"))
 
 
-@add("t27_quoted", "SELECT doc_id, true AS whole, false AS other FROM documents WHERE length(text) > 100 AND regexp_matches(substr(text, 1, 40), '[a-z]') AND regexp_matches(substr(text, 60, 30), '[a-z]')")
+@add("t27_quoted", r"""WITH l AS (SELECT doc_id, regexp_replace(lower(coalesce(text, '')), '[\s\p{P}\p{S}]+', '', 'g') AS t, regexp_replace(lower(coalesce(substr(text, 1, 40), '')), '[\s\p{P}\p{S}]+', '', 'g') AS a, regexp_replace(lower(coalesce(substr(text, 60, 30), '')), '[\s\p{P}\p{S}]+', '', 'g') AS b FROM documents)
+SELECT doc_id, (a <> '' OR b <> '') AND contains(t, a) AND contains(t, b) AS own, contains(t, a || 'x') AND contains(t, 'the') AS other FROM l""")
 def t27(spark, d):
+    """Two places of a text as a quote with something left out, and one that most texts don't have."""
     (docs,) = load(spark, d, "documents")
-    rows = docs.where(r"length(text) > 100 and substr(text, 1, 40) rlike '[a-z]' and substr(text, 60, 30) rlike '[a-z]'")
-    quote = F.concat(F.lit("«"), F.substring("text", 1, 40), F.lit(" ... "), F.substring("text", 60, 30), F.lit("»"))
-    return rows.select("doc_id", PG.quoted_in(quote, F.col("text")).alias("whole"), PG.quoted_in(F.lit("never said 12345"), F.col("text")).alias("other"))
+    text = F.coalesce("text", F.lit(""))
+    # Dots that a place may hold itself would leave something out too.
+    place = lambda at, n: F.replace(F.substring(text, at, n), F.lit("."), F.lit(" "))
+    quote = F.concat(F.lit("«"), place(1, 40), F.lit(" ... "), place(60, 30), F.lit("»"))
+    return docs.select("doc_id", PG.quoted_in(quote, text).alias("own"), PG.quoted_in(F.concat(place(1, 40), F.lit("x … The")), text).alias("other"))
 
 
 @add("t30_configuration", "SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'effort' WHEN 1 THEN 'thinking' ELSE 'plain' END AS tier, CASE event_id % 4 WHEN 0 THEN 'high' END AS effort FROM events")
@@ -456,11 +464,11 @@ def f17(spark, d):
     return S.listing_filter(rows, ("p_name", "a"), ("p_brand", "1$"), "dear", ("p_size", 10)).select("p_partkey")
 
 
-@add("t21_lead_item", r"""WITH t AS (SELECT doc_id, doc_id % 40 AS report, regexp_replace(substr(text, 1, 60), '\s', '', 'g') AS s FROM documents WHERE length(text) > 80), g AS (SELECT doc_id, report, list_distinct(list_transform(range(1, length(s)), lambda i: substr(s, i, 2))) AS b FROM t WHERE length(s) >= 2),
-h AS (SELECT report, arg_min(b, doc_id) AS hb FROM g GROUP BY 1), x AS (SELECT report, doc_id, len(list_intersect(b, hb)) / least(len(b), len(hb)) AS share FROM g JOIN h USING (report)) SELECT report, arg_max(doc_id, (share, -doc_id)) AS lead FROM x WHERE share >= 0.5 GROUP BY 1""")
+@add("t21_lead_item", r"""WITH t AS (SELECT doc_id, doc_id % 40 AS report, regexp_replace(substr(text, 1, 60), '\s', '', 'g') AS s FROM documents), g AS (SELECT doc_id, report, list_distinct(list_transform(range(1, length(s)), lambda i: substr(s, i, 2))) AS b FROM t),
+h AS (SELECT report, b AS hb FROM g QUALIFY row_number() OVER (PARTITION BY report ORDER BY doc_id) = 1), x AS (SELECT report, doc_id, len(list_intersect(b, hb)) / least(len(b), len(hb)) AS share FROM g JOIN h USING (report) WHERE len(b) > 0 AND len(hb) > 0) SELECT report, arg_max(doc_id, (share, -doc_id)) AS lead FROM x WHERE share >= 0.5 GROUP BY 1""")
 def t21(spark, d):
     (docs,) = load(spark, d, "documents")
-    rows = docs.where("length(text) > 80").select("doc_id", (F.col("doc_id") % 40).alias("report"), F.substring("text", 1, 60).alias("title"))
+    rows = docs.select("doc_id", (F.col("doc_id") % 40).alias("report"), F.substring("text", 1, 60).alias("title"))
     heads = rows.groupBy("report").agg(F.min_by("title", "doc_id").alias("headline"))
     return TX.lead_item(rows.join(heads, "report"), "report", "doc_id", F.col("title"), F.col("headline"))
 

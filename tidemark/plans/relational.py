@@ -189,7 +189,7 @@ SELECT s AS p_partkey, t AS survivor, hops FROM walk WHERE t NOT IN (SELECT s FR
 def j21(spark, d):
     (p,) = load(spark, d, "part")
     links = p.where("p_partkey > 1").select("p_partkey", F.floor(F.col("p_partkey") / 2).alias("into"))
-    return R.survivors(links, "p_partkey", "into", 32)
+    return R.survivors(links, "p_partkey", "into")
 
 
 @add("j22_redirect_duplicates", """SELECT coalesce(dup, p_partkey) AS item, count(*) AS n, min(p_retailprice) AS least FROM

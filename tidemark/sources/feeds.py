@@ -218,14 +218,17 @@ def embedded_json(pages: DataFrame, name: str) -> DataFrame:
     return pages.select(F.col("source").cast("string"), F.col("body").cast("string")).mapInPandas(run, "source string, json string")
 
 
-def pushed(batch: DataFrame, most: int = 50) -> DataFrame:
-    """batch (place, url, title) with status: `invalid` for all if any row is, or the batch has more
-    than `most` rows; else `accepted` once an address, then `repeated`."""
+def pushed(batches: DataFrame, most: int = 50) -> DataFrame:
+    """batches (batch, place, url, title) with status: `invalid` for all of a batch if any of its
+    rows is, or it has more than `most` rows; else `accepted` once an address, then `repeated`.
+    A batch is at most what one caller sends; without that column all rows are one."""
+    if "batch" not in batches.columns:
+        return pushed(batches.withColumn("batch", F.lit(0)), most).drop("batch")
     bad = F.coalesce(~F.col("url").rlike("^https?://[^/ ]+"), F.lit(True)) | F.coalesce(F.trim("title") == "", F.lit(True))
-    whole = batch.agg(F.coalesce(F.bool_or(bad), F.lit(False)).alias("_bad"), F.count("*").alias("_n"))
-    nth = F.row_number().over(Window.partitionBy("url").orderBy("place"))
+    whole = batches.groupBy("batch").agg(F.bool_or(bad).alias("_bad"), F.count("*").alias("_n"))
+    nth = F.row_number().over(Window.partitionBy("batch", "url").orderBy("place"))
     status = F.when(F.col("_bad") | (F.col("_n") > most), "invalid").when(nth == 1, "accepted").otherwise("repeated")
-    return batch.crossJoin(F.broadcast(whole)).withColumn("status", status).drop("_bad", "_n")
+    return batches.join(whole, "batch").withColumn("status", status).drop("_bad", "_n")
 
 
 def gold_lines(lines: DataFrame, schema: str) -> DataFrame:
