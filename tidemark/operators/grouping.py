@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.session import checkpointed
+
 # What a signal needs to be joined by itself or to be judged, and how far links look back.
 AUTO, JUDGED, SIGNAL_TOP, LINK_DAYS = 0.92, 0.72, 4, 120
 
@@ -32,6 +34,59 @@ def grouping(reports: DataFrame, verdicts: DataFrame) -> DataFrame:
     return reports.join(v, F.col("id") == F.col("_q"), "left").withColumn("action", action).select("id", "action", fact.alias("fact"))
 
 
+def grouping_in_order(reports: DataFrame, verdicts: DataFrame, facts: DataFrame) -> DataFrame:
+    """id, action, fact, story for each report, as if they were decided one after another.
+
+    reports: as of `grouping`, and place (their order; ids break ties). facts: fact, story, of the
+    time before. A fact is named by the report that founded it. verdicts: query (a report's id),
+    other (a report or a fact), action (same, url, development, roundup) and nth (which one counts
+    first; others with the same nth go by other). A verdict counts if the other is a fact of the
+    time before, or an earlier report that founded a fact: `same` and `url` join it, `development`
+    founds a fact of its story, `roundup` stays without one. Where none counts, or a report is
+    judged by itself only, `grouping` decides; a new story founds a fact.
+
+    A report waits only for those earlier ones that could decide it. In each round all reports are
+    decided whose first verdict not yet refuted is a fact, or that have none left, and verdicts on
+    what founded no fact fall away; so rounds follow the longest chain of reports that depend on
+    each other, and the frontier of undecided ones shrinks.
+    """
+    none = verdicts.limit(0).select("query", "action", F.col("other").alias("fact"))
+    alone = grouping(reports.withColumn("url_fact", F.lit(None).cast(reports.schema["id"].dataType)), none)
+    settled = alone.where("action <> 'new_story'").select("id", "action", "fact", F.lit(None).cast(reports.schema["id"].dataType).alias("story"))
+    member = facts.select(F.col("fact").alias("_f"), F.col("story").alias("_s"))
+    # A report put to a fact by hand, or kept there, is of that fact's story.
+    done = checkpointed(settled.join(member, F.col("fact") == F.col("_f"), "left").select("id", "action", "fact", F.col("_s").alias("story")))
+    order = reports.select("id", F.struct("place", "id").alias("_at"))
+    open_ = alone.where("action = 'new_story'").select("id")
+    founded = lambda rows, yes: rows.select(F.col("id").alias("other"), F.col("story").alias("_new"), yes.alias("_says"))
+    edges = verdicts.select("query", "other", "action", "nth").join(open_, F.col("query") == F.col("id"), "left_semi").join(order.select(F.col("id").alias("query"), F.col("_at").alias("_q")), "query").join(order.select(F.col("id").alias("other"), F.col("_at").alias("_o")), "other", "left")
+    edges = edges.join(member, F.col("other") == F.col("_f"), "left").where(F.col("_f").isNotNull() | (F.col("_o") < F.col("_q")))
+    # _founded: whether the other is a fact, null as long as that is open; _story: of which story.
+    edges = edges.select("query", "other", F.struct("nth", "other", "action").alias("_rank"), F.col("_s").alias("_story"), F.when(F.col("_f").isNotNull(), True).alias("_founded"))
+    edges = edges.join(founded(done, F.lit(False)), "other", "left")
+    undecided, results = checkpointed(open_), [done]
+    while True:
+        # Refuted verdicts fall away; told stay those that an answer came for in an earlier round.
+        edges = edges.select("query", "other", "_rank", F.coalesce("_story", "_new").alias("_story"), F.coalesce("_founded", "_says").alias("_founded"))
+        edges = checkpointed(edges.where(F.coalesce("_founded", F.lit(True))))
+        first = edges.groupBy(F.col("query").alias("id")).agg(F.min(F.struct("_rank", F.coalesce("_founded", F.lit(False)).alias("sure"), "_story")).alias("_first"))
+        now = undecided.join(first, "id", "left").where("_first is null or _first.sure")
+        verdict = F.col("_first._rank.action")
+        action = F.when(verdict == "same", "same_fact").when(verdict == "url", "same_url").otherwise(F.coalesce(verdict, F.lit("new_story")))
+        fact = F.when(verdict.isin("same", "url"), F.col("_first._rank.other")).when(verdict.isNull() | (verdict == "development"), F.col("id"))
+        story = F.when(verdict.isNull(), F.col("id")).when(verdict != "roundup", F.col("_first._story"))
+        decided = checkpointed(now.select("id", action.alias("action"), fact.alias("fact"), story.alias("story")))
+        results.append(decided)
+        undecided = checkpointed(undecided.join(decided, "id", "left_anti"))
+        if undecided.isEmpty():
+            break
+        edges = edges.join(undecided.select(F.col("id").alias("query")), "query", "left_semi").join(founded(decided, F.col("action").isin("new_story", "development")), "other", "left")
+    out = results[0]
+    for part in results[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 def signal_targets(signals: DataFrame, facts: DataFrame, links: DataFrame, similar: DataFrame) -> DataFrame:
     """post, fact, how of each discussion post that counts for a fact.
 

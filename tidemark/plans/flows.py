@@ -252,6 +252,34 @@ def c17(spark, d):
     return G.grouping(reports, o.where(action.isNotNull()).select(k.alias("query"), action.alias("action"), F.col("o_custkey").alias("fact")))
 
 
+ONE_BY_ONE = """WITH RECURSIVE r AS (SELECT doc_id AS id, row_number() OVER (ORDER BY coalesce(n_chars, 0) % 50, doc_id) AS n, CASE WHEN doc_id % 31 = 0 THEN 'skipped' WHEN doc_id % 29 = 0 THEN 'manual' WHEN doc_id % 23 = 0 THEN 'archived' WHEN doc_id % 19 = 0 THEN 'signal' WHEN doc_id % 17 = 0 THEN 'standalone' WHEN doc_id % 13 = 0 THEN 'kept' WHEN coalesce(n_chars, 0) % 11 = 0 THEN 'not_relevant' END AS own FROM documents),
+f AS (SELECT CAST(-1 - n_nationkey AS BIGINT) AS fact, CAST(-1 - n_regionkey AS BIGINT) AS story FROM nation),
+e AS (SELECT id AS query, id - k AS other, ['same', 'development', 'url', 'roundup'][1 + (id + k) % 4] AS action, id * k % 3 AS nth FROM r, (VALUES (1), (2), (5), (9)) t(k) WHERE (id * 7 + k) % 3 > 0 UNION ALL SELECT id, -1 - id % 40, 'same', 1 FROM r WHERE id % 6 = 0),
+c AS (SELECT query, list(struct_pack(nth := nth, other := other, action := action) ORDER BY nth, other, action) AS l FROM e LEFT JOIN f ON fact = other JOIN r q ON q.id = query LEFT JOIN r o ON o.id = other WHERE fact IS NOT NULL OR o.n < q.n GROUP BY 1),
+o AS (SELECT r.*, coalesce(l, []) AS l FROM r LEFT JOIN c ON query = id),
+s AS (SELECT CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS id, CAST(NULL AS VARCHAR) AS action, CAST(NULL AS BIGINT) AS fact, CAST(NULL AS BIGINT) AS story, (SELECT list(struct_pack(fact := fact, story := story)) FROM f) AS known
+UNION ALL SELECT n, id, action, fact, story, CASE WHEN action IN ('new_story', 'development') THEN list_append(known, struct_pack(fact := fact, story := story)) ELSE known END FROM
+ (SELECT n, id, action, fact, known, CASE action WHEN 'new_story' THEN id WHEN 'roundup' THEN NULL WHEN 'development' THEN list_filter(known, lambda k: k.fact = hit.other)[1].story ELSE list_filter(known, lambda k: k.fact = b.fact)[1].story END AS story FROM
+  (SELECT *, CASE action WHEN 'manual' THEN -1 WHEN 'kept' THEN -2 WHEN 'same_fact' THEN hit.other WHEN 'same_url' THEN hit.other WHEN 'new_story' THEN id WHEN 'development' THEN id END AS fact FROM
+   (SELECT *, coalesce(own, CASE hit.action WHEN 'same' THEN 'same_fact' WHEN 'url' THEN 'same_url' ELSE hit.action END, 'new_story') AS action FROM
+    (SELECT o.n, o.id, own, known, list_filter(l, lambda x: list_contains(list_transform(known, lambda k: k.fact), x.other))[1] AS hit FROM s JOIN o ON o.n = s.n + 1))) b))
+SELECT id, action, fact, story FROM s WHERE n > 0"""
+
+
+@add("c17_in_order", ONE_BY_ONE)
+def c17_in_order(spark, d):
+    docs, nation = load(spark, d, "documents", "nation")
+    k, size = F.col("doc_id"), F.coalesce("n_chars", F.lit(0))
+    hit = lambda m, v: F.when(k % m == 0, F.lit(v).cast("long"))
+    reports = docs.select(k.alias("id"), (size % 50).alias("place"), F.when(k % 31 == 0, k).alias("duplicate_of"), hit(29, -1).alias("manual_fact"), (k % 23 == 0).alias("historical"), (k % 19 == 0).alias("is_signal"), (k % 17 == 0).alias("promotion"), hit(13, -2).alias("current_fact"), F.when(size % 11 == 0, "block").otherwise("pass").alias("relevance"))
+    back = F.explode(F.array(*map(F.lit, (1, 2, 5, 9))))
+    action = F.get(F.array(*map(F.lit, ("same", "development", "url", "roundup"))), ((k + F.col("k")) % 4).cast("int"))
+    earlier = docs.select("doc_id", back.alias("k")).where((k * 7 + F.col("k")) % 3 > 0).select(k.alias("query"), (k - F.col("k")).alias("other"), action.alias("action"), (k * F.col("k") % 3).alias("nth"))
+    before = docs.where(k % 6 == 0).select(k.alias("query"), (-1 - k % 40).alias("other"), F.lit("same").alias("action"), F.lit(1).cast("long").alias("nth"))
+    facts = nation.select((-1 - F.col("n_nationkey")).cast("long").alias("fact"), (-1 - F.col("n_regionkey")).cast("long").alias("story"))
+    return G.grouping_in_order(reports, earlier.unionByName(before), facts)
+
+
 @add("c18_signal_targets", """WITH s AS (SELECT event_id AS post, CASE WHEN event_id % 3 = 0 THEN event_id - 1 END AS ref, ts FROM events WHERE event_type = 'click'), f AS (SELECT event_id AS m, user_id AS fact, ts FROM events WHERE event_type <> 'click'),
 q AS (SELECT post, arg_min(fact, (f.ts, fact)) AS quoted FROM s JOIN f ON ref = m GROUP BY 1), l AS (SELECT post, arg_min(fact, (f.ts, fact)) AS linked FROM s JOIN f ON post % 2 = 0 AND m = post + 1 AND f.ts > s.ts - INTERVAL 120 DAY GROUP BY 1)
 SELECT post, coalesce(quoted, linked, CASE WHEN post % 5 = 0 THEN post END) AS fact, CASE WHEN quoted IS NOT NULL THEN 'quoted' WHEN linked IS NOT NULL THEN 'linked' WHEN post % 10 = 0 THEN 'similar' ELSE 'judge' END AS how FROM s LEFT JOIN q USING (post) LEFT JOIN l USING (post) WHERE quoted IS NOT NULL OR linked IS NOT NULL OR post % 5 = 0""")
