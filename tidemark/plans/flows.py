@@ -87,7 +87,7 @@ def r04(spark, d):
     (e,) = load(spark, d, "events")
     stream = spark.readStream.schema(e.schema).parquet(f"{d}/events.parquet*").select("ts", "event_id")
     L.run_once(stream, f"{folder}/state", L.ledger_writer(f"{folder}/ledger", ["ts", "event_id"]))
-    return spark.read.parquet(f"{folder}/ledger").select("seq", "event_id")
+    return L.read_ledger(spark, f"{folder}/ledger").select("seq", "event_id")
 
 
 @add("r14_sessions", """WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS first FROM events), s AS (SELECT *, sum(first) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import relational as R
@@ -69,20 +69,61 @@ def budgets(rows: DataFrame, at: str, key: str, limits: dict[str, int]) -> DataF
     return out
 
 
-def ledger_writer(path: str, order: list[str]) -> Callable[[DataFrame, int], None]:
+COMMIT = "batch long, last_seq long, rows long, position string"
+
+
+def _commits(spark: SparkSession, path: str) -> list[int]:
+    """The numbers of the batches that have a manifest, in order, from one listing."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_commits")
+    files = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(where):
+        return []
+    done = lambda p: files.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))
+    return sorted(int(f.getPath().getName().split("=")[1]) for f in files.listStatus(where) if "=" in f.getPath().getName() and done(f.getPath()))
+
+
+def _commit(spark: SparkSession, path: str, number: int) -> Row:
+    return spark.read.schema(COMMIT).json(f"{path}/_commits/batch={number}").first()
+
+
+def committed(spark: SparkSession, path: str) -> Row | None:
+    """batch, last_seq, rows and position (the greatest order as JSON) of the last whole batch of a
+    ledger: where a reader or a source's cursor may go on from. None where there is none."""
+    numbers = _commits(spark, path)
+    return _commit(spark, path, numbers[-1]) if numbers else None
+
+
+def read_ledger(spark: SparkSession, path: str) -> DataFrame:
+    """The ledger as far as it is committed: what a failed batch left behind is not read."""
+    last = committed(spark, path)
+    if last is None:
+        raise ValueError(f"no ledger at {path}")
+    return spark.read.parquet(path).where(F.col("batch") <= last["batch"])
+
+
+def ledger_writer(path: str, order: list[str], commit: Callable[[DataFrame, str], None] | None = None) -> Callable[[DataFrame, int], None]:
     """For foreachBatch: appends each batch to a ledger with gapless numbers, exactly once.
 
-    A batch is written to its own folder, by its number, and overwrites what a failed attempt left
-    there; its numbers go on from the batches before it, so a repeated batch gets the same ones.
+    A batch's rows are written to its own folder first, over what a failed attempt left there; then
+    its manifest (number, last seq, rows, position) by `commit`. The numbers go on from the
+    manifest before it, the only thing read of earlier batches, and a batch that has a manifest is
+    not written again. An empty batch commits the position of the one before.
     """
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        last = 0
-        if number:
-            earlier = spark.read.option("basePath", path).parquet(*[f"{path}/batch={k}" for k in range(number)])
-            last = earlier.agg(F.max("seq")).first()[0] or 0
-        R.append_ledger(batch, order, last).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        numbers = _commits(spark, path)
+        if number in numbers:
+            return
+        before = _commit(spark, path, max(k for k in numbers if k < number)) if any(k < number for k in numbers) else None
+        folder = f"{path}/batch={number}"
+        R.append_ledger(batch, order, before["last_seq"] if before else 0).write.mode("overwrite").parquet(folder)
+        keys = F.to_json(F.max(F.struct(*order)))
+        rows, last, position = spark.read.parquet(folder).agg(F.count("*"), F.max("seq"), keys).first()
+        if not rows:
+            last, position = (before["last_seq"], before["position"]) if before else (0, None)
+        manifest = spark.createDataFrame([(number, last, rows, position)], COMMIT).coalesce(1)
+        (commit or (lambda df, where: df.write.mode("overwrite").json(where)))(manifest, f"{path}/_commits/batch={number}")
 
     return write
 
