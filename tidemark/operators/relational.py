@@ -77,6 +77,53 @@ def survivors(links: DataFrame, source: str, target: str, most: int | None = Non
     return now.select(F.col("s").alias(source), F.when(found, F.col("t")).alias("survivor"), F.when(found, F.col("n")).alias("hops"))
 
 
+def positions(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """rows with `seq`, gapless over all rows in the order of key and order, and `first`, the seq
+    that their key begins with. No task holds a key."""
+    numbered = checkpointed(append_ledger(rows, [key, *order], 0))
+    firsts = numbered.groupBy(key).agg(F.min("seq").alias("first"))
+    return numbered.join(firsts, key)
+
+
+def orbit(jumps: DataFrame, starts: DataFrame) -> DataFrame:
+    """at, nth: the places that each start comes to by jumping on and on, and after how many jumps.
+
+    jumps: at, to (null or a place without a row: the end), one row a place. starts: at. Paths of
+    different starts don't meet. Jumps are doubled, so rounds grow with the logarithm of the
+    longest path: all places found so far and those one doubled jump behind them are the next ones.
+    """
+    step = checkpointed(jumps.where("to is not null").select("at", "to"))
+    found = checkpointed(starts.select("at", F.lit(0).cast("long").alias("nth")))
+    size = 1
+    while not step.isEmpty():
+        ahead = found.join(step, "at").select(F.col("to").alias("at"), (F.col("nth") + size).alias("nth"))
+        found = checkpointed(found.unionByName(ahead))
+        second = step.select(F.col("at").alias("to"), F.col("to").alias("_to"))
+        step = checkpointed(step.join(second, "to").select("at", F.col("_to").alias("to")))
+        size *= 2
+    return found
+
+
+def first_kept(items: DataFrame, conflicts: DataFrame) -> DataFrame:
+    """id of the items that are kept when they are taken in order and each goes that is in conflict
+    with one kept before. items: id. conflicts: earlier, later. In each round an item is kept whose
+    earlier partners have all gone, and goes once one of them is kept; the others wait."""
+    left, edges, kept = checkpointed(items.select("id")), checkpointed(conflicts.select("earlier", "later").distinct()), []
+    while True:
+        waiting = edges.select(F.col("later").alias("id")).distinct()
+        new = checkpointed(left.join(waiting, "id", "left_anti"))
+        kept.append(new)
+        gone = checkpointed(edges.join(new.select(F.col("id").alias("earlier")), "earlier", "left_semi").select(F.col("later").alias("id")).distinct())
+        done = new.unionByName(gone)
+        left = checkpointed(left.join(done, "id", "left_anti"))
+        if left.isEmpty():
+            break
+        for side in ("earlier", "later"):
+            edges = edges.join(done.select(F.col("id").alias(side)), side, "left_anti")
+        edges = checkpointed(edges)
+    return reduce(DataFrame.unionByName, kept)
+
+
 def keyset_page(df: DataFrame, order: list[str], after: tuple | None, n: int) -> DataFrame:
     """n + 1 rows after a cursor, in descending order of the columns; the extra row says there is more."""
     rows = df

@@ -466,7 +466,10 @@ def s14(spark, d):
     return S.unread(posts.unionByName(posts.limit(50)), marks).select(F.col("post_id").cast("long").alias("event_id"))
 
 
-@add("s15_account_shards")
+@add("s15_account_shards", """WITH RECURSIVE a AS (SELECT c_mktsegment AS mode, 'handle_' || c_custkey AS handle, length('handle_' || c_custkey) + 9 AS cost, row_number() OVER (PARTITION BY c_mktsegment ORDER BY 'handle_' || c_custkey) AS n FROM customer),
+x AS (SELECT a.mode, a.n, max(b.n) + 1 AS nxt FROM a JOIN (SELECT y.mode, y.n AS at, z.n, sum(z.cost) OVER (PARTITION BY y.mode, y.n ORDER BY z.n) AS used FROM a y JOIN a z ON z.mode = y.mode AND z.n BETWEEN y.n AND y.n + 23) b ON b.mode = a.mode AND b.at = a.n AND b.used <= 470 GROUP BY 1, 2),
+w AS (SELECT mode, CAST(1 AS BIGINT) AS n, 0 AS shard FROM (SELECT DISTINCT mode FROM a) UNION ALL SELECT x.mode, x.nxt, w.shard + 1 FROM w JOIN x ON x.mode = w.mode AND x.n = w.n WHERE x.nxt <= (SELECT max(n) FROM a WHERE a.mode = x.mode))
+SELECT a.mode, a.handle, max(w.shard) AS shard FROM a JOIN w ON w.mode = a.mode AND w.n <= a.n GROUP BY 1, 2""")
 def s15(spark, d):
     (c,) = load(spark, d, "customer")
     return S.account_shards(c.select(F.col("c_mktsegment").alias("mode"), F.concat(F.lit("handle_"), F.col("c_custkey").cast("string")).alias("handle")))

@@ -9,6 +9,7 @@ from tidemark.functions import math as M
 from tidemark.functions import text as T
 from tidemark.functions import url as U
 from tidemark.plans.registry import Registry
+from tidemark.session import checkpointed
 from tidemark.plans.relational import load
 
 REGISTRY = Registry()
@@ -112,9 +113,10 @@ SELECT a.doc_id AS a, a.doc_id + 1 AS b, round(coalesce(s.n, 0) / least(a.n, b.n
 LEFT JOIN (SELECT x.doc_id, count(*) AS n FROM g x JOIN g y ON y.doc_id = x.doc_id + 1 AND x.p = y.p GROUP BY 1) s ON s.doc_id = a.doc_id""")
 def t18(spark, d):
     (docs,) = load(spark, d, "documents")
-    g = docs.select("doc_id", T.bigrams(F.col("text")).alias("g")).where(F.size("g") > 0)
+    # Both sides of the join read the same sets, so they are worked out once and kept.
+    g = checkpointed(docs.where("text is not null").select("doc_id", T.bigrams(F.col("text")).alias("g")))
     nxt = g.select((F.col("doc_id") - 1).alias("doc_id"), F.col("g").alias("h"))
-    return g.join(nxt, "doc_id").select(F.col("doc_id").alias("a"), (F.col("doc_id") + 1).alias("b"), F.round(T.containment(F.col("g"), F.col("h")), 9).alias("share"))
+    return g.join(nxt, "doc_id").where((F.size("g") > 0) & (F.size("h") > 0)).select(F.col("doc_id").alias("a"), (F.col("doc_id") + 1).alias("b"), F.round(T.containment(F.col("g"), F.col("h")), 9).alias("share"))
 
 
 @add("t19_title_dice", r"""WITH h AS (SELECT doc_id, regexp_replace(lower(left(text, 60)), '[\p{P}\p{S}\s_]+', '', 'g') AS s FROM documents),

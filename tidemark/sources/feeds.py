@@ -16,6 +16,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators import relational as R
+from tidemark.session import checkpointed
+
 FEED = "source string, place int, title string, url string, published string, summary string, author string, categories array<string>, error string"
 LINKS = "source string, place int, url string, title string, date string"
 VOID = {"br", "img", "hr", "input", "meta", "link", "source", "wbr", "area", "base", "col", "embed", "track"}
@@ -242,23 +245,32 @@ def gold_lines(lines: DataFrame, schema: str) -> DataFrame:
     return rows.withColumn("_n", times).withColumn("id", F.when(F.col("_n") == 1, F.col("id")).otherwise(F.raise_error(F.concat(F.lit("id comes twice: "), F.col("id").cast("string"))))).drop("_n")
 
 
-def account_shards(accounts: DataFrame, longest: int = 470, most: int = 24) -> DataFrame:
+def account_shards(accounts: DataFrame, longest: int = 470, most: int = 24, joiner: int = 9) -> DataFrame:
     """mode, handle, shard: accounts (mode, handle) packed, in order, into queries of bounded length.
 
-    Each account adds its handle and a joiner of nine characters. Modes are packed apart.
+    Each account adds its handle and a joiner; one longer than a query has one by itself. Modes are
+    packed apart, by next fit: where a shard would end is known of every account from the `most`
+    accounts behind it, which lie in its block of places or the next one's head; the shards that
+    there are begin where jumping from a mode's first account leads. So no task holds a mode.
     """
-
-    def fold(g: pd.DataFrame) -> pd.DataFrame:
-        shard, used, n, out = 0, 0, 0, []
-        for h in sorted(g["handle"]):
-            cost = len(h) + 9
-            if n and (used + cost > longest or n >= most):
-                shard, used, n = shard + 1, 0, 0
-            used, n = used + cost, n + 1
-            out.append(shard)
-        return pd.DataFrame({"mode": g["mode"], "handle": sorted(g["handle"]), "shard": out})
-
-    return accounts.select("mode", "handle").groupBy("mode").applyInPandas(fold, "mode string, handle string, shard int")
+    rows = R.positions(accounts.select("mode", "handle"), "mode", ["handle"]).withColumn("cost", F.length("handle") + joiner)
+    block = 1024
+    place = F.col("seq") - F.col("first")
+    own = rows.select("mode", "seq", "cost", F.floor(place / block).alias("block"), F.lit(True).alias("own"))
+    # The head of a block is shown to the one before it.
+    head = rows.where((place >= block) & (place % block < most)).select("mode", "seq", "cost", (F.floor(place / block) - 1).alias("block"), F.lit(False).alias("own"))
+    ahead = Window.partitionBy("mode", "block").orderBy("seq").rowsBetween(Window.currentRow, most)
+    costs = F.collect_list("cost").over(ahead)
+    # The first one that makes it too long, counted from the first one on, which always fits.
+    sums = F.transform(F.sequence(F.lit(1), F.size("_c")), lambda k: F.aggregate(F.slice("_c", F.lit(1), k), F.lit(0), lambda n, c: n + c))
+    over = F.array_position(F.transform(sums, lambda n, i: (i > 0) & (n > longest)), F.lit(True)) - 1
+    size = F.least(F.when(over > 0, over).otherwise(F.size("_c")), F.lit(most))
+    ends = own.unionByName(head).withColumn("_c", costs).where("own").select("mode", F.col("seq").alias("at"), (F.col("seq") + size).alias("to"))
+    last = rows.groupBy("mode").agg(F.max("seq").alias("last"))
+    jumps = checkpointed(ends.join(last, "mode").select("mode", "at", "to", F.when(F.col("to") <= F.col("last"), F.col("to")).alias("next")))
+    starts = R.orbit(jumps.select("at", F.col("next").alias("to")), rows.select(F.col("first").alias("at")).distinct())
+    shards = starts.join(jumps, "at").select(F.explode(F.sequence("at", F.col("to") - 1)).alias("seq"), F.col("nth").cast("int").alias("shard"))
+    return rows.join(shards, "seq").select("mode", "handle", "shard")
 
 
 def unread(posts: DataFrame, marks: DataFrame) -> DataFrame:
