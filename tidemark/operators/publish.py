@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,6 +46,71 @@ def revisions(listings: DataFrame) -> DataFrame:
     return versions.withColumn("revision", number.cast("long"))
 
 
+OUTCOMES = "identity string, source string, discovered timestamp_ntz, outcome string, revision long, hash string"
+
+
+def _collapsed(s: str | None) -> str:
+    return re.sub(r"\s+", " ", s or "", flags=re.ASCII).strip(" ")
+
+
+def _content_hash(title: str, body: str | None, excerpt: str | None) -> str:
+    return hashlib.sha256("\u0001".join(map(_collapsed, (title, body, excerpt))).encode()).hexdigest()
+
+
+def _same_but_for_loss(a: str | None, b: str | None) -> bool:
+    x, y = (re.sub("\ufffd+", "\ufffd", _collapsed(s)) for s in (a, b))
+    return len(x) == len(y) and all(p == q or "\ufffd" in (p, q) for p, q in zip(x, y, strict=True))
+
+
+def versions(listings: DataFrame) -> DataFrame:
+    """identity, source, discovered, outcome, revision, hash: what each listing does to its material.
+
+    listings: identity, source, discovered, title, body, excerpt, imported. They are read in the
+    order of discovery (then source, title, body), identity by identity, as a sorted stream: held
+    are a material's texts and the hashes it had. The first listing creates it, and its source owns
+    it; one of another source is a `discovery` only. A body or excerpt that is null keeps the one
+    held. Then, the first that holds: the hash is the current one (`unchanged`); the material was
+    imported without a hash and takes this one as its `baseline`; the hash was there before
+    (`seen`); nothing differs but characters lost on one side (`lossy`); else it is `revised`.
+    """
+    names = [f.split()[0] for f in OUTCOMES.split(", ")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict = {}
+        for b in batches:
+            out = []
+            for r in b.itertuples(index=False):
+                if held.get("identity") != r.identity:
+                    held = {"identity": r.identity, "source": r.source, "texts": (r.title, r.body, r.excerpt), "hash": None if r.imported else _content_hash(r.title, r.body, r.excerpt), "revision": 1}
+                    held["had"] = {held["hash"]}
+                    outcome = "created"
+                elif held["source"] != r.source:
+                    outcome = "discovery"
+                else:
+                    texts = (r.title, held["texts"][1] if r.body is None else r.body, held["texts"][2] if r.excerpt is None else r.excerpt)
+                    new = _content_hash(*texts)
+                    if new == held["hash"]:
+                        outcome = "unchanged"
+                    elif held["hash"] is None:
+                        outcome = "baseline"
+                        held["hash"] = new
+                        held["texts"] = (*held["texts"][:2], held["texts"][2] if held["texts"][2] is not None else r.excerpt)
+                    elif new in held["had"]:
+                        outcome = "seen"
+                    elif all(map(_same_but_for_loss, held["texts"], texts)):
+                        outcome = "lossy"
+                    else:
+                        outcome = "revised"
+                        held |= {"hash": new, "texts": texts, "revision": held["revision"] + 1}
+                    held["had"].add(held["hash"])
+                out.append((r.identity, r.source, r.discovered, outcome, held["revision"], held["hash"]))
+            yield pd.DataFrame(out, columns=names)
+
+    order = ["identity", "discovered", "source", "title", "body"]
+    rows = listings.select("identity", "source", "discovered", "title", "body", "excerpt", "imported")
+    return rows.repartition("identity").sortWithinPartitions(*order).mapInPandas(run, OUTCOMES)
+
+
 def discoveries(listings: DataFrame) -> DataFrame:
     """identity, source, first_seen, times: every entrance by which a material came."""
     return listings.groupBy("identity", "source").agg(F.min("discovered").alias("first_seen"), F.count("*").alias("times"))

@@ -54,6 +54,13 @@ def checked_source(kind: str, config: dict) -> dict:
     return config
 
 
+def source_issue(kind: Column, keys: Column) -> Column:
+    """Why `checked_source` refuses a source of a table, by kind and array of keys; null if it doesn't."""
+    table = F.create_map(*[c for k, names in SOURCE_KEYS.items() for c in (F.lit(k), F.array(*map(F.lit, sorted(names))))])
+    unknown = F.array_sort(F.array_except(keys, table[kind]))
+    return F.when(~F.coalesce(kind.isin(*SOURCE_KEYS), F.lit(False)), F.concat(F.lit("no source is of kind "), F.coalesce(kind, F.lit("null")))).when(F.size(unknown) > 0, F.concat(kind, F.lit(" has no key "), F.array_join(unknown, ", ")))
+
+
 def listed(now: Column) -> Column:
     """Public, and released if selected."""
     return (F.col("visibility") == "public") & (~F.col("selected") | F.coalesce(F.col("visible_after") <= now, F.lit(False)))

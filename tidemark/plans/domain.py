@@ -198,6 +198,17 @@ def c03(spark, d):
     return P.revisions(listings(spark, d))
 
 
+@add("c03_versions")
+def c03_versions(spark, d):
+    """Turns of a conversation as listings of one material: by two sources, some without a body, some
+    with a character lost, some that come back to an earlier text, a few imported."""
+    (conv,) = load(spark, d, "conversations")
+    turn, text = F.col("turn"), F.coalesce("text", F.lit(""))
+    body = F.when(turn % 5 == 4, F.lit(None)).when(turn % 3 == 2, F.concat(F.substring(text, 1, 3), F.lit("\ufffd"), F.substr(text, F.lit(5), F.length(text)))).when(turn % 2 == 1, F.lit("the first text again")).otherwise(text)
+    rows = conv.select(F.col("conv_id").cast("string").alias("identity"), F.when(turn % 4 == 3, "other").otherwise("own").alias("source"), (ts("2024-01-01") + F.make_interval(hours=turn.cast("int"))).alias("discovered"), F.lit("title").alias("title"), body.alias("body"), F.lit(None).cast("string").alias("excerpt"), (F.col("conv_id") % 3 == 0).alias("imported"))
+    return P.versions(rows)
+
+
 @add("c03_discoveries", f"SELECT identity, source, min(discovered) AS first_seen, count(*) AS times FROM ({LISTING}) GROUP BY 1, 2")
 def c03_discoveries(spark, d):
     return P.discoveries(listings(spark, d))

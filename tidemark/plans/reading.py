@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tidemark.functions import math as M
+from tidemark.functions import text as TX
 from tidemark.operators import publish as P
 from tidemark.operators import reading as V
 from tidemark.plans.domain import PUB, at, publications
 from tidemark.plans.registry import Registry
-from tidemark.plans.relational import load
+from tidemark.plans.relational import load, ts
+from tidemark.session import shared_folder
 from tidemark.sources import boards as B
+from tidemark.sources import listing as LI
 from tidemark.sources import sinks as K
 
 REGISTRY = Registry()
@@ -152,3 +159,96 @@ def e10(spark, d):
 def x02(spark, d):
     tier = F.when(F.col("id") % 2 == 0, "T1").otherwise("T2")
     return publications(spark, d).select("id", (F.col("score") >= INDUSTRY.threshold(tier)).alias("passes"))
+
+
+@add("t24_display_tags", "SELECT doc_id, list_filter(['cat:' || coalesce(lang, 'none'), 'entity:' || coalesce(source, 'none'), 'topic:news'], lambda t: NOT starts_with(t, 'entity:') AND (doc_id % 2 = 0 OR t <> 'topic:news')) AS tags FROM documents")
+def t24(spark, d):
+    (docs,) = load(spark, d, "documents")
+    tag = lambda name, c: F.concat(F.lit(f"{name}:"), F.coalesce(c, F.lit("none")))
+    every = F.array_compact(F.array(tag("cat", F.col("lang")), tag("entity", F.col("source")), F.when(F.col("doc_id") % 2 == 0, F.lit("topic:news"))))
+    return docs.select("doc_id", TX.display_tags(every).alias("tags"))
+
+
+@add("m08_role_scores", "SELECT p_partkey, p_partkey % 5 + p_size % 5 + p_partkey % 3 + 3 * (p_size % 3) AS judged, round(2 * (p_size / 100.0) + p_partkey % 10 / 20.0, 9) AS expected FROM part")
+def m08(spark, d):
+    (p,) = load(spark, d, "part")
+    k, size = F.col("p_partkey"), F.col("p_size")
+    return p.select("p_partkey", M.role_score(k % 5, size % 5, k % 3, size % 3).alias("judged"), F.round(M.expected_role_score(size / 100.0, k % 10 / 20.0), 9).alias("expected"))
+
+
+@add("r12_overflow", """WITH n AS (SELECT DISTINCT user_id, event_id // 7 AS item FROM events WHERE event_id % 2 = 0), b AS (SELECT DISTINCT user_id, event_id // 7 AS item FROM events WHERE event_id % 2 = 1 AND user_id % 3 > 0)
+SELECT n.user_id, count(*) AS n, count(b.item) AS known, count(*) >= 5 AND count(b.item) = 0 AS overflow FROM n LEFT JOIN b ON b.user_id = n.user_id AND b.item = n.item GROUP BY 1""")
+def r12(spark, d):
+    (e,) = load(spark, d, "events")
+    rows = e.select("event_id", "user_id", F.floor(F.col("event_id") / 7).alias("item"))
+    return LI.overflowed(rows.where("event_id % 2 = 0"), rows.where("event_id % 2 = 1 and user_id % 3 > 0"), "item", by="user_id")
+
+
+@add("r12_first_import", "SELECT doc_id, source FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY posted DESC NULLS LAST) AS n FROM (SELECT doc_id, source, CASE WHEN doc_id % 10 > 0 THEN TIMESTAMP '2024-01-20' - to_days(CAST(doc_id AS INTEGER)) END AS posted FROM documents) WHERE posted IS NULL OR posted >= TIMESTAMP '2023-07-20') WHERE n <= 5 AND posted IS NOT NULL")
+def r12_first(spark, d):
+    (docs,) = load(spark, d, "documents")
+    at = F.when(F.col("doc_id") % 10 > 0, ts("2024-01-20") - F.make_interval(days=F.col("doc_id").cast("int")))
+    rows = docs.select("doc_id", "source", at.alias("at"))
+    return LI.first_import(rows, "at", ts("2024-01-20"), 5, 6, "source").where("at is not null").select("doc_id", "source")
+
+
+@add("x01_source_issues", """SELECT event_id, CASE WHEN event_type NOT IN ('click', 'view') THEN 'no source is of kind ' || event_type WHEN event_id % 4 = 0 THEN CASE event_type WHEN 'click' THEN 'rss' ELSE 'push' END || ' has no key items' WHEN event_type = 'view' THEN 'push has no key url' END AS issue FROM events""")
+def x01(spark, d):
+    (e,) = load(spark, d, "events")
+    kind = F.when(F.col("event_type") == "click", "rss").when(F.col("event_type") == "view", "push").otherwise(F.col("event_type"))
+    keys = F.array_compact(F.array(F.when(~((F.col("event_type") == "view") & (F.col("event_id") % 4 == 0)), F.lit("url")), F.when(F.col("event_id") % 4 == 0, F.lit("items"))))
+    return e.select("event_id", V.source_issue(kind, keys).alias("issue"))
+
+
+@add("x03_features", "SELECT count(*) AS n, true AS with_roles, false AS with_podcasts FROM documents WHERE lang IN ('en', 'fr')")
+def x03(spark, d):
+    """A part of the plan that a feature switches on, and one that stays off."""
+    (docs,) = load(spark, d, "documents")
+    field = V.Industry(features=frozenset({"roles"}))
+    rows = docs.where(F.col("lang").isin("en", "fr")) if field.on("roles") else docs
+    rows = rows.where("source = 'podcast'") if field.on("podcasts") else rows
+    return rows.agg(F.count("*").alias("n")).select("n", F.lit(field.on("roles")).alias("with_roles"), F.lit(field.on("podcasts")).alias("with_podcasts"))
+
+
+@add("e01_pinned_board", "SELECT model, 'text/overall' AS board, score, score - 5 AS low, score + 5 AS high, rank() OVER (ORDER BY score DESC) AS place FROM (SELECT 'm' || p_partkey AS model, CAST(p_size AS DOUBLE) AS score FROM part WHERE p_partkey % 2 = 0 AND p_partkey % 7 > 0)")
+def e01(spark, d):
+    """A data set of two revisions and configurations, written from parts, read at one of them."""
+    (p,) = load(spark, d, "part")
+    root = f"{shared_folder(spark)}/boards-{uuid.uuid4().hex}"
+    rating = F.when(F.col("p_partkey") % 7 > 0, F.col("p_size").cast("double"))
+    rows = p.select(F.concat(F.lit("m"), F.col("p_partkey").cast("string")).alias("model_name"), F.when(F.col("p_partkey") % 2 == 0, "overall").otherwise("coding").alias("category"), rating.alias("rating"), (rating - 5).alias("rating_lower"), (rating + 5).alias("rating_upper"))
+    rows.write.parquet(f"{root}/rev2/text")
+    rows.withColumn("rating", F.lit(0.0)).write.parquet(f"{root}/rev1/text")
+    return B.pinned_board(spark, root, "rev2", "text", "overall")
+
+
+@add("e02_paged_board", """SELECT p_brand AS source, 'm-' || p_partkey AS model, p_size / 10.0 AS score FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS n FROM part) WHERE n <= CASE WHEN p_brand LIKE '%1' THEN 20 ELSE 200 END AND p_partkey % 9 > 0""")
+def e02(spark, d):
+    """Pages of ten parts a brand; one brand in a few says after two pages that there are no more."""
+    (p,) = load(spark, d, "part")
+    nth = F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey"))
+    row = F.struct(F.concat(F.lit("M. "), F.col("p_partkey").cast("string")).alias("slug"), F.col("p_name").alias("name"), F.when(F.col("p_partkey") % 9 > 0, F.col("p_size") / 10.0).alias("score"))
+    pages = p.withColumn("page", F.ceil(nth / 10).cast("int")).groupBy(F.col("p_brand").alias("source"), "page").agg(F.collect_list(row).alias("data"))
+    more = ~(F.endswith("source", F.lit("1")) & (F.col("page") >= 2))
+    bodies = pages.select("source", "page", F.to_json(F.struct("data", more.alias("has_more"))).alias("body"))
+    return B.board_rows("paged_json", {"most": 20}, bodies)
+
+
+@add("e03_harness_board", """SELECT p_brand AS source, 'm' || p_size AS model, CASE WHEN p_partkey % 2 = 0 THEN 'high+' ELSE '' END || 'harness-agent-' || p_partkey % 3 AS configuration, p_retailprice / 10000 AS score, p_retailprice / 10000 - 0.01 AS low, p_retailprice / 10000 + 0.01 AS high, rank() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC) AS place FROM part""")
+def e03(spark, d):
+    (p,) = load(spark, d, "part")
+    rate = F.col("p_retailprice").cast("double") / 10000
+    row = F.struct(F.concat(F.lit("m"), F.col("p_size").cast("string")).alias("model"), F.concat(F.lit("Agent ("), (F.col("p_partkey") % 3).cast("string"), F.lit(")")).alias("harness"), F.when(F.col("p_partkey") % 2 == 0, "High").alias("reasoning_effort"), rate.alias("pass_rate"), (rate - 0.01).alias("ci_lo"), (rate + 0.01).alias("ci_hi"))
+    # A body holds fifty rows; a board's rows are put together from all of its bodies.
+    bodies = p.groupBy(F.col("p_brand").alias("source"), F.floor(F.col("p_partkey") / 50)).agg(F.to_json(F.struct(F.collect_list(row).alias("rows"))).alias("body"))
+    return B.harness_board(bodies)
+
+
+@add("s20_csv_bodies", """SELECT doc_id, coalesce(source, '') AS source, replace(coalesce(text, ''), chr(0), '') AS text FROM documents""")
+def s20(spark, d):
+    """Every document as a record of a CSV body, twenty a body, with quotes and line breaks kept."""
+    (docs,) = load(spark, d, "documents")
+    cell = lambda c: F.concat(F.lit('"'), F.replace(F.replace(F.coalesce(c, F.lit("")), F.lit('"'), F.lit('""')), F.lit("\x00"), F.lit("")), F.lit('"'))
+    line = F.concat_ws(",", F.col("doc_id").cast("string"), cell(F.col("source")), cell(F.col("text")))
+    bodies = docs.groupBy(F.floor(F.col("doc_id") / 20).cast("string").alias("path")).agg(F.concat(F.lit("doc_id,source,text\n"), F.array_join(F.collect_list(line), "\n")).alias("body"))
+    return B.plain_csv(bodies).select(F.col("record")["doc_id"].cast("long").alias("doc_id"), F.col("record")["source"].alias("source"), F.col("record")["text"].alias("text"))

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import csv
 import io
+import json
 import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from tidemark.session import few
 
@@ -32,6 +34,114 @@ def zipped_csv(archives: DataFrame) -> DataFrame:
     return archives.select("path", "content").mapInPandas(run, "path string, member string, record map<string,string>")
 
 
+def plain_csv(files: DataFrame) -> DataFrame:
+    """path, nth, record (column to text): the records of CSV bodies (path, body), quoted fields
+    with line breaks included. A body is read at a time; an empty one has no records."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for path, body in zip(b["path"], b["body"], strict=True):
+                lines = list(csv.DictReader(io.StringIO((body or "").removeprefix("\ufeff"), newline="")))
+                yield pd.DataFrame({"path": path, "nth": range(len(lines)), "record": [{k: v for k, v in r.items() if isinstance(k, str) and k} for r in lines]})
+
+    return files.select("path", "body").mapInPandas(run, "path string, nth int, record map<string,string>")
+
+
+def pinned_board(spark: SparkSession, root: str, revision: str, config: str, category: str) -> DataFrame:
+    """model, board, score, low, high, place of one category of a data set's configuration at a
+    revision: root/revision/config holds its parquet. Rows without a rating are left out."""
+    rows = spark.read.parquet(f"{root}/{revision}/{config}").where(F.col("category") == category)
+    out = scored(rows, F.col("model_name"), F.lit(f"{config}/{category}"), F.col("rating"))
+    bounds = rows.select(F.col("model_name").alias("model"), F.col("rating_lower").alias("low"), F.col("rating_upper").alias("high"))
+    return ranked(out.drop("low", "high").join(bounds, "model"))
+
+
+#: Pages that one source is asked for at most.
+PAGES = 20
+PAGE = "struct<data:array<struct<slug:string,name:string,score:double>>,has_more:boolean>"
+
+
+def paged_json(pages: DataFrame, most: int = PAGES) -> DataFrame:
+    """source, model, name, score of the JSON pages (source, page, body) of each source: from page 1
+    on, as long as the page before says that there is more, `most` at most. Null scores are left
+    out; a slug becomes lower case with single hyphens for what is neither letter nor digit."""
+    parsed = pages.where(F.col("page").between(1, most)).select("source", "page", F.from_json("body", PAGE).alias("p"))
+    before = Window.partitionBy("source").orderBy("page").rowsBetween(Window.unboundedPreceding, -1)
+    # A page that is missing ends the list as one that says so does.
+    more = F.coalesce(F.col("p.has_more"), F.lit(False))
+    reached = parsed.withColumn("_all", F.coalesce(F.bool_and(more).over(before), F.lit(True))).withColumn("_n", F.count("*").over(before)).where(F.col("_all") & (F.col("_n") == F.col("page") - 1))
+    rows = reached.select("source", F.explode("p.data").alias("r")).where("r.score is not null")
+    return rows.select("source", F.regexp_replace(F.lower("r.slug"), "[^a-z0-9-]+", "-").alias("model"), "r.name", "r.score")
+
+
+def harness_board(bodies: DataFrame) -> DataFrame:
+    """source, model, configuration, score, low, high, place of JSON boards (source, body): systems
+    are a model in a harness, which is part of the configuration; 1224 places by pass rate."""
+    row = "struct<model:string,harness:string,reasoning_effort:string,pass_rate:double,ci_lo:double,ci_hi:double>"
+    rows = bodies.select("source", F.explode(F.from_json("body", f"struct<rows:array<{row}>>")["rows"]).alias("r")).where("r.pass_rate is not null")
+    slug = F.regexp_replace(F.regexp_replace(F.lower("r.harness"), "[^a-z0-9]+", "-"), "^-|-$", "")
+    effort = F.lower(F.nullif(F.trim("r.reasoning_effort"), F.lit("")))
+    out = rows.select("source", "r.model", F.concat_ws("+", effort, F.concat(F.lit("harness-"), slug)).alias("configuration"), F.col("r.pass_rate").alias("score"), F.col("r.ci_lo").alias("low"), F.col("r.ci_hi").alias("high"))
+    return out.withColumn("place", F.rank().over(Window.partitionBy("source").orderBy(F.col("score").desc())).cast("long"))
+
+
+class PagedSource(DataSource):
+    """`spark.read.format("paged_json")`: the pages of sources that are asked page by page.
+
+    Options: sources (JSON: name to an address with {page}) and most. Each source is a partition,
+    read by one task in order until a page says that there is no more.
+    """
+
+    @classmethod
+    def name(cls) -> str:
+        return "paged_json"
+
+    def schema(self) -> str:
+        return "source string, page int, body string"
+
+    def reader(self, schema) -> DataSourceReader:
+        return PagedReader(json.loads(self.options["sources"]), int(self.options.get("most", PAGES)))
+
+
+class PagedReader(DataSourceReader):
+    def __init__(self, sources: dict[str, str], most: int):
+        self.sources, self.most = sources, most
+
+    def partitions(self) -> list[InputPartition]:
+        return [InputPartition(pair) for pair in sorted(self.sources.items())]
+
+    def read(self, partition: InputPartition) -> Iterator[tuple[str, int, str]]:
+        from urllib.request import urlopen
+
+        source, address = partition.value
+        for page in range(1, self.most + 1):
+            with urlopen(address.replace("{page}", str(page)), timeout=30) as answer:
+                body = answer.read().decode()
+            yield source, page, body
+            if not json.loads(body).get("has_more"):
+                return
+
+
+#: The kinds of boards, what each may be configured with, and how its bodies become rows.
+BOARDS = {
+    "csv": ({"model", "score"}, lambda b, c: plain_csv(b).select(F.col("path").alias("source"), F.col("record")[c["model"]].alias("model"), F.col("record")[c["score"]].try_cast("double").alias("score")).where("score is not null")),
+    "paged_json": ({"most"}, lambda b, c: paged_json(b, c.get("most", PAGES)).select("source", "model", "score")),
+    "harness_json": (set(), lambda b, c: harness_board(b).select("source", "model", "score")),
+    "template_csv": ({"model", "score"}, lambda b, c: template_csv(b, c["model"], c["score"]).select("source", "model", "score")),
+}
+
+
+def board_rows(kind: str, config: dict, bodies: DataFrame) -> DataFrame:
+    """source, model, score of boards of a kind in BOARDS. Another kind, or a key that the kind does
+    not have, is refused before anything is read."""
+    if kind not in BOARDS:
+        raise ValueError(f"no board is of kind {kind}")
+    keys, read = BOARDS[kind]
+    if unknown := sorted(set(config) - keys):
+        raise ValueError(f"{kind} has no key {', '.join(unknown)}")
+    return read(bodies, config)
+
+
 def scored(rows: DataFrame, model: Column, board: Column, score: Column, error: Column | None = None) -> DataFrame:
     """model, board, score, low, high: rows without a model or a numeric score are dropped; bounds
     are score -+ error where that is known."""

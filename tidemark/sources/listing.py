@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -29,14 +29,20 @@ def noise_reason(title: Column, excerpt: Column, categories: Column, rules: dict
     return out.when(has(hay, "keep"), F.lit(None)).when(has(low, "drop_title"), "dropMarkersTitleOnly").when(has(hay, "drop"), "dropMarkers")
 
 
-def overflowed(now: DataFrame, before: DataFrame, key: str, least: int = 5) -> DataFrame:
-    """n, known, overflow: a full listing that shares nothing with the one before has lost items."""
-    marked = now.select(key).distinct().join(before.select(key).distinct().withColumn("_b", F.lit(True)), key, "left")
-    counted = marked.agg(F.count("*").alias("n"), F.count("_b").alias("known"))
+def overflowed(now: DataFrame, before: DataFrame, key: str, least: int = 5, by: str | None = None) -> DataFrame:
+    """by, n, known, overflow: a full listing that shares nothing with the one before has lost items.
+    by: a column of both that tells listings apart."""
+    names = [by, key] if by else [key]
+    marked = now.select(*names).distinct().join(before.select(*names).distinct().withColumn("_b", F.lit(True)), names, "left")
+    counted = marked.groupBy(*names[:-1]).agg(F.count("*").alias("n"), F.count("_b").alias("known"))
     return counted.withColumn("overflow", (F.col("n") >= least) & (F.col("known") == 0))
 
 
-def first_import(candidates: DataFrame, at: str, now: Column, n: int = 30, months: int = 12) -> DataFrame:
-    """The latest n candidates of the last months, or without a date."""
+def first_import(candidates: DataFrame, at: str, now: Column, n: int = 30, months: int = 12, by: str | None = None) -> DataFrame:
+    """The latest n candidates of the last months, or without a date; with `by`, of each of its
+    values. n and months are how much a source's first reading takes in."""
     recent = candidates.where(F.col(at).isNull() | (F.col(at) >= F.add_months(now, -months)))
-    return recent.orderBy(F.col(at).desc_nulls_last()).limit(n)
+    if by is None:
+        return recent.orderBy(F.col(at).desc_nulls_last()).limit(n)
+    nth = F.row_number().over(Window.partitionBy(by).orderBy(F.col(at).desc_nulls_last()))
+    return recent.withColumn("_n", nth).where(F.col("_n") <= n).drop("_n")
