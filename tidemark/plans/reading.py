@@ -11,6 +11,7 @@ from tidemark.functions import math as M
 from tidemark.functions import text as TX
 from tidemark.operators import publish as P
 from tidemark.operators import reading as V
+from tidemark.operators import search as SE
 from tidemark.plans.domain import PUB, at, publications
 from tidemark.plans.registry import Registry
 from tidemark.plans.relational import load, ts
@@ -62,6 +63,16 @@ def f06(spark, d):
     return V.of_region(seen(spark, d).where(V.in_track(INDUSTRY, "academic")), sources, "domestic").select("id")
 
 
+@add("f10_public_match", "SELECT doc_id AS id FROM documents WHERE (contains(lower(coalesce(left(text, 60), '')), 'ation') OR doc_id % 3 > 0 AND contains(lower(coalesce(text, '')), 'ation')) AND (contains(lower(coalesce(left(text, 60), '')), 'th') OR doc_id % 3 > 0 AND contains(lower(coalesce(text, '')), 'th')) AND (contains(lower(coalesce(left(text, 60), '')), 'reading') OR doc_id % 3 > 0 AND contains(lower(coalesce(text, '')), 'reading'))")
+def f10(spark, d):
+    """Titles, and a table that has the bodies of two documents in three, searched by its index."""
+    (docs,) = load(spark, d, "documents")
+    items = docs.select(F.col("doc_id").alias("id"), F.lower(F.substring("text", 1, 60)).alias("direct"))
+    bodies = docs.where("doc_id % 3 > 0").select(F.col("doc_id").alias("id"), F.col("text").alias("body"))
+    index = SE.build(bodies, f"{shared_folder(spark)}/search-{uuid.uuid4().hex}")
+    return SE.public_match(items, F.col("direct"), index, bodies, ["ation", "th", "Reading"]).select("id")
+
+
 @add("f11_rolling_window", f"SELECT id, posted >= {AT} - INTERVAL 24 HOUR AS within_day FROM ({SEEN}) WHERE posted BETWEEN {AT} - INTERVAL 7 DAY AND {AT}")
 def f11(spark, d):
     rows = seen(spark, d).where(V.in_window(F.col("at"), "7d", at()))
