@@ -1,11 +1,12 @@
-"""Bodies of web pages: extraction by text density, clean blocks, records in scripts, plain text."""
+"""Bodies of web pages: extraction by scored elements, clean blocks, records in scripts, plain text."""
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
-from urllib.parse import urljoin
+from urllib.parse import urljoin, urlsplit
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -66,30 +67,194 @@ class _Blocks(HTMLParser):
             self.out.append(data.replace("&", "&amp;").replace("<", "&lt;"))
 
 
+# Answers of a site that refuses a reader, and path steps of sign-in pages.
+REFUSED = {401, 403, 407, 412, 429, 451}
+SIGN_IN = {"login", "signin", "sign-in", "signup", "sign-up", "register", "auth", "sso"}
+#: Words in an element's class or id that say it is not the article.
+BESIDE = {"comment", "comments", "sidebar", "menu", "share", "social", "related", "promo", "breadcrumb", "pagination", "newsletter", "cookie", "banner", "recommend"}
+#: Elements whose own text counts for what holds them, and the least characters of one that counts.
+GROUPS, DEEPEST = {"ul", "ol", "div", "section", "table", "tr", "td"}, 100
+TEXTS, COUNTS_FROM = {"p", "pre", "td", "blockquote", "li", "div", "section", "article"}, 25
+
+
+class Element:
+    """A node of a page: its own text, its children in order with texts between, and its score."""
+
+    __slots__ = ("tag", "parent", "parts", "score", "beside", "depth")
+
+    def __init__(self, tag: str, parent: Element | None, beside: bool = False):
+        self.tag, self.parent, self.parts, self.score, self.beside = tag, parent, [], 0.0, beside
+        self.depth = 0 if parent is None else parent.depth + 1
+        if parent is not None:
+            parent.parts.append(self)
+
+    def children(self) -> list[Element]:
+        return [c for c in self.parts if isinstance(c, Element)]
+
+    def own(self) -> str:
+        """The text in it that no block of its own holds."""
+        return " ".join("".join(c if isinstance(c, str) else c.own() if c.tag not in BLOCKS else " " for c in self.parts).split())
+
+    def blocks(self) -> list[str]:
+        """The texts of its blocks in order."""
+        out, run = [], ""
+        for c in self.parts:
+            if isinstance(c, Element) and (c.tag in BLOCKS or any(True for k in c.walk() if k.tag in BLOCKS)):
+                out += [run, *([] if c.beside or c.of_links() else c.blocks())]
+                run = ""
+            else:
+                run += c if isinstance(c, str) else "" if c.beside else c.own() + (" " if c.tag == "br" else "")
+        return [t for t in (" ".join(t.split()) for t in [*out, run]) if t]
+
+    def of_links(self) -> bool:
+        """Whether it is a group of which links make over half."""
+        every, links = self.size() if self.tag in GROUPS else (0, 0)
+        return 2 * links > every
+
+    def walk(self) -> Iterator[Element]:
+        stack = list(self.children())
+        while stack:
+            e = stack.pop()
+            yield e
+            stack += e.children()
+
+    def size(self) -> tuple[int, int]:
+        """How many characters it has, and how many of them in links."""
+        every = links = 0
+        stack = [(self, self.tag == "a")]
+        while stack:
+            e, linked = stack.pop()
+            for c in e.parts:
+                if isinstance(c, Element):
+                    stack.append((c, linked or c.tag == "a"))
+                else:
+                    n = len("".join(c.split()))
+                    every, links = every + n, links + n * linked
+        return every, links
+
+
+class _Tree(HTMLParser):
+    """The element tree of a page's body, without what is dropped whole."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.root = self.at = Element("body", None)
+        self.skip: list[str] = []
+        #: Elements opened below DEEPEST, whose texts are those of the one at that depth.
+        self.flat: Counter[str] = Counter()
+
+    def handle_starttag(self, tag, attrs):
+        if self.skip or tag in DROPPED or tag == "title":
+            self.skip += [tag] * (not self.skip or tag == self.skip[0])
+            return
+        if tag in ("html", "body"):
+            return
+        # A block ends a paragraph left open; an item ends the one before it.
+        while self.at.tag == "p" and tag in BLOCKS or tag == "li" and self.at.tag == "li":
+            self.at = self.at.parent
+        if self.at.depth >= DEEPEST and tag not in CLOSED:
+            self.flat[tag] += 1
+            return
+        named = re.split(r"[^a-z]+", " ".join(v or "" for k, v in attrs if k in ("class", "id")).lower())
+        e = Element(tag, self.at, bool(BESIDE & set(named)))
+        if tag not in CLOSED:
+            self.at = e
+
+    def handle_endtag(self, tag):
+        if self.skip:
+            self.skip = self.skip[: -1 if tag == self.skip[0] else None]
+            return
+        if self.flat[tag]:
+            self.flat[tag] -= 1
+            return
+        up = self.at
+        while up is not None and up.tag != tag:
+            up = up.parent
+        if up is not None and up.parent is not None:
+            self.at = up.parent
+
+    def handle_data(self, data):
+        if not self.skip:
+            self.at.parts.append(data)
+
+
+def article(root: Element) -> list[str]:
+    """The blocks of the element that holds most of a page's prose, and of siblings that go on with it.
+
+    A text of COUNTS_FROM characters gives points by its length and its commas, all to the element
+    that holds it, half to the next one up and less beyond; links take their share of an element's
+    points away. Elements named as standing beside the article count for nothing.
+    """
+    scored = []
+    for e in root.walk():
+        text = e.own() if e.tag in TEXTS else ""
+        if len(text) < COUNTS_FROM or e.beside:
+            continue
+        points = 1 + sum(text.count(c) for c in ",，、") + min(len(text) // 100, 3)
+        up, level = (e.parent if e.tag in ("p", "li", "pre", "blockquote", "td") else e), 0
+        while up is not None and level < 5:
+            if up.score == 0:
+                scored.append(up)
+            up.score += points / (1 if level == 0 else 2 if level == 1 else 3 * level)
+            up, level = up.parent, level + 1
+
+    def prose(e: Element) -> float:
+        every, links = e.size()
+        return 0.0 if not every or any_beside(e) else e.score * (1 - links / every)
+
+    def any_beside(e: Element | None) -> bool:
+        return e is not None and (e.beside or any_beside(e.parent))
+
+    if not scored:
+        return []
+    best = max(scored, key=prose)
+    if prose(best) == 0:
+        return []
+    if best.parent is None:
+        return best.blocks()
+    out, least = [], max(10.0, 0.2 * prose(best))
+    for e in best.parent.children():
+        every, links = e.size()
+        text = e.own()
+        goes_on = e.tag == "p" and (len(text) > 80 and links < 0.25 * every or 0 < len(text) <= 80 and not links and text[-1] in ".。！？!?")
+        if e is best or not e.beside and (prose(e) >= least or goes_on):
+            out += e.blocks() if e.tag not in ("p", "li") or any(c.tag in BLOCKS for c in e.children()) else [text]
+    return out
+
+
+def sent_to_sign_in(asked: str, landed: str) -> bool:
+    """Whether an answer came from a sign-in page that was not asked for."""
+    steps = lambda u: {part.split(".")[0] for part in urlsplit(u or "").path.lower().split("/")}
+    return bool(SIGN_IN & steps(landed)) and not SIGN_IN & steps(asked)
+
+
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, title, body, html, status: the readable text of each page (page_id, url, html).
 
-    Blocks are paragraphs of text of which links make under half; the body is what lies between the
-    first and the last such block of 40 characters or more. status is `ok`, or `unconfirmed` where
-    the body is shorter than LEAST. html is the page's markup in kept tags, without scripts.
+    pages may have http_status and landed, the address that answered. status, the first that holds:
+    `sign_in`, `refused` (an answer in REFUSED), `failed` (another answer than 200), `ok`, or
+    `unconfirmed` where the body is shorter than LEAST; the first three have no body. html is the
+    page's markup in kept tags, without scripts. A page that the parser gives up on has no body.
     """
     schema = "page_id string, title string, body string, html string, status string"
 
-    def one(url: str, html: str) -> tuple:
-        p = _Blocks(url)
+    def one(url: str, html: str, answer: int | None, landed: str | None) -> tuple:
+        refused = "sign_in" if landed and sent_to_sign_in(url, landed) else None if answer is None or answer == 200 else "refused" if answer in REFUSED else "failed"
+        if refused:
+            return None, "", "", refused
+        p, tree = _Blocks(landed or url), _Tree()
         p.feed(html)
-        texts = [(" ".join(t.split()), n) for t, n in p.blocks]
-        texts = [(t, n) for t, n in texts if t and n * 2 < len(t)]
-        good = [k for k, (t, _) in enumerate(texts) if len(t) >= 40]
-        body = "\n\n".join(t for t, _ in texts[good[0] : good[-1] + 1]) if good else ""
+        tree.feed(html)
+        body = "\n\n".join(article(tree.root))
         return " ".join(p.title.split()) or None, body, re.sub(r"<p>\s*</p>", "", "".join(p.out)), "ok" if len(body) >= LEAST else "unconfirmed"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(i, *one(u or "", h or "")) for i, u, h in zip(b["page_id"], b["url"], b["html"], strict=True)]
+            rows = [(i, *one(u or "", h or "", None if pd.isna(s) else int(s), at)) for i, u, h, s, at in zip(b["page_id"], b["url"], b["html"], b["http_status"], b["landed"], strict=True)]
             yield pd.DataFrame(rows, columns=["page_id", "title", "body", "html", "status"])
 
-    return pages.select(F.col("page_id").cast("string"), "url", "html").mapInPandas(run, schema)
+    column = lambda name, kind: F.col(name).cast(kind) if name in pages.columns else F.lit(None).cast(kind)
+    return pages.select(F.col("page_id").cast("string"), "url", "html", column("http_status", "int").alias("http_status"), column("landed", "string").alias("landed")).mapInPandas(run, schema)
 
 
 def script_records(html: Column, mark: str) -> Column:
