@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Scratch
+from tidemark.llm.common import Scratch, met
 
 # Short forms in which these licences are declared, and what their texts grant.
 NOTICES = {
@@ -224,7 +224,8 @@ def scan(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     parts = F.split("dir", "/")
     above = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, k), "/"))
     ancestors = dirs.withColumn("above", F.explode(F.array_distinct(above)))
-    nearest = ancestors.join(holders.withColumnRenamed("dir", "above"), "above").groupBy("dir").agg(F.max(F.struct(F.length("above").alias("n"), "above", "dir_license")).alias("near"))
+    # Every directory has the root above it, so that key is dealt in shares.
+    nearest = met(ancestors, scratch.save(holders.withColumnRenamed("dir", "above")), ["above"], F.col("dir")).groupBy("dir").agg(F.max(F.struct(F.length("above").alias("n"), "above", "dir_license")).alias("near"))
     shares = nearest.select(F.col("dir").alias("d"), "near.above", "near.dir_license", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("share"))
     out = own.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(16)).cast("int")).join(shares, (F.col("dir") == F.col("d")) & (F.col("salt") == F.col("share")), "left")
     inherits = F.col("own_license").isNull()
