@@ -16,7 +16,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import need
+from tidemark.llm.common import Scratch, need
 
 BUCKETS = 1 << 13
 #: Labelled texts a language that the classifier is fitted on at most: those of the least hashed
@@ -84,30 +84,37 @@ def sample(docs: DataFrame, per_language: int) -> DataFrame:
 def fit(docs: DataFrame, per_language: int = SAMPLE) -> Model | None:
     """The model of the labelled rows with an id that are not held out; None if there are none.
 
-    The driver gets at most per_language texts' n-grams for each value of lang, whatever repeats.
+    N-grams are kept as sparse rows. One task clusters the rows of one value of lang, at most
+    per_language; the driver gets a number for each bucket and CENTROIDS rows of them a language.
     """
+    scratch = Scratch(docs.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             found = [counts(t) for t in b["text"]]
-            yield pd.DataFrame({"lang": b["lang"], "at": [np.flatnonzero(c).astype(np.int32) for c in found], "n": [c[c > 0] for c in found]})
+            yield pd.DataFrame({"lang": b["lang"], "key": b["key"], "at": [np.flatnonzero(c).astype(np.int32) for c in found], "n": [c[c > 0] for c in found]})
 
-    rows = sample(docs, per_language).orderBy("doc_id", "lang", "text").select("lang", "text").mapInPandas(run, "lang string, at array<int>, n array<float>").toPandas()
-    rows = rows[[len(a) > 0 for a in rows["at"]]]
-    if rows.empty:
+    keyed = sample(docs, per_language).select("lang", "text", F.concat_ws("|", F.col("doc_id").cast("string"), F.xxhash64("text")).alias("key"))
+    rows = scratch.save(keyed.mapInPandas(run, "lang string, key string, at array<int>, n array<float>").where(F.size("at") > 0))
+    total = rows.count()
+    if not total:
         return None
-    tf = np.zeros((len(rows), BUCKETS), np.float32)
-    for k, (at, n) in enumerate(zip(rows["at"], rows["n"], strict=True)):
-        tf[k, at] = n
-    idf = (np.log((1 + len(tf)) / (1 + (tf > 0).sum(0))) + 1).astype(np.float32)
-    vectors = unit(np.log1p(tf) * idf)
-    centres, names, limits = [], [], []
-    for lang in sorted(set(rows["lang"])):
-        c, near = clustered(vectors[(rows["lang"] == lang).to_numpy()], CENTROIDS)
-        centres.append(c)
-        names += [lang] * len(c)
-        limits += [REJECT * float(np.quantile(near.max(1), 0.01))] * len(c)
-    return Model(idf, np.concatenate(centres).astype(np.float32), names, np.array(limits, np.float32))
+    have = np.zeros(BUCKETS)
+    for at, n in rows.select(F.explode("at").alias("at")).groupBy("at").count().collect():
+        have[at] = n
+    idf = (np.log((1 + total) / (1 + have)) + 1).astype(np.float32)
+
+    def one(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("key")
+        tf = np.zeros((len(g), BUCKETS), np.float32)
+        for k, (at, n) in enumerate(zip(g["at"], g["n"], strict=True)):
+            tf[k, at] = n
+        c, near = clustered(unit(np.log1p(tf) * idf), CENTROIDS)
+        return pd.DataFrame({"lang": g["lang"].iloc[0], "nth": range(len(c)), "centre": list(c.astype(np.float32)), "least": REJECT * float(np.quantile(near.max(1), 0.01))})
+
+    found = rows.groupBy("lang").applyInPandas(one, "lang string, nth int, centre array<float>, least double").toPandas().sort_values(["lang", "nth"])
+    scratch.close()
+    return Model(idf, np.stack(found["centre"]).astype(np.float32), found["lang"].tolist(), found["least"].to_numpy(np.float32))
 
 
 def held_out():
