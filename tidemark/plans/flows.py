@@ -10,11 +10,10 @@ from pyspark.sql import functions as F
 from tidemark.functions import names as NM
 from tidemark.functions import pages as PG
 from tidemark.functions import text as TX
-from tidemark.functions.math import dot, unit
 from tidemark.operators import grouping as G
+from tidemark.operators import neighbours as N
 from tidemark.plans.registry import Registry
 from tidemark.plans.relational import load, ts
-from tidemark.session import few
 from tidemark.session import shared_folder as folder
 from tidemark.sources import boards as B
 from tidemark.sources import feeds as S
@@ -228,13 +227,11 @@ def k08(spark, d):
 
 @add("j15_best_neighbour", """SELECT query, vec_id AS nearest FROM (SELECT q.vec_id AS query, e.vec_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 9) DESC, e.vec_id) AS n FROM embeddings q, embeddings e WHERE q.vec_id % 20 = 0 AND e.vec_id <> q.vec_id) WHERE n = 1""")
 def j15(spark, d):
-    """Each stated query against all rows: queries are dealt in blocks, a max is kept per task."""
+    """Each stated query against all rows, by lists that the triangle inequality prunes."""
     (e,) = load(spark, d, "embeddings")
-    q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("_q"))
-    blocks = q.withColumn("_q", unit(F.col("_q"))).groupBy(F.pmod(F.xxhash64("query"), F.lit(16)).alias("_b")).agg(F.collect_list(F.struct("query", "_q")).alias("_qs"))
-    own = e.select("vec_id", unit(F.col("embedding")).alias("_v"))
-    pairs = own.crossJoin(few(blocks.select("_qs"))).select("vec_id", "_v", F.inline("_qs")).where("vec_id <> query").withColumn("s", F.round(dot(F.col("_v"), F.col("_q")), 9))
-    return pairs.groupBy("query").agg(F.max(F.struct("s", (-F.col("vec_id")).alias("v")))["v"].alias("v")).select("query", (-F.col("v")).alias("nearest"))
+    rows = e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    found, _ = N.nearest(rows.where("id % 20 = 0").withColumnRenamed("id", "query"), rows)
+    return found.select("query", "nearest")
 
 
 # Grouping and delivery
