@@ -99,14 +99,16 @@ def r14(spark, d):
 # Readers
 
 
-@add("s01_feed_entries", """SELECT source, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS place, 'Report ' || doc_id AS title, 'https://example.org/' || doc_id AS url, '2024-01-15T10:00:00Z' AS published FROM documents""")
+@add("s01_feed_entries", """SELECT source, row_number() OVER (PARTITION BY source, doc_id // 500 ORDER BY doc_id) - 1 AS place, 'Report ' || doc_id AS title, 'https://example.org/' || doc_id AS url, '2024-01-15T10:00:00Z' AS published FROM documents""")
 def s01(spark, d):
     (docs,) = load(spark, d, "documents")
     k = F.col("doc_id").cast("string")
     item = F.concat(F.lit("<item><title>Report "), k, F.lit("</title><link>https://example.org/"), k, F.lit("</link><pubDate>Mon, 15 Jan 2024 10:00:00 GMT</pubDate></item>"))
-    rows = docs.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("doc_id", item.alias("x")))).alias("i"))
+    # A source's feed holds a block of ids, so feeds grow in number with the table and not in size.
+    feed = F.concat("source", F.lit("|"), F.floor(F.col("doc_id") / 500).cast("string"))
+    rows = docs.groupBy(feed.alias("source"), F.floor(F.col("doc_id") / 500)).agg(F.array_sort(F.collect_list(F.struct("doc_id", item.alias("x")))).alias("i"))
     body = F.concat(F.lit("<rss><channel>"), F.array_join(F.transform("i", lambda s: s["x"]), ""), F.lit("</channel></rss>"))
-    return S.parse_feeds(rows.select("source", body.alias("body"))).select("source", F.col("place").cast("long").alias("place"), "title", "url", "published")
+    return S.parse_feeds(rows.select("source", body.alias("body"))).select(F.substring_index("source", "|", 1).alias("source"), F.col("place").cast("long").alias("place"), "title", "url", "published")
 
 
 @add("s02_changed_listings", "SELECT page_id FROM pages WHERE page_id % 3 <> 0")
@@ -137,7 +139,7 @@ def s09(spark, d):
     (docs,) = load(spark, d, "documents")
     k = F.col("doc_id").cast("string")
     line = F.concat(F.lit("- [Doc "), k, F.lit("](/d/"), k, F.lit(') and [not](this)\n![pic](x.png)'))
-    bodies = docs.groupBy((F.col("doc_id") % 7).alias("source")).agg(F.array_join(F.collect_list(line), "\n").alias("body"))
+    bodies = docs.groupBy((F.col("doc_id") % 7).alias("source"), F.floor(F.col("doc_id") / 500)).agg(F.array_join(F.collect_list(line), "\n").alias("body"))
     return S.markdown_links(bodies).select("source", "title", "url")
 
 
@@ -443,14 +445,15 @@ def s06(spark, d):
     return S.embedded_json(e.select(F.col("event_id").alias("source"), body.alias("body")), "STATE").select(F.col("source").cast("long").alias("event_id"), "json")
 
 
-@add("s10_changelog", """SELECT doc_id % 9 AS source, 2 * (dense_rank() OVER (PARTITION BY doc_id % 9 ORDER BY doc_id) - 1) + k AS place, DATE '2024-01-01' + CAST(doc_id % 300 AS INTEGER) AS day FROM documents, (SELECT unnest([0, 1]) AS k)""")
+@add("s10_changelog", """SELECT doc_id % 9 AS source, 2 * (dense_rank() OVER (PARTITION BY doc_id % 9, doc_id // 900 ORDER BY doc_id) - 1) + k AS place, DATE '2024-01-01' + CAST(doc_id % 300 AS INTEGER) AS day FROM documents, (SELECT unnest([0, 1]) AS k)""")
 def s10(spark, d):
     (docs,) = load(spark, d, "documents")
     day = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 300).cast("int")).cast("string")
     part = F.concat(F.lit("# "), day, F.lit("\n## Fixed\ntext\n"))
-    rows = docs.groupBy((F.col("doc_id") % 9).alias("source")).agg(F.array_sort(F.collect_list(F.struct("doc_id", part.alias("x")))).alias("p"))
+    # Nine pages for each block of ids.
+    rows = docs.groupBy((F.floor(F.col("doc_id") / 900) * 9 + F.col("doc_id") % 9).alias("source")).agg(F.array_sort(F.collect_list(F.struct("doc_id", part.alias("x")))).alias("p"))
     bodies = rows.select("source", F.concat(F.lit("intro\n"), F.array_join(F.transform("p", lambda s: s["x"]), "")).alias("body"))
-    return S.changelog(bodies).select("source", F.col("place").cast("long").alias("place"), "day")
+    return S.changelog(bodies).select((F.col("source").cast("long") % 9).alias("source"), F.col("place").cast("long").alias("place"), "day")
 
 
 @add("s14_unread_posts", "SELECT event_id FROM events WHERE event_type <> 'error' AND (user_id % 3 = 0 OR event_id > 5000 OR event_id > 100 AND event_id <= 200)")

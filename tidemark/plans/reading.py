@@ -145,7 +145,7 @@ def e08(spark, d):
     rate = F.col("p_size") / 50.0
     name = F.concat(F.lit("m"), F.col("p_partkey").cast("string"), F.when(F.col("p_partkey") % 4 == 0, "-contributor").otherwise(""), F.lit("@v1"))
     row = F.struct(name.alias("model"), F.struct(rate.alias("rate"), F.array(rate - 0.01, rate + 0.01).alias("ci95")).alias("l2"))
-    editions = p.groupBy((F.col("p_size") % 2).cast("string").alias("id")).agg(F.to_json(F.struct(F.collect_list(row).alias("main_board"))).alias("body"))
+    editions = p.groupBy((F.col("p_size") % 2).cast("string").alias("id"), F.floor(F.col("p_partkey") / 500)).agg(F.to_json(F.struct(F.collect_list(row).alias("main_board"))).alias("body"))
     return B.newest_edition(spark.createDataFrame([('{"latest": "1"}',)], "body string"), editions)
 
 
