@@ -129,6 +129,17 @@ def k07(spark, d):
     return K.agent_lines(top, [F.col("at").desc(), F.col("id")], 30).select("id", "lines")
 
 
+@add("k07_page_list", """WITH e AS (SELECT r_name AS section, r_regionkey AS s, n_nationkey AS n, '- [' || n_name || '](/nation/' || n_nationkey || ')' || CASE WHEN n_nationkey % 2 = 0 THEN ': Suppliers of ' || n_name ELSE '' END AS line FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey % 3 = 0 OR n_nationkey IN (SELECT s_nationkey FROM supplier WHERE s_acctbal > 0)),
+t AS (SELECT s, '## ' || section || chr(10) || chr(10) || string_agg(line, chr(10) ORDER BY n) AS text FROM e GROUP BY s, section)
+SELECT '# Nations' || chr(10) || chr(10) || '> Where suppliers are' || chr(10) || chr(10) || string_agg(text, chr(10) || chr(10) ORDER BY s) || chr(10) AS value FROM t""")
+def k07_pages(spark, d):
+    """Nations as pages, listed if they need nothing or have a supplier in credit."""
+    n, r, s = load(spark, d, "nation", "region", "supplier")
+    key = F.col("n_nationkey")
+    entries = n.join(r, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("r_name").alias("section"), F.col("r_regionkey").alias("section_nth"), key.alias("nth"), F.col("n_name").alias("title"), F.concat(F.lit("/nation/"), key.cast("string")).alias("url"), F.when(key % 2 == 0, F.concat(F.lit("Suppliers of "), F.col("n_name"))).alias("note"), F.when(key % 3 != 0, key.cast("string")).alias("needs"))
+    return K.page_list(entries, s.where("s_acctbal > 0").select(F.col("s_nationkey").cast("string").alias("kind")), "Nations", "Where suppliers are")
+
+
 @add("e05_template_csv", "SELECT p_brand AS source, 'm' || p_partkey AS model, round(p_retailprice, 2) AS score FROM part WHERE p_partkey % 6 <> 0")
 def e05(spark, d):
     (p,) = load(spark, d, "part")

@@ -48,6 +48,22 @@ def markdown(items: DataFrame) -> DataFrame:
     return items.select("id", F.concat_ws("\n\n", line("# ", F.col("title")), F.nullif(head, F.lit("")), line("> ", F.regexp_replace("summary", "\n", "\n> ")), line("", F.col("body"))).alias("markdown"))
 
 
+def page_list(entries: DataFrame, available: DataFrame, name: str, about: str) -> DataFrame:
+    """value: a site's list of pages for agents, one text.
+
+    entries: section, section_nth, nth, title, url, note, needs. An entry is there if what it needs
+    is among available (kind), or if it needs nothing; a section without entries is left out. A
+    site's pages are few.
+    """
+    there = entries.join(available.select(F.col("kind").alias("needs"), F.lit(True).alias("_has")).distinct(), "needs", "left").where(F.col("needs").isNull() | F.col("_has"))
+    line = F.concat(F.lit("- ["), F.col("title"), F.lit("]("), F.col("url"), F.lit(")"), F.coalesce(F.concat(F.lit(": "), F.nullif(F.trim("note"), F.lit(""))), F.lit("")))
+    sections = there.groupBy("section", "section_nth").agg(F.array_sort(F.collect_list(F.struct("nth", line.alias("line")))).alias("lines"))
+    text = F.concat(F.lit("## "), F.col("section"), F.lit("\n\n"), F.array_join(F.transform("lines", lambda x: x["line"]), "\n"))
+    parts = sections.agg(F.array_sort(F.collect_list(F.struct("section_nth", text.alias("text")))).alias("parts"))
+    head = F.lit(f"# {name}\n\n> {about}\n\n")
+    return parts.select(F.concat(head, F.array_join(F.transform("parts", lambda x: x["text"]), "\n\n"), F.lit("\n")).alias("value"))
+
+
 def gold_jsonl(rows: DataFrame, id_column: str) -> DataFrame:
     """value: a JSON text a row, in the order of ids, to be written as text files."""
     return rows.sort(id_column).select(F.to_json(F.struct("*")).alias("value"))
