@@ -144,9 +144,7 @@ SELECT a AS p_partkey, min(b) AS first_match, count(*) AS n_matches FROM m GROUP
 def j16(spark, d):
     (p,) = load(spark, d, "part")
     keyed = p.select("p_partkey", "p_name", F.concat("p_brand", "p_type").alias("kind"))
-    other = keyed.select(F.col("p_partkey").alias("b"), F.col("p_name").alias("name_b"), F.col("kind").alias("kind_b"))
-    pairs = R.any_key(keyed, other, [("p_name", "name_b"), ("kind", "kind_b")], "p_partkey", "b").where("p_partkey <> b")
-    return pairs.groupBy("p_partkey").agg(F.min("b").alias("first_match"), F.count("*").alias("n_matches"))
+    return R.any_key_first(keyed, "p_partkey", ["p_name", "kind"])
 
 
 @add("j18_as_of", """SELECT e.event_id, p.event_id AS purchase_id FROM events e ASOF LEFT JOIN
