@@ -32,3 +32,9 @@ def test_first_match_of_a_frequent_value(spark):
     rows = spark.range(200_000).select(F.col("id"), F.lit("same").alias("a"), F.lit("too").alias("b"))
     out = R.any_key_first(rows, "id", ["a", "b"])
     assert out.agg(F.sum("n_matches"), F.max("first_match")).first() == (200_000 * 199_999, 1)
+
+
+def test_paragraphs_keep_their_digits(spark):
+    text = "0 to 0\n\n1 to 1\n\n 2 to 2 \n\n3"
+    got = spark.createDataFrame([(text,)], "t string").select(PG.text_to_html(F.col("t"))).first()[0]
+    assert got == "<p>0 to 0</p><p>1 to 1</p><p>2 to 2</p><p>3</p>"

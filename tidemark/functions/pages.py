@@ -276,7 +276,8 @@ def filled(listed: DataFrame, details: DataFrame, key: str, names: list[str]) ->
 def text_to_html(text: Column) -> Column:
     """Paragraphs at empty lines, line breaks within them; markup characters are escaped."""
     safe = F.replace(F.replace(text, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
-    parts = F.filter(F.transform(F.split(safe, r"\n\s*\n"), F.trim), lambda p: p != "")
+    # A lambda of one parameter: trim takes a second one, the signs to trim, and would be given the index.
+    parts = F.filter(F.transform(F.split(safe, r"\n\s*\n"), lambda p: F.trim(p)), lambda p: p != "")  # noqa: PLW0108
     return F.array_join(F.transform(parts, lambda p: F.concat(F.lit("<p>"), F.replace(p, F.lit("\n"), F.lit("<br>")), F.lit("</p>"))), "")
 
 
