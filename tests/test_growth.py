@@ -49,3 +49,19 @@ def test_pairs_once_without_a_distinct(spark):
     assert Counter(map(tuple, out.collect())) == Counter(want)
     # Only the sides are folded, below the joins; no aggregate holds the pairs.
     assert plan_of(out).split("Join")[0].count("Aggregate") == 0
+
+
+def test_sums_from_the_end(spark):
+    made = [(g, k, None if k % 11 == 0 or g == "c" else k % 5) for g in ("a", "b", "c", None) for k in range(0, 60, 1 if g == "a" else 7)] + [("a", None, 3)]
+    df = spark.createDataFrame(made, "g string, k long, v long")
+
+    def from_here(g, k):
+        found = [v for h, j, v in made if h == g and v is not None and (j is None or k is not None and j >= k)]
+        return sum(found) if found else None
+
+    out = R.sum_from_here(df, "g", "k", "v", "s", block=8)
+    assert Counter((r["g"], r["k"], r["s"]) for r in out.collect()) == Counter((g, k, from_here(g, k)) for g, k, _ in made)
+
+
+def test_reverse_sum_has_no_frame_to_the_end(spark):
+    assert "UnboundedFollowing" not in plan_of(Q["w08_reverse_sum"](spark, "/root/testdata/sf0.001")).replace("$", "").replace("unboundedfollowing", "UnboundedFollowing")

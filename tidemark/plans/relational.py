@@ -467,8 +467,7 @@ def w07(spark, d):
 @add("w08_reverse_sum", "SELECT p_partkey, CAST(sum(p_size) OVER (PARTITION BY p_brand ORDER BY p_partkey ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS BIGINT) AS after FROM part")
 def w08(spark, d):
     (p,) = load(spark, d, "part")
-    w = Window.partitionBy("p_brand").orderBy("p_partkey").rowsBetween(0, Window.unboundedFollowing)
-    return p.select("p_partkey", F.sum("p_size").over(w).alias("after"))
+    return R.sum_from_here(p, "p_brand", "p_partkey", "p_size", "after").select("p_partkey", "after")
 
 
 @add("w09_half_life", """SELECT event_type, round(sum(value * pow(0.5, epoch((SELECT max(ts) FROM events) - ts) / 3600.0 / 72)), 4) AS decayed FROM events GROUP BY 1""")
