@@ -65,3 +65,10 @@ def test_sums_from_the_end(spark):
 
 def test_reverse_sum_has_no_frame_to_the_end(spark):
     assert "UnboundedFollowing" not in plan_of(Q["w08_reverse_sum"](spark, "/root/testdata/sf0.001")).replace("$", "").replace("unboundedfollowing", "UnboundedFollowing")
+
+
+def test_tasks_grow_with_rows(spark, monkeypatch):
+    monkeypatch.setattr(R, "SHARE", 100)
+    assert R.in_shares(spark.range(1000), "id").rdd.getNumPartitions() == 10
+    assert R.in_shares(spark.range(10), "id").rdd.getNumPartitions() == 4
+    assert Q["r02_late_split"](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= 60

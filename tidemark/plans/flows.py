@@ -12,6 +12,7 @@ from tidemark.functions import pages as PG
 from tidemark.functions import text as TX
 from tidemark.operators import grouping as G
 from tidemark.operators import neighbours as N
+from tidemark.operators import relational as R
 from tidemark.plans.registry import Registry
 from tidemark.plans.relational import load, ts
 from tidemark.session import shared_folder as folder
@@ -54,6 +55,9 @@ def r07(spark, d):
 @add("r02_late_split", "SELECT o_orderkey, l_linenumber, l_shipdate - o_orderdate > INTERVAL 48 HOUR AS late FROM orders JOIN lineitem ON o_orderkey = l_orderkey")
 def r02(spark, d):
     o, li = load(spark, d, "orders", "lineitem")
+    # Both sides are dealt to as many tasks, by the size of the larger one.
+    size = li.count()
+    o, li = R.in_shares(o.select("o_orderkey", "o_orderdate"), "o_orderkey", rows=size), R.in_shares(li.select("l_orderkey", "l_linenumber", "l_shipdate"), "l_orderkey", rows=size)
     rows = o.join(li, o.o_orderkey == li.l_orderkey).select("o_orderkey", "l_linenumber", "o_orderdate", "l_shipdate")
     today, late = L.split_late(rows, "o_orderdate", "l_shipdate")
     pick = lambda df, mark: df.select("o_orderkey", "l_linenumber", F.lit(mark).alias("late"))
