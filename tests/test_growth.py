@@ -72,3 +72,16 @@ def test_tasks_grow_with_rows(spark, monkeypatch):
     assert R.in_shares(spark.range(1000), "id").rdd.getNumPartitions() == 10
     assert R.in_shares(spark.range(10), "id").rdd.getNumPartitions() == 4
     assert Q["r02_late_split"](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= 60
+
+
+def test_pairs_counted_in_shares(spark, monkeypatch):
+    monkeypatch.setattr(R, "SHARE", 100)
+    made = [(k % 90, k * k % 13) for k in range(500)] + [(None, 1), (1, None), (5, 5), (5, 5)]
+    out = R.pair_counts(spark.createDataFrame(made, "o long, s long"), "o", "s", 3)
+    own = {}
+    for o, s in made:
+        if o is not None and s is not None:
+            own.setdefault(o, set()).add(s)
+    want = Counter((a, b) for ss in own.values() for a in ss for b in ss if a < b)
+    assert {(r["s1"], r["s2"]): r["n"] for r in out.collect()} == {p: n for p, n in want.items() if n >= 3}
+    assert out.rdd.getNumPartitions() >= 20

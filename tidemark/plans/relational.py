@@ -123,9 +123,7 @@ def j12(spark, d):
 ON a.l_orderkey = b.l_orderkey AND a.l_suppkey < b.l_suppkey GROUP BY ALL HAVING count(DISTINCT a.l_orderkey) >= 15""")
 def j13(spark, d):
     (li,) = load(spark, d, "lineitem")
-    one = li.select("l_orderkey", "l_suppkey").distinct()
-    a, b = one.withColumnRenamed("l_suppkey", "s1"), one.withColumnRenamed("l_suppkey", "s2")
-    return a.join(b, "l_orderkey").where("s1 < s2").groupBy("s1", "s2").agg(F.count("*").alias("n")).where("n >= 15")
+    return R.pair_counts(li, "l_orderkey", "l_suppkey", 15)
 
 
 @add("j14_dense_grid", """SELECT n_name, o_orderstatus, coalesce(n, 0) AS n FROM (SELECT n_name, n_nationkey FROM nation)
