@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import pages as PG
 from tidemark.operators import relational as R
 from tidemark.plans import catalogue
+from tidemark.sources import feeds
 
 Q = catalogue.REGISTRY.queries
 
@@ -85,3 +86,13 @@ def test_pairs_counted_in_shares(spark, monkeypatch):
     want = Counter((a, b) for ss in own.values() for a in ss for b in ss if a < b)
     assert {(r["s1"], r["s2"]): r["n"] for r in out.collect()} == {p: n for p, n in want.items() if n >= 3}
     assert out.rdd.getNumPartitions() >= 20
+
+
+def test_places_go_on_through_the_pages_of_a_feed(spark):
+    page = lambda ids: "<rss><channel>" + "".join(f"<item><title>t{k}</title></item>" for k in ids) + "</channel></rss>"
+    made = [("a", 3, page([4])), ("a", 1, page([0, 1])), ("a", 2, page([2, 3])), ("b", 1, page([9])), ("b", 2, "<rss"), ("b", 3, page([8]))]
+    out = feeds.parse_feeds(spark.createDataFrame(made, "source string, page long, body string"))
+    got = [(r["source"], r["place"], r["title"]) for r in out.collect() if r["error"] is None]
+    assert sorted(got) == [*[("a", k, f"t{k}") for k in range(5)], ("b", 0, "t9"), ("b", 1, "t8")]
+    entries = Q["s01_feed_entries"](spark, "/root/testdata/sf0.01")
+    assert entries.select("source", "place").distinct().count() == entries.count()

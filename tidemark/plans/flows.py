@@ -103,16 +103,15 @@ def r14(spark, d):
 # Readers
 
 
-@add("s01_feed_entries", """SELECT source, row_number() OVER (PARTITION BY source, doc_id // 500 ORDER BY doc_id) - 1 AS place, 'Report ' || doc_id AS title, 'https://example.org/' || doc_id AS url, '2024-01-15T10:00:00Z' AS published FROM documents""")
+@add("s01_feed_entries", """SELECT source, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS place, 'Report ' || doc_id AS title, 'https://example.org/' || doc_id AS url, '2024-01-15T10:00:00Z' AS published FROM documents""")
 def s01(spark, d):
     (docs,) = load(spark, d, "documents")
     k = F.col("doc_id").cast("string")
     item = F.concat(F.lit("<item><title>Report "), k, F.lit("</title><link>https://example.org/"), k, F.lit("</link><pubDate>Mon, 15 Jan 2024 10:00:00 GMT</pubDate></item>"))
-    # A source's feed holds a block of ids, so feeds grow in number with the table and not in size.
-    feed = F.concat("source", F.lit("|"), F.floor(F.col("doc_id") / 500).cast("string"))
-    rows = docs.groupBy(feed.alias("source"), F.floor(F.col("doc_id") / 500)).agg(F.array_sort(F.collect_list(F.struct("doc_id", item.alias("x")))).alias("i"))
+    # A source's feed comes in pages, a block of ids each, so pages grow in number with the table and not in size.
+    rows = docs.groupBy("source", F.floor(F.col("doc_id") / 500).alias("page")).agg(F.array_sort(F.collect_list(F.struct("doc_id", item.alias("x")))).alias("i"))
     body = F.concat(F.lit("<rss><channel>"), F.array_join(F.transform("i", lambda s: s["x"]), ""), F.lit("</channel></rss>"))
-    return S.parse_feeds(rows.select("source", body.alias("body"))).select(F.substring_index("source", "|", 1).alias("source"), F.col("place").cast("long").alias("place"), "title", "url", "published")
+    return S.parse_feeds(rows.select("source", "page", body.alias("body"))).select("source", "place", "title", "url", "published")
 
 
 @add("s02_changed_listings", "SELECT page_id FROM pages WHERE page_id % 3 <> 0")

@@ -59,23 +59,38 @@ def feed_entries(xml: str) -> Iterator[tuple]:
         yield got.get("title"), url or None, at, got.get("encoded") or got.get("description") or got.get("summary") or got.get("content"), got.get("creator") or got.get("author"), cats
 
 
+def on_through_pages(rows: DataFrame, counted: Column) -> DataFrame:
+    """rows (source, page, place) with places that go on from page to page of a source: each page
+    starts behind the rows of those before that are counted. Only one row a page is brought together."""
+    sizes = rows.groupBy("source", "page").agg(F.count_if(counted).alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("source").orderBy("page").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select(F.col("source").alias("_s"), F.col("page").alias("_p"), F.coalesce(before, F.lit(0)).alias("_start"))
+    return rows.join(starts, F.col("source").eqNullSafe(F.col("_s")) & (F.col("page") == F.col("_p"))).withColumn("place", F.col("place") + F.col("_start")).drop("_s", "_p", "_start")
+
+
 def parse_feeds(bodies: DataFrame) -> DataFrame:
     """source, place, title, url, published, summary, author, categories, error: the entries of each
     body in order. bodies: source, body. A body that is no XML gives one row with its error only;
-    a null one none."""
-    names = [f.split()[0] for f in re.sub(r"<[^>]*>", "", FEED).split(", ")]
+    a null one none. A feed may come in pages, numbered in `page`; then places go on through them
+    and are longs."""
+    paged = "page" in bodies.columns
+    schema = f"page long, {FEED}" if paged else FEED
+    names = [f.split()[0] for f in re.sub(r"<[^>]*>", "", schema).split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for source, body in zip(b["source"], b["body"], strict=True):
+            pages = [(p,) for p in b["page"]] if paged else [()] * len(b)
+            for page, source, body in zip(pages, b["source"], b["body"], strict=True):
                 try:
-                    out += [(source, k, *e, None) for k, e in enumerate(feed_entries(body))] if body else []
+                    out += [(*page, source, k, *e, None) for k, e in enumerate(feed_entries(body))] if body else []
                 except ElementTree.ParseError as e:
-                    out.append((source, 0, None, None, None, None, None, [], str(e)))
+                    out.append((*page, source, 0, None, None, None, None, None, [], str(e)))
             yield pd.DataFrame(out, columns=names)
 
-    return bodies.select(F.col("source").cast("string"), F.col("body").cast("string")).mapInPandas(run, FEED)
+    rows = bodies.select(*[F.col("page").cast("long")] * paged, F.col("source").cast("string"), F.col("body").cast("string")).mapInPandas(run, schema)
+    # Read twice below, parsed once.
+    return on_through_pages(checkpointed(rows), F.col("error").isNull()).drop("page") if paged else rows
 
 
 def changed(listings: DataFrame, state: DataFrame) -> DataFrame:
@@ -121,14 +136,26 @@ def markdown_links(bodies: DataFrame) -> DataFrame:
 
 def changelog(bodies: DataFrame) -> DataFrame:
     """source, place, title, day, text: the sections of a page of changes; a section without a date
-    in its heading takes the one of the section above."""
+    in its heading takes the one of the section above. Changes may come in several pages, numbered
+    in `page` and cut between sections; then places, and dates above, go on through them."""
+    paged = "page" in bodies.columns
     parts = F.filter(F.split("body", r"(?m)^(?=#{1,4} )"), lambda p: p.startswith("#"))
-    rows = bodies.select("source", F.posexplode(parts).alias("place", "_part"))
+    own_page = ["source", "page"] if paged else ["source"]
+    rows = bodies.select(*own_page, F.posexplode(parts).alias("place", "_part"))
     head = F.trim(F.regexp_extract("_part", r"^#{1,4} +([^\n]*)", 1))
     own = F.try_to_date(F.regexp_extract(head, r"(\d{4}-\d{2}-\d{2})", 1))
-    above = F.last("_day", ignorenulls=True).over(Window.partitionBy("source").orderBy("place"))
+    above = F.last("_day", ignorenulls=True).over(Window.partitionBy(*own_page).orderBy("place"))
     text = F.regexp_replace("_part", r"^[^\n]*\n?|\s+$", "")
-    return rows.select("source", "place", head.alias("title"), own.alias("_day"), text.alias("text")).withColumn("day", above).drop("_day")
+    dated = rows.select(*own_page, "place", head.alias("title"), own.alias("_day"), text.alias("text")).withColumn("day", above).drop("_day")
+    if not paged:
+        return dated
+    dated = checkpointed(dated)
+    # The last date of the pages before is above the first sections of a page.
+    last = dated.groupBy("source", "page").agg(F.max(F.when(F.col("day").isNotNull(), F.struct("place", "day")))["day"].alias("_last"))
+    until = F.last("_last", ignorenulls=True).over(Window.partitionBy("source").orderBy("page").rowsBetween(Window.unboundedPreceding, -1))
+    carried = last.select(F.col("source").alias("_s"), F.col("page").alias("_p"), until.alias("_until"))
+    both = dated.join(carried, F.col("source").eqNullSafe(F.col("_s")) & (F.col("page") == F.col("_p"))).withColumn("day", F.coalesce("day", "_until")).drop("_s", "_p", "_until")
+    return on_through_pages(both, F.lit(True)).select("source", "place", "title", "text", "day")
 
 
 class _Links(HTMLParser):
