@@ -96,3 +96,11 @@ def test_places_go_on_through_the_pages_of_a_feed(spark):
     assert sorted(got) == [*[("a", k, f"t{k}") for k in range(5)], ("b", 0, "t9"), ("b", 1, "t8")]
     entries = Q["s01_feed_entries"](spark, "/root/testdata/sf0.01")
     assert entries.select("source", "place").distinct().count() == entries.count()
+
+
+def test_places_and_dates_go_on_through_the_pages_of_a_changelog(spark):
+    made = [("a", 1, "intro\n# 2024-01-01\n## Fixed\nx\n"), ("a", 2, "## Added\ny\n# 2024-01-02\n"), ("a", 3, "intro\n"), ("a", 4, "## Last\n"), ("b", 1, "# One\n")]
+    out = feeds.changelog(spark.createDataFrame(made, "source string, page long, body string")).collect()
+    assert sorted((r["source"], r["place"], str(r["day"])) for r in out) == [("a", 0, "2024-01-01"), ("a", 1, "2024-01-01"), ("a", 2, "2024-01-01"), ("a", 3, "2024-01-02"), ("a", 4, "2024-01-02"), ("b", 0, "None")]
+    sections = Q["s10_changelog"](spark, "/root/testdata/sf0.01")
+    assert sections.select("source", "place").distinct().count() == sections.count()

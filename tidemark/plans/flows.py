@@ -448,15 +448,15 @@ def s06(spark, d):
     return S.embedded_json(e.select(F.col("event_id").alias("source"), body.alias("body")), "STATE").select(F.col("source").cast("long").alias("event_id"), "json")
 
 
-@add("s10_changelog", """SELECT doc_id % 9 AS source, 2 * (dense_rank() OVER (PARTITION BY doc_id % 9, doc_id // 900 ORDER BY doc_id) - 1) + k AS place, DATE '2024-01-01' + CAST(doc_id % 300 AS INTEGER) AS day FROM documents, (SELECT unnest([0, 1]) AS k)""")
+@add("s10_changelog", """SELECT doc_id % 9 AS source, 2 * (dense_rank() OVER (PARTITION BY doc_id % 9 ORDER BY doc_id) - 1) + k AS place, DATE '2024-01-01' + CAST(doc_id % 300 AS INTEGER) AS day FROM documents, (SELECT unnest([0, 1]) AS k)""")
 def s10(spark, d):
     (docs,) = load(spark, d, "documents")
     day = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 300).cast("int")).cast("string")
     part = F.concat(F.lit("# "), day, F.lit("\n## Fixed\ntext\n"))
-    # Nine pages for each block of ids.
-    rows = docs.groupBy((F.floor(F.col("doc_id") / 900) * 9 + F.col("doc_id") % 9).alias("source")).agg(F.array_sort(F.collect_list(F.struct("doc_id", part.alias("x")))).alias("p"))
-    bodies = rows.select("source", F.concat(F.lit("intro\n"), F.array_join(F.transform("p", lambda s: s["x"]), "")).alias("body"))
-    return S.changelog(bodies).select((F.col("source").cast("long") % 9).alias("source"), F.col("place").cast("long").alias("place"), "day")
+    # Nine sources, each in pages of a block of ids.
+    rows = docs.groupBy((F.col("doc_id") % 9).alias("source"), F.floor(F.col("doc_id") / 900).alias("page")).agg(F.array_sort(F.collect_list(F.struct("doc_id", part.alias("x")))).alias("p"))
+    bodies = rows.select("source", "page", F.concat(F.lit("intro\n"), F.array_join(F.transform("p", lambda s: s["x"]), "")).alias("body"))
+    return S.changelog(bodies).select("source", F.col("place").cast("long").alias("place"), "day")
 
 
 @add("s14_unread_posts", "SELECT event_id FROM events WHERE event_type <> 'error' AND (user_id % 3 = 0 OR event_id > 5000 OR event_id > 100 AND event_id <= 200)")
