@@ -34,7 +34,8 @@ def let(value: Column, body) -> Column:
 
 def collapse(s: Column) -> Column:
     """Runs of white space as one space, none at the ends."""
-    return F.trim(F.regexp_replace(s, r"\s+", " "))
+    # A single blank is left as it is; only other white space, and blanks with more behind them, are replaced.
+    return F.trim(F.regexp_replace(s, r" \s+|[^\S ]\s*", " "))
 
 
 def truncate(s: Column, most: int, ellipsis: str = "…") -> Column:
@@ -254,10 +255,31 @@ def word_runs(s: Column, width: int = 3) -> Column:
 
 
 def equal_but_for_loss(a: Column, b: Column) -> Column:
-    """Equal where a replacement character on either side stands for any one character."""
-    chars = lambda s: F.split(F.regexp_replace(collapse(F.coalesce(s, F.lit(""))), "�+", "�"), "")
-    same = F.zip_with(chars(a), chars(b), lambda x, y: (x == y) | (x == "�") | (y == "�"))
-    return (F.size(chars(a)) == F.size(chars(b))) & F.forall(same, lambda x: x)
+    """Equal where a replacement character on either side stands for any one character.
+
+    Where only one side has them, and not many, what stands between them is compared as a whole;
+    only texts that both have some are compared character by character.
+    """
+    once = lambda s: F.when(F.contains(s, F.lit("��")), F.regexp_replace(s, "�+", "�")).otherwise(s)
+    tidy = lambda s: let(collapse(F.coalesce(s, F.lit(""))), once)
+
+    def singly(x: Column, y: Column) -> Column:
+        same = F.zip_with(F.split(x, ""), F.split(y, ""), lambda p, q: (p == q) | (p == "�") | (q == "�"))
+        return F.forall(same, lambda p: p)
+
+    def between(text: Column, marked: Column) -> Column:
+        """Whether text has what stands between the marks, one character for each mark."""
+        start = F.struct(text.alias("rest"), F.lit(True).alias("ok"))
+        step = lambda a, p: F.when(a["ok"], F.struct(F.substr(a["rest"], F.length(p) + 2, F.length(a["rest"])).alias("rest"), F.startswith(a["rest"], p).alias("ok"))).otherwise(a)
+        return F.aggregate(F.split(marked, "�", -1), start, step, lambda a: a["ok"])
+
+    def of(both: Column) -> Column:
+        x, y = both["x"], both["y"]
+        few = lambda s: F.length(s) - F.length(F.replace(s, F.lit("�"), F.lit(""))) <= 64
+        none = lambda s: ~F.contains(s, F.lit("�"))
+        return F.when(F.length(x) != F.length(y), False).when(none(x) & none(y), x == y).when(none(x) & few(y), between(x, y)).when(none(y) & few(x), between(y, x)).otherwise(singly(x, y))
+
+    return let(F.struct(tidy(a).alias("x"), tidy(b).alias("y")), of)
 
 
 def normal_tags(raw: Column, synonyms: dict[str, str], allowed: list[str], categories: list[str], fallback: str, most: int = 6) -> Column:
