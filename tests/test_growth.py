@@ -117,3 +117,13 @@ def test_loss_stands_for_one_character(spark):
     assert got == {k: like(chars(a), chars(b)) for k, (a, b) in enumerate(made)}
     # The text is collapsed in one step and read from there; before, 14 times in one.
     assert plan_of(Q["t22_loss_tolerant"](spark, "/root/testdata/sf0.001")).count("text#") <= 8
+
+
+def test_inverted_index_stays_in_its_row(spark):
+    texts = ["b a b  c a", "", "x", " "]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, t string").select("k", "t", T.inverted_index(F.split("t", " ", -1)).alias("i"))
+    for r in df.select("t", "i", T.from_inverted_index(F.col("i")).alias("back")).collect():
+        words = r["t"].split(" ")
+        assert r["i"] == {w: [k for k, x in enumerate(words) if x == w] for w in words} and r["back"] == r["t"]
+    assert spark.range(1).select(F.size(T.inverted_index(F.array().cast("array<string>")))).first()[0] == 0
+    assert "Aggregate" not in plan_of(Q["t16_inverted_index"](spark, "/root/testdata/sf0.001"))

@@ -214,7 +214,20 @@ def abstract_issue(raw: Column, identified: bool = False) -> Column:
 def from_inverted_index(index: Column) -> Column:
     """The text of a map from words to their places."""
     entries = F.flatten(F.transform(F.map_entries(index), lambda e: F.transform(e["value"], lambda p: F.struct(p.alias("p"), e["key"].alias("w")))))
-    return F.array_join(F.transform(F.array_sort(entries), lambda x: x["w"]), " ")
+    # Places differ, so the order of structs is theirs; sort_array compares without a lambda.
+    return F.array_join(F.sort_array(entries).getField("w"), " ")
+
+
+def inverted_index(words: Column) -> Column:
+    """A map from each of the words to its places, from 0 on, in order. Nothing leaves the row."""
+
+    def of(found: Column) -> Column:
+        # Found words are sorted, so each one's places lie side by side, from one start to the next.
+        starts = F.filter(F.sequence(F.lit(0), F.size(found)), lambda i: (i < F.size(found)) & ((i == 0) | (F.get(found, i)["w"] != F.get(found, i - 1)["w"])))
+        lists = let(starts, lambda s: F.transform(s, lambda i, k: F.struct(F.get(found, i)["w"].alias("w"), F.slice(found, i + 1, F.coalesce(F.get(s, k + 1), F.size(found)) - i).getField("at").alias("at"))))
+        return F.map_from_entries(lists)
+
+    return let(F.sort_array(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("at")))), of)
 
 
 def bigrams(s: Column, drop: str = r"\s+") -> Column:

@@ -102,8 +102,8 @@ def t15(spark, d):
 @add("t16_inverted_index", r"""SELECT doc_id, md5(replace(text, chr(10), ' ')) AS text_md5 FROM documents WHERE text IS NOT NULL""")
 def t16(spark, d):
     (docs,) = load(spark, d, "documents")
-    w = docs.select("doc_id", F.posexplode(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " ", -1)).alias("at", "w"))
-    index = w.groupBy("doc_id", "w").agg(F.collect_list("at").alias("at")).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("w", "at"))).alias("index"))
+    words = F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " ", -1)
+    index = docs.where("text is not null").select("doc_id", T.inverted_index(words).alias("index"))
     return index.select("doc_id", F.md5(T.from_inverted_index(F.col("index"))).alias("text_md5"))
 
 
