@@ -127,3 +127,10 @@ def test_inverted_index_stays_in_its_row(spark):
         assert r["i"] == {w: [k for k, x in enumerate(words) if x == w] for w in words} and r["back"] == r["t"]
     assert spark.range(1).select(F.size(T.inverted_index(F.array().cast("array<string>")))).first()[0] == 0
     assert "Aggregate" not in plan_of(Q["t16_inverted_index"](spark, "/root/testdata/sf0.001"))
+
+
+def test_texts_with_nothing_to_hide_are_not_taken_apart(spark):
+    texts = ["plain: text = 1 (x)", "Token=abc", "a https://u:p@h/x", "Bearer abc.def", "basic\tabc", "sk-0123456789abcdef0", "my-key: 'v'", "", None, "https://h/x", "SESSIONID : 5"]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, t string").select("t", T.redact(F.col("t")).alias("r"), T._redacted(F.col("t")).alias("whole"))
+    assert all(r["r"] == r["whole"] for r in df.collect())
+    assert " THEN t#" in plan_of(df.select("r"))

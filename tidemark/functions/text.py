@@ -324,6 +324,13 @@ def redact(s: Column) -> Column:
     key as a whole, or follows a scheme's name; within it, a value ends at the next sign that
     parts parameters, and is hidden where the name before it is that of a secret.
     """
+    # Texts without any of what is hidden, as most are, are given back as they came.
+    named = (F.contains(s, F.lit("=")) | F.contains(s, F.lit(":"))) & s.rlike(f"(?i)(?:{SECRET_NAMES})[\"']?\\s*[=:]")
+    other = (F.contains(s, F.lit("://")) & F.contains(s, F.lit("@"))) | F.contains(s, F.lit("sk-")) | s.rlike("(?i)(?:bearer|basic)\\s")
+    return F.when(~(named | other), s).otherwise(_redacted(s))
+
+
+def _redacted(s: Column) -> Column:
     secret = lambda part: F.lower(F.regexp_extract(part, r"([A-Za-z_-]+)[\"']?\s*[=:]", 1)).rlike(f"^(?:{SECRET_NAMES})$")
     hidden = lambda part: F.regexp_replace(part, r"([=:]\s*[\"']?)[^\"']+", "$1[redacted]")
     # Each element is one parameter with the sign that ends it.
