@@ -134,3 +134,13 @@ def test_texts_with_nothing_to_hide_are_not_taken_apart(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "k int, t string").select("t", T.redact(F.col("t")).alias("r"), T._redacted(F.col("t")).alias("whole"))
     assert all(r["r"] == r["whole"] for r in df.collect())
     assert " THEN t#" in plan_of(df.select("r"))
+
+
+def test_summaries_look_at_the_beginning_only(spark):
+    made = ["。" * 300 + "ab。" * 90, "ab。" * 300, "a" * 400, "，" * 5 + "abc，" * 100, "a" * 189 + "。" + "b" * 50, "a" * 190 + "。b", "x" * 60 + "。，；" + "y" * 400, "x！？" * 120]
+    df = spark.createDataFrame(list(enumerate(made)), "k int, s string")
+    whole = lambda s, ends, most: T.first_pieces(T.pieces(s, ends), most, 80)
+    for ends, most in (("。！？!?", 190), ("，；：、,;:", 189)):
+        for r in df.select(whole(F.col("s"), ends, most).alias("a"), T.first_pieces(T.leading_pieces(F.col("s"), ends, 191), most, 80).alias("b"), F.size(T.leading_pieces(F.col("s"), ends, 191)).alias("n")).collect():
+            assert r["a"] == r["b"]
+    assert df.where("k = 1").select(F.size(T.leading_pieces(F.col("s"), "。", 191))).first()[0] == 64

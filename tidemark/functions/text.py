@@ -155,6 +155,14 @@ def pieces(text: Column, ends: str) -> Column:
     return F.filter(F.split(text, f"(?<=[{ends}])"), lambda p: ~p.isin("", *ends))
 
 
+def leading_pieces(text: Column, ends: str, chars: int) -> Column:
+    """The pieces of text of which the first `chars` characters are made, the last one cut off there;
+    all pieces where signs are left out among these, which more characters must stand in for."""
+    head = pieces(F.substring(text, 1, chars), ends)
+    whole = (F.length(text) <= chars) | (F.aggregate(head, F.lit(0), lambda n, p: n + F.length(p)) == chars)
+    return F.when(whole, head).otherwise(pieces(text, ends))
+
+
 def first_pieces(parts: Column, room: int, enough: int) -> Column:
     """Pieces from the first on, as many as fit into room, until they have `enough` characters."""
     # No piece is empty, so no more than these can fit.
@@ -171,18 +179,19 @@ def compact_summary(s: Column, most: int = 190) -> Column:
     """Whole sentences up to `most` characters, ending at 80 or more; else whole clauses; else all."""
 
     def of(text: Column) -> Column:
-        sentences, clauses = let(pieces(text, "。！？!?"), lambda p: first_pieces(p, most, 80)), let(pieces(text, "，；：、,;:"), lambda p: first_pieces(p, most - 1, 80))
+        sentences, clauses = let(leading_pieces(text, "。！？!?", most + 1), lambda p: first_pieces(p, most, 80)), let(leading_pieces(text, "，；：、,;:", most + 1), lambda p: first_pieces(p, most - 1, 80))
         ended = F.concat(F.regexp_replace(clauses, "[，；：、,;:]$", ""), F.lit("。"))
         return F.when(F.length(text) <= most, text).when(F.length(sentences) >= 50, F.trim(sentences)).when(F.length(clauses) >= 50, ended).otherwise(text)
 
-    return let(F.array_join(F.split(F.trim(s), r"\s*\n\s*"), " "), of)
+    return let(F.array_join(F.split(F.trim(s), r"[^\S\n]*\n\s*"), " "), of)
 
 
 def summary_length_ok(summary: Column, source: Column) -> Column:
     """50 to 200 characters in up to three sentences; 80 and two at least for a long source."""
     n = F.size(F.filter(pieces(F.trim(summary), "。！？!?"), lambda p: F.trim(F.translate(p, "。！？!?", "")) != ""))
     least = F.when(F.length(F.trim(source)) < 500, F.struct(F.lit(50).alias("chars"), F.lit(0).alias("sentences"))).otherwise(F.struct(F.lit(80).alias("chars"), F.lit(2).alias("sentences")))
-    return F.length(F.trim(summary)).between(least["chars"], F.lit(200)) & n.between(least["sentences"], F.lit(3))
+    # A text that is no summary is not cut into sentences.
+    return F.when(F.length(F.trim(summary)) > 200, False).otherwise((F.length(F.trim(summary)) >= least["chars"]) & n.between(least["sentences"], F.lit(3)))
 
 
 def is_thin(excerpt: Column, metadata: str, least: int = 80) -> Column:
