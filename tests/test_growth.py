@@ -144,3 +144,13 @@ def test_summaries_look_at_the_beginning_only(spark):
         for r in df.select(whole(F.col("s"), ends, most).alias("a"), T.first_pieces(T.leading_pieces(F.col("s"), ends, 191), most, 80).alias("b"), F.size(T.leading_pieces(F.col("s"), ends, 191)).alias("n")).collect():
             assert r["a"] == r["b"]
     assert df.where("k = 1").select(F.size(T.leading_pieces(F.col("s"), "。", 191))).first()[0] == 64
+
+
+def test_tags_are_worked_out_once(spark):
+    raw = [["#the", "Of", "the", " and ", "de", "x", "cat:fr", "cat:en"], [], None, ["##the", "topic:and"]]
+    df = spark.createDataFrame(list(enumerate(raw)), "k int, w array<string>")
+    syn = {"the": "topic:article", "of": "topic:genitive", "de": "topic:genitive", "and": "topic:and"}
+    tags = T.normal_tags(F.col("w"), syn, ["topic:article", "topic:genitive", "topic:and", "cat:en", "cat:fr"], ["cat:en", "cat:fr"], "cat:fr")
+    got = {r["k"]: r["t"] for r in df.select("k", tags.alias("t")).collect()}
+    assert got[0] == ["cat:fr", "topic:article", "topic:genitive", "topic:and", "cat:en"] and got[1] == ["cat:fr"] and got[3] == ["cat:fr", "topic:and"]
+    assert plan_of(Q["t23_tags"](spark, "/root/testdata/sf0.001")).count("regexp_extract_all") == 1

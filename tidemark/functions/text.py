@@ -307,11 +307,16 @@ def equal_but_for_loss(a: Column, b: Column) -> Column:
 def normal_tags(raw: Column, synonyms: dict[str, str], allowed: list[str], categories: list[str], fallback: str, most: int = 6) -> Column:
     """Known tags once each, synonyms mapped, the category (or fallback) first, at most `most`."""
     mapping = F.create_map(*[F.lit(x) for p in synonyms.items() for x in p]) if synonyms else F.create_map(F.lit(""), F.lit(""))
-    clean = F.transform(raw, lambda t: F.regexp_replace(F.trim(t), "^#", ""))
+    # Words that come again are dropped first; each of the others is tidied once.
+    bare = lambda t: F.when(F.startswith(t, F.lit("#")), F.substr(t, F.lit(2), F.length(t))).otherwise(t)
+    clean = F.transform(F.array_distinct(raw), lambda t: bare(F.trim(t)))
     known = F.filter(F.transform(clean, lambda t: F.coalesce(mapping[t], mapping[F.lower(t)], t)), lambda t: t.isin(allowed))
-    tags = F.array_distinct(known)
-    first = F.coalesce(F.get(F.filter(tags, lambda t: t.isin(categories)), F.lit(0)), F.lit(fallback))
-    return F.slice(F.concat(F.array(first), F.filter(tags, lambda t: t != first)), 1, most)
+
+    def of(tags: Column) -> Column:
+        first = F.coalesce(F.get(F.filter(tags, lambda t: t.isin(categories)), F.lit(0)), F.lit(fallback))
+        return let(first, lambda own: F.slice(F.concat(F.array(own), F.filter(tags, lambda t: t != own)), 1, most))
+
+    return let(F.array_distinct(known), of)
 
 
 def display_tags(tags: Column) -> Column:

@@ -155,8 +155,9 @@ SELECT doc_id, CAST(1 + len(t) AS BIGINT) AS n_tags, 'cat:fr' AS first_tag FROM
 def t23(spark, d):
     (docs,) = load(spark, d, "documents")
     raw = F.regexp_extract_all("text", F.lit(r"[^\s]+"), F.lit(0))
-    tags = T.normal_tags(raw, TAGS, ALLOWED, ["cat:en", "cat:fr"], "cat:fr")
-    return docs.select("doc_id", F.size(tags).cast("long").alias("n_tags"), tags[0].alias("first_tag"))
+    # Worked out in a step of their own, once for both columns.
+    rows = docs.select("doc_id", T.normal_tags(raw, TAGS, ALLOWED, ["cat:en", "cat:fr"], "cat:fr").alias("tags"))
+    return rows.select("doc_id", F.size("tags").cast("long").alias("n_tags"), F.col("tags")[0].alias("first_tag"))
 
 
 @add("t25_search_text_minutes", r"""SELECT doc_id, md5(lower(concat_ws(' ', source, lang, left(text, 100)))) AS search_md5, CAST(greatest(1, floor(n_chars / 450 + 0.5)) AS BIGINT) AS minutes FROM documents""")
