@@ -154,3 +154,12 @@ def test_tags_are_worked_out_once(spark):
     got = {r["k"]: r["t"] for r in df.select("k", tags.alias("t")).collect()}
     assert got[0] == ["cat:fr", "topic:article", "topic:genitive", "topic:and", "cat:en"] and got[1] == ["cat:fr"] and got[3] == ["cat:fr", "topic:and"]
     assert plan_of(Q["t23_tags"](spark, "/root/testdata/sf0.001")).count("regexp_extract_all") == 1
+
+
+def test_bigrams_on_both_sides_of_each_character(spark):
+    texts = ["a b\nc😀d", "x", "", None, "aaaa"]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, t string").select("t", T.bigrams(F.col("t")).alias("g"))
+    for r in df.collect():
+        s = None if r["t"] is None else re.sub(r"\s+", "", r["t"])
+        assert r["g"] is None if s is None else sorted(r["g"]) == sorted({s[i : i + 2] for i in range(len(s) - 1)})
+    assert "zip_with" not in plan_of(df)

@@ -240,13 +240,14 @@ def inverted_index(words: Column) -> Column:
 
 
 def bigrams(s: Column, drop: str = r"\s+") -> Column:
-    """The distinct pairs of neighbouring characters once `drop` is gone."""
+    """The distinct pairs of neighbouring characters once `drop` is gone, in any order."""
 
-    def of(chars: Column) -> Column:
-        # Characters side by side; looking a pair up in the text would count from its start each time.
-        return F.array_distinct(F.zip_with(F.slice(chars, 1, F.greatest(F.size(chars) - 1, F.lit(0))), F.slice(chars, 2, F.size(chars)), lambda x, y: F.concat(x, y)))
+    def of(rest: Column) -> Column:
+        # Pairs from the first character on, and from the second; looking a pair up in the text would count from its start each time.
+        pairs = lambda text: F.regexp_extract_all(text, F.lit("(?s).."), F.lit(0))
+        return F.array_distinct(F.concat(pairs(rest), pairs(F.substr(rest, F.lit(2), F.length(rest)))))
 
-    return let(F.filter(F.split(F.regexp_replace(s, drop, ""), ""), lambda c: c != ""), of)
+    return let(F.regexp_replace(s, drop, ""), of)
 
 
 def containment(a: Column, b: Column) -> Column:
