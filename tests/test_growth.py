@@ -163,3 +163,11 @@ def test_bigrams_on_both_sides_of_each_character(spark):
         s = None if r["t"] is None else re.sub(r"\s+", "", r["t"])
         assert r["g"] is None if s is None else sorted(r["g"]) == sorted({s[i : i + 2] for i in range(len(s) - 1)})
     assert "zip_with" not in plan_of(df)
+
+
+def test_abstracts_are_read_from_their_beginning(spark):
+    long = "word " * 60
+    made = ["Abstract: " + long, "摘要：" + long, "ARTICLE TITLE : " + long, "Abstract Author(s): " + long, "short", None, "w " * 4000, "Strengths  and\tlimitations of this study " + long]
+    df = spark.createDataFrame(list(enumerate(made)), "k int, t string").select("k", T.abstract_issue(F.col("t")).alias("i"))
+    assert [r["i"] for r in df.orderBy("k").collect()] == [None, None, "not_abstract", "not_abstract", "fragment", "fragment", "oversized", "not_abstract"]
+    assert plan_of(df).count("regexp_replace") == 1

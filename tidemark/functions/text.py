@@ -210,14 +210,23 @@ NO_ABSTRACT = ["strengths and limitations of this study", "article title:", "pub
 
 def abstract_issue(raw: Column, identified: bool = False) -> Column:
     """Why a text is no abstract: fragment, oversized, not_abstract, legacy_truncation, or null."""
-    text = collapse(F.coalesce(raw, F.lit("")))
-    headed = reduce(lambda out, word: F.when(F.startswith(F.lower(text), F.lit(word)), len(word)).otherwise(out), ["abstract", "摘要"], F.lit(0))
-    tail = F.ltrim(F.substr(text, headed + 1, F.length(text)))
-    body = F.when(headed == 0, text).when(F.substring(tail, 1, 1).isin(*":：."), F.ltrim(F.substr(tail, F.lit(2), F.length(tail)))).otherwise(tail)
-    record = reduce(lambda a, b: a | b, [F.startswith(F.replace(F.lower(body), F.lit(" :"), F.lit(":")), F.lit(p)) for p in NO_ABSTRACT])
-    size = F.length(body)
-    checks = [(size < 200, "fragment"), (size > 6000, "oversized"), (record, "not_abstract"), (F.lit(not identified) & (F.length(F.trim(raw)) == 2000), "legacy_truncation")]
-    return F.get(F.filter(F.array(*[F.when(F.coalesce(c, F.lit(False)), name) for c, name in checks]), lambda x: x.isNotNull()), F.lit(0))
+    longest = max(map(len, NO_ABSTRACT))
+
+    def headed(text: Column) -> Column:
+        """The text behind the word abstract and its sign. Only the beginning is looked at."""
+        size = reduce(lambda out, word: F.when(F.startswith(F.lower(F.substring(text, 1, len(word))), F.lit(word)), len(word)).otherwise(out), ["abstract", "摘要"], F.lit(0))
+        tail = F.ltrim(F.substr(text, size + 1, F.length(text)))
+        return F.when(size == 0, text).when(F.substring(tail, 1, 1).isin(*":：."), F.ltrim(F.substr(tail, F.lit(2), F.length(tail)))).otherwise(tail)
+
+    def issue(body: Column) -> Column:
+        # Blanks before colons go, so a beginning may take up to twice its characters.
+        begins = F.replace(F.lower(F.substring(body, 1, 2 * longest)), F.lit(" :"), F.lit(":"))
+        record = reduce(lambda a, b: a | b, [F.startswith(begins, F.lit(p)) for p in NO_ABSTRACT])
+        size = F.length(body)
+        checks = [(size < 200, "fragment"), (size > 6000, "oversized"), (record, "not_abstract"), (F.lit(not identified) & (F.length(F.trim(raw)) == 2000), "legacy_truncation")]
+        return F.coalesce(*[F.when(F.coalesce(c, F.lit(False)), name) for c, name in checks])
+
+    return let(let(collapse(F.coalesce(raw, F.lit(""))), headed), issue)
 
 
 def from_inverted_index(index: Column) -> Column:
