@@ -3,6 +3,7 @@
 import datetime
 import re
 from collections import Counter
+from pathlib import Path
 
 from pyspark.sql import functions as F
 
@@ -201,3 +202,20 @@ def test_recall_by_blocks(spark, monkeypatch):
     out = stories.recall(asked, df)
     assert {(r["query"], r["fact"]): round(r["score"], 9) for r in out.collect()} == {p: round(s, 9) for p, s in want.items()}
     assert "Join" not in plan_of(out)
+
+
+def written(spark):
+    folder = Path(spark.sparkContext.getCheckpointDir().removeprefix("file:")) if spark.sparkContext.getCheckpointDir() else None
+    return sum(f.stat().st_size for f in folder.rglob("*") if f.is_file()) if folder else 0
+
+
+def test_first_texts_write_shared_runs_only(spark):
+    """Runs of one page alone, nearly all of these, are neither kept nor moved again."""
+    made = [(p % 3, p, " ".join(f"w{p}x{k}" for k in range(150)) + (" seen before by all" if p % 2 else "")) for p in range(1500)]
+    made += [(0, 5000, made[0][2]), (0, 5001, made[0][2].rsplit(" ", 60)[0]), (1, 5002, None), (1, 5003, ""), (1, 5004, "two words"), (1, 5005, "two words"), (1, 5006, "seen before by all")]
+    df = spark.createDataFrame(made, "group long, place long, text string").repartition(8)
+    before = written(spark)
+    out = {r["place"] for r in stories.keep_first_texts(df, T.word_runs(F.col("text")), text=F.col("text")).select("place").collect()}
+    # The last is found within an earlier page of its group.
+    assert out == {r[1] for r in made} - {5000, 5001, 5006}
+    assert written(spark) - before < 2_000_000

@@ -446,8 +446,8 @@ def c44(spark, d):
 @add("t20_keep_first_texts")
 def t20(spark, d):
     (docs,) = load(spark, d, "documents")
-    pages = docs.select((F.col("doc_id") % 50).alias("group"), F.col("doc_id").alias("place"), T.word_runs(F.col("text")).alias("runs"))
-    return S.keep_first_texts(pages, "runs").select("group", "place")
+    pages = docs.select((F.col("doc_id") % 50).alias("group"), F.col("doc_id").alias("place"), "text")
+    return S.keep_first_texts(pages, T.word_runs(F.col("text")), text=F.col("text")).select("group", "place")
 
 
 # Reports
