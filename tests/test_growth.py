@@ -1,10 +1,12 @@
 """Steps whose cost or result went wrong on larger tables, each on a small case."""
 
 import datetime
+import gc
 import re
 from collections import Counter
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tidemark.functions import pages as PG
@@ -219,3 +221,21 @@ def test_first_texts_write_shared_runs_only(spark):
     # The last is found within an earlier page of its group.
     assert out == {r[1] for r in made} - {5000, 5001, 5006}
     assert written(spark) - before < 2_000_000
+
+
+def test_pages_are_given_on_a_few_at_a_time():
+    """A batch of many pages is not held a second time, as trees or as results."""
+    html = "<html><head><title>T</title></head><body>" + "<div><p>Some text, and some more of it.</p></div>" * 40 + "</body></html>"
+    n, made = 500, []
+    column = lambda v, kind: pa.array([v] * n, kind)
+    batch = pa.RecordBatch.from_pydict({"page_id": pa.array([str(k) for k in range(n)]), "url": column("https://a.example", pa.string()), "html": column(html, pa.string()), "http_status": column(None, pa.int32()), "landed": column(None, pa.string())})
+    gc.collect()
+    gc.disable()
+    try:
+        for out in PG._extracted(iter([batch])):
+            made += out["page_id"].to_pylist()
+            assert len(out) <= 64
+            assert sum(isinstance(x, PG.Element) for x in gc.get_objects()) < 200
+    finally:
+        gc.enable()
+    assert made == [str(k) for k in range(n)]

@@ -8,12 +8,14 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 from urllib.parse import urljoin, urlsplit
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # What a readable body has at least, tags that are kept, dropped whole, or block.
 LEAST = 200
+#: Pages that a task reads out of a batch at once.
+PAGES = 32
 KEPT = {"p", "h2", "h3", "h4", "ul", "ol", "li", "blockquote", "pre", "code", "a", "img", "strong", "em", "b", "i", "table", "tr", "td", "th", "figure", "figcaption", "br"}
 DROPPED = {"script", "style", "nav", "footer", "aside", "form", "noscript", "iframe", "template", "svg", "button"}
 BLOCKS = {"p", "div", "li", "blockquote", "pre", "h1", "h2", "h3", "h4", "td", "th", "figcaption", "article", "section"}
@@ -177,6 +179,12 @@ class _Tree(HTMLParser):
         if not self.skip:
             self.at.parts.append(data)
 
+    def drop(self):
+        """Takes the tree apart, whose elements hold each other, so that it goes at once."""
+        for e in list(self.root.walk()):
+            e.parent = None
+        self.root = self.at = None
+
 
 def article(root: Element) -> list[str]:
     """The blocks of the element that holds most of a page's prose, and of siblings that go on with it.
@@ -228,6 +236,28 @@ def sent_to_sign_in(asked: str, landed: str) -> bool:
     return bool(SIGN_IN & steps(landed)) and not SIGN_IN & steps(asked)
 
 
+def _page(url: str, html: str, answer: int | None, landed: str | None) -> tuple:
+    refused = "sign_in" if landed and sent_to_sign_in(url, landed) else None if answer is None or answer == 200 else "refused" if answer in REFUSED else "failed"
+    if refused:
+        return None, "", "", refused
+    p, tree = _Blocks(landed or url), _Tree()
+    p.feed(html)
+    tree.feed(html)
+    body = "\n\n".join(article(tree.root))
+    tree.drop()
+    return " ".join(p.title.split()) or None, body, re.sub(r"<p>\s*</p>", "", "".join(p.out)), "ok" if len(body) >= LEAST else "unconfirmed"
+
+
+def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = ["page_id", "title", "body", "html", "status"]
+    for batch in batches:
+        # A few pages at a time are taken out of a batch and given on, so that the batch is all that is held.
+        for start in range(0, len(batch), PAGES):
+            b = batch.slice(start, PAGES).to_pydict()
+            rows = [(i, *_page(u or "", h or "", s, at)) for i, u, h, s, at in zip(b["page_id"], b["url"], b["html"], b["http_status"], b["landed"], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows, strict=True)], names=names)
+
+
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, title, body, html, status: the readable text of each page (page_id, url, html).
 
@@ -237,24 +267,8 @@ def extract(pages: DataFrame) -> DataFrame:
     page's markup in kept tags, without scripts. A page that the parser gives up on has no body.
     """
     schema = "page_id string, title string, body string, html string, status string"
-
-    def one(url: str, html: str, answer: int | None, landed: str | None) -> tuple:
-        refused = "sign_in" if landed and sent_to_sign_in(url, landed) else None if answer is None or answer == 200 else "refused" if answer in REFUSED else "failed"
-        if refused:
-            return None, "", "", refused
-        p, tree = _Blocks(landed or url), _Tree()
-        p.feed(html)
-        tree.feed(html)
-        body = "\n\n".join(article(tree.root))
-        return " ".join(p.title.split()) or None, body, re.sub(r"<p>\s*</p>", "", "".join(p.out)), "ok" if len(body) >= LEAST else "unconfirmed"
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = [(i, *one(u or "", h or "", None if pd.isna(s) else int(s), at)) for i, u, h, s, at in zip(b["page_id"], b["url"], b["html"], b["http_status"], b["landed"], strict=True)]
-            yield pd.DataFrame(rows, columns=["page_id", "title", "body", "html", "status"])
-
     column = lambda name, kind: F.col(name).cast(kind) if name in pages.columns else F.lit(None).cast(kind)
-    return pages.select(F.col("page_id").cast("string"), "url", "html", column("http_status", "int").alias("http_status"), column("landed", "string").alias("landed")).mapInPandas(run, schema)
+    return pages.select(F.col("page_id").cast("string"), "url", "html", column("http_status", "int").alias("http_status"), column("landed", "string").alias("landed")).mapInArrow(_extracted, schema)
 
 
 def script_records(html: Column, mark: str) -> Column:
