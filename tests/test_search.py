@@ -1,7 +1,9 @@
 """Substring search by posting lists against a scan."""
 
 import random
+from collections import Counter
 
+import pyarrow as pa
 import pytest
 
 from tidemark.operators import search as S
@@ -36,3 +38,20 @@ def test_no_terms_and_no_bodies(spark, bodies, tmp_path):
     empty = df.limit(0)
     none = S.build(empty, f"file://{tmp_path}/lists")
     assert [r["id"] for r in S.public_match(df, S.F.lower("body"), none, empty, ["rare97"]).collect()] == [97]
+
+
+def test_lists_hold_each_gram_and_text_once(bodies, monkeypatch):
+    rows, _, index = bodies
+    want = {(t.lower()[i : i + k], n) for n, t in rows if t for k in (1, 2, 3) for i in range(len(t) - k + 1)}
+    lists = index._table("lists").collect()
+    got = [(r["gram"], i) for r in lists for i in r["ids"]]
+    assert len(got) == len(set(got)) and set(got) == want
+    # A task's texts share a row a gram, so that rows are far fewer than what they hold.
+    assert 3 * len(lists) < len(got)
+    assert {r["gram"]: r["n"] for r in index._table("sizes").collect()} == Counter(g for g, _ in want)
+    # Alphabets too large for a table, and texts a few at a time, give the same.
+    batch = pa.RecordBatch.from_pydict({"id": pa.array([n for n, _ in rows]), "body": pa.array([(t or "").lower() for _, t in rows])})
+    for name, value in (("CODES", 4), ("CHARS", 50)):
+        monkeypatch.setattr(S, name, value)
+        made = [(g, i) for b in S._lists(iter([batch])) for g, ids in zip(b["gram"].to_pylist(), b["ids"].to_pylist(), strict=True) for i in ids]
+        assert len(made) == len(want) and set(made) == want
